@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing
+from . import decontaminate, licenses, packing
 from ._util import table
 
 
@@ -14,12 +14,17 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
+    "op6_licenses": op6_licenses,
     "op8_packing": op8_packing,
 }
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -31,7 +36,43 @@ def _words(column: str, pattern: str) -> str:
     return f"regexp_extract_all(translate(coalesce({column}, ''), '{_UPPER}', '{_LOWER}'), '{pattern}')"
 
 
+_TEMPLATES = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in sorted(licenses.TEMPLATES.items()))
+_PAIRS = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+
 ORACLES: dict[str, str] = {
+    "op6_licenses": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+        lines AS (SELECT r, unnest(string_split(text, chr(10))) AS unit FROM d),
+        blocks AS (SELECT r, unnest(string_split_regex(text, '\\n([\\x20\\x09\\x0B-\\x0D]*\\n)+')) AS unit FROM d),
+        spans AS (
+            SELECT r, unit FROM lines WHERE regexp_matches(unit, '{_SPACED}')
+            UNION ALL
+            SELECT r, unit FROM blocks
+            WHERE len(list_filter(string_split(unit, chr(10)), lambda x: regexp_matches(x, '{_SPACED}'))) > 1),
+        unit_sets AS (
+            SELECT row_number() OVER () AS u, r, {_PAIRS} AS own
+            FROM (SELECT r, {_words("unit", _ALNUM)} AS w FROM spans) WHERE len(w) > 1),
+        templates AS (
+            SELECT name, {_PAIRS} AS theirs
+            FROM (SELECT name, {_words("text", _ALNUM)} AS w FROM (VALUES {_TEMPLATES}) AS t(name, text))),
+        common AS (
+            SELECT u, name, count(*) AS n
+            FROM (SELECT u, unnest(own) AS b FROM unit_sets) JOIN (SELECT name, unnest(theirs) AS b FROM templates) USING (b)
+            GROUP BY u, name),
+        matches AS (
+            SELECT u, r, name, dice FROM (
+                SELECT u, r, name, dice, row_number() OVER (PARTITION BY u ORDER BY dice DESC, name) AS k
+                FROM (SELECT u, r, name, CAST(2 * n AS DOUBLE) / (len(own) + len(theirs)) AS dice
+                      FROM common JOIN unit_sets USING (u) JOIN templates USING (name))
+                WHERE dice >= {licenses.THRESHOLD}) WHERE k = 1),
+        best AS (
+            SELECT r, count(*) AS n_matches, arg_max(split_part(name, '/', 1), dice) AS license_id, max(dice) AS dice,
+                array_to_string(list_sort(list_distinct(list(split_part(name, '/', 1)))), ',') AS licenses
+            FROM (SELECT * FROM matches ORDER BY name) GROUP BY r),
+        counted AS (SELECT r, count(*) AS n FROM spans GROUP BY r)
+        SELECT doc_id, coalesce(n, 0) AS n_units, coalesce(n_matches, 0) AS n_matches, license_id, dice,
+            coalesce(licenses, '') AS licenses
+        FROM d LEFT JOIN counted USING (r) LEFT JOIN best USING (r)""",
     "op4_decontamination": f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_words("text", _ALNUM)} AS w FROM documents),
         b AS (SELECT item_id, {_words("text", _ALNUM)} AS w FROM benchmark),
