@@ -6,8 +6,8 @@ against the rest picks the family; within it, one for each pair of languages vot
 margins breaking ties. Families come from a fixed table by language code; codes that it lacks form a family of
 their own.
 
-Training takes a bounded sample: for each language, the ``SAMPLE`` texts smallest by a hash of text and id, of
-at most ``SAMPLE_BYTES`` bytes. Prediction reads every whole text.
+Training takes a bounded sample: for each language, at most ``SAMPLE`` texts of at most ``SAMPLE_BYTES`` bytes,
+chosen by a hash of text and id. Prediction reads every whole text.
 
 Cases: a null text, or one without any letter, is ``und`` with score 0; null languages aren't learned; with a single
 learned language it is predicted with score 1, with none all is ``und``; repeated rows are judged each by itself;
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._text import LOWER, Block, blocks, column, output, text_array
@@ -135,11 +135,13 @@ def train(docs: DataFrame, usable: Column, sample: int = SAMPLE, sample_bytes: i
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(
         usable & F.col("lang").isNotNull() & (F.octet_length("text") <= sample_bytes) & (F.octet_length("text") > 0)
     )
-    # First hash and rank ids: by language, pre-selected within each partition by the group limit.
-    keyed = rows.select("lang", F.xxhash64("doc_id", "text").alias("h"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    bound = keyed.withColumn("k", rank).where(F.col("k") <= sample).groupBy("lang").agg(F.max("h").alias("most"))
-    chosen = rows.withColumn("h", F.xxhash64("doc_id", "text")).join(F.broadcast(bound), "lang").where(F.col("h") <= F.col("most"))
+    # About half as many again as wanted pass a threshold on the hash, by language; the smallest are taken of them.
+    total = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not total:
+        return None
+    share = F.create_map(*[F.lit(x) for lang, n in total.items() for x in (lang, min(1.0, (1.5 * sample + 50) / n))])
+    drawn = F.pmod(F.col("h"), F.lit(1 << 40)) / float(1 << 40)
+    chosen = rows.withColumn("h", F.xxhash64("doc_id", "text")).where(drawn < share[F.col("lang")])
     arrow = pa.schema([("h", pa.int64()), ("lang", pa.string()), ("x", pa.binary())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,8 +153,6 @@ def train(docs: DataFrame, usable: Column, sample: int = SAMPLE, sample_bytes: i
     got = chosen.mapInArrow(encode, "h long, lang string, x binary").toPandas().sort_values(["lang", "h", "x"], kind="stable")
     # Equal rows share a hash: no more of a language than asked for.
     got = got[got.groupby("lang").cumcount() < sample]
-    if not len(got):
-        return None
     return Machines(np.frombuffer(b"".join(got["x"]), np.float16).reshape(-1, WIDTH).astype(np.float32), got["lang"].tolist())
 
 
