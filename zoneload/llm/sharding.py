@@ -60,7 +60,7 @@ def propagate(state: DataFrame, capacity: int, rounds: int) -> DataFrame:
         admitted = (
             F.when(F.col("to").isNull(), 0)
             .when(share >= 1, F.col("n"))
-            .when(F.col("n") * 10 <= room, F.when(drawn < share * 0.9, F.col("n")).otherwise(0))
+            .when(F.col("n") <= room, F.when(drawn < share * 0.9, F.col("n")).otherwise(0))
             .otherwise(F.floor(F.col("n") * share * 0.9))
         ).cast("long")
         moved = asked.withColumn("moved", admitted)
