@@ -1,10 +1,4 @@
-"""The library's registered queries and their DuckDB counterparts."""
+"""All registered queries of the library and their DuckDB counterparts."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from .catalog import control, evaluate, features, forecast, metrics, prepare, scalars, sources  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
