@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -25,3 +26,11 @@ def ready(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = ":".join([ROOT, *paths])
     return spark
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut a plan's lineage in the folder that ``spark.checkpoint.dir`` names; one of our own only where it is unset."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return df.checkpoint()
