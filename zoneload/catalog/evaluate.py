@@ -1 +1,331 @@
-"""Registered queries."""
+"""Queries over the evaluation of saved runs."""
+
+from pyspark.sql import functions as F
+
+from .. import fixtures as X
+from ..functions.scalars import all_known
+from ..operators import evaluation as E
+from ..registry import query
+from .features import summary
+
+_C = F.col
+_FINE = "actual_kwh IS NOT NULL AND predicted_kwh IS NOT NULL"
+
+
+def _errors_sql(source, keys):
+    k = ", ".join(keys)
+    return f"""SELECT {k}, count(*) AS n_total, count(*) FILTER ({_FINE}) AS n, count(*) FILTER ({_FINE} AND abs(actual_kwh) > 1e-9) AS n_mape, avg(e) AS mae, sqrt(avg(e * e)) AS rmse, CASE WHEN sum(abs(actual_kwh - m)) FILTER ({_FINE}) > 1e-9 THEN sum(e) / sum(abs(actual_kwh - m)) FILTER ({_FINE}) END AS rae,
+        avg(e / nullif(abs(actual_kwh), 0)) * 100 AS mape_pct, CASE WHEN sum(abs(actual_kwh)) FILTER ({_FINE}) > 1e-9 THEN sum(e) / sum(abs(actual_kwh)) FILTER ({_FINE}) * 100 END AS wape_pct
+        FROM (SELECT *, abs(actual_kwh - predicted_kwh) AS e, avg(actual_kwh) FILTER ({_FINE}) OVER (PARTITION BY {k}) AS m FROM {source}) GROUP BY {k}"""
+
+
+_ERRORS = "mae rmse rae mape_pct wape_pct"
+_DEDUP = "(SELECT DISTINCT zone, time, run, line, model, batch, actual_kwh, predicted_kwh FROM forecast_samples)"
+_KEYS = ["zone", "time", "run", "line", "model", "batch", "actual_kwh", "predicted_kwh"]
+
+
+@query("agg_zone_metrics", _errors_sql("(SELECT * FROM forecast_samples WHERE actual_kwh IS NOT NULL)", ["zone"]), X.SAMPLES, _ERRORS)
+def zone_metrics(spark, d):
+    return E.pooled_errors(X.forecast_samples(spark, d).where("actual_kwh IS NOT NULL"), ["zone"])
+
+
+@query("agg_pooled_metrics", _errors_sql("forecast_samples", ["batch", "model"]), X.SAMPLES, _ERRORS)
+def pooled_metrics(spark, d):
+    return E.pooled_errors(X.forecast_samples(spark, d), ["batch", "model"])
+
+
+@query("agg_forecast_tables", " UNION ALL ".join(f"SELECT '{level}' AS level, {key} AS key, * EXCLUDE ({', '.join(ks)}) FROM ({_errors_sql(_DEDUP, ks)})" for level, key, ks in (("batch", "batch", ["batch"]), ("model", "model", ["model"]), ("zone_model", "zone || '/' || model", ["zone", "model"]))), X.SAMPLES, _ERRORS)
+def forecast_tables(spark, d):
+    rows = E.deduplicated(X.forecast_samples(spark, d), _KEYS)
+    out = None
+    for level, ks in (("batch", ["batch"]), ("model", ["model"]), ("zone_model", ["zone", "model"])):
+        part = E.pooled_errors(rows, ks).select(F.lit(level).alias("level"), F.concat_ws("/", *ks).alias("key"), "n_total", "n", "n_mape", *_ERRORS.split())
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("set_dedup_forecasts", f"SELECT (SELECT count(*) FROM {_DEDUP}) AS kept, (SELECT count(*) FROM forecast_samples) - (SELECT count(*) FROM {_DEDUP}) AS removed", X.SAMPLES)
+def dedup_forecasts(spark, d):
+    rows = X.forecast_samples(spark, d)
+    per = rows.groupBy(*_KEYS).agg(F.count("*").alias("n"))
+    return per.agg(F.count("*").alias("kept"), F.sum(_C("n") - 1).alias("removed"))
+
+
+@query("set_conflicts", """SELECT * FROM (SELECT zone, model, time, count(DISTINCT actual_kwh) + max(CAST(actual_kwh IS NULL AS BIGINT)) AS n_actual_kwh, count(DISTINCT predicted_kwh) + max(CAST(predicted_kwh IS NULL AS BIGINT)) AS n_predicted_kwh FROM forecast_samples GROUP BY ALL) WHERE n_actual_kwh > 1 OR n_predicted_kwh > 1""", X.SAMPLES)
+def set_conflicts(spark, d):
+    return E.conflicts(X.forecast_samples(spark, d), ["zone", "model", "time"], ["actual_kwh", "predicted_kwh"])
+
+
+@query("set_union_runs", "SELECT 'multi' AS mode, zone, run, NULL AS only_single, predicted_kwh FROM base_samples WHERE line = 1 UNION ALL SELECT 'single', zone, NULL, line, predicted_kwh FROM base_samples WHERE line = 2", X.SAMPLES)
+def union_runs(spark, d):
+    rows = X.forecast_samples(spark, d).where("agent_mode = 'multi'")
+    a = rows.where("line = 1").select(F.lit("multi").alias("mode"), "zone", "run", "predicted_kwh")
+    b = rows.where("line = 2").select(F.lit("single").alias("mode"), "zone", _C("line").alias("only_single"), "predicted_kwh")
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+@query("set_expected_windows", """SELECT run, zone, "window", status FROM (SELECT coalesce(o.run, e.run) AS run, coalesce(o.zone, e.zone) AS zone, coalesce(o."window", e."window") AS "window", CASE WHEN o.n IS NULL THEN 'missing' WHEN e.run IS NULL THEN 'extra' WHEN o.n > 1 THEN 'duplicate' END AS status
+    FROM (SELECT run, zone, "window", count(*) AS n FROM window_rounds WHERE round = 1 OR (round = 2 AND run = 3) GROUP BY ALL) o FULL JOIN (SELECT * FROM (SELECT DISTINCT run FROM window_rounds), (SELECT unnest(range(5)) AS zone), (SELECT unnest(range(7)) AS "window")) e ON o.run = e.run AND o.zone = e.zone AND o."window" = e."window") WHERE status IS NOT NULL""", X.ROUNDS)
+def set_expected(spark, d):
+    rows = X.window_rounds(spark, d)
+    grid = rows.select("run").distinct().withColumn("zone", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long")))).withColumn("window", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))))
+    grid = grid.select("run", "zone", "window")
+    return E.expected_windows(rows.where("round = 1 OR (round = 2 AND run = 3)"), grid, ["run", "zone", "window"])
+
+
+_GRID = """grid AS (SELECT g.run, g.zone, g."window", r.round, w.load_kwh, w.stress, w.stress = 'Medium' AS medium, CASE WHEN w.load_kwh IS NULL THEN 'missing' WHEN r.round = 0 THEN 'baseline' ELSE 'attempt_trace' END AS source
+    FROM (SELECT DISTINCT run, zone, "window" FROM window_rounds) g CROSS JOIN (SELECT unnest(range(4)) AS round) r LEFT JOIN window_rounds w ON w.run = g.run AND w.zone = g.zone AND w."window" = g."window" AND w.round = r.round),
+steps AS (SELECT *, lag(medium) OVER w AS previous_medium, min(CASE WHEN medium THEN round END) OVER w AS ft, min(CASE WHEN medium IS NULL THEN round END) OVER w AS fn, first_value(medium) OVER w AS baseline_medium FROM grid WINDOW w AS (PARTITION BY run, zone, "window" ORDER BY round)),
+entries AS (SELECT *, CASE WHEN known THEN ft END AS first_entry_round, CASE WHEN ft IS NOT NULL THEN true WHEN fn IS NULL THEN false END AS ever_medium FROM (SELECT *, CASE WHEN baseline_medium IS NULL THEN false WHEN baseline_medium THEN true ELSE coalesce(fn IS NULL OR ft < fn, false) END AS known FROM steps))"""
+_WK = ["run", "zone", "window"]
+
+
+def rounds(spark, d):
+    """Window rounds with gaps as unknown, history fields and the baseline's state."""
+    from pyspark.sql import Window
+
+    rows = E.history_fields(E.round_grid(X.window_rounds(spark, d).select(*_WK, "round", "load_kwh", "stress"), _WK, 3), _WK)
+    base = F.first("medium").over(Window.partitionBy(*_WK).orderBy("round"))
+    return rows.withColumn("baseline_medium", base)
+
+
+@query("win_round_rows", 'SELECT run, zone, "window", round, load_kwh, stress, medium, source FROM grid', f"{X.ROUNDS}, {_GRID}")
+def round_rows(spark, d):
+    return E.round_grid(X.window_rounds(spark, d).select(*_WK, "round", "load_kwh", "stress"), _WK, 3)
+
+
+@query("win_first_entry", 'SELECT run, zone, "window", round, previous_medium, first_entry_round, known AS first_entry_known, ever_medium, CASE WHEN baseline_medium THEN false WHEN NOT baseline_medium THEN ever_medium END AS ever_newly_medium FROM entries', f"{X.ROUNDS}, {_GRID}")
+def first_entry(spark, d):
+    return rounds(spark, d).select(*_WK, "round", "previous_medium", "first_entry_round", "first_entry_known", "ever_medium", "ever_newly_medium")
+
+
+_ALL = "CASE WHEN bool_or(NOT {0}) THEN false WHEN count(*) > count({0}) THEN NULL ELSE true END"
+_ANY = "CASE WHEN bool_or({0}) THEN true WHEN count(*) > count({0}) THEN NULL ELSE false END"
+
+
+@query("agg_window_summary", f"""SELECT run, round, count(*) AS windows, count(*) FILTER (medium) AS medium_count, count(medium) AS known_count, count(*) - count(medium) AS unknown_count, count(*) FILTER (medium) * 100e0 / nullif(count(medium), 0) AS medium_rate_pct, count(*) FILTER (NOT baseline_medium AND medium) AS newly_medium, count(*) FILTER (baseline_medium AND NOT medium) AS lost_medium,
+    count(*) FILTER (NOT baseline_medium AND medium) - count(*) FILTER (baseline_medium AND NOT medium) AS net_new, count(*) FILTER (NOT previous_medium AND medium) AS gained, count(*) FILTER (previous_medium AND NOT medium) AS exited, {_ALL.format('medium')} AS all_medium, {_ANY.format('medium')} AS any_medium FROM entries GROUP BY run, round""", f"{X.ROUNDS}, {_GRID}", "medium_rate_pct")
+def window_summary(spark, d):
+    return E.window_summary(rounds(spark, d), ["run", "round"])
+
+
+@query("agg_window_tables", "SELECT level, run, zone, round, count(*) AS windows, count(*) FILTER (medium) AS medium_count, count(medium) AS known_count, count(*) FILTER (medium) * 100e0 / nullif(count(medium), 0) AS medium_rate_pct FROM (" + " UNION ALL ".join(f"SELECT '{level}' AS level, {run} AS run, {zone} AS zone, {rnd} AS round, medium FROM grid" for level, run, zone, rnd in (("round", "NULL::BIGINT", "NULL::BIGINT", "round"), ("run+round", "run", "NULL", "round"), ("zone+round", "NULL", "zone", "round"), ("run+zone", "run", "zone", "NULL"))) + ") GROUP BY ALL", f"{X.ROUNDS}, {_GRID}", "medium_rate_pct")
+def window_tables(spark, d):
+    return E.window_tables(rounds(spark, d), [["round"], ["run", "round"], ["zone", "round"], ["run", "zone"]])
+
+
+@query("top_sorted_tables", """SELECT run, phase, round, windows, row_number() OVER (PARTITION BY run ORDER BY CASE phase WHEN 'baseline' THEN 0 WHEN 'round' THEN 1 ELSE 2 END, round) AS position FROM (SELECT run, CASE WHEN round = 0 THEN 'baseline' WHEN round = 3 THEN 'final' ELSE 'round' END AS phase, round, count(*) AS windows FROM grid GROUP BY ALL)""", f"{X.ROUNDS}, {_GRID}")
+def sorted_tables(spark, d):
+    from pyspark.sql import Window
+
+    phase = F.when(_C("round") == 0, "baseline").when(_C("round") == 3, "final").otherwise("round")
+    rows = rounds(spark, d).groupBy("run", phase.alias("phase"), "round").agg(F.count("*").alias("windows"))
+    order = F.when(_C("phase") == "baseline", 0).when(_C("phase") == "round", 1).otherwise(2)
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy("run").orderBy(order, "round")).cast("long")).orderBy("run", "position")
+
+
+@query("agg_round_matrix", "SELECT run, " + ", ".join(f'count(*) FILTER (round = {n} AND medium) AS "{n}_medium", count(*) FILTER (round = {n} AND known AND first_entry_round = {n}) AS "{n}_entered"' for n in range(4)) + " FROM entries GROUP BY run", f"{X.ROUNDS}, {_GRID}")
+def round_matrix(spark, d):
+    return E.round_matrix(rounds(spark, d), ["run"], 3)
+
+
+def _transition_sql(source, keys):
+    return f"""SELECT {keys}, count(*) AS count, count(a) AS first_known_count, count(b) AS final_known_count, count(*) FILTER (a) AS first_success_count, count(*) FILTER (b) AS final_success_count, count(*) FILTER (a) * 100e0 / nullif(count(a), 0) AS first_success_rate_pct, count(*) FILTER (b) * 100e0 / nullif(count(b), 0) AS final_success_rate_pct,
+        count(*) FILTER (a AND b) AS retained_count, count(*) FILTER (NOT a AND b) AS gained_count, count(*) FILTER (a AND NOT b) AS lost_count, count(*) FILTER (NOT a AND NOT b) AS never_count, count(*) FILTER (a IS NULL OR b IS NULL) AS unknown_transition_count FROM {source} GROUP BY {keys}"""
+
+
+_RATES = "first_success_rate_pct final_success_rate_pct"
+
+
+@query("agg_transitions", _transition_sql("(SELECT batch, mode, first_success AS a, final_success AS b FROM runs)", "batch, mode"), X.RUNS, _RATES)
+def transitions(spark, d):
+    return E.transitions(X.runs(spark, d), ["batch", "mode"], "first_success", "final_success")
+
+
+_ZONES = f"(SELECT run, zone, {_ALL.format('a')} AS a, {_ALL.format('b')} AS b FROM (SELECT run, zone, \"window\", bool_and(medium) FILTER (round = 1) AS a, bool_and(medium) FILTER (round = 3) AS b FROM grid GROUP BY ALL) GROUP BY run, zone)"
+
+
+@query("agg_agent_summary", _transition_sql(_ZONES, "run"), f"{X.ROUNDS}, {_GRID}", _RATES)
+def agent_summary(spark, d):
+    """Zones succeed if all their windows do; transitions of zones from the first round to the last, by run."""
+    at = lambda n: F.bool_and(F.when(_C("round") == n, _C("medium")))
+    windows = rounds(spark, d).groupBy(*_WK).agg(at(1).alias("a"), at(3).alias("b"))
+    return E.transitions(E.all_success(windows, ["run", "zone"], ["a", "b"]), ["run"], "a", "b")
+
+
+_TOK = "complete AS (SELECT *, coalesce(token_usage_complete, true) AND prompt_tokens IS NOT NULL AND completion_tokens IS NOT NULL AS ok, CASE WHEN prompt_tokens IS NOT NULL AND cached_tokens <= prompt_tokens THEN cached_tokens END AS u FROM agent_calls)"
+_USE = "count(*) AS calls, bool_and(ok) AS token_usage_complete, count(*) FILTER (NOT ok) AS incomplete_rows, " + ", ".join(f"CASE WHEN bool_and(ok) THEN CAST(sum({t}) AS BIGINT) END AS {t}, CAST(sum({t}) AS BIGINT) AS known_{t}, CASE WHEN bool_and(ok) THEN avg({t}) END AS mean_{t}, CASE WHEN bool_and(ok) THEN quantile_cont({t}, 0.5) END AS median_{t}, CASE WHEN bool_and(ok) THEN quantile_cont({t}, 0.95) END AS p95_{t}, quantile_cont({t}, 0.95) AS known_p95_{t}" for t in E.TOKENS)
+_USE_DOUBLES = " ".join(f"mean_{t} median_{t} p95_{t} known_p95_{t}" for t in E.TOKENS)
+_VIEWS = f"{X.CALLS}, {_TOK}"
+
+
+@query("agg_usage_summary", f"SELECT run, {_USE} FROM complete GROUP BY run", _VIEWS, _USE_DOUBLES)
+def usage_summary(spark, d):
+    return E.usage_summary(X.agent_calls(spark, d), ["run"])
+
+
+@query("agg_usage_tables", " UNION ALL ".join(f"SELECT '{k}' AS level, CAST({k} AS VARCHAR) AS key, {_USE} FROM complete GROUP BY {k}" for k in ("agent", "attempt", "step")), _VIEWS, _USE_DOUBLES)
+def usage_tables(spark, d):
+    out = None
+    for k in ("agent", "attempt", "step"):
+        part = E.usage_summary(X.agent_calls(spark, d), [k]).withColumnRenamed(k, "key").withColumns({"level": F.lit(k), "key": _C("key").cast("string")})
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_CACHE_OK = "bool_and(u IS NOT NULL AND token_usage_complete)"
+
+
+@query("agg_cache_usage", f"SELECT agent, CASE WHEN {_CACHE_OK} THEN CAST(sum(u) AS BIGINT) END AS cached_tokens, CAST(sum(coalesce(u, 0)) AS BIGINT) AS known_cached_tokens, count(*) FILTER (u IS NOT NULL AND token_usage_complete) AS cache_reported_call_count, {_CACHE_OK} AS cache_usage_complete, CASE WHEN {_CACHE_OK} AND sum(prompt_tokens) > 0 THEN sum(u) / sum(prompt_tokens) END AS cache_hit_ratio FROM complete GROUP BY agent", _VIEWS, "cache_hit_ratio")
+def cache_usage(spark, d):
+    return E.cache_summary(X.agent_calls(spark, d), ["agent"])
+
+
+_ROUND_USE = "SELECT run, attempt, count(*) AS calls, CAST(sum(prompt_tokens) AS BIGINT) AS known_prompt_tokens, bool_and(ok) AS complete, string_agg(DISTINCT agent, ',' ORDER BY agent) AS agents FROM complete GROUP BY run, attempt"
+
+
+@query("agg_round_usage", f"SELECT *, CAST(sum(calls) OVER w AS BIGINT) AS cumulative_calls, CAST(sum(known_prompt_tokens) OVER w AS BIGINT) AS cumulative_prompt_tokens, bool_and(complete) OVER w AS cumulative_complete FROM ({_ROUND_USE}) WINDOW w AS (PARTITION BY run ORDER BY attempt)", _VIEWS)
+def round_usage(spark, d):
+    return E.round_usage(X.agent_calls(spark, d))
+
+
+@query("agg_usage_audit", """SELECT run, CASE WHEN fields <> '' THEN 'mismatch' WHEN unknown THEN 'partial' ELSE 'match' END AS status, fields FROM (SELECT run, NOT ok OR tokens IS NULL OR recorded_tokens IS NULL AS unknown, array_to_string(list_filter([CASE WHEN calls <> recorded_calls THEN 'calls' END, CASE WHEN tokens <> recorded_tokens THEN 'tokens' END], lambda x: x IS NOT NULL), ',') AS fields
+    FROM (SELECT run, count(*) AS calls, sum(prompt_tokens) AS tokens, bool_and(ok) AS ok, count(*) + CASE WHEN run % 10 = 1 THEN 1 ELSE 0 END AS recorded_calls, CASE WHEN run % 8 <> 5 THEN sum(prompt_tokens) + CASE WHEN run % 6 = 2 THEN 3 ELSE 0 END END AS recorded_tokens FROM complete GROUP BY run))""", _VIEWS)
+def usage_audit(spark, d):
+    calls = X.agent_calls(spark, d)
+    run = _C("run")
+    recorded = calls.groupBy("run").agg((F.count("*") + F.when(F.first(run % 10) == 1, 1).otherwise(0)).alias("recorded_calls"), F.when(F.first(run % 8) != 5, F.sum("prompt_tokens") + F.when(F.first(run % 6) == 2, 3).otherwise(0)).alias("recorded_tokens"))
+    return E.usage_audit(calls, recorded)
+
+
+@query("prj_provider_usage", """SELECT run, step, p AS prompt_tokens, c AS completion_tokens, p + c AS total_tokens, cached AS cached_tokens FROM (SELECT conv_id AS run, turn AS step, length(text) + CASE WHEN turn % 2 = 1 THEN length(text) // 4 + length(text) // 5 ELSE 0 END AS p, length(text) // 2 AS c, length(text) // 4 AS cached FROM conversations)""")
+def provider_usage(spark, d):
+    """Two payload shapes: one total, or three input parts that add up."""
+    n = F.length("text")
+    part = lambda k: F.floor(n / k).cast("long")
+    total = F.to_json(F.struct(F.struct(n.alias("prompt_tokens"), part(2).alias("completion_tokens"), F.struct(part(4).alias("cached_tokens")).alias("prompt_tokens_details")).alias("usage")))
+    parts = F.to_json(F.struct(F.struct(n.alias("input_tokens"), part(2).alias("output_tokens"), part(4).alias("cache_read_input_tokens"), part(5).alias("cache_creation_input_tokens")).alias("usage")))
+    rows = X.table(spark, d, "conversations").select(_C("conv_id").alias("run"), _C("turn").alias("step"), F.when(_C("turn") % 2 == 1, parts).otherwise(total).alias("payload"))
+    get = lambda p: F.get_json_object("payload", f"$.usage.{p}").cast("long")
+    prompt = F.coalesce(get("prompt_tokens"), get("input_tokens") + F.coalesce(get("cache_read_input_tokens"), F.lit(0)) + F.coalesce(get("cache_creation_input_tokens"), F.lit(0)))
+    rows = rows.select("run", "step", prompt.alias("prompt_tokens"), F.coalesce(get("completion_tokens"), get("output_tokens")).alias("completion_tokens"), F.coalesce(get("prompt_tokens_details.cached_tokens"), get("cache_read_input_tokens")).alias("cached_tokens"))
+    return rows.withColumn("total_tokens", _C("prompt_tokens") + _C("completion_tokens"))
+
+
+@query("prj_response_json")
+def response_json(spark, d):
+    """The JSON object in a response, fenced or bare, without the keys of hidden reasoning."""
+    body = F.to_json(F.struct(F.length("text").alias("n"), F.lit("secret").alias("reasoning"), F.struct(F.lit("x").alias("thinking"), _C("turn").alias("turn")).alias("inner")))
+    text = F.when(_C("turn") % 2 == 0, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```\n"))).otherwise(F.concat(F.lit("so "), body, F.lit(" end")))
+    rows = X.table(spark, d, "conversations").select("conv_id", "turn", text.alias("response"))
+    from ..functions.text import response_object
+
+    return rows.withColumn("object", response_object("response"))
+
+
+@query("prj_forecast_params", "SELECT o_orderkey AS run, round((o_orderkey % 97) / 96e0, 6) AS alpha, CASE WHEN o_orderkey % 2 = 0 THEN 'ar' ELSE 'ridge' END AS backend, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey % 9 END AS calibration_days, CASE WHEN o_orderkey % 2 = 1 THEN o_orderkey % 5 END AS ridge_penalty FROM orders")
+def forecast_params(spark, d):
+    """Saved parameters as JSON of older and newer names, to one form; other backends' keys are dropped."""
+    k = _C("o_orderkey")
+    raw = F.to_json(F.struct(F.when(k % 2 == 0, (k % 97) / 96).alias("blend_alpha"), F.when(k % 2 == 1, (k % 97) / 96).alias("alpha"), F.when(k % 2 == 0, "ar").otherwise("ridge").alias("backend"), (k % 9).alias("calibration_days"), (k % 3 != 0).alias("validation_bias"), (k % 5).alias("ridge_penalty"), F.lit(7).alias("tree_depth")))
+    rows = X.table(spark, d, "orders").select(k.alias("run"), raw.alias("raw"))
+    get = lambda p: F.get_json_object("raw", f"$.{p}")
+    alpha = F.round(F.coalesce(get("alpha"), get("blend_alpha")).cast("double"), 6)
+    days = F.when(get("validation_bias").cast("boolean"), get("calibration_days").cast("long")).otherwise(0)
+    return rows.select("run", alpha.alias("alpha"), get("backend").alias("backend"), days.alias("calibration_days"), F.when(get("backend") == "ridge", get("ridge_penalty").cast("long")).alias("ridge_penalty"))
+
+
+@query("prj_dataset_identity", "SELECT o_orderkey AS run, CASE WHEN o_orderkey % 3 = 0 THEN 'set-' || o_orderkey % 7 ELSE 'file-' || o_orderkey % 5 END AS dataset, CASE WHEN o_orderkey % 2 = 0 THEN 'RMB/kWh' ELSE 'unknown' END AS price_unit, o_orderkey % 3 = 0 AS from_manifest FROM orders")
+def dataset_identity(spark, d):
+    k = _C("o_orderkey")
+    rows = X.table(spark, d, "orders").select(k.alias("run"), F.when(k % 3 == 0, F.concat(F.lit("set-"), (k % 7).cast("string"))).alias("name"), F.concat(F.lit("/data/file-"), (k % 5).cast("string"), F.lit(".csv")).alias("path"), F.when(k % 2 == 0, "RMB/kWh").alias("unit"))
+    return rows.select("run", F.coalesce("name", F.regexp_extract("path", r"([^/]+)\.csv$", 1)).alias("dataset"), F.coalesce("unit", F.lit("unknown")).alias("price_unit"), _C("name").isNotNull().alias("from_manifest"))
+
+
+_COHORTS = """SELECT batch, identity, reason IS NULL AS accepted, reason FROM (SELECT batch, identity, CASE WHEN n > have THEN 'duplicate_mode' WHEN have < modes THEN 'missing_mode' WHEN unknown > 0 THEN 'unknown_signature' WHEN signatures > 1 THEN 'inconsistent_signature' END AS reason
+    FROM (SELECT batch, identity, count(DISTINCT mode) AS have, count(*) AS n, count(DISTINCT signature) AS signatures, count(*) - count(signature) AS unknown FROM runs GROUP BY ALL) JOIN (SELECT batch, count(DISTINCT mode) AS modes FROM runs GROUP BY batch) USING (batch))"""
+_PAIRS = """pairs AS (SELECT coalesce(a.lb, b.lb) AS left_batch, coalesce(a.rb, b.rb) AS right_batch, coalesce(a.identity, b.identity) AS identity, coalesce(a.mode, b.mode) AS mode, CASE WHEN a.n IS NULL OR b.n IS NULL THEN 'missing' WHEN a.n > 1 OR b.n > 1 THEN 'ambiguous' WHEN a.u OR b.u THEN 'unknown' WHEN a.s <> b.s THEN 'inconsistent' ELSE 'matched' END AS status
+    FROM (SELECT lb, rb, one.* FROM two JOIN one ON one.batch = lb) a FULL JOIN (SELECT lb, rb, one.* FROM two JOIN one ON one.batch = rb) b ON a.lb = b.lb AND a.rb = b.rb AND a.identity = b.identity AND a.mode = b.mode)"""
+_TWO = "two AS (SELECT DISTINCT a.batch AS lb, b.batch AS rb FROM runs a, runs b WHERE a.batch < b.batch), one AS (SELECT batch, identity, mode, count(*) AS n, max(signature) AS s, min(signature) IS NULL AS u FROM runs GROUP BY ALL)"
+
+
+@query("join_mode_cohort", _COHORTS, X.RUNS)
+def mode_cohort(spark, d):
+    return E.mode_cohorts(X.runs(spark, d))
+
+
+@query("join_batch_pairs", "SELECT * FROM pairs", f"{X.RUNS}, {_TWO}, {_PAIRS}")
+def batch_pairs(spark, d):
+    return E.batch_pairs(X.runs(spark, d))
+
+
+@query("agg_paired_summary", """SELECT *, right_ok - left_ok AS delta_ok, right_tokens - left_tokens AS delta_tokens FROM (SELECT left_batch, right_batch, mode, count(*) AS pairs, CASE WHEN count(*) = count(lo) THEN CAST(sum(CAST(lo AS BIGINT)) AS BIGINT) END AS left_ok, CASE WHEN count(*) = count(lt) THEN CAST(sum(lt) AS BIGINT) END AS left_tokens, CASE WHEN count(*) = count(ro) THEN CAST(sum(CAST(ro AS BIGINT)) AS BIGINT) END AS right_ok, CASE WHEN count(*) = count(rt) THEN CAST(sum(rt) AS BIGINT) END AS right_tokens
+    FROM (SELECT p.*, l.final_success AS lo, l.tokens AS lt, r.final_success AS ro, r.tokens AS rt FROM pairs p JOIN runs l ON l.batch = left_batch AND l.identity = p.identity AND l.mode = p.mode JOIN runs r ON r.batch = right_batch AND r.identity = p.identity AND r.mode = p.mode WHERE status = 'matched') GROUP BY ALL)""", f"{X.RUNS}, {_TWO}, {_PAIRS}")
+def paired_summary(spark, d):
+    runs = X.runs(spark, d)
+    return E.paired_summary(runs, E.batch_pairs(runs))
+
+
+@query("agg_pairing_signature", """SELECT run, sha256(array_to_string(list_sort(list(sha256('{"zone":' || zone || ',"window":' || "window" || ',"key":' || key || '}'))), chr(10))) AS signature, count(*) AS rows FROM window_rounds GROUP BY run""", X.ROUNDS)
+def pairing_signature(spark, d):
+    return E.signatures(X.window_rounds(spark, d), ["run"], ["zone", "window", "key"])
+
+
+@query("agg_control_summary", f"SELECT run, CASE WHEN {_ALL.format('ok')} THEN 'success' WHEN {_ALL.format('ok')} IS NULL THEN 'unknown' ELSE 'fail' END AS status, count(*) AS zones, count(*) FILTER (ok) AS succeeded, count(*) FILTER (NOT ok) AS failed, max(last) AS max_attempts FROM (SELECT run, zone, {_ALL.format('medium')} AS ok, max(CASE WHEN source <> 'missing' THEN round END) AS last FROM grid WHERE round > 0 GROUP BY run, zone) GROUP BY run", f"{X.ROUNDS}, {_GRID}")
+def control_summary(spark, d):
+    zones = rounds(spark, d).where("round > 0").groupBy("run", "zone").agg(all_known(_C("medium")).alias("ok"), F.max(F.when(_C("source") != "missing", _C("round"))).alias("last"))
+    got = zones.groupBy("run").agg(all_known(_C("ok")).alias("s"), F.count("*").alias("zones"), F.count_if("ok").alias("succeeded"), F.count_if(~_C("ok")).alias("failed"), F.max("last").alias("max_attempts"))
+    return got.select("run", F.when(_C("s"), "success").when(_C("s").isNull(), "unknown").otherwise("fail").alias("status"), "zones", "succeeded", "failed", "max_attempts")
+
+
+@query("agg_decision_quality", """SELECT source, metric, count(value) AS n, avg(value) AS mean, stddev_samp(value) AS std, stddev_samp(value) / sqrt(count(value)) AS sem, min(value) AS min, max(value) AS max FROM (
+    SELECT 'windows' AS source, 'load_kwh' AS metric, load_kwh AS value FROM grid UNION ALL SELECT 'windows', 'medium', CAST(medium AS DOUBLE) FROM grid UNION ALL SELECT 'calls', 'prompt_tokens', prompt_tokens FROM agent_calls UNION ALL SELECT 'calls', 'completion_tokens', completion_tokens FROM agent_calls) GROUP BY ALL""", f"{X.ROUNDS}, {_GRID}, {X.CALLS}", "mean std sem min max")
+def decision_quality(spark, d):
+    windows = rounds(spark, d).select(F.lit("windows").alias("source"), "load_kwh", _C("medium").cast("int").cast("double").alias("medium"))
+    calls = X.agent_calls(spark, d).select(F.lit("calls").alias("source"), _C("prompt_tokens").cast("double").alias("prompt_tokens"), _C("completion_tokens").cast("double").alias("completion_tokens"))
+    return summary(windows, ["source"], ["load_kwh", "medium"]).unionByName(summary(calls, ["source"], ["prompt_tokens", "completion_tokens"]))
+
+
+@query("agg_price_comparison", "SELECT l_returnflag AS category, l_suppkey AS zone_id, count(*) AS windows, count(*) FILTER (abs((l_discount - l_tax) / l_tax * 100) <= 8) AS within_8_pct, count(*) FILTER (abs((l_discount - l_tax) / l_tax * 100) <= 8) * 100e0 / count(*) AS accuracy_pct, avg(l_discount) AS mean_predicted, avg(l_tax) AS mean_baseline FROM lineitem WHERE l_tax > 0 GROUP BY ALL", "", "accuracy_pct mean_predicted mean_baseline")
+def price_comparison(spark, d):
+    rows = X.table(spark, d, "lineitem").where("l_tax > 0")
+    near = F.abs((_C("l_discount") - _C("l_tax")) / _C("l_tax") * 100) <= 8
+    return rows.groupBy(_C("l_returnflag").alias("category"), _C("l_suppkey").alias("zone_id")).agg(F.count("*").alias("windows"), F.count_if(near).alias("within_8_pct"), (F.count_if(near) * 100.0 / F.count("*")).alias("accuracy_pct"), F.avg("l_discount").alias("mean_predicted"), F.avg("l_tax").alias("mean_baseline"))
+
+
+@query("job_window_evaluation", """SELECT run, count(*) AS windows, count(*) FILTER (round = 3 AND medium) AS final_medium, count(*) FILTER (round = 3 AND NOT baseline_medium AND medium) AS newly_medium, count(*) FILTER (round = 3 AND known AND first_entry_round IS NOT NULL) AS entered FROM entries GROUP BY run""", f"{X.ROUNDS}, {_GRID}")
+def window_evaluation(spark, d):
+    """Nested results per run, read back flat, to outcomes."""
+    rows = X.window_rounds(spark, d)
+    nested = rows.groupBy("run", "zone").agg(F.collect_list(F.struct("window", "round", "load_kwh", "stress")).alias("windows")).groupBy("run").agg(F.collect_list(F.struct("zone", "windows")).alias("zones"))
+    flat = nested.select("run", F.explode_outer("zones").alias("z")).select("run", "z.zone", F.explode_outer("z.windows").alias("w")).select("run", "zone", "w.*")
+    from pyspark.sql import Window
+
+    known = E.history_fields(E.round_grid(flat, _WK, 3), _WK).withColumn("baseline_medium", F.first("medium").over(Window.partitionBy(*_WK).orderBy("round")))
+    last = _C("round") == 3
+    return known.groupBy("run").agg(F.count("*").alias("windows"), F.count_if(last & _C("medium")).alias("final_medium"), F.count_if(last & ~_C("baseline_medium") & _C("medium")).alias("newly_medium"), F.count_if(last & _C("first_entry_known") & _C("first_entry_round").isNotNull()).alias("entered"))
+
+
+@query("fn_content_fingerprint")
+def content_fingerprint(spark, d):
+    """A hash of a zone's rows and the parameters: equal content, equal hash, in any order."""
+    return E.signatures(X.zone_series(spark, d).withColumn("history_days", F.lit(14)), ["zone_id"], ["timestamp", "load_kwh", "energy_price", "history_days"])
+
+
+@query("fn_decision_signature")
+def decision_signature(spark, d):
+    """A round's decisions without explanations, numbers to six places; equal to the previous round's: converged."""
+    from pyspark.sql import Window
+
+    rows = rounds(spark, d).groupBy("run", "zone", "round").agg(F.to_json(F.sort_array(F.collect_list(F.struct("window", F.round("load_kwh", 6).alias("load"), "stress")))).alias("decisions"))
+    before = F.lag("decisions").over(Window.partitionBy("run", "zone").orderBy("round"))
+    return rows.select("run", "zone", "round", F.sha2("decisions", 256).alias("signature"), F.coalesce(_C("decisions") == before, F.lit(False)).alias("converged"))
+
+
+@query("udf_run_analyzer")
+def run_analyzer(spark, d):
+    """A user's function over run records."""
+    from ..functions.text import analyzed
+
+    records = X.runs(spark, d).select("batch", "mode", "identity", "tokens")
+    return analyzed(records, lambda r: {"key": f"{r['batch']}-{r['identity']}", "cheap": (r["tokens"] or 0) < 2000})
