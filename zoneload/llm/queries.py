@@ -78,6 +78,34 @@ _TEMPLATES = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for
 _PAIRS = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
 
 ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        chunks AS (SELECT doc_id, c, substr(h, 2 * c + 1, 698) AS h, least(n - c, 349) AS n FROM (SELECT *, unnest(range(0, n, 300)) AS c FROM d)),
+        windows AS (SELECT doc_id, c + i AS i, substr(h, 2 * i + 1, 100) AS w FROM (SELECT doc_id, c, h, unnest(range(0, n - 49)) AS i FROM chunks WHERE n >= 50)),
+        earliest AS (SELECT w, min(doc_id) AS first FROM windows GROUP BY w),
+        hit AS (SELECT doc_id, i FROM windows JOIN earliest USING (w) WHERE first < doc_id),
+        spans AS (
+            SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (
+                SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (
+                    SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM hit))
+            GROUP BY doc_id, g),
+        ends AS (
+            SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p
+            FROM (SELECT * FROM spans UNION ALL SELECT doc_id, n, n + 1 FROM d)),
+        kept AS (SELECT doc_id, string_agg(substr(h, CAST(2 * p + 1 AS BIGINT), CAST(2 * (a - p) AS BIGINT)), '' ORDER BY a) AS body FROM ends JOIN d USING (doc_id) GROUP BY doc_id),
+        removed AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+        SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+            sha256(unhex(body)) AS kept_sha256
+        FROM d JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)""",
+    "op5_near_duplicates": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_words("text", _SPACED)} AS w FROM documents),
+        sets AS (SELECT doc_id, CASE WHEN len(w) > 1 THEN {_PAIRS} ELSE w END AS s FROM d),
+        items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+        common AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM items a JOIN items b USING (x) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+        links AS (SELECT x, y FROM common WHERE 100 * c >= 80 * (na + nb - c)),
+        reach(doc_id, r) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.doc_id, y FROM reach JOIN links ON x = r)
+        SELECT doc_id, len(s) AS n_shingles, component_id, component_id = doc_id AS kept
+        FROM sets JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)""",
     "op6_licenses": f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
         lines AS (SELECT r, unnest(string_split(text, chr(10))) AS unit FROM d),
