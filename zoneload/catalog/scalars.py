@@ -132,7 +132,7 @@ def elasticity(spark, d):
 
 _SMALL = "least(3, greatest(-3, round(discount * 100 - 5, 2)))"
 _EXPECTED = f"greatest(0, load * (1 - elasticity * {_SMALL} / 100))"
-_SHIFT = f"""greatest(-100, CASE WHEN load <= 0 OR high <= low OR elasticity <= 0 THEN round(discount * 100 - 5, 2) WHEN {_BAND.format("(" + _POSITION + ")")} = 'Medium' THEN
+_SHIFT = f"""greatest(-100, CASE WHEN load <= 1e-9 OR high <= low OR elasticity <= 0 THEN round(discount * 100 - 5, 2) WHEN {_BAND.format("(" + _POSITION + ")")} = 'Medium' THEN
     CASE WHEN {_EXPECTED} >= {_AT.format(35)} AND {_EXPECTED} < {_AT.format(80)} THEN {_SMALL} ELSE 0 END ELSE (1 - {_TARGET} / load) / elasticity * 100 END)"""
 
 

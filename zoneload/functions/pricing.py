@@ -30,7 +30,8 @@ def elasticity(category: Column, occupancy: Column, rain: Column) -> Column:
 def shift_to_medium(load: Column, low: Column, high: Column, sensitivity: Column, suggested: Column) -> Column:
     """The price shift in percent that moves the expected load into Medium, -100 at least.
 
-    Inside Medium a small suggested shift stays unless it would leave the band.
+    Inside Medium a small suggested shift stays unless it would leave the band. Loads of 1e-9 and less, which may be
+    traces of rounding, count as none.
     """
     wanted = F.round(F.coalesce(suggested, F.lit(0.0)), 2)
     small = F.least(F.lit(3.0), F.greatest(F.lit(-3.0), wanted))
@@ -39,7 +40,7 @@ def shift_to_medium(load: Column, low: Column, high: Column, sensitivity: Column
     medium = bands.classify(bands.range_position(load, low, high)) == bands.MEDIUM
     outside = (1 - F.try_divide(bands.target(load, low, high), load)) / sensitivity * 100
     moved = F.when(medium, F.when(stays, small).otherwise(0.0)).otherwise(outside)
-    unusable = (load <= 0) | (high <= low) | (sensitivity <= 0)
+    unusable = (load <= 1e-9) | (high <= low) | (sensitivity <= 0)
     return F.greatest(F.lit(-100.0), F.when(unusable, wanted).otherwise(moved))
 
 

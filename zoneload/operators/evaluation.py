@@ -87,13 +87,17 @@ def window_summary(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 def window_tables(rows: DataFrame, sets: Sequence[Sequence[str]]) -> DataFrame:
     """The summary over several sets of dimensions in one pass; ``level`` names the set."""
     names = sorted({k for s in sets for k in s})
-    listed = ", ".join(f"({', '.join(s)})" for s in sets)
-    rows.createOrReplaceTempView("zoneload_window_rows")
-    flags = "CASE " + " ".join(f"WHEN {' AND '.join(f'grouping({k}) = {0 if k in s else 1}' for k in names)} THEN '{'+'.join(s) or 'all'}'" for s in sets) + " END"
-    return rows.sparkSession.sql(f"""
-        SELECT {flags} AS level, {', '.join(names)}, count(*) AS windows, count_if(medium) AS medium_count, count(medium) AS known_count,
-            try_divide(count_if(medium) * 100.0D, count(medium)) AS medium_rate_pct
-        FROM zoneload_window_rows GROUP BY GROUPING SETS ({listed})""")
+    level = F.lit(None)
+    for s in sets:
+        there = F.lit(True)
+        for k in names:
+            there = there & (F.grouping(k) == (0 if k in s else 1))
+        level = F.when(there, "+".join(s) or "all").otherwise(level)
+    medium = F.count_if("medium")
+    return rows.groupingSets([[F.col(k) for k in s] for s in sets], *names).agg(
+        level.alias("level"), F.count("*").alias("windows"), medium.alias("medium_count"), F.count("medium").alias("known_count"),
+        F.try_divide(medium * 100.0, F.count("medium")).alias("medium_rate_pct"),
+    )
 
 
 def transitions(rows: DataFrame, keys: Sequence[str], first: str, final: str) -> DataFrame:

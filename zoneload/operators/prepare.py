@@ -143,17 +143,18 @@ def _nearest_in_blocks(points: DataFrame, centroids: DataFrame, shrink: Column,
     left = points.select("point_id", x, F.col("latitude").alias("y")).withColumn("part", F.pmod(F.xxhash64("point_id"), F.lit(256)))
     left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = centroids.select("zone_id", "ordinal", x, F.col("latitude").alias("y"), F.pmod(F.xxhash64("zone_id"), F.lit(blocks)).cast("int").alias("block"))
-    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(255))).cast("long"))
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(255).cast("long"))))
 
     def best(p: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         c = c.sort_values("ordinal").reset_index(drop=True)
-        found = []
-        for i in range(0, len(p) if len(c) else 0, 512):
-            q = p.iloc[i : i + 512]
-            d = (q["x"].to_numpy()[:, None] - c["x"].to_numpy()) ** 2 + (q["y"].to_numpy()[:, None] - c["y"].to_numpy()) ** 2
-            at = d.argmin(1)
-            found.append(pd.DataFrame({"point_id": q["point_id"], "zone_id": c["zone_id"].to_numpy()[at], "ordinal": c["ordinal"].to_numpy()[at], "distance2": d[np.arange(len(q)), at]}))
-        return pd.concat(found) if found else pd.DataFrame({"point_id": [], "zone_id": [], "ordinal": [], "distance2": []})
+        x, y, cx, cy = (t[n].to_numpy() for t, n in ((p, "x"), (p, "y"), (c, "x"), (c, "y")))
+        at, least = np.zeros(len(p) if len(c) else 0, np.int64), np.zeros(len(p) if len(c) else 0)
+        for i in range(0, len(at), 512):
+            d = (x[i : i + 512, None] - cx) ** 2 + (y[i : i + 512, None] - cy) ** 2
+            at[i : i + 512] = d.argmin(1)
+            least[i : i + 512] = d.min(1)
+        ids = c["zone_id"].tolist()
+        return pd.DataFrame({"point_id": p["point_id"].to_numpy()[: len(at)], "zone_id": pd.Series([ids[k] for k in at], dtype=object), "ordinal": c["ordinal"].to_numpy()[at], "distance2": least})
 
     kind = dict(centroids.dtypes)["zone_id"]
     each = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(best, f"point_id long, zone_id {kind}, ordinal long, distance2 double")

@@ -215,7 +215,7 @@ def custom_predictor(history: DataFrame, future: DataFrame, predict: Callable[[p
     def run(context: pd.DataFrame, ahead: pd.DataFrame) -> pd.DataFrame:
         ahead = ahead.sort_values("timestamp").reset_index(drop=True)
         if not len(ahead):
-            return pd.DataFrame({"zone_id": [], "origin": [], "timestamp": [], "predicted_kwh": []})
+            return ahead[["zone_id", "origin", "timestamp"]].assign(predicted_kwh=pd.Series(dtype=float))
         got = predict(context.sort_values("timestamp").reset_index(drop=True), ahead)
         if list(got["timestamp"]) != list(ahead["timestamp"]) or not np.isfinite(got["predicted_kwh"].to_numpy(float)).all():
             raise ValueError("a predictor must return a finite value for every hour asked")
