@@ -35,6 +35,7 @@ from ._util import groups_for, text_bytes
 WINDOW, GRAM = 50, 20
 GROUP_BYTES = 8 << 20
 _DEPTH = 56
+_UPPER = ~U(0xFFFF)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -89,6 +90,26 @@ def _split(sorted_keys: np.ndarray, n: int) -> list[tuple[int, int, int]]:
     return list(zip(bucket[first].tolist(), first.tolist(), np.append(first[1:], len(bucket)).tolist(), strict=True))
 
 
+def _packed(keys: np.ndarray) -> bytes:
+    """The upper six bytes of each key. Keys that differ below them meet, which costs some work and changes nothing."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+
+
+def _unpacked(value: pa.Scalar) -> np.ndarray:
+    six = np.frombuffer(value.as_buffer(), np.uint8).reshape(-1, 6)
+    eight = np.zeros((len(six), 8), np.uint8)
+    eight[:, 2:] = six
+    return eight.view("<u8").ravel().astype(U)
+
+
+def _compressed(text: bytes) -> bytes:
+    return pa.Codec("zstd", compression_level=1).compress(text, asbytes=True)
+
+
+def _decompressed(value: pa.Scalar, size: int) -> np.ndarray:
+    return np.frombuffer(pa.Codec("zstd").decompress(value.as_buffer(), size), np.uint8)
+
+
 def _rows_with_id(block: Block) -> np.ndarray:
     return np.asarray(column(block.batch, "doc_id").is_valid())
 
@@ -188,7 +209,7 @@ def _keys(n_buckets: int):
             first, _, key = runs(block)
             row = block.row_of(first)
             fine = _rows_with_id(block)[row]
-            key, row = key[fine], row[fine]
+            key, row = key[fine] & _UPPER, row[fine]
             order = np.lexsort((row, key))
             key, row = key[order], row[order]
             new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
@@ -203,7 +224,7 @@ def _keys(n_buckets: int):
         many = (np.diff(np.append(new, len(key))) > 1) | (np.add.reduceat(flag.astype(np.int64), new) > 0) if len(new) else np.zeros(0, bool)
         key = key[new]
         pid = column(group, "pid")[0].as_py()
-        rows = [(b, pid, key[i:j].tobytes(), many[i:j].tobytes()) for b, i, j in _split(key, n_buckets)]
+        rows = [(b, pid, _packed(key[i:j]), np.packbits(many[i:j]).tobytes()) for b, i, j in _split(key, n_buckets)]
         return pa.table([list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 4, schema=schema)
 
     return run
@@ -215,14 +236,14 @@ _SHARED = pa.schema([("pid", pa.int64()), ("keys", pa.binary())])
 def _shared(group: pa.Table) -> pa.Table:
     """A bucket's keys of several documents, by group."""
     pids = column(group, "pid").to_pylist()
-    keys = [np.frombuffer(k.as_buffer(), U) for k in column(group, "keys")]
-    many = np.concatenate([np.frombuffer(s.as_buffer(), bool) for s in column(group, "several")])
+    keys = [_unpacked(k) for k in column(group, "keys")]
+    many = np.concatenate([np.unpackbits(np.frombuffer(s.as_buffer(), np.uint8), count=len(k)) for s, k in zip(column(group, "several"), keys, strict=True)]) > 0
     _, code, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
     often = counts > 1
     often[code[many]] = True
     ends = np.cumsum([len(k) for k in keys])
     flags = np.split(often[code], ends[:-1])
-    rows = [(pid, k[f].tobytes()) for pid, k, f in zip(pids, keys, flags, strict=True) if f.any()]
+    rows = [(pid, _packed(k[f])) for pid, k, f in zip(pids, keys, flags, strict=True) if f.any()]
     return pa.table([list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 2, schema=_SHARED)
 
 
@@ -242,11 +263,11 @@ def _passages(n_buckets: int):
     schema = pa.schema([(n, pa.int64()) for n in ("bucket", "pid")] + [(n, pa.binary()) for n in ("passages", "sizes", "uids", "ids", "several")])
 
     def run(group: pa.Table, listed: pa.Table) -> pa.Table:
-        known = np.sort(np.concatenate([np.zeros(0, U), *[np.frombuffer(k.as_buffer(), U) for k in column(listed, "keys")]]))
+        known = np.sort(np.concatenate([np.zeros(0, U), *[_unpacked(k) for k in column(listed, "keys")]]))
         parts: list[tuple] = []
         for block in blocks(group):
             first, count, key = runs(block)
-            at = np.flatnonzero(_among(key, known))
+            at = np.flatnonzero(_among(key & _UPPER, known))
             row = block.row_of(first[at])
             fine = _rows_with_id(block)[row]
             at, row = at[fine], row[fine]
@@ -275,7 +296,7 @@ def _passages(n_buckets: int):
         for b, i, j in _split(key, n_buckets):
             some = lead[i:j]
             text = b"".join(body[s : s + n].tobytes() for s, n in zip(begin[some].tolist(), size[some].tolist(), strict=True))
-            rows.append((b, pid, text, size[some].astype("<u4").tobytes(), uid[some].tobytes(), ids[some].tobytes(), any_several[i:j].tobytes()))
+            rows.append((b, pid, _compressed(text), size[some].astype("<u4").tobytes(), uid[some].tobytes(), ids[some].tobytes(), any_several[i:j].tobytes()))
         return pa.table([list(c) for c in zip(*rows, strict=True)], schema=schema)
 
     return run
@@ -290,7 +311,8 @@ def _least(group: pa.Table) -> pa.Table:
     read = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in column(group, name)]
     uids, ids, sizes, several = read("uids", U), read("ids", np.int64), read("sizes", "<u4"), read("several", bool)
     numbers = [len(u) for u in uids]
-    body = np.concatenate(read("passages", np.uint8))
+    lengths = [int(n.sum(dtype=np.int64)) for n in sizes]
+    body = np.concatenate([_decompressed(x, n) for x, n in zip(column(group, "passages"), lengths, strict=True)])
     uid, own, size, many = np.concatenate(uids), np.concatenate(ids), np.concatenate(sizes).astype(np.int64), np.concatenate(several)
     begin = np.cumsum(size) - size
     order = np.lexsort((own, uid))
