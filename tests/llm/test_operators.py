@@ -83,8 +83,8 @@ def test_suffix_dedup(docs, texts, empty, monkeypatch):
 def test_suffix_trimmed_keeps_columns_and_rows_without_id(spark):
     text = "0123456789" * 6
     rows = [(None, text, "a"), (1, text, "b"), (2, "pre " + text, "c"), (2, text, "d")]
-    got = suffix.trimmed(spark.createDataFrame(rows, "doc_id long, text string, keys string"))
-    assert sorted((r.doc_id or 0, r.text, r["keys"]) for r in got.collect()) == [(0, text, "a"), (1, text, "b"), (2, "", "d"), (2, "pre ", "c")]
+    got = suffix.trimmed(spark.createDataFrame(rows, "doc_id long, text string, pid string"))
+    assert sorted((r.doc_id or 0, r.text, r["pid"]) for r in got.collect()) == [(0, text, "a"), (1, text, "b"), (2, "", "d"), (2, "pre ", "c")]
 
 
 def brute_components(texts, size):

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._text import ALNUM, Block, blocks, column, output, window_hashes, within, word_hashes, words
 
@@ -202,7 +203,4 @@ def decontaminate_rows(docs: DataFrame, benchmark: DataFrame, window: int = WIND
                 flags = pa.array(_verdicts(block, cache[0])["contaminated"])
                 yield pa.RecordBatch.from_arrays([*block.batch.columns, flags], [*block.batch.schema.names, "__contaminated"])
 
-    schema = docs.schema
-    from pyspark.sql import types as T
-
-    return docs.mapInArrow(run, T.StructType([*schema.fields, T.StructField("__contaminated", T.BooleanType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__contaminated", T.BooleanType())]))

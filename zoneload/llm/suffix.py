@@ -35,6 +35,8 @@ from ._util import groups_for, text_bytes
 WINDOW, GRAM = 50, 20
 GROUP_BYTES = 8 << 20
 _DEPTH = 56
+#: The documents' group, under a name that their own columns won't have.
+_GROUP = "__zoneload_group"
 _UPPER = ~U(0xFFFF)
 
 
@@ -223,7 +225,7 @@ def _keys(n_buckets: int):
         new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         many = (np.diff(np.append(new, len(key))) > 1) | (np.add.reduceat(flag.astype(np.int64), new) > 0) if len(new) else np.zeros(0, bool)
         key = key[new]
-        pid = column(group, "pid")[0].as_py()
+        pid = column(group, _GROUP)[0].as_py()
         rows = [(b, pid, _packed(key[i:j]), np.packbits(many[i:j]).tobytes()) for b, i, j in _split(key, n_buckets)]
         return pa.table([list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 4, schema=schema)
 
@@ -291,7 +293,7 @@ def _passages(n_buckets: int):
         at = np.flatnonzero(new)
         any_several = (np.add.reduceat(several[order].astype(np.int64), at) > 0) | (np.maximum.reduceat(ids[order], at) != ids[lead])
         key = key[lead]
-        pid = column(group, "pid")[0].as_py()
+        pid = column(group, _GROUP)[0].as_py()
         rows = []
         for b, i, j in _split(key, n_buckets):
             some = lead[i:j]
@@ -412,13 +414,12 @@ def _work(docs: DataFrame, fields: list[T.StructField], summary: bool) -> DataFr
     """``docs``: doc_id long, text string, maybe more."""
     n_groups = groups_for(text_bytes(docs), GROUP_BYTES)
     # All three passes over the texts read this one exchange.
-    dealt = docs.withColumn("pid", F.pmod(F.xxhash64("doc_id"), F.lit(n_groups)))
-    by_pid = lambda frame: frame.groupBy("pid")
-    keys = by_pid(dealt).applyInArrow(_keys(n_groups), "bucket long, pid long, keys binary, several binary")
+    dealt = docs.withColumn(_GROUP, F.pmod(F.xxhash64("doc_id"), F.lit(n_groups)))
+    keys = dealt.groupBy(_GROUP).applyInArrow(_keys(n_groups), "bucket long, pid long, keys binary, several binary")
     shared = keys.groupBy("bucket").applyInArrow(_shared, "pid long, keys binary")
-    passages = by_pid(dealt).cogroup(by_pid(shared)).applyInArrow(_passages(4 * n_groups), "bucket long, pid long, passages binary, sizes binary, uids binary, ids binary, several binary")
+    passages = dealt.groupBy(_GROUP).cogroup(shared.groupBy("pid")).applyInArrow(_passages(4 * n_groups), "bucket long, pid long, passages binary, sizes binary, uids binary, ids binary, several binary")
     least = passages.groupBy("bucket").applyInArrow(_least, "pid long, uids binary, parts binary, lengths binary, least binary")
-    return by_pid(dealt).cogroup(by_pid(least)).applyInArrow(_cut(fields, summary), T.StructType(fields))
+    return dealt.groupBy(_GROUP).cogroup(least.groupBy("pid")).applyInArrow(_cut(fields, summary), T.StructType(fields))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
