@@ -41,6 +41,8 @@ SKETCH, OVERLAP, FIRST, LONG, HOT_FIRST, HUBS = 64, 34, 16, 32, 8, 3
 #: Values of the sketch used for estimation, and how many of them a pair must share to be verified.
 ESTIMATE, ESTIMATE_SHARED = 32, 13
 BLOCK = 512
+#: Rows of a long list are spread over so many tasks where they meet something that the list has once.
+SALTS = 16
 #: Candidates' ids are broadcast up to this many, joined in a shuffle beyond.
 BROADCAST_IDS = 1 << 20
 
@@ -236,19 +238,26 @@ def _forest(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
+def _per_list(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """``rows`` (v, rep) with what ``lists`` has for their v: a join that spreads each list's rows over SALTS tasks."""
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
+    spread = lists.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(spread, ["v", "__salt"]).drop("__salt")
+
+
 def _outsiders(hot: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
     """Links across components within the long lists that verified hubs left apart."""
     lists = checkpoint(hot.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("v", "rep", F.coalesce("component", "rep").alias("component")))
     parts = lists.groupBy("v", "component").agg(F.count("*").alias("m"))
     most = parts.groupBy("v").agg(F.max(F.struct("m", "component"))["component"].alias("largest"), F.sum("m").alias("m"), F.count("*").alias("parts")).where("parts > 1")
-    marked = lists.join(most, "v").withColumn("outside", F.col("component") != F.col("largest"))
+    marked = _per_list(lists, most).withColumn("outside", F.col("component") != F.col("largest"))
     # Outsiders are dealt to blocks; everyone else in blocks of their own meets each of the outsiders' blocks.
     n = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), n).cast("int")
     meet = marked.withColumn("own", own).withColumn("n", n)
     outside = meet.where("outside").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("v", F.col("own").alias("i"), F.col("other").alias("j"), "rep", "component", F.lit(True).alias("outside"))
     needed = outside.select("v", "i").distinct()
-    others = meet.join(needed, "v").select("v", "i", F.col("own").alias("j"), "rep", "component", F.lit(False).alias("outside"))
+    others = _per_list(meet, needed).select("v", "i", F.col("own").alias("j"), "rep", "component", F.lit(False).alias("outside"))
     rows = outside.unionByName(others).groupBy("v", "i", "j", "rep", "component").agg(F.max("outside").alias("outside"))
     return rows.join(sets, "rep").groupBy("v", "i", "j").applyInPandas(_forest, "a long, b long")
 
@@ -266,7 +275,7 @@ def near_duplicates(docs: DataFrame, size: int = SIZE) -> DataFrame:
     pairs = ordered.mapInArrow(_overlaps, "a long, b long")
     hot = listed.where("hot").select("v", "rep")
     hubs = hot.groupBy("v").agg(*[F.min(F.struct(F.xxhash64("rep", F.lit(i)), "rep"))["rep"].alias(f"h{i}") for i in range(HUBS)], F.count("*").alias("m")).where("m > 1")
-    spokes = hot.join(hubs, "v").select("rep", F.explode(F.array(*[F.col(f"h{i}") for i in range(HUBS)])).alias("hub")).where("rep <> hub")
+    spokes = _per_list(hot, hubs).select("rep", F.explode(F.array(*[F.col(f"h{i}") for i in range(HUBS)])).alias("hub")).where("rep <> hub")
     candidates = checkpoint(pairs.unionByName(spokes.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))).distinct())
     ids = checkpoint(candidates.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(hot.select("rep")).distinct())
     sets = _sets(docs, ids, size)
