@@ -80,6 +80,30 @@ def test_suffix_dedup(docs, texts, empty, monkeypatch):
     assert suffix.repeats(empty).collect() == []
 
 
+def test_suffix_dedup_bounds_the_passages_of_a_hot_key(spark, monkeypatch):
+    """A short line among ever other words is the least gram of one passage per document; no bucket gets them all."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    line = "Please recycle this page after use, thanks"
+    hot = [f"{word()} {word()} {word()} {word()}\n{line}\n{word()} {word()} {word()} {word()}" for _ in range(600)]
+    texts = list(enumerate([*hot, *hot[:5], *[f"{word()}{h[30:-30]}{word()}" for h in hot[:20]]]))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    want = brute_repeats(texts)
+    assert sum(w[1] > 0 for w in want.values()) >= 25
+    for size in (8 << 20, 8000):
+        monkeypatch.setattr(suffix, "GROUP_BYTES", size)
+        monkeypatch.setattr(suffix, "KEY_BYTES", 5000)
+        got = {row.doc_id: (row.n_bytes, row.n_removed, row.n_spans, row.kept_sha256) for row in suffix.repeats(docs).collect()}
+        assert got == want
+    dealt = docs.withColumn(suffix._GROUP, docs.doc_id % 11)
+    passages, heavy = suffix._sent(dealt, 11)
+    assert heavy.select("pid").distinct().count() == 11
+    sent = sum(len(row.uids) // 8 for row in passages.collect())
+    assert 0 < sent < 0.3 * 600 * 31  # windows that one document alone has aren't sent
+    monkeypatch.setattr(suffix, "KEY_BYTES", 1 << 20)
+    assert suffix._sent(dealt, 11)[1].count() == 0
+
+
 def test_suffix_trimmed_keeps_columns_and_rows_without_id(spark):
     text = "0123456789" * 6
     rows = [(None, text, "a"), (1, text, "b"), (2, "pre " + text, "c"), (2, text, "d")]

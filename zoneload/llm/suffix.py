@@ -7,7 +7,11 @@ Every window has a key, the least hash of the ``GRAM``-byte grams in it, so equa
 neighbouring windows mostly share one: a maximal run of windows of one key is a passage of some 60 bytes.
  1. Documents are dealt to groups of bounded size; each sends its distinct keys to the keys' buckets.
  2. A bucket returns to each group those of its keys that more documents than one have.
- 3. Groups send the passages of such keys, each distinct one once, with the least id of a document that has it.
+    Keys whose distinct passages (summed over groups) exceed ``KEY_BYTES``, such as those of a short line among ever
+    other words, are returned as heavy: each window of theirs gets a key of its own, the hash of its bytes, and only
+    windows that more documents than one have are kept, by a second round of 1 and 2.
+ 3. Groups send the passages of such keys, each distinct one once, with the least id of a document that has it. A
+    window of a heavy key is a passage of its own.
  4. A bucket sorts the suffixes of its passages in two stages: suffixes smaller than their successors are sorted
     directly, the others are induced from them by a scan over the buckets of first bytes; adjacent suffixes with a
     common prefix of at least ``WINDOW`` bytes are equal windows, and the least id among them goes back to the groups.
@@ -34,6 +38,10 @@ from ._util import groups_for, text_bytes
 
 WINDOW, GRAM = 50, 20
 GROUP_BYTES = 8 << 20
+#: Distinct passages of a key, in bytes, beyond which its windows are told apart by their own hashes.
+KEY_BYTES = 1 << 20
+#: What a key without a weight of its own counts for in a group: a passage has mostly no more bytes.
+_PASSAGE_BYTES = 128
 _DEPTH = 56
 #: The documents' group, under a name that their own columns won't have.
 _GROUP = "__zoneload_group"
@@ -202,51 +210,109 @@ def least_ids(passages: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> np.nd
     return out
 
 
+def _split_windows(block: Block, heavy: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """First window, number of windows, key and row of the runs of rows with an id, and of each window of heavy keys."""
+    first, count, key = runs(block)
+    row = block.row_of(first)
+    fine = _rows_with_id(block)[row]
+    first, count, key, row = first[fine], count[fine], key[fine], row[fine]
+    split = _among(key & _UPPER, heavy)
+    n = count[split]
+    window = np.repeat(first[split] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    own = mix(block.span_hash(block.prefix(), window, window + WINDOW) + U(1)) if len(window) else np.zeros(0, U)
+    return (first[~split], count[~split], key[~split], row[~split]), (window, np.ones(len(window), np.int64), own, np.repeat(row[split], n))
+
+
+def pieces(block: Block, heavy: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs and windows of heavy keys together."""
+    return tuple(np.concatenate(p) for p in zip(*_split_windows(block, heavy), strict=True))
+
+
+def _weights(key: np.ndarray, uid: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """By ascending key: bytes of its distinct passages."""
+    order = np.lexsort((uid, key))
+    key, uid, size = key[order], uid[order], size[order]
+    first = np.concatenate([[True], key[1:] != key[:-1]])
+    new = first.copy()
+    new[1:] |= uid[1:] != uid[:-1]
+    return np.add.reduceat(np.where(new, size, 0), np.flatnonzero(first))
+
+
+_KEYS = pa.schema([("bucket", pa.int64()), ("pid", pa.int64()), ("keys", pa.binary()), ("several", pa.binary()), ("at", pa.binary()), ("weights", pa.binary())])
+
+
+def _key_rows(group: pa.Table, heavy: np.ndarray | None, n_buckets: int) -> pa.Table:
+    """A group's distinct keys by bucket, with the weights of those that aren't small; or those of its heavy windows."""
+    keys, several = [np.zeros(0, U)], [np.zeros(0, bool)]
+    passages: list[tuple] = []
+    for block in blocks(group):
+        first, count, key, row = _split_windows(block, np.zeros(0, U))[0] if heavy is None else _split_windows(block, heavy)[1]
+        if heavy is None:
+            passages.append((key & _UPPER, _passage_id(block, first, count, key), count + WINDOW - 1))
+        key = key & _UPPER
+        order = np.lexsort((row, key))
+        key, row = key[order], row[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+        other = np.concatenate([[False], (key[1:] == key[:-1]) & (row[1:] != row[:-1])]) if len(key) else new
+        at = np.flatnonzero(new)
+        keys.append(key[at])
+        several.append(np.add.reduceat(other, at) > 0 if len(at) else other)
+    key, flag = np.concatenate(keys), np.concatenate(several)
+    if not len(key):
+        return _KEYS.empty_table()
+    order = np.argsort(key, kind="stable")
+    key, flag = key[order], flag[order]
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    many = (np.diff(np.append(new, len(key))) > 1) | (np.add.reduceat(flag.astype(np.int64), new) > 0)
+    key = key[new]
+    weight = _weights(*(np.concatenate(p) for p in zip(*passages, strict=True))) if heavy is None else np.zeros(len(key), np.int64)
+    pid = column(group, _GROUP)[0].as_py()
+    rows = []
+    for b, i, j in _split(key, n_buckets):
+        at = np.flatnonzero(weight[i:j] > _PASSAGE_BYTES)
+        rows.append((b, pid, _packed(key[i:j]), np.packbits(many[i:j]).tobytes(), at.astype("<u4").tobytes(), weight[i:j][at].astype("<i8").tobytes()))
+    return pa.table([list(c) for c in zip(*rows, strict=True)], schema=_KEYS)
+
+
 def _keys(n_buckets: int):
-    schema = pa.schema([("bucket", pa.int64()), ("pid", pa.int64()), ("keys", pa.binary()), ("several", pa.binary())])
+    return lambda group: _key_rows(group, None, n_buckets)
 
-    def run(group: pa.Table) -> pa.Table:
-        keys, several = [np.zeros(0, U)], [np.zeros(0, bool)]
-        for block in blocks(group):
-            first, _, key = runs(block)
-            row = block.row_of(first)
-            fine = _rows_with_id(block)[row]
-            key, row = key[fine] & _UPPER, row[fine]
-            order = np.lexsort((row, key))
-            key, row = key[order], row[order]
-            new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-            other = np.concatenate([[False], (key[1:] == key[:-1]) & (row[1:] != row[:-1])]) if len(key) else new
-            at = np.flatnonzero(new)
-            keys.append(key[at])
-            several.append(np.add.reduceat(other, at) > 0 if len(at) else other)
-        key, flag = np.concatenate(keys), np.concatenate(several)
-        order = np.argsort(key, kind="stable")
-        key, flag = key[order], flag[order]
-        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        many = (np.diff(np.append(new, len(key))) > 1) | (np.add.reduceat(flag.astype(np.int64), new) > 0) if len(new) else np.zeros(0, bool)
-        key = key[new]
-        pid = column(group, _GROUP)[0].as_py()
-        rows = [(b, pid, _packed(key[i:j]), np.packbits(many[i:j]).tobytes()) for b, i, j in _split(key, n_buckets)]
-        return pa.table([list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 4, schema=schema)
+
+def _listed(table: pa.Table, name: str) -> np.ndarray:
+    """Ascending keys of a column of packed ones."""
+    return np.sort(np.concatenate([np.zeros(0, U), *[_unpacked(k) for k in column(table, name)]]))
+
+
+def _window_keys(n_buckets: int):
+    def run(group: pa.Table, listed: pa.Table) -> pa.Table:
+        heavy = _listed(listed, "heavy")
+        return _key_rows(group, heavy, n_buckets) if len(heavy) else _KEYS.empty_table()
 
     return run
 
 
-_SHARED = pa.schema([("pid", pa.int64()), ("keys", pa.binary())])
+_SHARED = pa.schema([("pid", pa.int64()), ("keys", pa.binary()), ("heavy", pa.binary())])
 
 
-def _shared(group: pa.Table) -> pa.Table:
-    """A bucket's keys of several documents, by group."""
-    pids = column(group, "pid").to_pylist()
-    keys = [_unpacked(k) for k in column(group, "keys")]
-    many = np.concatenate([np.unpackbits(np.frombuffer(s.as_buffer(), np.uint8), count=len(k)) for s, k in zip(column(group, "several"), keys, strict=True)]) > 0
-    _, code, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-    often = counts > 1
-    often[code[many]] = True
-    ends = np.cumsum([len(k) for k in keys])
-    flags = np.split(often[code], ends[:-1])
-    rows = [(pid, _packed(k[f])) for pid, k, f in zip(pids, keys, flags, strict=True) if f.any()]
-    return pa.table([list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 2, schema=_SHARED)
+def _shared(limit: float):
+    def run(group: pa.Table) -> pa.Table:
+        """A bucket's keys of several documents, by group; those beyond the limit apart."""
+        pids = column(group, "pid").to_pylist()
+        keys = [_unpacked(k) for k in column(group, "keys")]
+        many = np.concatenate([np.unpackbits(np.frombuffer(s.as_buffer(), np.uint8), count=len(k)) for s, k in zip(column(group, "several"), keys, strict=True)]) > 0
+        _, code, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        often = counts > 1
+        often[code[many]] = True
+        ends = np.cumsum([len(k) for k in keys])
+        weight = counts * _PASSAGE_BYTES
+        for begin, at, w in zip([0, *ends[:-1].tolist()], column(group, "at"), column(group, "weights"), strict=True):
+            np.add.at(weight, code[begin + np.frombuffer(at.as_buffer(), "<u4").astype(np.int64)], np.frombuffer(w.as_buffer(), "<i8") - _PASSAGE_BYTES)
+        beyond = often & (weight > limit)
+        light, heavy = (np.split(f[code], ends[:-1]) for f in (often & ~beyond, beyond))
+        rows = [(pid, _packed(k[f]), _packed(k[h])) for pid, k, f, h in zip(pids, keys, light, heavy, strict=True) if f.any() or h.any()]
+        return pa.table([list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 3, schema=_SHARED)
+
+    return run
 
 
 def _among(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
@@ -265,15 +331,12 @@ def _passages(n_buckets: int):
     schema = pa.schema([(n, pa.int64()) for n in ("bucket", "pid")] + [(n, pa.binary()) for n in ("passages", "sizes", "uids", "ids", "several")])
 
     def run(group: pa.Table, listed: pa.Table) -> pa.Table:
-        known = np.sort(np.concatenate([np.zeros(0, U), *[_unpacked(k) for k in column(listed, "keys")]]))
+        known, heavy = _listed(listed, "keys"), _listed(listed, "heavy")
         parts: list[tuple] = []
         for block in blocks(group):
-            first, count, key = runs(block)
+            first, count, key, row = pieces(block, heavy)
             at = np.flatnonzero(_among(key & _UPPER, known))
-            row = block.row_of(first[at])
-            fine = _rows_with_id(block)[row]
-            at, row = at[fine], row[fine]
-            first, count, key = first[at], count[at], key[at]
+            first, count, key, row = first[at], count[at], key[at], row[at]
             ids = column(block.batch, "doc_id").fill_null(0).to_numpy(zero_copy_only=False)[row]
             uid = _passage_id(block, first, count, key)
             order = np.lexsort((ids, uid))
@@ -348,14 +411,11 @@ def _least(group: pa.Table) -> pa.Table:
     return pa.table([list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 5, schema=_LEAST)
 
 
-def removed(block: Block, uids: np.ndarray, parts: np.ndarray, lengths: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """Marks of the block's bytes that go. uids ascend; the stretches of the i-th are parts[i], one after the other."""
+def removed(block: Block, uids: np.ndarray, parts: np.ndarray, lengths: np.ndarray, least: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    """Marks of the block's bytes that go. uids and heavy keys ascend; the stretches of the i-th uid are parts[i], one after the other."""
     gone = np.zeros(len(block.data) + 1, np.int64)
     if len(uids):
-        first, count, key = runs(block)
-        row = block.row_of(first)
-        fine = np.flatnonzero(_rows_with_id(block)[row])
-        first, count, key, row = first[fine], count[fine], key[fine], row[fine]
+        first, count, key, row = pieces(block, heavy)
         uid = _passage_id(block, first, count, key)
         hit = np.flatnonzero(_among(uid, uids))
         at = np.searchsorted(uids, uid[hit])
@@ -381,7 +441,7 @@ def _results(found: pa.Table) -> tuple[np.ndarray, ...]:
     begin = (np.cumsum(parts) - parts)[order]
     p = parts[order]
     pick = np.repeat(begin - (np.cumsum(p) - p), p) + np.arange(p.sum())
-    return uids[order], p, lengths[pick], least[pick]
+    return uids[order], p, lengths[pick], least[pick], _listed(found, "heavy")
 
 
 def _cut(fields: list[T.StructField], summary: bool):
@@ -410,16 +470,29 @@ def _cut(fields: list[T.StructField], summary: bool):
     return run
 
 
+_KEYS_DDL, _SHARED_DDL = "bucket long, pid long, keys binary, several binary, at binary, weights binary", "pid long, keys binary, heavy binary"
+
+
+def _sent(dealt: DataFrame, n_groups: int) -> tuple[DataFrame, DataFrame]:
+    """The passages that groups send to buckets, and the heavy keys by group."""
+    keys = dealt.groupBy(_GROUP).applyInArrow(_keys(n_groups), _KEYS_DDL)
+    shared = keys.groupBy("bucket").applyInArrow(_shared(KEY_BYTES), _SHARED_DDL)
+    heavy = shared.where(F.octet_length("heavy") > 0)
+    windows = dealt.groupBy(_GROUP).cogroup(heavy.groupBy("pid")).applyInArrow(_window_keys(n_groups), _KEYS_DDL)
+    both = shared.unionByName(windows.groupBy("bucket").applyInArrow(_shared(float("inf")), _SHARED_DDL))
+    passages = dealt.groupBy(_GROUP).cogroup(both.groupBy("pid")).applyInArrow(_passages(4 * n_groups), "bucket long, pid long, passages binary, sizes binary, uids binary, ids binary, several binary")
+    return passages, heavy
+
+
 def _work(docs: DataFrame, fields: list[T.StructField], summary: bool) -> DataFrame:
     """``docs``: doc_id long, text string, maybe more."""
     n_groups = groups_for(text_bytes(docs), GROUP_BYTES)
-    # All three passes over the texts read this one exchange.
+    # All passes over the texts read this one exchange.
     dealt = docs.withColumn(_GROUP, F.pmod(F.xxhash64("doc_id"), F.lit(n_groups)))
-    keys = dealt.groupBy(_GROUP).applyInArrow(_keys(n_groups), "bucket long, pid long, keys binary, several binary")
-    shared = keys.groupBy("bucket").applyInArrow(_shared, "pid long, keys binary")
-    passages = dealt.groupBy(_GROUP).cogroup(shared.groupBy("pid")).applyInArrow(_passages(4 * n_groups), "bucket long, pid long, passages binary, sizes binary, uids binary, ids binary, several binary")
+    passages, heavy = _sent(dealt, n_groups)
     least = passages.groupBy("bucket").applyInArrow(_least, "pid long, uids binary, parts binary, lengths binary, least binary")
-    return dealt.groupBy(_GROUP).cogroup(least.groupBy("pid")).applyInArrow(_cut(fields, summary), T.StructType(fields))
+    found = least.withColumn("heavy", F.lit(b"")).unionByName(heavy.select("pid", *[F.lit(b"").alias(n) for n in ("uids", "parts", "lengths", "least")], "heavy"))
+    return dealt.groupBy(_GROUP).cogroup(found.groupBy("pid")).applyInArrow(_cut(fields, summary), T.StructType(fields))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
