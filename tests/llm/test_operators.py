@@ -200,6 +200,24 @@ def test_licences(spark, empty):
     assert licenses.scan(empty).collect() == []
 
 
+def test_licences_across_lines_and_within_prose(spark):
+    full = {n.split("/")[0]: t for n, t in licenses.full_texts().items()}
+    one = " ".join(full["MIT"].split())
+    spread = full["BSD-2-Clause"]
+    rows = [
+        (1, "Copyright (c) 2020 Someone\n\n" + one),
+        (2, " ".join(full["ISC"].split())),
+        (3, "Some words before.\n\n" + spread.replace(". ", ".\n\n") + "\n\nand after it"),
+        (4, "The parts of this collection are all Released under the MIT License. They were gathered by hand over many long years."),
+        (5, full["BSD-3-Clause"]),
+        *[(10 + i, f"intro of a few words\n{full[n]}\noutro") for i, n in enumerate(("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "Unlicense"))],
+        (20, "a license of the software is granted to the public under terms that no one has read"),
+    ]
+    got = {r.doc_id: r.license_id for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {1: "MIT", 2: "ISC", 3: "BSD-2-Clause", 4: "MIT", 5: "BSD-3-Clause", 10: "Apache-2.0", 11: "GPL-2.0", 12: "GPL-3.0", 13: "LGPL-3.0", 14: "MPL-2.0", 15: "Unlicense", 20: None}
+    assert got == want
+
+
 def test_neighbours_recall_and_cases(spark):
     r = np.random.default_rng(2)
     x = r.normal(size=(1500, 16)).astype(np.float32)

@@ -5,6 +5,11 @@ each paragraph between blank lines) and a template are compared by the Dice coef
 bigrams, 2 * common / (own + the template's). Only templates whose set size lets the threshold be reached are
 compared; a unit without any bigram of a template of admissible size has no match. A unit of one word has none.
 
+Besides, windows of words across lines and blank lines are compared with the templates and with whole licence texts
+(``licence_texts``). The best window from each place of a template's bigrams on counts, up to the admissible size.
+Of windows that overlap the one of the greater Dice counts; one that overlaps a matching unit doesn't, unless its
+template is beyond the admissible sizes of the other's: then it replaces units and windows that it overlaps.
+
 Cases: a null or empty text has no unit; of equally good templates the first by name counts; repeated rows are
 scanned each by itself; an empty table gives no row; other columns are left out.
 """
@@ -12,6 +17,7 @@ scanned each by itself; an empty table gives no row; other columns are left out.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +49,12 @@ TEMPLATES: dict[str, str] = {
     "Unlicense/1": "This is free and unencumbered software released into the public domain.",
 }
 
+
+def full_texts() -> dict[str, str]:
+    """Whole licence texts, by identifier; compared with windows only."""
+    return {f"{f.stem}/full": f.read_text() for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
+
+
 SCHEMA = "doc_id long, n_units long, n_matches long, license_id string, dice double, licenses string"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_units", pa.int64()), ("n_matches", pa.int64()), ("license_id", pa.string()), ("dice", pa.float64()), ("licenses", pa.string())])
 
@@ -70,6 +82,66 @@ class Templates:
         return best
 
 
+def _distinct(previous: np.ndarray, marks: np.ndarray, start: int) -> np.ndarray:
+    """For windows from ``start`` on that grow one by one: how many distinct marked bigrams they hold."""
+    return np.cumsum(marks & (previous < start))
+
+
+def windows(bigrams: np.ndarray, valid: np.ndarray, known: Templates, threshold: float) -> list[tuple[str, float, int, int, int]]:
+    """Template, Dice, first and end bigram and template size of the matching windows of one text."""
+    out = []
+    familiar = np.flatnonzero(valid & np.isin(bigrams, known.vocabulary))
+    if not len(familiar):
+        return out
+    own = np.unique(bigrams[familiar])
+    order = np.argsort(bigrams, kind="stable")
+    previous = np.full(len(bigrams), -1)
+    same = bigrams[order][1:] == bigrams[order][:-1]
+    previous[order[1:][same]] = order[:-1][same]
+    for name, template in zip(known.names, known.sets, strict=True):
+        size = len(template)
+        need = threshold * size / (2 - threshold)
+        if not size or len(np.intersect1d(own, template, assume_unique=True)) < need - 1e-9:
+            continue
+        longest = int((2 - threshold) * size / threshold + 1e-9)
+        hit = np.zeros(len(bigrams), bool)
+        hit[familiar] = np.isin(bigrams[familiar], template, assume_unique=False)
+        at = np.flatnonzero(hit)
+        near = np.searchsorted(at, at + longest) - np.arange(len(at))
+        for start in at[near >= need - 1e-9].tolist():
+            end = min(start + longest, len(bigrams))
+            p = previous[start:end]
+            common = _distinct(p, hit[start:end], start)
+            dice = 2 * common / (_distinct(p, valid[start:end], start) + size)
+            best = int(np.argmax(dice))
+            if dice[best] >= threshold:
+                out.append((name, float(dice[best]), start, start + best + 1, size))
+    return out
+
+
+def _chosen(units: list[tuple], found: list[tuple], threshold: float) -> list[tuple]:
+    """The matches that count: units, and windows by their Dice that overlap none before. Spans count from the text's first word."""
+    factor, end = (2 - threshold) / threshold, max(m[3] for m in [*units, *found])
+    taken: dict[str, np.ndarray] = {}
+    largest = np.zeros(end, np.int64)  # template of a window there
+    ranked: list[tuple] = []
+    for w in sorted(found, key=lambda m: (-m[1], m[0], m[2])):
+        span = taken.setdefault(w[0], np.zeros(end, bool))[w[2] : w[3]]
+        if not span.any():  # one window of a template in a place
+            span[:] = True
+            largest[w[2] : w[3]] = np.maximum(largest[w[2] : w[3]], w[4])
+            ranked.append(w)
+    beyond = lambda m: largest[m[2] : m[3]].max(initial=0) > factor * m[4]
+    kept, full = [u for u in units if not beyond(u)], np.zeros(end, bool)
+    for u in kept:
+        full[u[2] : u[3]] = True
+    for w in ranked:
+        if not beyond(w) and not full[w[2] : w[3]].any():
+            full[w[2] : w[3]] = True
+            kept.append(w)
+    return kept
+
+
 def units(block: Block) -> tuple[np.ndarray, np.ndarray]:
     """Byte spans of the lines that aren't blank, and of the paragraphs of more than one such line."""
     space = np.isin(block.data, np.array([9, 10, 11, 12, 13, 32], np.uint8))
@@ -94,17 +166,18 @@ def units(block: Block) -> tuple[np.ndarray, np.ndarray]:
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Per document: its units, those that match a template, the best match and all identifiers found."""
     listed = dict(TEMPLATES if templates is None else templates)
+    whole = listed | (full_texts() if templates is None else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Templates(listed)
+        known, wide = Templates(listed), Templates(whole)
         for batch in batches:
             for block in blocks(batch):
-                yield _scan(block, known, threshold)
+                yield _scan(block, known, wide, threshold)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
 
-def _scan(block: Block, known: Templates, threshold: float) -> pa.RecordBatch:
+def _scan(block: Block, known: Templates, wide: Templates, threshold: float) -> pa.RecordBatch:
     unit_starts, unit_ends = units(block)
     rows = block.row_of(unit_starts)
     starts, ends, counts = words(block, ALNUM)
@@ -116,11 +189,19 @@ def _scan(block: Block, known: Templates, threshold: float) -> pa.RecordBatch:
     last = np.maximum(first, np.searchsorted(starts, unit_ends) - 1)
     last = np.minimum(last, len(bigrams))
     first = np.minimum(first, len(bigrams))
-    found: list[list[tuple[str, float]]] = [[] for _ in range(block.rows)]
+    sizes = dict(zip(known.names, map(len, known.sets), strict=True))
+    found: list[list[tuple]] = [[] for _ in range(block.rows)]
     for i in np.flatnonzero(familiar[last] > familiar[first]).tolist():
         best = known.best(np.unique(bigrams[first[i] : last[i]]), threshold)
         if best:
-            found[rows[i]].append(best)
+            found[rows[i]].append((*best, int(first[i]), int(last[i]), sizes[best[0]]))
+    # The bigrams of a text, first and last word inside it.
+    ends_at = np.cumsum(counts)
+    for i in np.flatnonzero(counts > 1).tolist():
+        a, b = int(ends_at[i] - counts[i]), int(ends_at[i]) - 1
+        matching = windows(bigrams[a:b], valid[a:b], wide, threshold)
+        if matching:
+            found[i] = _chosen([(n, d, s - a, e - a, m) for n, d, s, e, m in found[i]], matching, threshold)
     tops = [max(x, key=lambda m: (m[1], [-ord(c) for c in m[0]])) if x else None for x in found]
     return output(
         _ARROW,
@@ -129,5 +210,5 @@ def _scan(block: Block, known: Templates, threshold: float) -> pa.RecordBatch:
         n_matches=[len(x) for x in found],
         license_id=[t[0].split("/")[0] if t else None for t in tops],
         dice=[t[1] if t else None for t in tops],
-        licenses=[",".join(sorted({name.split("/")[0] for name, _ in x})) for x in found],
+        licenses=[",".join(sorted({name.split("/")[0] for name, *_ in x})) for x in found],
     )
