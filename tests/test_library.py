@@ -221,6 +221,25 @@ def test_supervised_windows(spark):
     assert [r.timestamp.hour for r in got] == [0, 0] and got[0].history[-1] == 23.0 and got[0].targets == [24.0, 25.0, 26.0]
 
 
+def test_supervised_windows_of_every_hour_within_segments(spark):
+    loads = [float(i * i % 17) for i in range(60)]
+    series = hourly(spark, "z", loads).withColumn("energy_price", F.when(F.hour("timestamp") != 5, 1.0))
+    want = 60 - 24 - 3 + 1
+    end = series.orderBy("timestamp").collect()[40].timestamp
+    got = C.supervised_windows(series, 24, 3, ["energy_price"], stride=1, train_end=F.lit(end)).orderBy("timestamp").collect()
+    assert len(got) == want
+    mean, std = np.mean(loads[:40]), np.std(loads[:40])
+    scaled = (np.array(loads) - mean) / std
+    for at, r in enumerate(got, 24):
+        assert np.allclose(r.history, scaled[at - 24 : at], atol=1e-5) and np.allclose(r.targets, scaled[at : at + 3], atol=1e-5)
+        assert np.allclose([r.load_mean, r.load_std, r.load_mean_24, r.load_std_24], [mean, std, scaled[at - 24 : at].mean(), scaled[at - 24 : at].std()])
+        hours = (r.timestamp.hour + np.arange(3)) % 24
+        assert r.future_energy_price_missing == [float(h == 5) for h in hours] and [np.isnan(x) for x in r.future_energy_price] == [h == 5 for h in hours]
+        assert np.allclose(r.future_hour_sin, np.sin(hours * 2 * np.pi / 24), atol=1e-6) and len(r.future_weekday_cos) == 3
+    gap = series.where(F.col("timestamp") != F.lit(end))  # 40 hours, then 19
+    assert C.supervised_windows(gap, 24, 3, [], stride=1).count() == 40 - 24 - 3 + 1
+
+
 def test_entry_module_without_corpus_package(monkeypatch):
     class Missing:
         def find_spec(self, name, path=None, target=None):

@@ -142,7 +142,7 @@ def zone_stress(spark, d):
 
 @query("win_supervised")
 def supervised(spark, d):
-    return C.supervised_windows(X.zone_series(spark, d), 168, 24, ["energy_price", "temperature"])
+    return C.supervised_windows(X.zone_series(spark, d), 168, 24, ["energy_price", "temperature"], stride=1, train_end=origin())
 
 
 def _ridge(spark, d):

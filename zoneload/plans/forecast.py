@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import blend
+from ..operators.features import segments
 
 KEY = ["zone_id", "origin"]
 #: Weights of the weekly lag and the hour's mean, bounds of the trend, and of price effects.
@@ -225,11 +226,36 @@ def custom_predictor(history: DataFrame, future: DataFrame, predict: Callable[[p
     return history.groupBy(*KEY).cogroup(future.groupBy(*KEY)).applyInPandas(run, schema)
 
 
-def supervised_windows(series: DataFrame, past: int, ahead: int, covariates: Sequence[str], stride: int = 24) -> DataFrame:
-    """zone_id, timestamp, history (array), future covariates and targets of complete windows, by window functions."""
-    w = Window.partitionBy("zone_id").orderBy("timestamp")
+def supervised_windows(series: DataFrame, past: int, ahead: int, covariates: Sequence[str], stride: int = 24, train_end: Column | None = None) -> DataFrame:
+    """Samples of complete windows within continuous hours, every ``stride``-th of each segment, by window functions.
+
+    history and targets (arrays of loads), means and deviations of the last 24 and 168 hours (``past`` at most), and by
+    hour ahead the covariates (NaN where missing), their missing flags and the calendar. With ``train_end`` loads are
+    normalised by each zone's mean and deviation of the hours before it, which are given too; a zone without such
+    hours has no sample. Hours without a finite load are gaps.
+    """
+    load = F.col("load_kwh").cast("double")
+    rows = segments(series.where(load.isNotNull() & ~F.isnan(load) & (F.abs(load) < float("inf"))))
+    zone, w = Window.partitionBy("zone_id"), Window.partitionBy("zone_id", "segment").orderBy("timestamp")
     back, fore = w.rowsBetween(-past, -1), w.rowsBetween(0, ahead - 1)
-    one = lambda c: F.collect_list(F.col(c).cast("float"))
-    rows = series.withColumns({"history": one("load_kwh").over(back), "targets": one("load_kwh").over(fore), **{f"future_{c}": one(c).over(fore) for c in covariates}, "at": F.row_number().over(w)})
+    scale = {}
+    if train_end is not None:
+        prefix = F.when(F.col("timestamp") < train_end, load)
+        deviation = F.stddev_pop(prefix).over(zone)
+        scale = {"load_mean": F.avg(prefix).over(zone), "load_std": F.when(deviation <= 1e-8, 1.0).otherwise(deviation)}
+        rows = rows.withColumns(scale)
+        load = (load - F.col("load_mean")) / F.col("load_std")
+    hour, day = F.hour("timestamp") * (2 * np.pi / 24), F.weekday("timestamp") * (2 * np.pi / 7)
+    ahead_of = {"hour_sin": F.sin(hour), "hour_cos": F.cos(hour), "weekday_sin": F.sin(day), "weekday_cos": F.cos(day)}
+    for c in covariates:
+        x = F.col(c).cast("double")
+        fine = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+        ahead_of |= {c: F.when(fine, x).otherwise(float("nan")), f"{c}_missing": F.when(fine, 0.0).otherwise(1.0)}
+    one = lambda c: F.collect_list(c.cast("float"))
+    rows = rows.withColumn("load", load)
+    stats = {}
+    for n in dict.fromkeys([min(24, past), min(168, past)]):
+        stats |= {f"load_mean_{n}": F.avg("load").over(w.rowsBetween(-n, -1)), f"load_std_{n}": F.stddev_pop("load").over(w.rowsBetween(-n, -1))}
+    rows = rows.withColumns({"history": one(F.col("load")).over(back), "targets": one(F.col("load")).over(fore), **stats, **{f"future_{n}": one(c).over(fore) for n, c in ahead_of.items()}, "at": F.row_number().over(w)})
     whole = (F.size("history") == past) & (F.size("targets") == ahead) & ((F.col("at") - past - 1) % stride == 0)
-    return rows.where(whole).select("zone_id", "timestamp", "history", "targets", *[f"future_{c}" for c in covariates])
+    return rows.where(whole).select("zone_id", "timestamp", "history", "targets", *stats, *[f"future_{n}" for n in ahead_of], *scale)
