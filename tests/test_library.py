@@ -240,6 +240,19 @@ def test_supervised_windows_of_every_hour_within_segments(spark):
     assert C.supervised_windows(gap, 24, 3, [], stride=1).count() == 40 - 24 - 3 + 1
 
 
+def test_round_grid_carries_early_stops(spark):
+    rows = spark.createDataFrame([(w, r, 1.0 + r, x) for w in "abc" for r, x in enumerate(["Low", "High"])], "window string, round long, load_kwh double, stress string")
+    finals = spark.createDataFrame([("a", "success", 1, 3, 9.0, "Medium"), ("b", "fail", 1, 3, 9.0, "Medium"), ("c", "success", 1, 1, 9.0, "Medium")], "window string, status string, attempts_used long, attempt_limit long, load_kwh double, stress string")
+    grid = E.round_grid(rows, ["window"], 3, finals)
+    got = {(r.window, r.round): (r.load_kwh, r.medium, r.source) for r in grid.collect()}
+    assert len(got) == 12 and got["a", 1] == (2.0, False, "attempt_trace")
+    assert got["a", 2] == got["a", 3] == (9.0, True, "early_stop_carry")
+    assert all(got[w, r] == (None, None, "missing") for w in "bc" for r in (2, 3))
+    last = {r.window: r for r in E.final_rows(grid, ["window"], finals).collect()}
+    assert sorted(last) == ["a", "b", "c"]
+    assert all((r["round"], r.load_kwh, r.medium, r.previous_medium, r.first_entry_round, r.source) == (1, 9.0, True, False, 1, "final_windows") for r in last.values())
+
+
 def test_entry_module_without_corpus_package(monkeypatch):
     class Missing:
         def find_spec(self, name, path=None, target=None):

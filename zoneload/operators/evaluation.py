@@ -47,10 +47,39 @@ def conflicts(samples: DataFrame, identity: Sequence[str], values: Sequence[str]
     return samples.groupBy(*identity).agg(*[c.alias(n) for n, c in counts.items()]).where(several)
 
 
-def round_grid(rows: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
-    """Rows of rounds 0 to ``limit`` for every window: recorded ones, and missing ones as unknown."""
-    grid = rows.select(*keys).distinct().withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(limit).cast("long"))))
-    return grid.join(rows, [*keys, "round"], "left").withColumns({"medium": F.col("stress") == "Medium", "source": F.when(F.col("load_kwh").isNull(), "missing").when(F.col("round") == 0, "baseline").otherwise("attempt_trace")})
+def round_grid(rows: DataFrame, keys: Sequence[str], limit: int, finals: DataFrame | None = None) -> DataFrame:
+    """Rows of rounds 0 to ``limit`` for every window: recorded ones, and missing ones as unknown.
+
+    ``finals`` (keys, status, attempts_used, attempt_limit, load_kwh, stress: a row per window that has a final one)
+    carries the final window into later rounds where the run stopped early: status success, fewer rounds used than
+    the limit.
+    """
+    windows = rows.select(*keys) if finals is None else rows.select(*keys).unionByName(finals.select(*keys))
+    grid = windows.distinct().withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(limit).cast("long"))))
+    medium, source = F.col("stress") == "Medium", F.when(F.col("load_kwh").isNull(), "missing").when(F.col("round") == 0, "baseline").otherwise("attempt_trace")
+    if finals is None:
+        return grid.join(rows, [*keys, "round"], "left").withColumns({"medium": medium, "source": source})
+    early = (F.col("status") == "success") & (F.col("attempts_used") < F.col("attempt_limit")) & (F.col("round") > F.col("attempts_used"))
+    ends = finals.select(*keys, "status", "attempts_used", "attempt_limit", F.col("load_kwh").alias("__load"), F.col("stress").alias("__stress"))
+    recorded = rows.withColumn("__recorded", F.lit(True))
+    out = grid.join(recorded, [*keys, "round"], "left").join(ends, list(keys), "left").withColumn("__carried", F.col("__recorded").isNull() & F.coalesce(early, F.lit(False)))
+    taken = {c: F.when(F.col("__carried"), F.col(f"__{n}")).otherwise(F.col(c)) for c, n in (("load_kwh", "load"), ("stress", "stress"))}
+    shown = F.when(F.col("__carried"), "early_stop_carry").otherwise(source)
+    return out.withColumn("source", shown).withColumns(taken).withColumn("medium", medium).select(*keys, *[c for c in rows.columns if c not in keys and c != "round"], "round", "medium", "source")
+
+
+def final_rows(grid: DataFrame, keys: Sequence[str], finals: DataFrame) -> DataFrame:
+    """The final row of each window, at the round its run ended with, with its history fields.
+
+    Its history are the rounds before that one and the final state itself; a run without rounds has only the baseline.
+    """
+    used = F.col("attempts_used")
+    ends = finals.select(*keys, "attempts_used", F.col("load_kwh").alias("__load"), F.col("stress").alias("__stress"))
+    # Each window's rounds up to its last one, which gives its place to the final state.
+    rows = grid.select(*keys, "round", "medium", "load_kwh", "stress").join(ends, list(keys)).where(F.col("round") <= used)
+    last = (F.col("round") == used) & (used > 0)
+    known = history_fields(rows.withColumn("medium", F.when(last, F.col("__stress") == "Medium").otherwise(F.col("medium"))), keys)
+    return known.where(F.col("round") == used).withColumns({"load_kwh": F.col("__load"), "stress": F.col("__stress"), "medium": F.col("__stress") == "Medium", "source": F.lit("final_windows")}).drop("attempts_used", "__load", "__stress")
 
 
 def history_fields(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
