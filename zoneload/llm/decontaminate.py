@@ -1,206 +1,275 @@
 """Benchmark decontamination: which words of the documents lie in a window of words of a test item.
 
 Texts are lower-cased (A-Z) and cut into words of letters, digits and non-ASCII characters. Every item gives its
-windows of ``window`` consecutive words; a shorter item is one window. The windows' hashes are broadcast, after
-a check of the benchmark's size, and every hit is verified word by word. A benchmark beyond the size bound is
-not broadcast: the documents' windows are joined with the benchmark's on their hash instead, and each
-document gets only those items that share a window hash with it.
+windows of ``window`` consecutive words; a shorter item is one window. The windows' hashes are broadcast, and every
+hit is verified byte by byte. What is broadcast at once is bounded: a benchmark beyond ``broadcast_bytes`` is first
+reduced to the items that share a window's hash with some document (a join of distinct hashes, so that no frequent
+window is a hot key), and the rest goes over the documents in parts, each row carrying what it has found so far. Rows
+are judged each by itself whatever the benchmark's size; no row needs an id.
 
 Cases: a null text or item has no words; equal items, and equal windows of different items, all count; an item
-without id hits words but isn't listed; repeated documents are judged each by itself; empty tables give no hits.
+without id hits words but isn't listed; repeated documents, and those without id, are judged each by itself; empty
+tables give no hits. ``decontaminate`` leaves other columns out; ``remove`` keeps all.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._text import ALNUM, Block, blocks, column, output, window_hashes, within, word_hashes, words
+from ._util import checkpoint, fresh, groups_for
 
 WINDOW = 10
-#: Benchmarks of more bytes of text than this aren't broadcast.
+#: Bytes of benchmark text that are broadcast at once.
 BROADCAST_BYTES = 32 << 20
+#: Longer items are cut into parts of so many words that overlap by a window less a word.
+PART_WORDS = 100_000
+#: Pairs or bytes that are compared at once.
+STEP = 1 << 20
+
+
+def joined_words(block: Block, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The block's words with one space after each, and where each begins (and the last one's end)."""
+    size = ends - starts + 1
+    begin = np.concatenate([[0], np.cumsum(size)])
+    out = block.data[np.minimum(spread(starts, size), max(0, len(block.data) - 1))] if len(starts) else np.zeros(0, np.uint8)
+    out[begin[1:] - 1] = 32
+    return out, begin
+
+
+def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... count[i] numbers each, one after the other."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
+def equal_spans(a: np.ndarray, a_from: np.ndarray, a_to: np.ndarray, b: np.ndarray, b_from: np.ndarray, b_to: np.ndarray) -> np.ndarray:
+    """Whether a[a_from:a_to] equals b[b_from:b_to], pair by pair."""
+    size = a_to - a_from
+    same = size == b_to - b_from
+    at = np.flatnonzero(same)
+    step = max(1, STEP // max(1, int(size.max(initial=1))))
+    for i in range(0, len(at), step):
+        some = at[i : i + step]
+        n = size[some]
+        differs = a[spread(a_from[some], n)] != b[spread(b_from[some], n)]
+        same[some] = np.add.reduceat(differs, np.cumsum(n) - n) == 0
+    return same
 
 
 class Windows:
-    """A benchmark's windows: by size, the sorted hashes; by hash, the texts with their items."""
+    """A benchmark's windows: by size, the distinct ones ascending by hash, each with its place and its items."""
 
     def __init__(self, items: list[tuple[int | None, str]], window: int):
-        batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in items], pa.int64()), pa.array([t for _, t in items], pa.string())], ["item_id", "text"])
-        self.texts: dict[int, dict[bytes, set]] = defaultdict(lambda: defaultdict(set))
-        sizes: dict[int, set[int]] = defaultdict(set)
+        self.items = [i for i, _ in items]
+        batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in items], pa.large_string())], ["text"])
+        texts, begins, found, row, number = [], [], [], 0, 0
         for block in blocks(batch):
-            ids = column(block.batch, "item_id").to_pylist()
             starts, ends, counts = words(block, ALNUM)
             hashes = word_hashes(block, starts, ends)
-            first = 0
-            for item, n in zip(ids, counts.tolist(), strict=True):
-                size = min(n, window)
-                for i, h in enumerate(window_hashes(hashes[first : first + n], size).tolist() if n else []):
-                    sizes[size].add(h)
-                    self.texts[h][span_text(block, starts, ends, first + i, size)].add(item)
-                first += n
-        self.sizes = {size: np.array(sorted(found), np.uint64) for size, found in sizes.items()}
-        self.texts = {h: dict(texts) for h, texts in self.texts.items()}
-
-
-def span_text(block: Block, starts: np.ndarray, ends: np.ndarray, first: int, size: int) -> bytes:
-    return b" ".join(block.data[starts[i] : ends[i]].tobytes() for i in range(first, first + size))
-
-
-def hits(block: Block, known: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[set]]:
-    """Words' starts, ends, counts by row, the marks of those inside a window's occurrence, and items by row."""
+            text, begin = joined_words(block, starts, ends)
+            begins.append(begin[:-1] + sum(map(len, texts)))
+            texts.append(text)
+            size = np.repeat(np.minimum(counts, window), counts)
+            for n in np.unique(size).tolist():
+                h = window_hashes(hashes, n)
+                at = np.flatnonzero((size[: len(h)] == n) & within(counts, n)[: len(h)])
+                found.append((n, h[at], number + at, row + np.repeat(np.arange(block.rows), counts)[at]))
+            row, number = row + block.rows, number + len(starts)
+        self.text = np.concatenate([np.zeros(0, np.uint8), *texts])
+        self.begin = np.append(np.concatenate([np.zeros(0, np.int64), *begins]), len(self.text))
+        self.sizes: dict[int, tuple[np.ndarray, ...]] = {}
+        for n in sorted({f[0] for f in found}):
+            self.sizes[n] = self._grouped(n, *(np.concatenate([f[i] for f in found if f[0] == n]) for i in (1, 2, 3)))
+
+    def _grouped(self, size: int, h: np.ndarray, word: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Hash and first word of each distinct window, and its items: a range of the last array, from where to where."""
+        order = np.lexsort((item, h))
+        h, word, item = h[order], word[order], item[order]
+        variant = np.zeros(len(h), np.int64)  # tells texts of one hash apart
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+        odd = np.flatnonzero(~self._same(size, word, word[lead]))
+        for i in odd.tolist():
+            among = [j for j in range(int(lead[i]), i) if self._same(size, word[i : i + 1], word[j : j + 1])[0]]
+            variant[i] = variant[among[0]] if among else i - lead[i]
+        if len(odd):
+            order = np.lexsort((item, variant, h))
+            h, word, item, variant = h[order], word[order], item[order], variant[order]
+        first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (variant[1:] != variant[:-1])]))
+        return h[first], word[first], first, np.append(first[1:], len(h)), item
+
+    def _same(self, size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return equal_spans(self.text, self.begin[a], self.begin[a + size], self.text, self.begin[b], self.begin[b + size])
+
+
+def hits(block: Block, known: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list[int]]]:
+    """Words' starts, ends, counts by row, the marks of those inside a window's occurrence, and numbers of items by row."""
     starts, ends, counts = words(block, ALNUM)
     hashes = word_hashes(block, starts, ends)
     row = np.repeat(np.arange(block.rows), counts)
     edges = np.zeros(len(starts) + 1, np.int64)
-    items: list[set] = [set() for _ in range(block.rows)]
-    for size, listed in known.sizes.items():
+    owners = [np.zeros((0, 2), np.int64)]
+    text = begin = None
+    for size, (listed, first_word, first, last, item) in known.sizes.items():
         found = window_hashes(hashes, size)
-        at = np.searchsorted(listed, found)
-        at[at == len(listed)] = 0
-        for i in np.flatnonzero((listed[at] == found) & within(counts, size)[: len(found)]).tolist():
-            owners = known.texts[int(found[i])].get(span_text(block, starts, ends, i, size))
-            if owners is not None:
-                edges[i] += 1
-                edges[i + size] -= 1
-                items[row[i]] |= owners
+        low, high = np.searchsorted(listed, found), np.searchsorted(listed, found, "right")
+        at = np.flatnonzero((low < high) & within(counts, size)[: len(found)])
+        if not len(at):
+            continue
+        if text is None:
+            text, begin = joined_words(block, starts, ends)
+        for part in range(0, len(at), STEP // 16):
+            some = at[part : part + STEP // 16]
+            n = high[some] - low[some]
+            i, group = np.repeat(some, n), spread(low[some], n)
+            fine = equal_spans(text, begin[i], begin[i + size], known.text, known.begin[first_word[group]], known.begin[first_word[group] + size])
+            i, group = i[fine], group[fine]
+            np.add.at(edges, i, 1)
+            np.add.at(edges, i + size, -1)
+            pairs = np.unique(np.stack([row[i], group], 1), axis=0)
+            n = (last - first)[pairs[:, 1]]
+            owners.append(np.unique(np.stack([np.repeat(pairs[:, 0], n), item[spread(first[pairs[:, 1]], n)]], 1), axis=0))
+    items: list[list[int]] = [[] for _ in range(block.rows)]
+    for r, i in np.unique(np.concatenate(owners), axis=0).tolist():
+        items[r].append(i)
     return starts, ends, counts, np.cumsum(edges)[:-1] > 0, items
 
 
-def _verdicts(block: Block, known: Windows) -> dict:
-    _, _, counts, marked, items = hits(block, known)
-    ends = np.cumsum(counts)
-    total = np.concatenate([[0], np.cumsum(marked)])
-    n_hit = total[ends] - total[ends - counts]
-    names = [sorted(str(i) for i in found if i is not None) for found in items]
-    return {
-        "n_words": counts.astype(np.int64),
-        "n_hit": n_hit.astype(np.int64),
-        "n_items": [len(found) for found in names],
-        "items_sha256": [hashlib.sha256(",".join(found).encode()).hexdigest() for found in names],
-        "contaminated": n_hit > 0,
-    }
+def parts(benchmark: DataFrame, window: int) -> DataFrame:
+    """item_id, text: the items' words, a space between; long ones in overlapping parts that have the same windows."""
+    arrow = pa.schema([("item_id", pa.int64()), ("text", pa.string())])
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch):
+                starts, ends, counts = words(block, ALNUM)
+                text, begin = joined_words(block, starts, ends)
+                ids, done, rows = column(block.batch, "item_id").to_pylist(), 0, []
+                for i, n in zip(ids, counts.tolist(), strict=True):
+                    for a in range(0, max(1, n - window + 1), PART_WORDS) if n else ():
+                        b = min(n, a + PART_WORDS + window - 1)
+                        rows.append((i, text[begin[done + a] : begin[done + b] - 1].tobytes().decode()))
+                    done += n
+                yield output(arrow, item_id=[r[0] for r in rows], text=[r[1] for r in rows])
 
-VERDICT = [("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())]
-_DDL = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    return benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, "item_id long, text string").distinct()
 
 
-def _scan(docs: DataFrame, schema: str, fields: list, judge: Callable[[Block], dict]) -> DataFrame:
-    arrow = pa.schema(fields)
+def _window_keys(rows: DataFrame, name: str, sizes: list[int], window: int, of_item: bool) -> DataFrame:
+    """The distinct hashes of windows of the given sizes, with the column ``name``; of an item, those of its own size."""
+    arrow = pa.schema([(name, pa.string()), ("key", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch):
-                kept = {name: column(block.batch, name) for name in block.batch.schema.names if name in arrow.names}
-                yield output(arrow, **{**kept, **judge(block)})
+                starts, ends, counts = words(block, ALNUM)
+                hashes = word_hashes(block, starts, ends)
+                row = np.repeat(np.arange(block.rows), counts)
+                for size in sizes:
+                    found = window_hashes(hashes, size)
+                    fits = within(counts, size)[: len(found)]
+                    if of_item:
+                        fits = fits & (np.minimum(np.repeat(counts, counts), window)[: len(found)] == size)
+                    at = np.flatnonzero(fits)
+                    pairs = np.unique(np.stack([row[at] if of_item else np.zeros(len(at), np.int64), found[at].view(np.int64)], 1), axis=0)
+                    label = column(block.batch, name).take(pa.array(pairs[:, 0])) if of_item else pa.nulls(len(pairs), pa.string())
+                    yield output(arrow, **{name: label, "key": pairs[:, 1]})
+
+    return rows.mapInArrow(run, f"{name} string, key long")
+
+
+def _sizes(items: DataFrame, window: int) -> list[int]:
+    """The window sizes that occur: at most ``window`` values."""
+    count = F.least(F.size(F.split("text", " ")), F.lit(window)).alias("n")
+    return sorted(r["n"] for r in items.select(count).distinct().collect())
 
-    return docs.mapInArrow(run, schema)
 
+def _occurring(items: DataFrame, docs: DataFrame, window: int) -> DataFrame:
+    """Those parts of items of which some window's hash is also one of a document."""
+    named = items.withColumn("part", F.sha2(F.concat_ws(" ", F.coalesce(F.col("item_id").cast("string"), F.lit("-")), "text"), 256))
+    sizes = _sizes(items, window)
+    of_docs = _window_keys(docs.select("text").withColumn("none", F.lit(None).cast("string")), "none", sizes, window, False).select("key").distinct()
+    of_items = _window_keys(named.select("part", "text"), "part", sizes, window, True)
+    return named.join(of_items.join(of_docs, "key", "left_semi").select("part").distinct(), "part", "left_semi").select("item_id", "text")
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Per document: words, words hit, items with occurring windows, and the digest of those items' ids."""
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    fields = [("doc_id", pa.int64()), *VERDICT]
-    if size <= broadcast_bytes:
-        shared = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.text or "") for r in items.collect()])
-        cache: dict = {}
-
-        def judge(block: Block) -> dict:
-            if not cache:
-                cache[0] = Windows(shared.value, window)
-            return _verdicts(block, cache[0])
-
-        return _scan(docs, "doc_id long, " + _DDL, fields, judge)
-    return _joined(docs, items, window)
-
-
-def _joined(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
-    """The way without a broadcast: windows meet by hash in a shuffle, then each document meets its own items."""
-    sizes = sorted(_distinct_sizes(items, window))
-
-    def windows_of(name: str, of_item: bool) -> Callable:
-        arrow = pa.schema([(name, pa.int64()), ("key", pa.int64())])
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for block in blocks(batch):
-                    starts, ends, counts = words(block, ALNUM)
-                    hashes = word_hashes(block, starts, ends)
-                    ids = np.repeat(np.arange(block.rows), counts)
-                    for size in sizes:
-                        found = window_hashes(hashes, size)
-                        fits = within(counts, size)[: len(found)]
-                        if of_item:  # an item's windows have one size
-                            fits = fits & (np.minimum(np.repeat(counts, counts), window)[: len(found)] == size)
-                        at = np.flatnonzero(fits)
-                        pairs = np.unique(np.stack([ids[at].astype(np.int64), found[at].view(np.int64)], 1), axis=0)
-                        yield output(arrow, **{name: column(block.batch, name).take(pa.array(pairs[:, 0])), "key": pairs[:, 1]})
-
-        return run
-
-    numbered_docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))  # equal rows get equal verdicts
-    numbered_items = items.withColumn("row", F.xxhash64("item_id", "text"))
-    of_docs = numbered_docs.distinct().mapInArrow(windows_of("row", False), "row long, key long")
-    of_items = numbered_items.distinct().mapInArrow(windows_of("row", True), "row long, key long").withColumnRenamed("row", "item_row")
-    pairs = of_docs.join(of_items, "key").select("row", "item_row").distinct()
-    owned = pairs.join(numbered_items.distinct().withColumnRenamed("row", "item_row"), "item_row").select("row", "item_id", F.coalesce("text", F.lit("")).alias("text"))
-    lists = owned.groupBy("row").agg(F.collect_set(F.struct("item_id", "text")).alias("items"))
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in blocks(batch, limit=1):
-                known = Windows([(x["item_id"], x["text"]) for x in column(block.batch, "items")[0].as_py() or []], window)
-                yield output(pa.schema([("doc_id", pa.int64()), *VERDICT]), doc_id=column(block.batch, "doc_id"), **_verdicts(block, known))
-
-    return numbered_docs.join(lists, "row", "left").select("doc_id", "text", "items").mapInArrow(judge, "doc_id long, " + _DDL)
 
+def _chunks(benchmark: DataFrame, docs: DataFrame, window: int, broadcast_bytes: int) -> list[DataFrame]:
+    """The benchmark in tables that may be broadcast one at a time."""
+    items = checkpoint(parts(benchmark, window))
+    size = lambda: items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    if size() <= broadcast_bytes:
+        return [items]
+    items = checkpoint(_occurring(items, docs, window))
+    n = groups_for(2 * size(), max(1, broadcast_bytes))  # hashing deals unevenly: half full on average
+    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
 
-def _distinct_sizes(items: DataFrame, window: int) -> list[int]:
-    """The window sizes that occur: at most ``window`` values."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in blocks(batch):
-                counts = np.unique(np.minimum(words(block, ALNUM)[2], window))
-                yield pa.RecordBatch.from_arrays([pa.array(counts[counts > 0], pa.int64())], ["size"])
 
-    return [r.size_ for r in items.mapInArrow(run, "size long").select(F.col("size").alias("size_")).distinct().collect()]
+VERDICT = [("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())]
+_TYPES = {pa.int64(): T.LongType(), pa.string(): T.StringType(), pa.bool_(): T.BooleanType()}
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents without a hit, with all their columns."""
-    names = docs.columns
-    judged = decontaminate_rows(docs, benchmark, window)
-    return judged.where(~F.col("__contaminated")).select(*names)
-
-
-def decontaminate_rows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """The documents with all their columns and ``__contaminated``."""
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    if size > broadcast_bytes:
-        flags = decontaminate(docs, benchmark, window, broadcast_bytes).groupBy("doc_id").agg(F.max("contaminated").alias("__contaminated"))
-        return docs.join(flags.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
-    shared = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.text or "") for r in items.collect()])
+def _scan(docs: DataFrame, chunk: DataFrame, window: int, state: str, marks_out: bool, names: dict[str, str]) -> DataFrame:
+    """One pass. ``state``: the column of what was found before, if there is one; ``names``: the verdict's columns."""
+    shared = docs.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in chunk.collect()])
+    kept = [f for f in docs.schema.fields if f.name != state]
+    fields = [T.StructField(state, T.StructType().add("marks", "binary").add("items", T.ArrayType(T.StringType())))] if marks_out else [T.StructField(n, _TYPES[t]) for (v, t) in VERDICT for n in [names[v]]]
+    inner = pa.struct([("marks", pa.binary()), ("items", pa.list_(pa.string()))])
     cache: dict = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not cache:
+            cache[0] = Windows(shared.value, window)
         for batch in batches:
             for block in blocks(batch):
-                if not cache:
-                    cache[0] = Windows(shared.value, window)
-                flags = pa.array(_verdicts(block, cache[0])["contaminated"])
-                yield pa.RecordBatch.from_arrays([*block.batch.columns, flags], [*block.batch.schema.names, "__contaminated"])
+                _, _, counts, marked, found = hits(block, cache[0])
+                items = [{str(cache[0].items[i]) for i in some if cache[0].items[i] is not None} for some in found]
+                cut = np.cumsum(counts)
+                if state in block.batch.schema.names:
+                    before = column(block.batch, state).to_pylist()
+                    items = [own | set(b["items"]) for own, b in zip(items, before, strict=True)]
+                    marked = marked | np.concatenate([np.unpackbits(np.frombuffer(b["marks"], np.uint8), count=n) for b, n in zip(before, counts.tolist(), strict=True)]).astype(bool)
+                if marks_out:
+                    rows = [{"marks": np.packbits(m).tobytes(), "items": sorted(i)} for m, i in zip(np.split(marked, cut[:-1]), items, strict=True)]
+                    new = [pa.array(rows, inner)]
+                else:
+                    total = np.concatenate([[0], np.cumsum(marked)])
+                    n_hit = total[cut] - total[cut - counts]
+                    listed = [sorted(i) for i in items]
+                    values = [counts, n_hit, [len(i) for i in listed], [hashlib.sha256(",".join(i).encode()).hexdigest() for i in listed], n_hit > 0]
+                    new = [pa.array(v, t) for v, (_, t) in zip(values, VERDICT, strict=True)]
+                columns = [column(block.batch, f.name) for f in kept] + new
+                yield pa.RecordBatch.from_arrays(columns, [f.name for f in [*kept, *fields]])
+
+    return docs.mapInArrow(run, T.StructType([*kept, *fields]))
+
+
+def judged(docs: DataFrame, benchmark: DataFrame, window: int, broadcast_bytes: int, names: dict[str, str]) -> DataFrame:
+    """The documents with all their columns and the verdict's, under ``names``."""
+    state = fresh("__found", docs)
+    chunks = _chunks(benchmark, docs, window, broadcast_bytes)
+    for i, chunk in enumerate(chunks):
+        last = i == len(chunks) - 1
+        docs = _scan(docs, chunk, window, state, not last, names)
+        docs = docs if last else checkpoint(docs)
+    return docs
+
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__contaminated", T.BooleanType())]))
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Per document: words, words hit, items with occurring windows, and the digest of those items' ids."""
+    names = {v: v for v, _ in VERDICT}
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return judged(rows, benchmark, window, broadcast_bytes, names).drop("text")
+
+
+def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The documents without a hit, with all their columns."""
+    names = {v: fresh(f"__{v}", docs) for v, _ in VERDICT}
+    kept: Column = ~F.col(names["contaminated"])
+    return judged(docs, benchmark, window, broadcast_bytes, names).where(kept).select(*[F.col(f"`{c}`") for c in docs.columns])
