@@ -7,7 +7,8 @@ one partition is left. If its fullest window exceeds the capacity, the block is
 windows. Whole windows cut from long documents stay as they are.
 
 Cases: a null text is an empty one; an empty document is its end id alone; repeated rows are packed each by
-itself; an empty table gives no piece; other columns are left out.
+itself; a row without id is packed too and its pieces have none; an empty table gives no piece; other columns are
+left out. Ids stay Arrow integers throughout, so that one that is null doesn't turn its neighbours into floats.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -133,25 +133,30 @@ def pack(
     blocks = groups_for(total, capacity * BLOCK_WINDOWS)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
-    def place(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc_id", "start", "ids_crc32"], kind="stable").reset_index(drop=True)
-        block = int(group["block"].iloc[0])
-        lengths = group["length"].to_numpy()
+    arrow = pa.schema([(n, pa.int64()) for n in [*names, "sequence_id", "offset", "sequence_tokens", "padding"]])
+
+    def place(group: pa.Table) -> pa.Table:
+        group = group.sort_by([(n, "ascending") for n in ("doc_id", "start", "ids_crc32", "doc_tokens")])
+        block = column(group, "block")[0].as_py()
+        lengths = column(group, "length").to_numpy()
+        sequence = np.full(len(lengths), -1, np.int64)
         partial = np.flatnonzero(lengths < capacity)
-        sequence = np.full(len(group), -1, np.int64)
         parts = windows_of(lengths[partial].tolist(), capacity)
         for number, part in enumerate(parts):
             sequence[partial[part]] = number
         whole = np.flatnonzero(lengths == capacity)
         sequence[whole] = len(parts) + np.arange(len(whole))
-        group["sequence_id"] = (block << 20) + sequence
-        by_sequence = group.groupby("sequence_id")["length"]
-        group["offset"] = by_sequence.cumsum() - group["length"]
-        group["sequence_tokens"] = by_sequence.transform("sum")
-        fill = group["sequence_tokens"].to_numpy()
-        group["padding"] = np.where(fill & (fill - 1) == 0, 0, capacity - fill)
-        return group[[*names, "sequence_id", "offset", "sequence_tokens", "padding"]]
+        # Within a window, pieces follow each other in the group's order.
+        order = np.argsort(sequence, kind="stable")
+        upto = np.cumsum(lengths[order]) - lengths[order]
+        fill = np.bincount(sequence, weights=lengths, minlength=len(parts) + len(whole)).astype(np.int64)
+        offset = np.empty(len(lengths), np.int64)
+        offset[order] = upto - (np.cumsum(fill) - fill)[sequence[order]]
+        tokens = fill[sequence]
+        padding = np.where(tokens & (tokens - 1) == 0, 0, capacity - tokens)
+        placed = {"sequence_id": (block << 32) + sequence, "offset": offset, "sequence_tokens": tokens, "padding": padding}
+        return pa.table([column(group, n) for n in names] + [pa.array(v, pa.int64()) for v in placed.values()], schema=arrow)
 
     schema = ", ".join(f"{n} long" for n in [*names, "sequence_id", "offset", "sequence_tokens", "padding"])
     key = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(blocks)).alias("block")
-    return cut.select(*names, key).groupBy("block").applyInPandas(place, schema)
+    return cut.select(*names, key).groupBy("block").applyInArrow(place, schema)
