@@ -5,13 +5,14 @@ described by shares of its bytes and byte pairs, hashed, and by its length; a tr
 attention (a tanh and a sigmoid branch) weighs the passages of the document, and a logistic unit scores the
 weighted sum. All parameters are learned together from document labels, with no labels of passages.
 
-Training takes a bounded sample: the ``SAMPLE`` labelled documents smallest by a hash of their text and id, of
-those with at most ``SAMPLE_BYTES`` bytes; the bound holds the driver's share constant. Scoring reads every
-whole text.
+Training takes a bounded sample: the ``SAMPLE`` labelled documents smallest by a hash of their text and id, of any
+length; of a bag of more than ``BAG`` passages as many evenly spread ones are learned from. Both bounds hold the
+driver's share constant. Scoring reads every passage of every whole text.
 
 Cases: a null text is an empty one and gets a score; a document with several labels counts once for each
 distinct one; null labels are left out; with no usable label, or one class only, the score is the share of label 1
-(0.5 without labels); repeated rows are scored each by itself; other columns are kept out of the score.
+(0.5 without labels); repeated rows are scored each by itself; a row without id is scored, not held out and not
+learned from; other columns, whatever their names, are kept out of the score.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._text import NON_SPACE, Block, blocks, column, output, words
-from ._util import crc_mod
+from ._util import crc_mod, fresh
 
 PASSAGE_WORDS = 64
-SAMPLE, SAMPLE_BYTES = 4000, 60_000
+SAMPLE, BAG = 4000, 128
 PAIRS, HIDDEN, GATE, EPOCHS, BATCH, RATE = 128, 24, 12, 24, 64, 0.01
 FEATURES = 128 + 1 + PAIRS + 1
 
@@ -132,22 +133,29 @@ class Model:
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+def spread(x: np.ndarray, bag: int) -> np.ndarray:
+    """At most ``bag`` of a document's passages, evenly spread from the first to the last."""
+    return x if len(x) <= bag else x[np.linspace(0, len(x) - 1, bag).round().astype(np.int64)]
+
+
+def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", sample: int = SAMPLE, bag: int = BAG) -> Model:
     """Fit a model on the sample. ``usable``: which labels' documents (by doc_id) may be learned from."""
     marked = labels.where(usable & F.col(label).isin(0, 1)).select(F.col("doc_id").alias("__id"), F.col(label).alias("__y")).distinct()
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # Ids and labels first; the texts of the chosen ones follow, so that no text is sorted or shuffled.
-    sizes = texts.select("doc_id", F.octet_length("text").alias("__n"), F.xxhash64("doc_id", "text").alias("__h")).where(usable & (F.col("__n") <= sample_bytes))
-    chosen = sizes.join(marked, F.col("doc_id") == F.col("__id")).orderBy("__h", "doc_id", "__y").limit(sample).select("__id", "__y")
-    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "__y", "text")
+    hashed = texts.select("doc_id", F.xxhash64("doc_id", "text").alias("__h")).where(usable)
+    chosen = hashed.join(marked, F.col("doc_id") == F.col("__id")).orderBy("__h", "doc_id", "__y").limit(sample).select("__h", "__id", "__y")
+    # The hash, too, so that of several texts of one id the chosen ones alone follow.
+    same = (F.col("doc_id") == F.col("__id")) & (F.xxhash64("doc_id", "text") == F.col("__h"))
+    rows = texts.join(F.broadcast(chosen.distinct()), same).select("doc_id", "__h", "__y", "text").distinct()
     arrow = pa.schema([("h", pa.int64()), ("y", pa.int32()), ("n", pa.int64()), ("x", pa.binary())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch):
                 x, per_row = passages(block)
-                parts = np.split(x.astype(np.float16), np.cumsum(per_row)[:-1])
-                yield output(arrow, h=column(block.batch, "doc_id"), y=column(block.batch, "__y"), n=per_row, x=[p.tobytes() for p in parts])
+                parts = [spread(p, bag) for p in np.split(x.astype(np.float16), np.cumsum(per_row)[:-1])]
+                yield output(arrow, h=column(block.batch, "__h"), y=column(block.batch, "__y"), n=[len(p) for p in parts], x=[p.tobytes() for p in parts])
 
     got = rows.mapInArrow(encode, "h long, y int, n long, x binary").toPandas().sort_values(["h", "y", "n", "x"], kind="stable")
     x = np.frombuffer(b"".join(got["x"]), np.float16).reshape(-1, FEATURES).astype(np.float32)
@@ -155,7 +163,9 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qual
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """The documents with all their columns and their score, from 0 to 1."""
+    """The documents with all their columns and their score, from 0 to 1, under a name that they don't have."""
+    if name.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the documents have a column {name}")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
@@ -168,6 +178,12 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The documents of that score or more, with all their columns."""
+    name = fresh("__score", docs)
+    return score(docs, model, name).where(F.col(name) >= least).drop(name)
+
+
 def classify(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, **sample: int) -> DataFrame:
     """Per document: whether its label was held out (crc32 of its id modulo 3 is 1), score and predicted label."""
     held = crc_mod("doc_id", 3) == 1 if held_out is None else held_out
