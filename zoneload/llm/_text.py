@@ -81,8 +81,8 @@ def text_array(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
-def blocks(batch: pa.RecordBatch | pa.Table, text: str = "text", limit: int = 1 << 20) -> Iterator[Block]:
-    """Cut a batch into blocks of about ``limit`` bytes of text; a text is never cut. A null is empty."""
+def blocks(batch: pa.RecordBatch | pa.Table, text: str = "text", limit: int = 1 << 20, rows: int = 1 << 16) -> Iterator[Block]:
+    """Cut a batch into blocks of about ``limit`` bytes of text and ``rows`` rows at most; a text is never cut. A null is empty."""
     array = text_array(batch.column(batch.schema.get_field_index(text)))
     n = len(array)
     if not n:
@@ -92,7 +92,7 @@ def blocks(batch: pa.RecordBatch | pa.Table, text: str = "text", limit: int = 1
     data = np.frombuffer(body, np.uint8) if body is not None and body.size else np.zeros(0, np.uint8)
     first = 0
     while first < n:
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
+        last = min(first + rows, max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1))
         part = batch.slice(first, last - first)
         yield Block(part, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
         first = last

@@ -6,12 +6,12 @@ against the rest picks the family; within it, one for each pair of languages vot
 margins breaking ties. Families come from a fixed table by language code; codes that it lacks form a family of
 their own.
 
-Training takes a bounded sample: for each language, at most ``SAMPLE`` texts of at most ``SAMPLE_BYTES`` bytes,
-chosen by a hash of text and id. Prediction reads every whole text.
+Training takes a bounded sample: for each language, at most ``SAMPLE`` texts of any length, chosen by a hash of text
+and id; tasks send a fixed number of features for each. Prediction reads every whole text.
 
 Cases: a null text, or one without any letter, is ``und`` with score 0; null languages aren't learned; with a single
-learned language it is predicted with score 1, with none all is ``und``; repeated rows are judged each by itself;
-other columns are no input.
+learned language it is predicted with score 1, with none all is ``und``; repeated rows are judged each by itself; a
+row without id isn't held out, but isn't learned from either; other columns are no input.
 """
 
 from __future__ import annotations
@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from ._text import LOWER, Block, blocks, column, output, text_array
 from ._util import crc_mod
 
-SAMPLE, SAMPLE_BYTES = 700, 20_000
+SAMPLE = 700
+#: Texts described at once: bounds the dense rows.
+ROWS = 1024
 WIDTH, EPOCHS, PENALTY = 2048, 30, 1e-4
 
 #: Language codes by family.
@@ -130,10 +132,10 @@ class Machines:
         return language, score
 
 
-def train(docs: DataFrame, usable: Column, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Machines | None:
+def train(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> Machines | None:
     """Machines from the sample; None if no row may be learned from."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(
-        usable & F.col("lang").isNotNull() & (F.octet_length("text") <= sample_bytes) & (F.octet_length("text") > 0)
+        usable & F.col("lang").isNotNull() & (F.octet_length("text") > 0)
     )
     # About half as many again as wanted pass a threshold on the hash, by language; the smallest are taken of them.
     total = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -146,7 +148,7 @@ def train(docs: DataFrame, usable: Column, sample: int = SAMPLE, sample_bytes: i
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch):
+            for block in blocks(batch, rows=ROWS):
                 x, _ = features(block)
                 yield output(arrow, h=column(block.batch, "h"), lang=column(block.batch, "lang"), x=[v.tobytes() for v in x.astype(np.float16)])
 
@@ -164,7 +166,7 @@ def identify(docs: DataFrame, held_out: Column | None = None, **sample: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch):
+            for block in blocks(batch, rows=ROWS):
                 x, has = features(block)
                 known = machines.value
                 language, score = known.predict(x) if known else (np.full(len(x), "und", object), np.zeros(len(x)))
