@@ -8,6 +8,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from zoneload.llm import decontaminate, language, licenses, minhash, neighbours, packing, quality, scoring, sharding, suffix
@@ -150,7 +152,7 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
 
 
-@pytest.mark.parametrize("limit", [1 << 20, 0])
+@pytest.mark.parametrize("limit", [1 << 20, 300])  # in one part, and in several
 def test_decontamination(spark, docs, texts, limit):
     bodies = [t for _, t in texts if t and len(t) > 300]
     pattern = rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -175,12 +177,47 @@ def test_decontamination(spark, docs, texts, limit):
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     got = {r.doc_id: tuple(r)[1:] for r in decontaminate.decontaminate(docs, benchmark, broadcast_bytes=limit).collect()}
     assert got == want and sum(w[4] for w in want.values()) > 3
-    left = decontaminate.remove(docs, benchmark)
+    left = decontaminate.remove(docs, benchmark, broadcast_bytes=limit)
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == sorted(d for d in want if not want[d][4])
     none = decontaminate.decontaminate(docs, benchmark.limit(0), broadcast_bytes=limit).collect()
     assert len(none) == len(texts) and not any(r.contaminated for r in none)
 
 
+@pytest.mark.parametrize("limit", [1 << 20, 60])
+def test_decontamination_judges_each_row_by_itself(spark, limit):
+    """Repeated ids, no ids, equal texts and clashing columns: the same whatever the benchmark's size."""
+    item = "one two three four five six seven eight nine ten eleven"
+    rows = [(1, item, "a", 1), (1, "clean", "b", 2), (None, f"so {item}", "c", 3), (None, "clean", "d", 4), (2, "clean", "e", 5), (2, "clean", "e", 5), (3, None, "f", 6), (4, "x the y", "g", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, contaminated string, __contaminated long")
+    items = spark.createDataFrame([(7, item), (7, item), (8, item), (9, "The"), (None, "y")], "item_id long, text string")
+    left = decontaminate.remove(docs, items, broadcast_bytes=limit)
+    assert left.columns == docs.columns
+    assert sorted(r["__contaminated"] for r in left.collect()) == [2, 4, 5, 5, 6]
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items) for r in decontaminate.decontaminate(docs, items, broadcast_bytes=limit).collect())
+    assert got == [(0, 1, 0, 0), (0, 12, 11, 2), (1, 1, 0, 0), (1, 11, 11, 2), (2, 1, 0, 0), (2, 1, 0, 0), (3, 0, 0, 0), (4, 3, 2, 1)]
+
+
+def test_long_items_are_cut_into_overlapping_parts(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PART_WORDS", 7)
+    words = [f"w{i}" for i in range(40)]
+    items = spark.createDataFrame([(1, " ".join(words)), (2, "")], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(words[i : i + 10])) for i in range(31)] + [(99, " ".join(words[:9]))], "doc_id long, text string")
+    got = {r.doc_id: r.n_hit for r in decontaminate.decontaminate(docs, items).collect()}
+    assert got == {**{i: 10 for i in range(31)}, 99: 0}
+
+
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    """Were all hashes equal, the comparison of the texts alone would decide."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(decontaminate, "window_hashes", lambda h, size: np.zeros(max(0, len(h) - size + 1), np.uint64))
+    known = decontaminate.Windows([(1, "a b c"), (2, "b c d"), (3, "a b c"), (4, "c")], 3)
+    block = next(decontaminate.blocks(pa.RecordBatch.from_arrays([pa.array(["z a b c z", "b c x", "b  C,d"])], ["text"])))
+    *_, marked, items = decontaminate.hits(block, known)
+    assert marked.tolist() == [False, True, True, True, False, False, True, False, True, True, True]
+    assert items == [[0, 2, 3], [3], [1, 3]]
+
+
 def test_licences(spark, empty):
     mit = licenses.TEMPLATES["MIT/2"]
     rows = [
@@ -218,13 +255,15 @@ def test_licences_across_lines_and_within_prose(spark):
     assert got == want
 
 
-def test_neighbours_recall_and_cases(spark):
+def test_neighbours_recall_and_cases(spark, monkeypatch):
     r = np.random.default_rng(2)
+    monkeypatch.setattr(neighbours, "LIST_ROWS", 100)  # several leading bits, and long lists in parts
     x = r.normal(size=(1500, 16)).astype(np.float32)
     x[200:260] = x[200]
+    x[700:1000] = x[700] + r.normal(size=(300, 16)) * 1e-4
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000, None), (2050, [0.0] * 16), (2100, [1.0] * 15 + [None]), (2150, [float("nan")] * 16), (2200, [1.0] * 3), (None, [1.0] * 16)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
-    got = neighbours.search(table, F.col("id") % 50 == 0, index_rows=400, query_rows=10).collect()
+    got = neighbours.search(table, F.col("id") % 50 == 0).collect()
     y = x.astype(np.float64)
     y /= np.linalg.norm(y, axis=1)[:, None]
     hits = 0
@@ -243,6 +282,34 @@ def test_neighbours_recall_and_cases(spark):
     assert neighbours.search(few.limit(0), F.col("id") % 50 == 0).collect() == []
 
 
+def test_probing_retrieves_every_code_within_its_guarantee():
+    """Multi-index probing against all codes: nothing within the pigeonhole's distance is missed, and it prunes."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(3000, 32))
+    coder = neighbours.Coder(x, 5, len(x))
+    codes = coder.codes(x)
+    values = coder.values(codes)[:, : coder.used]
+    text = ["".join(f"{w:064b}" for w in row) for row in codes[:5].tolist()]
+    assert [[int(t[j * coder.width : (j + 1) * coder.width], 2) for j in range(coder.used)] for t in text] == values[:5].tolist()
+    visited = []
+    for q in range(50):
+        found = (neighbours.bits_of(values ^ values[q]) <= coder.reach).any(1)
+        away = neighbours.bits_of(codes ^ codes[q]).sum(1)
+        assert found[away <= coder.used * (coder.reach + 1) - 1].all()
+        visited.append(found.mean())
+    assert np.mean(visited) < 0.7 and abs(np.mean(visited) - coder.share) < 0.1
+    assert sorted(neighbours.masks(6, 2).tolist()) == [v for v in range(64) if bin(v).count("1") <= 2]
+
+
+def test_neighbours_take_odd_tables(spark):
+    rows = [(50, [1.0, 0.0], 9), (50, [1.0, 0.0], 9), (100, [1.0, 0.0], 9), (3, [1.0, 0.0], 9), (4, [2.0, 0.0], 9), (5, [-1.0, 0.0], 9)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id long")
+    got = sorted((g.query_id, g["rank"], g.vec_id, round(g.score, 9)) for g in neighbours.search(table.drop("id"), F.col("id") % 50 == 0).collect())
+    assert got == [(50, 1, 3, 1.0), (50, 2, 4, 1.0), (50, 3, 100, 1.0), (50, 4, 5, -1.0), (100, 1, 3, 1.0), (100, 2, 4, 1.0), (100, 3, 50, 1.0), (100, 4, 5, -1.0)]
+    one = spark.createDataFrame([(0, [1.0]), (None, [2.0])], "vec_id long, embedding array<double>")
+    assert neighbours.search(one, F.col("id") % 50 == 0).collect() == []
+
+
 def test_sharding(docs, texts, empty):
     got = sharding.shard(docs, shards=7).collect()
     assert sorted(r.doc_id for r in got) == [d for d, _ in texts]
@@ -298,6 +365,31 @@ def test_packing_round_trip(docs, texts, empty):
     assert packing.pack(empty).collect() == []
 
 
+def test_packing_keeps_large_ids_beside_null_ones(spark):
+    ids = [9007199254740993, 9007199254740995, None, None, -5]
+    docs = spark.createDataFrame([(i, "some words here") for i in ids], "doc_id long, text string").coalesce(1)
+    assert sorted(packing.pack(docs).collect(), key=str) and sorted(str(r.doc_id) for r in packing.pack(docs).collect()) == sorted(map(str, ids))
+
+
+SCRIPTS = "aZ09 _-.,'\"\n\t\r\u00a0\u3000\u200d éßŁźñ çŒ Жщя Ωλ שלום عرب हिन्दी ไทย 한국어 日本語 カナ \U0001f600\U0001f468\u0301 ½² ©™ <|endoftext|>"
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(st.text(max_size=400), st.text(alphabet=SCRIPTS, max_size=400), st.builds(lambda t, n: t * n, st.text(max_size=6), st.integers(0, 800))))
+def test_both_tokenizers_agree_on_any_text(text):
+    fast, slow = packing.encoder(*packing.default_paths()), packing.encoder(packing.default_paths()[0], None)
+    text = text.encode("utf-8", "ignore").decode()
+    assert fast(text).tolist() == slow(text).tolist()
+
+
+@pytest.mark.parametrize("unit", ["word ", "x", " ", "日本", "a1 b2, c3!\n", "\n \t"])
+@pytest.mark.parametrize("size", [packing.LONG_TEXT - 1, packing.LONG_TEXT, packing.LONG_TEXT + 1])
+def test_both_tokenizers_agree_around_the_limit(unit, size):
+    fast, slow = packing.encoder(*packing.default_paths()), packing.encoder(packing.default_paths()[0], None)
+    text = (unit * size)[:size]
+    assert fast(text).tolist() == slow(text).tolist()
+
+
 def test_both_tokenizers_agree():
     fast, slow = packing.encoder(*packing.default_paths()), packing.encoder(packing.default_paths()[0], None)
     for t in ["", "a  b\n\n c\t", "it's 123 äöü ß x <|endoftext|> y", "日本語 \U0001f600!!", "\r\n \x00 x" + " " * 50 + "z", "word" * 200]:
@@ -323,6 +415,81 @@ def test_quality(spark, empty):
     assert {g.score for g in quality.classify(docs, marks.limit(0)).collect()} == {0.5}
 
 
+def test_long_labelled_texts_are_learned_from(spark):
+    """Where all labelled texts are long ones, of more passages than a bag may have, the classifiers still learn."""
+    r = random.Random(3)
+    rows = [(i, " ".join((w.upper() if i % 2 else w) for w in prose(r, 64 * 12).split()), "de" if i % 2 else "fi") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = quality.classify(docs, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int"), bag=4).collect()
+    assert all(g.predicted == g.doc_id % 2 for g in got)
+
+
+def test_attention_model_equals_plain_loops():
+    """The forward pass and the gradient of the model against one passage at a time and finite differences."""
+    r = np.random.default_rng(1)
+    m = quality.Model()
+    m.mean, m.scale = r.normal(size=quality.FEATURES).astype(np.float32), r.uniform(0.5, 2, quality.FEATURES).astype(np.float32)
+    m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
+    m.p["bo"][0], m.p["be"][:] = 0.3, r.normal(size=quality.HIDDEN)
+    x, sizes = r.normal(size=(9, quality.FEATURES)), [3, 1, 5]
+    first, y = np.array([0, 3, 4]), np.array([1.0, 0.0, 1.0])
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    want, at = [], 0
+    for n in sizes:
+        h = [np.tanh((p - m.mean) * m.scale @ m.p["we"] + m.p["be"]) for p in x[at : at + n]]
+        e = [float((np.tanh(q @ m.p["v"]) * sigmoid(q @ m.p["u"])) @ m.p["w"]) for q in h]
+        a = np.exp(e) / np.exp(e).sum()
+        want.append(float(sum(w * q for w, q in zip(a, h)) @ m.p["wo"] + m.p["bo"][0]))
+        at += n
+    assert np.allclose(m.forward(x, first)[-1], want)
+    m.trained = True
+    assert np.allclose(m.score(x, np.array(sizes)), sigmoid(np.array(want)))
+    loss = lambda: float(np.mean(np.logaddexp(0, m.forward(x, first)[-1]) - y * m.forward(x, first)[-1]))
+    for name, g in m.gradient(x, first, y).items():
+        flat, i = m.p[name].reshape(-1), int(r.integers(m.p[name].size))
+        old, step = flat[i], 1e-5
+        flat[i] = old + step
+        up = loss()
+        flat[i] = old - step
+        assert abs((up - loss()) / (2 * step) - g.reshape(-1)[i]) < 1e-6
+        flat[i] = old
+
+
+def test_language_votes_equal_plain_loops():
+    r = np.random.default_rng(6)
+    names = ["de", "en", "fi", "hu", "xx"]
+    x = r.random((200, language.WIDTH)).astype(np.float32)
+    spoken = [names[i % 5] for i in range(200)]
+    for i, n in enumerate(spoken):
+        x[i, names.index(n) * 7] += 3
+    m = language.Machines(x, spoken)
+    got, score = m.predict(x[:20])
+    for i in range(20):
+        v = np.append(x[i], 1)
+        margins = {f: float(v @ m.by_family[:, j]) for j, f in enumerate(m.families)}
+        f = max(margins, key=margins.get)
+        own = [n for n in names if language.family(n) == f]
+        votes = {n: 0.0 for n in own}
+        for (a, b), w in m.pairs.items():
+            if a in votes:
+                p = 1 / (1 + np.exp(-8 * float(v @ w)))
+                votes[a] += p + len(own) * (p >= 0.5)
+                votes[b] += 1 - p + len(own) * (p < 0.5)
+        assert got[i] == max(sorted(votes), key=votes.get) and 0 <= score[i] <= 1
+
+
+def test_classifiers_take_odd_rows(spark):
+    """Repeated ids, rows without id, equal rows and clashing columns change nothing for the others."""
+    rows = [(1, "good words here", "de", 0.1), (1, "good words here", "de", 0.1), (None, "x y", None, 0.2), (None, None, "fi", 0.3), (2, "", "fi", 0.4), (9, "MORE", "fi", 0.5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double").repartition(3)
+    marks = spark.createDataFrame([(1, 1), (9, 0), (9, 0), (None, 1)], "doc_id long, quality int")
+    assert sorted(str(g.doc_id) for g in quality.classify(docs, marks).collect()) == ["1", "1", "2", "9", "None", "None"]
+    assert sorted(str(g.doc_id) for g in language.identify(docs).collect()) == ["1", "1", "2", "9", "None", "None"]
+    model = quality.train(docs, marks, F.lit(True))
+    kept = quality.accepted(docs, model, 0.0)
+    assert kept.columns == docs.columns and kept.count() == 6
+
+
 def test_language(spark, empty):
     r = random.Random(4)
     syllables = {"de": "sch ung ein lich keit auf", "en": "the ing tion and wh ou", "fr": "eau eux oi ment ç è", "es": "ción ado ñ mente os ll", "fi": "kk ää yy sta lla nen"}
