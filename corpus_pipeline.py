@@ -2,19 +2,22 @@
 
 Each stage takes what the one before kept. The first four return the columns of ``documents``; the last one,
 the pieces of packed windows. ``run`` writes every stage's result as Parquet to the shared folder of
-``spark.checkpoint.dir`` and reads it again, so a lost executor costs at most one stage's tasks.
+``spark.checkpoint.dir`` and reads it again, so a lost executor costs at most one stage's tasks. The folder stays until
+whoever reads the result is done with it; it is named after no other run's.
+
+Cases: a null text is an empty one; rows without id go through every stage and are never copies of others; rows
+of one id are judged each by itself, but count as one document among near duplicates; without usable labels all
+documents stay in the first stage, with an empty benchmark in the fourth; an empty table gives no piece; columns
+beside those of ``documents`` are dropped.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zoneload.llm import decontaminate, minhash, packing, quality, suffix
-from zoneload.llm._util import crc_mod
+from zoneload.llm._util import crc_mod, shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -27,7 +30,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the quality classifier accepts (score of 0.5 or more)."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, labels, F.coalesce(crc_mod("doc_id", 3) != 1, F.lit(False)))
-    return _columns(quality.score(docs, model, "__score").where(F.col("__score") >= 0.5))
+    return _columns(quality.accepted(docs, model))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,8 +66,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-pipeline-")
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    folder = shared_folder(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
