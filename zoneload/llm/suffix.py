@@ -18,6 +18,11 @@ neighbouring windows mostly share one: a maximal run of windows of one key is a
  5. Groups mark windows whose least id is smaller than the document's own, and cut out what they cover.
 A passage or document that a third of all rows share is sent once per group, not once per row.
 
+Equal passages of several groups are told by a 64-bit hash of bytes and key, and only within a key's bucket: with n
+distinct passages in a bucket two different ones meet by chance with a probability of some n * n / 2^65, which is
+1e-8 for the half million that a bucket of the usual size holds. Windows themselves are compared byte by byte, but
+for those of heavy keys, whose hash of 64 bits stands for their 50 bytes in the choice of what is sent.
+
 Cases: a null text is empty; texts shorter than the window stay; a row without id stays whole and removes nothing
 elsewhere; rows with the same id don't remove each other's text; an empty table gives no row. Where a cut leaves parts
 of a character, ``trimmed`` drops those bytes from the text.
@@ -34,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._text import U, Block, blocks, column, mix
-from ._util import groups_for, text_bytes
+from ._util import dealt_by, groups_for, text_bytes
 
 WINDOW, GRAM = 50, 20
 GROUP_BYTES = 8 << 20
@@ -135,18 +140,19 @@ def two_stage(data: np.ndarray) -> np.ndarray:
     smaller[some] = data[following] < data[following + 1]
     direct = _sorted_directly(data, np.flatnonzero(smaller))
     bounds = np.searchsorted(data[direct], np.arange(257))
+    # Where runs of one byte begin: a run's suffixes are all smaller than their successors, or none is.
+    begins = np.concatenate([[0], differs + 1])
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     waiting[data[-1]].append(np.array([n - 1]))
     out = []
     for c in range(256):
-        parts, repeat = [], np.concatenate(waiting[c]) if waiting[c] else np.zeros(0, np.int64)
+        repeat = np.concatenate(waiting[c]) if waiting[c] else np.zeros(0, np.int64)
         waiting[c] = []
-        while len(repeat):  # suffixes cc... follow from those with one c less
-            parts.append(repeat)
-            before = repeat[repeat > 0] - 1
-            repeat = before[(data[before] == c) & ~smaller[before]]
-        parts.append(direct[bounds[c] : bounds[c + 1]])
-        suffixes = np.concatenate(parts)
+        # Suffixes cc... follow from those with one c less: whole runs, the shorter suffixes first.
+        length = repeat - begins[np.searchsorted(begins, repeat, "right") - 1] + 1
+        back = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        order = np.argsort(back, kind="stable")
+        suffixes = np.concatenate([(np.repeat(repeat, length) - back)[order], direct[bounds[c] : bounds[c + 1]]])
         out.append(suffixes)
         before = suffixes[suffixes > 0] - 1
         before = before[(data[before] > c) & ~smaller[before]]
@@ -488,7 +494,7 @@ def _work(docs: DataFrame, fields: list[T.StructField], summary: bool) -> DataFr
     """``docs``: doc_id long, text string, maybe more."""
     n_groups = groups_for(text_bytes(docs), GROUP_BYTES)
     # All passes over the texts read this one exchange.
-    dealt = docs.withColumn(_GROUP, F.pmod(F.xxhash64("doc_id"), F.lit(n_groups)))
+    dealt = dealt_by(docs.withColumn(_GROUP, F.pmod(F.xxhash64("doc_id"), F.lit(n_groups))), _GROUP, n_groups)
     passages, heavy = _sent(dealt, n_groups)
     least = passages.groupBy("bucket").applyInArrow(_least, "pid long, uids binary, parts binary, lengths binary, least binary")
     found = least.withColumn("heavy", F.lit(b"")).unionByName(heavy.select("pid", *[F.lit(b"").alias(n) for n in ("uids", "parts", "lengths", "least")], "heavy"))
