@@ -61,3 +61,11 @@ def groups_for(total: int, each: int) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def dealt_by(df: DataFrame, key: str, groups: int, each: int = 8) -> DataFrame:
+    """``df`` ready to be grouped by ``key``, which has ``groups`` values: where the session's number of shuffle
+    partitions would give a task more than ``each`` groups, it is shuffled here into as many partitions as needed."""
+    needed = math.ceil(groups / each)
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(needed, key) if needed > usual else df
