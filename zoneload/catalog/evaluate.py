@@ -12,16 +12,23 @@ _C = F.col
 _FINE = "actual_kwh IS NOT NULL AND predicted_kwh IS NOT NULL"
 
 
-def _errors_sql(source, keys):
+_KNOWN = "origin IS NOT NULL AND training_end IS NOT NULL"
+
+
+def _errors_sql(source, keys, extra=True):
     k = ", ".join(keys)
+    more = f""", avg(CASE WHEN actual_kwh IS NOT NULL AND q10_kwh IS NOT NULL THEN CAST(actual_kwh BETWEEN q10_kwh AND q90_kwh AS DOUBLE) END) * 100 AS interval_coverage_pct, count(*) FILTER (training_overlap) AS training_overlap_count, count(training_overlap) AS training_known_count, count(*) FILTER (training_overlap IS NULL) AS training_unknown_count,
+        CASE WHEN bool_or(coalesce(training_overlap, false) OR ({_KNOWN} AND origin < training_end)) THEN false WHEN bool_and({_KNOWN}) THEN true END AS out_of_sample"""
     return f"""SELECT {k}, count(*) AS n_total, count(*) FILTER ({_FINE}) AS n, count(*) FILTER ({_FINE} AND abs(actual_kwh) > 1e-9) AS n_mape, avg(e) AS mae, sqrt(avg(e * e)) AS rmse, CASE WHEN sum(abs(actual_kwh - m)) FILTER ({_FINE}) > 1e-9 THEN sum(e) / sum(abs(actual_kwh - m)) FILTER ({_FINE}) END AS rae,
-        avg(e / nullif(abs(actual_kwh), 0)) * 100 AS mape_pct, CASE WHEN sum(abs(actual_kwh)) FILTER ({_FINE}) > 1e-9 THEN sum(e) / sum(abs(actual_kwh)) FILTER ({_FINE}) * 100 END AS wape_pct
+        avg(e / nullif(abs(actual_kwh), 0)) * 100 AS mape_pct, CASE WHEN sum(abs(actual_kwh)) FILTER ({_FINE}) > 1e-9 THEN sum(e) / sum(abs(actual_kwh)) FILTER ({_FINE}) * 100 END AS wape_pct,
+        sum(actual_kwh) FILTER ({_FINE}) AS actual_total_kwh, sum(predicted_kwh) FILTER ({_FINE}) AS predicted_total_kwh, (sum(predicted_kwh) FILTER ({_FINE}) - sum(actual_kwh) FILTER ({_FINE})) / nullif(sum(actual_kwh) FILTER ({_FINE}), 0) * 100 AS bias_pct{more if extra else ""}
         FROM (SELECT *, abs(actual_kwh - predicted_kwh) AS e, avg(actual_kwh) FILTER ({_FINE}) OVER (PARTITION BY {k}) AS m FROM {source}) GROUP BY {k}"""
 
 
-_ERRORS = "mae rmse rae mape_pct wape_pct"
-_DEDUP = "(SELECT DISTINCT zone, time, run, line, model, batch, actual_kwh, predicted_kwh FROM forecast_samples)"
+_ERRORS = "mae rmse rae mape_pct wape_pct actual_total_kwh predicted_total_kwh bias_pct interval_coverage_pct"
 _KEYS = ["zone", "time", "run", "line", "model", "batch", "actual_kwh", "predicted_kwh"]
+_DEDUP = f"(SELECT {', '.join(_KEYS)}, any_value(q10_kwh) AS q10_kwh, any_value(q90_kwh) AS q90_kwh, any_value(origin) AS origin, any_value(training_overlap) AS training_overlap, any_value(training_end) AS training_end, count(*) - 1 AS copies FROM forecast_samples GROUP BY {', '.join(_KEYS)})"
+_LEVELS = {"batch": ["batch"], "model": ["model"], "zone_model": ["zone", "model"], "origin": ["batch", "origin"], "zone_origin": ["batch", "zone", "origin"]}
 
 
 @query("agg_zone_metrics", _errors_sql("(SELECT * FROM forecast_samples WHERE actual_kwh IS NOT NULL)", ["zone"]), X.SAMPLES, _ERRORS)
@@ -34,14 +41,16 @@ def pooled_metrics(spark, d):
     return E.pooled_errors(X.forecast_samples(spark, d), ["batch", "model"])
 
 
-@query("agg_forecast_tables", " UNION ALL ".join(f"SELECT '{level}' AS level, {key} AS key, * EXCLUDE ({', '.join(ks)}) FROM ({_errors_sql(_DEDUP, ks)})" for level, key, ks in (("batch", "batch", ["batch"]), ("model", "model", ["model"]), ("zone_model", "zone || '/' || model", ["zone", "model"]))), X.SAMPLES, _ERRORS)
+def _level_sql(level, columns):
+    key = " || '/' || ".join(f"CAST({c} AS VARCHAR)" for c in columns)
+    return f"SELECT '{level}' AS level, {key} AS key, * EXCLUDE ({', '.join(columns)}) FROM ({_errors_sql('dedup', columns)}) JOIN (SELECT {', '.join(columns)}, CAST(sum(copies) AS BIGINT) AS copies_removed FROM dedup GROUP BY ALL) USING ({', '.join(columns)})"
+
+
+@query("agg_forecast_tables", " UNION ALL ".join(f"({_level_sql(n, c)})" for n, c in _LEVELS.items()), f"{X.SAMPLES}, dedup AS {_DEDUP}", _ERRORS)
 def forecast_tables(spark, d):
-    rows = E.deduplicated(X.forecast_samples(spark, d), _KEYS)
-    out = None
-    for level, ks in (("batch", ["batch"]), ("model", ["model"]), ("zone_model", ["zone", "model"])):
-        part = E.pooled_errors(rows, ks).select(F.lit(level).alias("level"), F.concat_ws("/", *ks).alias("key"), "n_total", "n", "n_mape", *_ERRORS.split())
-        out = part if out is None else out.unionByName(part)
-    return out
+    """All levels in one pass over the rows without copies."""
+    rows = E.deduplicated(X.forecast_samples(spark, d).drop("agent_mode"), _KEYS)
+    return E.pooled_errors(E.at_levels(rows, _LEVELS), ["level", "key"])
 
 
 @query("set_dedup_forecasts", f"SELECT (SELECT count(*) FROM {_DEDUP}) AS kept, (SELECT count(*) FROM forecast_samples) - (SELECT count(*) FROM {_DEDUP}) AS removed", X.SAMPLES)
@@ -65,38 +74,64 @@ def union_runs(spark, d):
 
 
 @query("set_expected_windows", """SELECT run, zone, "window", status FROM (SELECT coalesce(o.run, e.run) AS run, coalesce(o.zone, e.zone) AS zone, coalesce(o."window", e."window") AS "window", CASE WHEN o.n IS NULL THEN 'missing' WHEN e.run IS NULL THEN 'extra' WHEN o.n > 1 THEN 'duplicate' END AS status
-    FROM (SELECT run, zone, "window", count(*) AS n FROM window_rounds WHERE round = 1 OR (round = 2 AND run = 3) GROUP BY ALL) o FULL JOIN (SELECT * FROM (SELECT DISTINCT run FROM window_rounds), (SELECT unnest(range(5)) AS zone), (SELECT unnest(range(7)) AS "window")) e ON o.run = e.run AND o.zone = e.zone AND o."window" = e."window") WHERE status IS NOT NULL""", X.ROUNDS)
+    FROM (SELECT run, zone, "window", count(*) AS n FROM window_rounds WHERE round = 1 OR (round = 2 AND run = 3) GROUP BY ALL) o FULL JOIN (SELECT * FROM (SELECT DISTINCT run FROM window_rounds), (SELECT unnest(range(3)) AS zone), (SELECT unnest(range(3)) AS "window")) e ON o.run = e.run AND o.zone = e.zone AND o."window" = e."window") WHERE status IS NOT NULL""", X.ROUNDS)
 def set_expected(spark, d):
     rows = X.window_rounds(spark, d)
-    grid = rows.select("run").distinct().withColumn("zone", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long")))).withColumn("window", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))))
+    grid = rows.select("run").distinct().withColumn("zone", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long")))).withColumn("window", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
     grid = grid.select("run", "zone", "window")
     return E.expected_windows(rows.where("round = 1 OR (round = 2 AND run = 3)"), grid, ["run", "zone", "window"])
 
 
-_GRID = """grid AS (SELECT g.run, g.zone, g."window", r.round, w.load_kwh, w.stress, w.stress = 'Medium' AS medium, CASE WHEN w.load_kwh IS NULL THEN 'missing' WHEN r.round = 0 THEN 'baseline' ELSE 'attempt_trace' END AS source
-    FROM (SELECT DISTINCT run, zone, "window" FROM window_rounds) g CROSS JOIN (SELECT unnest(range(4)) AS round) r LEFT JOIN window_rounds w ON w.run = g.run AND w.zone = g.zone AND w."window" = g."window" AND w.round = r.round),
-steps AS (SELECT *, lag(medium) OVER w AS previous_medium, min(CASE WHEN medium THEN round END) OVER w AS ft, min(CASE WHEN medium IS NULL THEN round END) OVER w AS fn, first_value(medium) OVER w AS baseline_medium FROM grid WINDOW w AS (PARTITION BY run, zone, "window" ORDER BY round)),
-entries AS (SELECT *, CASE WHEN known THEN ft END AS first_entry_round, CASE WHEN ft IS NOT NULL THEN true WHEN fn IS NULL THEN false END AS ever_medium FROM (SELECT *, CASE WHEN baseline_medium IS NULL THEN false WHEN baseline_medium THEN true ELSE coalesce(fn IS NULL OR ft < fn, false) END AS known FROM steps))"""
+_HISTORY = """SELECT *, CASE WHEN known THEN ft END AS first_entry_round, CASE WHEN ft IS NOT NULL THEN true WHEN fn IS NULL THEN false END AS ever_medium, CASE WHEN baseline_medium THEN false WHEN NOT baseline_medium THEN CASE WHEN ft IS NOT NULL THEN true WHEN fn IS NULL THEN false END END AS ever_newly_medium
+    FROM (SELECT *, CASE WHEN baseline_medium IS NULL THEN false WHEN baseline_medium THEN true ELSE coalesce(fn IS NULL OR ft < fn, false) END AS known
+    FROM (SELECT *, lag(medium) OVER w AS previous_medium, min(CASE WHEN medium THEN round END) OVER w AS ft, min(CASE WHEN medium IS NULL THEN round END) OVER w AS fn, first_value(medium) OVER w AS baseline_medium FROM {} WINDOW w AS (PARTITION BY run, zone, "window" ORDER BY round)))"""
+_GRID = f"""grid AS (SELECT run, zone, "window", round, CASE WHEN carried THEN fl ELSE load_kwh END AS load_kwh, CASE WHEN carried THEN fs ELSE stress END AS stress, CASE WHEN carried THEN fs ELSE stress END = 'Medium' AS medium, CASE WHEN carried THEN 'early_stop_carry' WHEN load_kwh IS NULL THEN 'missing' WHEN round = 0 THEN 'baseline' ELSE 'attempt_trace' END AS source
+    FROM (SELECT f.run, f.zone, f."window", r.round, w.load_kwh, w.stress, f.load_kwh AS fl, f.stress AS fs, w.run IS NULL AND f.status = 'success' AND f.attempts_used < f.attempt_limit AND r.round > f.attempts_used AS carried
+    FROM run_finals f CROSS JOIN (SELECT unnest(range(4)) AS round) r LEFT JOIN window_rounds w ON w.run = f.run AND w.zone = f.zone AND w."window" = f."window" AND w.round = r.round)),
+entries AS ({_HISTORY.format("grid")}),
+ending AS (SELECT g.run, g.zone, g."window", g.round, CASE WHEN g.round = attempts_used AND attempts_used > 0 THEN f.stress = 'Medium' ELSE medium END AS medium, f.load_kwh, f.stress, f.stress = 'Medium' AS final_medium, attempts_used
+    FROM grid g JOIN run_finals f USING (run, zone, "window") WHERE g.round <= attempts_used),
+finals AS (SELECT run, zone, "window", round, load_kwh, stress, final_medium AS medium, 'final_windows' AS source, previous_medium, baseline_medium, first_entry_round, known, ever_medium, ever_newly_medium FROM ({_HISTORY.format("ending")}) WHERE round = attempts_used)"""
 _WK = ["run", "zone", "window"]
 
 
+def grid(spark, d):
+    """Window rounds with gaps as unknown and final windows carried on after an early stop; and the final windows."""
+    rows = X.window_rounds(spark, d)
+    finals = X.run_finals(rows)
+    return E.round_grid(rows.select(*_WK, "round", "load_kwh", "stress"), _WK, 3, finals), finals
+
+
 def rounds(spark, d):
-    """Window rounds with gaps as unknown, history fields and the baseline's state."""
+    """The grid with history fields and the baseline's state."""
+    return with_baseline(E.history_fields(grid(spark, d)[0], _WK))
+
+
+def with_baseline(rows):
     from pyspark.sql import Window
 
-    rows = E.history_fields(E.round_grid(X.window_rounds(spark, d).select(*_WK, "round", "load_kwh", "stress"), _WK, 3), _WK)
-    base = F.first("medium").over(Window.partitionBy(*_WK).orderBy("round"))
-    return rows.withColumn("baseline_medium", base)
+    return rows.withColumn("baseline_medium", F.first("medium").over(Window.partitionBy(*_WK).orderBy("round")))
 
 
-@query("win_round_rows", 'SELECT run, zone, "window", round, load_kwh, stress, medium, source FROM grid', f"{X.ROUNDS}, {_GRID}")
+@query("win_round_rows", """SELECT run, zone, "window", CASE WHEN round = 0 THEN 'baseline' ELSE 'round' END AS phase, round, load_kwh, stress, medium, source FROM grid
+    UNION ALL SELECT run, zone, "window", 'final', round, load_kwh, stress, medium, source FROM finals""", f"{X.ROUNDS}, {_GRID}")
 def round_rows(spark, d):
-    return E.round_grid(X.window_rounds(spark, d).select(*_WK, "round", "load_kwh", "stress"), _WK, 3)
+    rows, finals = grid(spark, d)
+    shown = [*_WK, "phase", "round", "load_kwh", "stress", "medium", "source"]
+    phase = F.when(_C("round") == 0, "baseline").otherwise("round")
+    return rows.withColumn("phase", phase).select(*shown).unionByName(E.final_rows(rows, _WK, finals).withColumn("phase", F.lit("final")).select(*shown))
+
 
+_ENTRY = "previous_medium, first_entry_round, known AS first_entry_known, ever_medium, ever_newly_medium"
 
-@query("win_first_entry", 'SELECT run, zone, "window", round, previous_medium, first_entry_round, known AS first_entry_known, ever_medium, CASE WHEN baseline_medium THEN false WHEN NOT baseline_medium THEN ever_medium END AS ever_newly_medium FROM entries', f"{X.ROUNDS}, {_GRID}")
+
+@query("win_first_entry", f"""SELECT run, zone, "window", CASE WHEN round = 0 THEN 'baseline' ELSE 'round' END AS phase, round, {_ENTRY} FROM entries UNION ALL SELECT run, zone, "window", 'final', round, {_ENTRY} FROM finals""", f"{X.ROUNDS}, {_GRID}")
 def first_entry(spark, d):
-    return rounds(spark, d).select(*_WK, "round", "previous_medium", "first_entry_round", "first_entry_known", "ever_medium", "ever_newly_medium")
+    rows, finals = grid(spark, d)
+    shown = [*_WK, "phase", "round", "previous_medium", "first_entry_round", "first_entry_known", "ever_medium", "ever_newly_medium"]
+    phase = F.when(_C("round") == 0, "baseline").otherwise("round")
+    last = E.final_rows(rows, _WK, finals).withColumn("phase", F.lit("final"))
+    return E.history_fields(rows, _WK).withColumn("phase", phase).select(*shown).unionByName(last.select(*shown))
 
 
 _ALL = "CASE WHEN bool_or(NOT {0}) THEN false WHEN count(*) > count({0}) THEN NULL ELSE true END"
@@ -166,11 +201,8 @@ def usage_summary(spark, d):
 
 @query("agg_usage_tables", " UNION ALL ".join(f"SELECT '{k}' AS level, CAST({k} AS VARCHAR) AS key, {_USE} FROM complete GROUP BY {k}" for k in ("agent", "attempt", "step")), _VIEWS, _USE_DOUBLES)
 def usage_tables(spark, d):
-    out = None
-    for k in ("agent", "attempt", "step"):
-        part = E.usage_summary(X.agent_calls(spark, d), [k]).withColumnRenamed(k, "key").withColumns({"level": F.lit(k), "key": _C("key").cast("string")})
-        out = part if out is None else out.unionByName(part)
-    return out
+    """All levels in one pass."""
+    return E.usage_summary(E.at_levels(X.agent_calls(spark, d), {k: [k] for k in ("agent", "attempt", "step")}), ["level", "key"])
 
 
 _CACHE_OK = "bool_and(u IS NOT NULL AND token_usage_complete)"
@@ -266,7 +298,7 @@ def paired_summary(spark, d):
     return E.paired_summary(runs, E.batch_pairs(runs))
 
 
-@query("agg_pairing_signature", """SELECT run, sha256(array_to_string(list_sort(list(sha256('{"zone":' || zone || ',"window":' || "window" || ',"key":' || key || '}'))), chr(10))) AS signature, count(*) AS rows FROM window_rounds GROUP BY run""", X.ROUNDS)
+@query("agg_pairing_signature", """SELECT run, sha256(string_agg(h, chr(10) ORDER BY part)) AS signature, CAST(sum(n) AS BIGINT) AS rows FROM (SELECT run, substr(h, 1, 2) AS part, sha256(string_agg(h, chr(10) ORDER BY h)) AS h, count(*) AS n FROM (SELECT run, sha256('{"zone":' || zone || ',"window":' || "window" || ',"key":' || key || '}') AS h FROM window_rounds) GROUP BY run, part) GROUP BY run""", X.ROUNDS)
 def pairing_signature(spark, d):
     return E.signatures(X.window_rounds(spark, d), ["run"], ["zone", "window", "key"])
 
@@ -293,17 +325,22 @@ def price_comparison(spark, d):
     return rows.groupBy(_C("l_returnflag").alias("category"), _C("l_suppkey").alias("zone_id")).agg(F.count("*").alias("windows"), F.count_if(near).alias("within_8_pct"), (F.count_if(near) * 100.0 / F.count("*")).alias("accuracy_pct"), F.avg("l_discount").alias("mean_predicted"), F.avg("l_tax").alias("mean_baseline"))
 
 
-@query("job_window_evaluation", """SELECT run, count(*) AS windows, count(*) FILTER (round = 3 AND medium) AS final_medium, count(*) FILTER (round = 3 AND NOT baseline_medium AND medium) AS newly_medium, count(*) FILTER (round = 3 AND known AND first_entry_round IS NOT NULL) AS entered FROM entries GROUP BY run""", f"{X.ROUNDS}, {_GRID}")
+@query("job_window_evaluation", """SELECT run, count(*) AS windows, count(*) FILTER (medium) AS final_medium, count(*) - count(medium) AS final_unknown, count(*) FILTER (NOT baseline_medium AND medium) AS newly_medium, count(*) FILTER (known AND first_entry_round IS NOT NULL) AS entered, count(*) FILTER (ever_medium AND NOT medium) AS ever_medium_final_exit,
+    CAST(sum(carried) AS BIGINT) AS carried_rounds FROM finals JOIN (SELECT run, zone, "window", count(*) FILTER (source = 'early_stop_carry') AS carried FROM grid GROUP BY ALL) USING (run, zone, "window") GROUP BY run""", f"{X.ROUNDS}, {_GRID}")
 def window_evaluation(spark, d):
-    """Nested results per run, read back flat, to outcomes."""
+    """Nested results per run, read back flat, to outcomes: rounds with early stops carried on, then final windows."""
     rows = X.window_rounds(spark, d)
     nested = rows.groupBy("run", "zone").agg(F.collect_list(F.struct("window", "round", "load_kwh", "stress")).alias("windows")).groupBy("run").agg(F.collect_list(F.struct("zone", "windows")).alias("zones"))
     flat = nested.select("run", F.explode_outer("zones").alias("z")).select("run", "z.zone", F.explode_outer("z.windows").alias("w")).select("run", "zone", "w.*")
-    from pyspark.sql import Window
-
-    known = E.history_fields(E.round_grid(flat, _WK, 3), _WK).withColumn("baseline_medium", F.first("medium").over(Window.partitionBy(*_WK).orderBy("round")))
-    last = _C("round") == 3
-    return known.groupBy("run").agg(F.count("*").alias("windows"), F.count_if(last & _C("medium")).alias("final_medium"), F.count_if(last & ~_C("baseline_medium") & _C("medium")).alias("newly_medium"), F.count_if(last & _C("first_entry_known") & _C("first_entry_round").isNotNull()).alias("entered"))
+    finals = X.run_finals(flat)
+    every = E.round_grid(flat, _WK, 3, finals)
+    last = E.final_rows(every, _WK, finals)
+    starts = every.groupBy(*_WK).agg(F.max(F.when(_C("round") == 0, _C("medium"))).alias("baseline_medium"), F.count_if(_C("source") == "early_stop_carry").alias("carried"))
+    m, b = _C("medium"), _C("baseline_medium")
+    return last.join(starts, _WK).groupBy("run").agg(
+        F.count("*").alias("windows"), F.count_if(m).alias("final_medium"), F.count_if(m.isNull()).alias("final_unknown"), F.count_if(~b & m).alias("newly_medium"),
+        F.count_if(_C("first_entry_known") & _C("first_entry_round").isNotNull()).alias("entered"), F.count_if(_C("ever_medium") & ~m).alias("ever_medium_final_exit"), F.sum("carried").alias("carried_rounds"),
+    )
 
 
 @query("fn_content_fingerprint")

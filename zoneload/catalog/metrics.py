@@ -9,7 +9,7 @@ from ..session import shared_folder
 from ..streaming import metrics as M
 
 _C = F.col
-_SUMMARY = """SELECT *, CASE WHEN scrapes = 720 AND resets = 0 THEN b - a END AS delta FROM (SELECT name, count(value) AS samples, avg(value) AS mean, min(value) AS minimum, max(value) AS maximum, sum(CASE WHEN adjacent THEN CASE WHEN step < 0 THEN value ELSE step END END) AS known_delta, count(*) FILTER (adjacent AND step < 0) AS resets, count(DISTINCT scrape_index) AS scrapes, arg_min(value, scrape_index) AS a, arg_max(value, scrape_index) AS b
+_SUMMARY = """SELECT *, CASE WHEN scrapes = 720 AND resets = 0 THEN b - a END AS delta FROM (SELECT name, count(value) AS samples, avg(value) AS mean, min(value) AS minimum, max(value) AS maximum, sum(CASE WHEN adjacent AND step >= 0 THEN step END) AS known_delta, count(*) FILTER (step < 0) AS resets, count(DISTINCT scrape_index) AS scrapes, arg_min(value, scrape_index) AS a, arg_max(value, scrape_index) AS b
     FROM (SELECT *, scrape_index = lag(scrape_index) OVER w + 1 AS adjacent, value - lag(value) OVER w AS step FROM {0} WINDOW w AS (PARTITION BY name ORDER BY scrape_index)) GROUP BY name)"""
 
 
@@ -53,9 +53,12 @@ def stream_state(spark, d):
     return out.groupBy("name").agg(*[F.max_by(c, "batch").alias(c) for c in out.columns if c not in ("name", "batch")])
 
 
-@query("src_metric_text", "SELECT name || '_total' AS name, scrape_index, name AS kind, 'say \"hi\"' AS quoted, 'counter' AS type, value FROM metric_samples", X.SCRAPES, "value")
+@query("src_metric_text", """SELECT name || x AS name, scrape_index, name AS kind, 'say "hi"' AS quoted, CASE WHEN x = '_created' THEN 'gauge' ELSE 'counter' END AS type, name AS family, substr(x, 2) AS component, CASE WHEN x = '_total' THEN value ELSE 1 END AS value
+    FROM metric_samples, (SELECT unnest(['_total', '_created']) AS x)""", X.SCRAPES, "value")
 def metric_text(spark, d):
-    line = F.concat(F.lit("# TYPE "), "name", F.lit("_total counter\n"), _C("name"), F.lit('_total{kind="'), _C("name"), F.lit('",quoted="say \\"hi\\""} '), _C("value").cast("string"), F.lit("\n"), F.lit("odd{x=\"1\"} NaN\n"))
+    """Text of a counter family with an exemplar, a time stamp and a value that isn't a number, back to samples."""
+    labels = F.concat(F.lit('{kind="'), "name", F.lit('", quoted="say \\"hi\\"",} '))
+    line = F.concat(F.lit("# HELP x {\n# TYPE "), "name", F.lit(" counter\n"), "name", F.lit("_total"), labels, _C("value").cast("string"), F.lit(' 1700000000 # {id="7"} 1\n'), _C("name"), F.lit("_created"), labels, F.lit('1\nodd{x="1"} NaN\n'))
     rows = X.metric_samples(spark, d).select("scrape_index", line.alias("text"))
     got = metric_lines(rows).where("name <> 'odd'")
-    return got.select("name", "scrape_index", _C("labels")["kind"].alias("kind"), _C("labels")["quoted"].alias("quoted"), "type", "value")
+    return got.select("name", "scrape_index", _C("labels")["kind"].alias("kind"), _C("labels")["quoted"].alias("quoted"), "type", "family", "component", "value")

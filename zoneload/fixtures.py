@@ -24,9 +24,9 @@ def hours(spark: SparkSession) -> DataFrame:
 
 
 def zone_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw hourly load and occupancy of 20 zones, with gaps."""
+    """Raw hourly load and occupancy, with gaps: a zone for each event type and 40 users, so zones grow with users."""
     events = table(spark, sf_dir, "events")
-    zone = F.concat_ws("-", "event_type", (F.col("user_id") % 4).cast("string")).alias("zone_id")
+    zone = F.concat_ws("-", "event_type", F.floor(F.col("user_id") / 40).cast("string")).alias("zone_id")
     load = F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("load_kwh")
     return events.groupBy(zone, truncated("hour", "ts").alias("timestamp")).agg(load, (F.sum(F.col("user_id") % 10) / F.count("*") / 10).alias("occupancy"))
 
@@ -76,36 +76,48 @@ def poi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def forecast_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Actual and predicted load by zone, time and model; copies of some rows come from another agent mode."""
+    """Actual and predicted load by zone, time and model, with intervals, origins and what is known of the training
+    period; copies of some rows come from another agent mode."""
+    k, line, predicted = F.col("l_orderkey"), F.col("l_linenumber"), F.round(F.col("l_quantity") * (1 + F.col("l_discount") - F.col("l_tax")), 4)
+    origin = truncated("week", "l_shipdate")
     rows = table(spark, sf_dir, "lineitem").select(
-        (F.col("l_suppkey") % 10).alias("zone"), F.col("l_shipdate").alias("time"), F.col("l_returnflag").alias("model"), F.col("l_linestatus").alias("batch"), F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("line"),
-        F.when(F.col("l_orderkey") % 19 == 0, F.lit(None)).when(F.col("l_orderkey") % 13 == 0, 0.0).otherwise(F.col("l_quantity")).alias("actual_kwh"),
-        F.round(F.col("l_quantity") * (1 + F.col("l_discount") - F.col("l_tax")), 4).alias("predicted_kwh"),
+        (F.col("l_suppkey") % 10).alias("zone"), F.col("l_shipdate").alias("time"), F.col("l_returnflag").alias("model"), F.col("l_linestatus").alias("batch"), k.alias("run"), line.alias("line"),
+        F.when(k % 19 == 0, F.lit(None)).when(k % 13 == 0, 0.0).otherwise(F.col("l_quantity")).alias("actual_kwh"), predicted.alias("predicted_kwh"),
+        F.when(k % 11 != 0, predicted * 0.95).alias("q10_kwh"), (predicted * 1.05).alias("q90_kwh"), origin.alias("origin"),
+        F.when(k % 4 != 3, (k % 40 == 1) & (F.col("l_returnflag") == "R")).alias("training_overlap"),
+        F.when((F.col("l_returnflag") != "N") | (k % 6 != 0), (origin - F.make_dt_interval(days=F.lit(1))).cast("timestamp_ntz")).alias("training_end"),
     )
     return rows.withColumn("agent_mode", F.lit("multi")).unionByName(rows.where("line = 1").withColumn("agent_mode", F.lit("single")))
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Saved runs: batch, mode, identity, signature; some missing, some twice, some inconsistent."""
-    k = F.col("k")
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).where("k < 600").select(
-        "k", (k % 3).alias("batch"), F.floor(k / 3 % 5).cast("long").alias("mode"), F.floor(k / 15 % 40).cast("long").alias("identity"),
-        F.when(k % 31 == 0, F.lit(None)).otherwise(F.floor(k / 15 % 40).cast("long") + F.when(k % 29 == 0, 1000).otherwise(0)).alias("signature"),
+    """A saved run per order: batch, mode, identity, signature. As customers order at will, identities have some modes
+    once, some several times and some not at all; some signatures are unknown or inconsistent."""
+    k, identity = F.col("o_orderkey"), F.col("o_custkey") * 4 + F.floor(F.col("o_orderkey") / 6).cast("long") % 4
+    return table(spark, sf_dir, "orders").select(
+        k.alias("k"), (k % 3).alias("batch"), F.floor(k / 3).cast("long").alias("__m"), identity.alias("identity"),
+        F.when(k % 31 == 0, F.lit(None)).otherwise(identity + F.when(k % 29 == 0, 1000).otherwise(0)).alias("signature"),
         F.when(k % 7 != 6, k % 7 > 1).alias("first_success"), F.when(k % 11 != 5, k % 11 > 2).alias("final_success"), F.when(k % 9 != 4, k * 10).alias("tokens"),
-    ).where("k % 17 <> 0")
-    return rows.unionByName(rows.where("k % 23 = 0"))
+    ).select("k", "batch", (F.col("__m") % 2).alias("mode"), "identity", "signature", "first_success", "final_success", "tokens")
 
 
 def window_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """run, zone, window, round (0: baseline) and the load of that round; some stress labels missing."""
-    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 40).alias("run"), (F.col("l_suppkey") % 5).alias("zone"), (F.col("l_partkey") % 8).alias("window"), (F.col("l_linenumber") % 4).alias("round"), "l_orderkey", "l_quantity", "l_extendedprice")
-    first = F.min(F.struct("l_orderkey", "l_extendedprice", "l_quantity"))
+    """run (eight orders each), zone, window, round (0: baseline), the load of all their items, the first order as key;
+    some stress labels are missing, and so are rounds without an item."""
+    cell = [F.floor(F.col("l_orderkey") / 8).cast("long").alias("run"), (F.col("l_suppkey") % 3).alias("zone"), (F.col("l_partkey") % 4).alias("window"), (F.col("l_linenumber") % 4).cast("long").alias("round")]
     position = F.col("load_kwh") * 2
-    return rows.groupBy("run", "zone", "window", "round").agg(first["l_quantity"].alias("load_kwh"), first["l_orderkey"].alias("key")).withColumn(
+    return table(spark, sf_dir, "lineitem").groupBy(*cell).agg(F.sum("l_quantity").alias("load_kwh"), F.min("l_orderkey").alias("key")).withColumn(
         "stress", F.when(F.col("key") % 10 == 3, F.lit(None)).when(position < 35, "Low").when(position < 80, "Medium").when(position < 90, "High").otherwise("Extremely High")
     )
 
 
+def run_finals(rounds: DataFrame) -> DataFrame:
+    """run, zone, window with the state of the last round, and the run's status and rounds: some stop early."""
+    last = F.max(F.struct("round", "load_kwh", "stress"))
+    got = rounds.groupBy("run", "zone", "window").agg(last.alias("l"))
+    return got.select("run", "zone", "window", F.when(F.col("run") % 5 < 3, "success").otherwise("fail").alias("status"), (F.col("run") % 4).alias("attempts_used"), F.lit(3).cast("long").alias("attempt_limit"), "l.load_kwh", "l.stress")
+
+
 def agent_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per call: tokens from text lengths, unknown for some."""
     n = F.length("text")
@@ -130,7 +142,7 @@ def metric_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _DAY, _HOUR = "extract(day FROM timestamp)", "extract(hour FROM timestamp)"
 HOURLY = """zone_hourly AS (
-    SELECT event_type || '-' || (user_id % 4) AS zone_id, date_trunc('hour', ts) AS timestamp,
+    SELECT event_type || '-' || (user_id // 40) AS zone_id, date_trunc('hour', ts) AS timestamp,
         CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS load_kwh, sum(user_id % 10) / count(*) / 10 AS occupancy
     FROM events GROUP BY ALL)"""
 SERIES = f"""{HOURLY},
@@ -151,21 +163,22 @@ poi AS (
     SELECT p_partkey AS poi_id, (['food and beverage services', 'business residence', 'lifestyle services', 'scenic spot'])[p_partkey % 4 + 1] AS primary_types,
         114 + (p_partkey * 61 % 997) / 997e0 AS longitude, 22 + (p_partkey * 29 % 991) / 991e0 AS latitude FROM part)"""
 SAMPLES = """base_samples AS (
-    SELECT l_suppkey % 10 AS zone, l_shipdate AS time, l_returnflag AS model, l_linestatus AS batch, l_orderkey AS run, l_linenumber AS line,
-        CASE WHEN l_orderkey % 19 = 0 THEN NULL WHEN l_orderkey % 13 = 0 THEN 0 ELSE l_quantity END AS actual_kwh, round(l_quantity * (1 + l_discount - l_tax), 4) AS predicted_kwh
-    FROM lineitem),
+    SELECT *, CASE WHEN run % 11 <> 0 THEN predicted_kwh * 0.95e0 END AS q10_kwh, predicted_kwh * 1.05e0 AS q90_kwh, CASE WHEN run % 4 <> 3 THEN run % 40 = 1 AND model = 'R' END AS training_overlap,
+        CASE WHEN model <> 'N' OR run % 6 <> 0 THEN origin - INTERVAL 1 DAY END AS training_end
+    FROM (SELECT l_suppkey % 10 AS zone, l_shipdate AS time, l_returnflag AS model, l_linestatus AS batch, l_orderkey AS run, l_linenumber AS line,
+            CASE WHEN l_orderkey % 19 = 0 THEN NULL WHEN l_orderkey % 13 = 0 THEN 0 ELSE l_quantity END AS actual_kwh, round(l_quantity * (1 + l_discount - l_tax), 4) AS predicted_kwh,
+            CAST(date_trunc('week', l_shipdate) AS TIMESTAMP) AS origin FROM lineitem)),
 forecast_samples AS (SELECT *, 'multi' AS agent_mode FROM base_samples UNION ALL SELECT *, 'single' FROM base_samples WHERE line = 1)"""
-RUNS = """base_runs AS (
-    SELECT o_orderkey AS k, o_orderkey % 3 AS batch, o_orderkey // 3 % 5 AS mode, o_orderkey // 15 % 40 AS identity,
-        CASE WHEN o_orderkey % 31 = 0 THEN NULL ELSE o_orderkey // 15 % 40 + CASE WHEN o_orderkey % 29 = 0 THEN 1000 ELSE 0 END END AS signature,
-        CASE WHEN o_orderkey % 7 <> 6 THEN o_orderkey % 7 > 1 END AS first_success, CASE WHEN o_orderkey % 11 <> 5 THEN o_orderkey % 11 > 2 END AS final_success,
-        CASE WHEN o_orderkey % 9 <> 4 THEN o_orderkey * 10 END AS tokens
-    FROM orders WHERE o_orderkey < 600 AND o_orderkey % 17 <> 0),
-runs AS (SELECT * FROM base_runs UNION ALL SELECT * FROM base_runs WHERE k % 23 = 0)"""
+RUNS = """runs AS (
+    SELECT k, k % 3 AS batch, k // 3 % 2 AS mode, identity, CASE WHEN k % 31 = 0 THEN NULL ELSE identity + CASE WHEN k % 29 = 0 THEN 1000 ELSE 0 END END AS signature,
+        CASE WHEN k % 7 <> 6 THEN k % 7 > 1 END AS first_success, CASE WHEN k % 11 <> 5 THEN k % 11 > 2 END AS final_success, CASE WHEN k % 9 <> 4 THEN k * 10 END AS tokens
+    FROM (SELECT o_orderkey AS k, o_custkey * 4 + o_orderkey // 6 % 4 AS identity FROM orders))"""
 ROUNDS = """window_rounds AS (
     SELECT *, CASE WHEN key % 10 = 3 THEN NULL WHEN load_kwh * 2 < 35 THEN 'Low' WHEN load_kwh * 2 < 80 THEN 'Medium' WHEN load_kwh * 2 < 90 THEN 'High' ELSE 'Extremely High' END AS stress
-    FROM (SELECT l_orderkey % 40 AS run, l_suppkey % 5 AS zone, l_partkey % 8 AS "window", l_linenumber % 4 AS round,
-            arg_min(l_quantity, (l_orderkey, l_extendedprice, l_quantity)) AS load_kwh, min(l_orderkey) AS key FROM lineitem GROUP BY ALL))"""
+    FROM (SELECT l_orderkey // 8 AS run, l_suppkey % 3 AS zone, l_partkey % 4 AS "window", CAST(l_linenumber % 4 AS BIGINT) AS round, sum(l_quantity) AS load_kwh, min(l_orderkey) AS key FROM lineitem GROUP BY ALL)),
+run_finals AS (
+    SELECT run, zone, "window", CASE WHEN run % 5 < 3 THEN 'success' ELSE 'fail' END AS status, run % 4 AS attempts_used, 3 AS attempt_limit, l.load_kwh AS load_kwh, l.stress AS stress
+    FROM (SELECT run, zone, "window", arg_max({'load_kwh': load_kwh, 'stress': stress}, round) AS l FROM window_rounds GROUP BY ALL))"""
 CALLS = """agent_calls AS (
     SELECT conv_id AS run, turn AS step, role AS agent, turn % 3 AS attempt, CASE WHEN turn % 7 <> 6 THEN length(text) END AS prompt_tokens,
         CASE WHEN turn % 7 <> 6 THEN length(text) // 2 END AS completion_tokens,

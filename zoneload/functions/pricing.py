@@ -13,8 +13,9 @@ BASES = [(("residential",), 0.45), (("commercial", "mall"), 0.32), (("cbd", "off
 OTHER_BASE = 0.28
 
 
-def elasticity(category: Column, occupancy: Column, rain: Column) -> Column:
-    """Base by category, lowered by occupancy (share or percent) and rain, within the limits."""
+def elasticity(category: Column, occupancy: Column, rain: Column, rain_hours: Column | None = None, of_window: Column | None = None, of_behaviour: Column | None = None) -> Column:
+    """The window's own value, else the reported behaviour's, without sign; else a base by category, lowered by occupancy
+    (share or percent) and rain (the window's, else the zone's rain hours). Always within the limits."""
     name, base = F.lower(F.coalesce(category, F.lit(""))), None
     for words, value in BASES:
         found = F.lit(False)
@@ -23,8 +24,10 @@ def elasticity(category: Column, occupancy: Column, rain: Column) -> Column:
         base = F.when(found, value) if base is None else base.when(found, value)
     share = F.coalesce(F.when(occupancy > 1, occupancy / 100).otherwise(occupancy), F.lit(0.0))
     factor = 1 - 0.25 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), share))
-    wet = F.when(F.coalesce(rain, F.lit(0.0)) > 0, 0.85).otherwise(1.0)
-    return F.least(F.lit(MOST), F.greatest(F.lit(LEAST), base.otherwise(OTHER_BASE) * factor * wet))
+    known = [c for c in (rain, rain_hours) if c is not None]
+    wet = F.when(F.coalesce(*known, F.lit(0.0)) > 0, 0.85).otherwise(1.0)
+    given = [F.abs(c) for c in (of_window, of_behaviour) if c is not None]
+    return F.least(F.lit(MOST), F.greatest(F.lit(LEAST), F.coalesce(*given, base.otherwise(OTHER_BASE) * factor * wet)))
 
 
 def shift_to_medium(load: Column, low: Column, high: Column, sensitivity: Column, suggested: Column) -> Column:

@@ -7,16 +7,18 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_MIDNIGHT = r"^\s*(\d{4}[-/]\d{1,2}[-/]\d{1,2})[ T]24:00(?::00(?:\.0+)?)?\s*$"
-
-
 def datetime_24h(text: Column, strict: bool = False) -> Column:
-    """A wall-clock time; exactly 24:00 is the next midnight. Other text is null, or fails if ``strict``."""
-    day = F.replace(F.nullif(F.regexp_extract(text, _MIDNIGHT, 1), F.lit("")), F.lit("/"), F.lit("-"))
+    """A wall-clock time; exactly 24:00 is the next midnight, and a zone behind it is passed over as in any other time.
+    Other text is null, or fails if ``strict``."""
     plain = F.replace(F.trim(text), F.lit("/"), F.lit("-"))
+    parts = F.split(F.translate(plain, "T", " "), " ")
+    clock = F.regexp_replace(parts[1], "(Z|[+-][0-9:]+)$", "")
+    fraction = F.split(clock, r"\.")
+    whole = fraction[0].isin("24:00", "24:00:00") & ((F.size(fraction) == 1) | (fraction[0] == "24:00:00") & fraction[1].rlike("^0+$"))
+    midnight = (F.size(parts) == 2) & F.coalesce(whole, F.lit(False))
     parsed = plain.cast("timestamp_ntz") if strict else plain.try_cast("timestamp_ntz")
-    next_day = F.date_add(day.cast("date") if strict else day.try_cast("date"), 1).cast("timestamp_ntz")
-    return F.when(day.isNotNull(), next_day).otherwise(parsed)
+    day = parts[0].cast("date") if strict else parts[0].try_cast("date")
+    return F.when(midnight, F.date_add(day, 1).cast("timestamp_ntz")).otherwise(parsed)
 
 
 def time_identity(text: Column) -> Column:

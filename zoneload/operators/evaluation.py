@@ -11,30 +11,59 @@ from ..functions.scalars import all_known, any_known, cache_usage
 
 
 def pooled_errors(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Pooled errors by group over finite rows, with their counts; zero actual loads are left out of MAPE only.
+    """Pooled errors by group over finite rows, with their counts, totals and bias; zero actual loads are left out of
+    MAPE only. RAE's denominator needs each group's mean first; it joins by group.
 
-    RAE's denominator needs each group's mean first; it joins by the group's few rows.
+    Where the samples have them: ``q10_kwh`` and ``q90_kwh`` give the share of actual loads inside (rows with all three
+    known); ``training_overlap`` and ``training_end`` (with ``origin``) the counts of what is known, and whether the
+    group is out of sample: false if any row overlaps or has an origin before its training's end, else true if every
+    row has both dates, else unknown. ``copies`` (removed ones of a row) are summed up.
     """
     a, p = F.col("actual_kwh"), F.col("predicted_kwh")
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
-    fine = F.coalesce(finite(a) & finite(p), F.lit(False))
-    rows = samples.withColumn("fine", fine)
+    rows = samples.withColumn("fine", F.coalesce(finite(a) & finite(p), F.lit(False)))
     named = [F.col(k).alias(f"__{k}") for k in keys]
     means = rows.where("fine").groupBy(*named).agg(F.avg(a).alias("mean_actual"))
     on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
     both = rows.join(means, on, "left") if keys else rows.crossJoin(F.broadcast(means))
     valid = lambda c: F.when(F.col("fine"), c)
     error, size = valid(F.abs(a - p)), valid(F.abs(a))
-    nonzero = size > 1e-9
+    nonzero, spread = size > 1e-9, F.sum(valid(F.abs(a - F.col("mean_actual"))))
+    total, guess = F.sum(valid(a)), F.sum(valid(p))
+    extra = []
+    if {"q10_kwh", "q90_kwh"} <= set(samples.columns):
+        low, high = F.col("q10_kwh"), F.col("q90_kwh")
+        known = finite(a) & finite(low) & finite(high)
+        extra.append((F.avg(F.when(known, ((a >= low) & (a <= high)).cast("double"))) * 100).alias("interval_coverage_pct"))
+    if {"training_overlap", "training_end", "origin"} <= set(samples.columns):
+        overlap, dates = F.col("training_overlap"), F.col("origin").isNotNull() & F.col("training_end").isNotNull()
+        inside = F.coalesce(overlap, F.lit(False)) | (dates & (F.col("origin") < F.col("training_end")))
+        extra += [
+            F.count_if(overlap).alias("training_overlap_count"), F.count(overlap).alias("training_known_count"), F.count_if(overlap.isNull()).alias("training_unknown_count"),
+            F.when(F.bool_or(inside), False).when(F.bool_and(dates), True).alias("out_of_sample"),
+        ]
+    if "copies" in samples.columns:
+        extra.append(F.sum("copies").alias("copies_removed"))
     return both.groupBy(*keys).agg(
         F.count("*").alias("n_total"), F.count_if("fine").alias("n"), F.count_if(nonzero).alias("n_mape"), F.avg(error).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"),
-        F.when(F.sum(valid(F.abs(a - F.col("mean_actual")))) > 1e-9, F.try_divide(F.sum(error), F.sum(valid(F.abs(a - F.col("mean_actual")))))).alias("rae"),
+        F.when(spread > 1e-9, F.try_divide(F.sum(error), spread)).alias("rae"),
         (F.avg(F.when(nonzero, F.try_divide(error, size))) * 100).alias("mape_pct"), F.when(F.sum(size) > 1e-9, F.try_divide(F.sum(error), F.sum(size)) * 100).alias("wape_pct"),
+        total.alias("actual_total_kwh"), guess.alias("predicted_total_kwh"), F.when(total != 0, F.try_divide(guess - total, total) * 100).alias("bias_pct"), *extra,
     )
 
 
+def at_levels(rows: DataFrame, levels: dict[str, Sequence[str]]) -> DataFrame:
+    """Each row once for every level, with the level's name and its key (the values of its columns, joined by /), so that
+    one grouping serves all levels."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    entries = [F.struct(F.lit(level).alias("level"), F.concat_ws("/", *[text(c) for c in columns]).alias("key")) for level, columns in levels.items()]
+    return rows.withColumn("__level", F.explode(F.array(*entries))).withColumns({"level": F.col("__level.level"), "key": F.col("__level.key")}).drop("__level")
+
+
 def deduplicated(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return samples.dropDuplicates(list(keys))
+    """One row for each of the keys, and how many ``copies`` of it were removed."""
+    rest = [c for c in samples.columns if c not in keys]
+    return samples.groupBy(*keys).agg(*[F.any_value(c).alias(c) for c in rest], (F.count("*") - 1).alias("copies"))
 
 
 def conflicts(samples: DataFrame, identity: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -156,19 +185,27 @@ def usage_columns(calls: DataFrame) -> DataFrame:
     return calls.select("*", complete.alias("complete"), *[c.alias(f"u_{n}") for n, c in cache.items()])
 
 
-def _usage_aggregates(complete: Column) -> list[Column]:
-    out = [F.count("*").alias("calls"), F.bool_and("complete").alias("token_usage_complete"), F.count_if(~F.col("complete")).alias("incomplete_rows")]
-    for t in TOKENS:
-        out += [
-            F.when(complete, F.sum(t)).alias(t), F.sum(t).alias(f"known_{t}"), F.when(complete, F.avg(t)).alias(f"mean_{t}"),
-            F.when(complete, F.percentile(t, 0.5)).alias(f"median_{t}"), F.when(complete, F.percentile(t, 0.95)).alias(f"p95_{t}"), F.percentile(t, 0.95).alias(f"known_p95_{t}"),
-        ]
-    return out
-
-
 def usage_summary(calls: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Counts, totals and distributions of calls by group: totals are null unless every row is complete."""
-    return usage_columns(calls).groupBy(*keys).agg(*_usage_aggregates(F.bool_and("complete")))
+    """Counts, totals and distributions of calls by group: totals are null unless every row is complete.
+
+    Percentiles are of equal values' counts, so a group's rows are never gathered.
+    """
+    rows = usage_columns(calls)
+    sums = rows.groupBy(*keys).agg(
+        F.count("*").alias("calls"), F.bool_and("complete").alias("token_usage_complete"), F.count_if(~F.col("complete")).alias("incomplete_rows"),
+        *[f(t).alias(f"{n}_{t}") for t in TOKENS for n, f in (("known", F.sum), ("mean", F.avg))],
+    )
+    long = rows.select(*keys, *TOKENS).unpivot(list(keys), list(TOKENS), "__token", "__value").where("__value IS NOT NULL")
+    counts = long.groupBy(*keys, "__token", "__value").agg(F.count("*").alias("__n"))
+    middle = counts.groupBy(*keys).agg(*[F.percentile(F.when(F.col("__token") == t, F.col("__value")), [0.5, 0.95], F.col("__n")).alias(t) for t in TOKENS])
+    named = middle.select(*[F.col(k).alias(f"__{k}") for k in keys], *[F.col(t).alias(f"__{t}") for t in TOKENS])
+    out = sums.join(named, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left")
+    whole = lambda c: F.when(F.col("token_usage_complete"), c)
+    shown = [*keys, "calls", "token_usage_complete", "incomplete_rows"]
+    for t in TOKENS:
+        half, high = F.col(f"__{t}")[0], F.col(f"__{t}")[1]
+        shown += [whole(F.col(f"known_{t}")).alias(t), f"known_{t}", whole(F.col(f"mean_{t}")).alias(f"mean_{t}"), whole(half).alias(f"median_{t}"), whole(high).alias(f"p95_{t}"), high.alias(f"known_p95_{t}")]
+    return out.select(*shown)
 
 
 def cache_summary(calls: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -204,21 +241,27 @@ def mode_cohorts(runs: DataFrame, identity: str = "identity") -> DataFrame:
         F.when(F.col("n") > F.col("have"), "duplicate_mode").when(F.col("have") < F.col("modes"), "missing_mode")
         .when(F.col("unknown") > 0, "unknown_signature").when(F.col("signatures") > 1, "inconsistent_signature")
     )
-    return got.join(F.broadcast(modes), "batch").select("batch", identity, reason.isNull().alias("accepted"), reason.alias("reason"))
+    return got.join(modes, "batch").select("batch", identity, reason.isNull().alias("accepted"), reason.alias("reason"))
 
 
 def batch_pairs(runs: DataFrame) -> DataFrame:
-    """left_batch, right_batch, identity, mode, status of the pair's runs."""
+    """left_batch, right_batch, identity, mode, status of the pair's runs.
+
+    An identity and mode meets the pairs that one of its own batches is part of: its batches are gathered (at most as
+    many as there are batches) and combined with the others, so nothing is paired that has no run on either side.
+    """
     batches = runs.select("batch").distinct()
-    pairs = batches.select(F.col("batch").alias("left_batch")).crossJoin(batches.select(F.col("batch").alias("right_batch"))).where("left_batch < right_batch")
     one = runs.groupBy("batch", "identity", "mode").agg(F.count("*").alias("n"), F.max("signature").alias("s"), F.min("signature").isNull().alias("u"))
-    side = lambda name: F.broadcast(pairs).join(one.withColumnRenamed("batch", f"{name}_batch"), f"{name}_batch").select("left_batch", "right_batch", "identity", "mode", F.col("n").alias(f"{name}_n"), F.col("s").alias(f"{name}_s"), F.col("u").alias(f"{name}_u"))
-    both = side("left").join(side("right"), ["left_batch", "right_batch", "identity", "mode"], "full_outer")
+    every = batches.agg(F.sort_array(F.collect_set("batch")).alias("batches"))
+    cells = one.groupBy("identity", "mode").agg(F.map_from_entries(F.collect_list(F.struct("batch", F.struct("n", "s", "u")))).alias("runs"))
+    mine = cells.join(every).withColumn("left_batch", F.explode("batches")).withColumn("right_batch", F.explode(F.filter("batches", lambda b: b > F.col("left_batch"))))
+    left, right = F.try_element_at("runs", F.col("left_batch")), F.try_element_at("runs", F.col("right_batch"))
+    met = mine.withColumns({"l": left, "r": right}).where("l IS NOT NULL OR r IS NOT NULL")
     status = (
-        F.when(F.col("left_n").isNull() | F.col("right_n").isNull(), "missing").when((F.col("left_n") > 1) | (F.col("right_n") > 1), "ambiguous")
-        .when(F.col("left_u") | F.col("right_u"), "unknown").when(F.col("left_s") != F.col("right_s"), "inconsistent").otherwise("matched")
+        F.when(F.col("l").isNull() | F.col("r").isNull(), "missing").when((F.col("l.n") > 1) | (F.col("r.n") > 1), "ambiguous")
+        .when(F.col("l.u") | F.col("r.u"), "unknown").when(F.col("l.s") != F.col("r.s"), "inconsistent").otherwise("matched")
     )
-    return both.select("left_batch", "right_batch", "identity", "mode", status.alias("status"))
+    return met.select("left_batch", "right_batch", "identity", "mode", status.alias("status"))
 
 
 def paired_summary(runs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -231,9 +274,16 @@ def paired_summary(runs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def signatures(rows: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """A content hash per group that doesn't depend on the rows' order."""
+    """A content hash per group that doesn't depend on the rows' order.
+
+    Rows are dealt to 256 parts of their group by their own hash and hashed there, sorted; the group's hash is that of
+    its parts' hashes. So no task gathers a group whole.
+    """
     row = F.sha2(F.to_json(F.struct(*fields)), 256)
-    return rows.groupBy(*keys).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(row)), "\n"), 256).alias("signature"), F.count("*").alias("rows"))
+    dealt = rows.select(*keys, row.alias("__row")).withColumn("__part", F.substring("__row", 1, 2))
+    parts = dealt.groupBy(*keys, "__part").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("__row")), "\n"), 256).alias("__hash"), F.count("*").alias("__n"))
+    listed = F.sort_array(F.collect_list(F.struct("__part", "__hash")))
+    return parts.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(listed, lambda p: p["__hash"]), "\n"), 256).alias("signature"), F.sum("__n").alias("rows"))
 
 
 def expected_windows(observed: DataFrame, expected: DataFrame, key: Sequence[str]) -> DataFrame:

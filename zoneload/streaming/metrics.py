@@ -9,26 +9,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
-STATE = "n long, total double, low double, high double, first_index long, last_index long, first_value double, last_value double, known_delta double, resets long"
+STATE = "seen long, n long, total double, low double, high double, first_index long, last_index long, first_value double, last_value double, known_delta double, pairs long, resets long"
 SUMMARY = "samples long, mean double, minimum double, maximum double, known_delta double, resets long, scrapes long, delta double"
 
 
 def series_summary(samples: DataFrame, keys: Sequence[str], first: int, last: int) -> DataFrame:
     """Per series over scrapes ``first`` to ``last``: gauge statistics, and as a counter the delta.
 
-    ``known_delta`` sums adjacent scrapes' differences (a fall is a reset: the value after it counts). ``delta`` needs
-    every scrape and no reset.
+    A fall against the scrape before, missed ones in between or not, is a reset. ``known_delta`` sums the differences of
+    adjacent scrapes that don't fall; it is null without any. ``delta`` needs every scrape and no reset.
     """
     w = Window.partitionBy(*keys).orderBy("scrape_index")
     adjacent = F.col("scrape_index") == F.lag("scrape_index").over(w) + 1
     step = F.col("value") - F.lag("value").over(w)
-    rows = samples.withColumns({"reset": F.coalesce(adjacent & (step < 0), F.lit(False)), "step": F.when(adjacent, F.when(step < 0, F.col("value")).otherwise(step))})
+    rows = samples.withColumns({"reset": F.coalesce(step < 0, F.lit(False)), "step": F.when(adjacent & (step >= 0), step)})
     got = rows.groupBy(*keys).agg(
         F.count("value").alias("samples"), F.avg("value").alias("mean"), F.min("value").alias("minimum"), F.max("value").alias("maximum"),
         F.sum("step").alias("known_delta"), F.count_if("reset").alias("resets"), F.count_distinct("scrape_index").alias("scrapes"),
         F.min_by("value", "scrape_index").alias("a"), F.max_by("value", "scrape_index").alias("b"),
     )
-    whole = (F.col("scrapes") == last - first + 1) & (F.col("resets") == 0)
+    whole = (F.col("samples") == last - first + 1) & (F.col("scrapes") == last - first + 1) & (F.col("resets") == 0)
     return got.withColumn("delta", F.when(whole, F.col("b") - F.col("a"))).drop("a", "b")
 
 
@@ -46,19 +46,25 @@ def stream_summary(samples: DataFrame, key: str, value: str = "value") -> DataFr
     """
 
     def update(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, total, low, high, i0, i1, v0, v1, known, resets = state.get if state.exists else (0, 0.0, None, None, None, None, None, None, 0.0, 0)
+        seen, n, total, low, high, i0, i1, v0, v1, known, pairs, resets = state.get if state.exists else (0, 0, 0.0, None, None, None, None, None, None, 0.0, 0, 0)
         rows = pd.concat(list(batches)).sort_values("scrape_index")
         for index, v in zip(rows["scrape_index"].tolist(), rows[value].tolist(), strict=True):
             if i1 is not None and index <= i1:
                 continue
-            if i1 is not None and index == i1 + 1:
-                resets += v < v1
-                known += v if v < v1 else v - v1
+            v = None if v is None or v != v else v
+            if v is not None and v1 is not None:
+                if v < v1:
+                    resets += 1
+                elif index == i1 + 1:
+                    known, pairs = known + v - v1, pairs + 1
             if i0 is None:
-                i0, v0, low, high = index, v, v, v
-            n, total, low, high, i1, v1 = n + 1, total + v, min(low, v), max(high, v), index, v
-        state.update((n, total, low, high, i0, i1, v0, v1, known, int(resets)))
+                i0, v0 = index, v
+            if v is not None:
+                n, total, low, high = n + 1, total + v, v if low is None else min(low, v), v if high is None else max(high, v)
+            seen, i1, v1 = seen + 1, index, v
+        state.update((seen, n, total, low, high, i0, i1, v0, v1, known, pairs, resets))
         whole = resets == 0 and n == i1 - i0 + 1
-        yield pd.DataFrame({key: [name[0]], "samples": [n], "mean": [total / n], "minimum": [low], "maximum": [high], "known_delta": [known], "resets": [int(resets)], "scrapes": [n], "delta": [v1 - v0 if whole else None]})
+        got = {"samples": n, "mean": total / n if n else None, "minimum": low, "maximum": high, "known_delta": known if pairs else None, "resets": resets, "scrapes": seen, "delta": v1 - v0 if whole else None}
+        yield pd.DataFrame({key: [name[0]], **{k: [v] for k, v in got.items()}})
 
     return samples.groupBy(key).applyInPandasWithState(update, f"{key} string, {SUMMARY}", STATE, "update", "NoTimeout")
