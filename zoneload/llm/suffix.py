@@ -48,6 +48,8 @@ KEY_BYTES = 1 << 20
 #: What a key without a weight of its own counts for in a group: a passage has mostly no more bytes.
 _PASSAGE_BYTES = 128
 _DEPTH = 56
+#: Suffixes of longer runs of one byte are induced a run at a time.
+_SHORT_RUN = 6
 #: The documents' group, under a name that their own columns won't have.
 _GROUP = "__zoneload_group"
 _UPPER = ~U(0xFFFF)
@@ -146,13 +148,19 @@ def two_stage(data: np.ndarray) -> np.ndarray:
     waiting[data[-1]].append(np.array([n - 1]))
     out = []
     for c in range(256):
-        repeat = np.concatenate(waiting[c]) if waiting[c] else np.zeros(0, np.int64)
+        parts, repeat = [], np.concatenate(waiting[c]) if waiting[c] else np.zeros(0, np.int64)
         waiting[c] = []
-        # Suffixes cc... follow from those with one c less: whole runs, the shorter suffixes first.
-        length = repeat - begins[np.searchsorted(begins, repeat, "right") - 1] + 1
-        back = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-        order = np.argsort(back, kind="stable")
-        suffixes = np.concatenate([(np.repeat(repeat, length) - back)[order], direct[bounds[c] : bounds[c + 1]]])
+        while len(repeat):  # suffixes cc... follow from those with one c less
+            if len(parts) == _SHORT_RUN:  # what is left are long runs: each at once, its shorter suffixes first
+                length = repeat - begins[np.searchsorted(begins, repeat, "right") - 1] + 1
+                back = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+                parts.append((np.repeat(repeat, length) - back)[np.argsort(back, kind="stable")])
+                break
+            parts.append(repeat)
+            before = repeat[repeat > 0] - 1
+            repeat = before[(data[before] == c) & ~smaller[before]]
+        parts.append(direct[bounds[c] : bounds[c + 1]])
+        suffixes = np.concatenate(parts)
         out.append(suffixes)
         before = suffixes[suffixes > 0] - 1
         before = before[(data[before] > c) & ~smaller[before]]
