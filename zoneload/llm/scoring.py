@@ -3,8 +3,8 @@
 A token's probability is that of its class in the context, times that of its group within the class, times that of
 its subgroup within the group, times that of the word within the subgroup. The class (32, by a hash of a word's last
 bytes; the end has its own) and the two further factors (16 values each, by a hash of the word) are softmaxes over a
-trained bias and weights of hashed features: the word before, the two words before, the word before last (a skip),
-and the classes of the four words before. In the further factors features are hashed together with the class and
+trained bias and weights of hashed features: the word before, the word before last (a skip), and the classes of the
+four words before. In the further factors features are hashed together with the class and
 group so far, so contexts weigh words within their class. The 8192 subgroups hold a few words each; there, a word has
 its count, plus one, over all training documents.
 
@@ -14,7 +14,7 @@ Weights: in each round the training documents of one part of the corpus are read
 steps on its own documents from the shared weights. The changes are averaged in two levels, each row of a table by
 how much of its gradient a task has seen, so that what few tasks have met isn't averaged away. All training documents
 are read once. Rows per table grow with the bytes of text, from 2^13 to 2^15, so the weights that are broadcast are
-bounded by 34 MB. Documents are scored in blocks of arrays, whole texts each.
+bounded by 26 MB. Documents are scored in blocks of arrays, whole texts each.
 
 Cases: a null text is empty and has the end alone; a row without id is learned from and not held out; repeated
 rows are learned from and scored each by itself; with no training document every count is 0 and the values of
@@ -36,10 +36,10 @@ from ._util import checkpoint, crc_mod, dealt_by, groups_for, text_bytes
 
 #: Bits of the factors: class, group, subgroup.
 BITS = (5, 4, 4)
-CLASSES, LEAVES, FEATURES, ROUNDS = 1 << BITS[0], 1 << sum(BITS), 4, 2
+CLASSES, LEAVES, FEATURES, ROUNDS = 1 << BITS[0], 1 << sum(BITS), 3, 2
 STEP_TOKENS, RATE, SCALE, PRIOR = 8192, 0.25, 0.3, 0.1
 #: Rows of a table: one for so many bytes of text, within bounds.
-ROW_BYTES, LEAST_ROWS, MOST_ROWS = 1 << 15, 1 << 13, 1 << 15
+ROW_BYTES, LEAST_ROWS, MOST_ROWS = 1 << 16, 1 << 13, 1 << 15
 GROUP_BYTES, TASK_BYTES = 8 << 20, 32 << 20
 #: Rows of a table that are averaged together, and the tasks of the first level.
 SLICE, LEVEL = 1 << 12, 16
@@ -61,7 +61,7 @@ def tokens(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def contexts(hashes: np.ndarray, leaf: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
-    """Each token's features: hashes of the word before, the two before, the one before last, four classes before."""
+    """Each token's features: hashes of the word before, the one before last, and the four classes before."""
     total = len(hashes)
     number = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
     one, two = np.zeros(total, U), np.zeros(total, U)
@@ -75,7 +75,7 @@ def contexts(hashes: np.ndarray, leaf: np.ndarray, counts: np.ndarray) -> list[n
         before[back:] = kind[:-back] if total > back else before[back:]
         before[number < back] = 0
         kinds = (kinds << np.uint32(6)) | before
-    return [mix(x) for x in (one + U(1), one * U(3) + mix(two + U(5)), two + U(9), kinds.astype(U) + U(1 << 40))]
+    return [mix(x) for x in (one + U(1), two + U(9), kinds.astype(U) + U(1 << 40))]
 
 
 def factor(leaf: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
