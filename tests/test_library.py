@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from zoneload import fixtures as X
 from zoneload.functions import bands, pricing
 from zoneload.functions import scalars as S
-from zoneload.functions.text import analyzed, metric_lines, response_object
+from zoneload.functions.text import analyzed, metric_lines, metric_samples, response_object
 from zoneload.operators import evaluation as E
 from zoneload.operators import features as A
 from zoneload.operators import prepare as P
@@ -36,9 +36,9 @@ def hourly(spark, zone, loads, start="2024-01-01"):
 
 
 def test_24_oclock(spark):
-    texts = ["2024-02-28 24:00", "2024/12/31 24:00:00", "2024-01-01 24:01", "2024-01-01 07:30", None, "soon"]
+    texts = ["2024-02-28 24:00", "2024/12/31 24:00:00", "2024-01-01 24:01", "2024-01-01 07:30", None, "soon", "2024-1-5T24:00Z", " 2024-01-05 24:00:00.000+0800 ", "2024-01-05 24:00:00.001", "2024-01-05 24:00.0", "2024-13-05 24:00"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    assert values(df.select(S.datetime_24h(F.col("t")).alias("x")), "x") == [at("2024-02-29"), at("2025-01-01"), None, at("2024-01-01T07:30"), None, None]
+    assert values(df.select(S.datetime_24h(F.col("t")).alias("x")), "x") == [at("2024-02-29"), at("2025-01-01"), None, at("2024-01-01T07:30"), None, None, at("2024-01-06"), at("2024-01-06"), None, None, None]
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         df.select(S.datetime_24h(F.col("t"), strict=True)).collect()
 
@@ -56,6 +56,73 @@ def test_prices(spark):
     assert [tuple(r) for r in got] == [(10.0, 1.1, True), (50.0, 3.0, True), (0.0, 3.0, True), (-110.0, -0.1, False), (-100.0, 0.0, True)]
 
 
+def test_elasticity(spark):
+    rows = [("Residential area", 0.4, None, 2.0, None, None), ("Office", 50.0, 0.0, 9.0, None, None), ("Office", 0.0, 0.0, 0.0, -0.33, 0.5), (None, None, None, None, None, -9.0), (None, None, None, None, None, None), ("x", 0.0, None, None, 0.001, None)]
+    df = spark.createDataFrame(rows, "c string, o double, r double, h double, w double, b double")
+    got = values(df.select(pricing.elasticity(*[F.col(c) for c in "corhwb"]).alias("e")), "e")
+    assert got == pytest.approx([0.45 * 0.9 * 0.85, 0.24 * 0.875, 0.33, 0.7, 0.28, 0.05])
+
+
+def test_price_reference_rounds_last(spark):
+    changes = spark.createDataFrame([(float(i) + 1e-9,) for i in range(21)], "change_pct double")
+    got = A.price_reference(changes).first()
+    assert (got.p95_pct, got.observations, got.nonzero_observations) == (19.0, 21, 21)
+    asked = spark.createDataFrame([(-5.0,), (25.0,), (None,), (0.25,)], "x double")
+    assert sorted((r.x or 0, r.percentile, r.exceeds_p95) for r in A.percentile_of(asked, "x", changes).collect()) == [(-5.0, round(600 / 21, 4), False), (0, None, None), (0.25, round(100 / 21, 4), False), (25.0, 100.0, True)]
+
+
+def test_running_total(spark):
+    r = np.random.default_rng(3)
+    rows = [(int(v), int(w)) for v, w in zip(r.integers(0, 40, 200), r.integers(0, 9, 200), strict=True)]
+    got = A.running_total(spark.createDataFrame(rows, "v long, w long").repartition(5), "v", "w", "upto").collect()
+    assert len(got) == 200 and all(g.upto == sum(w for v, w in rows if v <= g.v) for g in got)
+
+
+def test_even_origins_need_every_hour_of_every_zone(spark):
+    full = [1.0] * 24 * 12
+    series = hourly(spark, "a", full).unionByName(hourly(spark, "b", full))
+    pick = lambda s, n=2: [(r.pick, r.origin.day) for r in A.even_origins(s, n, 2, 1).orderBy("pick").collect()]
+    assert pick(series) == [(1, 6), (2, 9)]  # of the 3rd to the 12th
+    gap = series.where("NOT (zone_id = 'b' AND timestamp = timestamp_ntz'2024-01-08 13:00:00')")  # takes the 8th to the 10th
+    assert pick(gap) == [(1, 5), (2, 7)] and pick(gap, 8) == []
+
+
+def test_signatures_do_not_depend_on_order(spark):
+    rows = [("a", i, i * 0.5) for i in range(300)] + [("b", 1, None)]
+    df = spark.createDataFrame(rows, "k string, i long, v double")
+    one = {r.k: (r.signature, r["rows"]) for r in E.signatures(df, ["k"], ["i", "v"]).collect()}
+    assert one == {r.k: (r.signature, r["rows"]) for r in E.signatures(df.orderBy(F.desc("i")).repartition(3), ["k"], ["i", "v"]).collect()}
+    changed = df.withColumn("v", F.when(F.col("i") == 7, 0.0).otherwise(F.col("v")))
+    assert {r.k: r.signature for r in E.signatures(changed, ["k"], ["i", "v"]).collect()}["a"] != one["a"][0] and one["a"][1] == 300
+
+
+def test_response_of_nearly_constant_prices(spark):
+    """Prices that differ in the seventh digit only: sums of squares would lose what the slope is made of."""
+    rows = [("z", at("2024-01-01") + dt.timedelta(hours=i), 1000.0 - 3e4 * (i // 24 % 3) * 1e-4, 1e3 + (i // 24 % 3) * 1e-4) for i in range(24 * 9)]
+    series = spark.createDataFrame(rows, "zone_id string, timestamp timestamp_ntz, load_kwh double, energy_price double")
+    origins = spark.sql("SELECT timestamp_ntz'2024-01-10' AS origin")
+    got = C.price_response(C.at_origins(series, origins, -9, 0)).first()
+    assert got.slope == pytest.approx(-0.3 * got.mean_load / got.mean_price, rel=1e-6)  # a slope of -30000, bounded
+    flat = C.price_response(C.at_origins(series.withColumn("energy_price", F.lit(2.0)), origins, -9, 0)).first()
+    assert flat.slope == pytest.approx(-0.1 * flat.mean_load / 2, rel=1e-6)
+
+
+def test_pooled_errors_tell_provenance_and_coverage(spark):
+    day = dt.datetime
+    rows = [
+        ("in", 1.0, 2.0, 0.5, 1.5, day(2024, 1, 2), True, None), ("in", 3.0, 3.0, 3.5, 4.0, None, None, None),
+        ("early", 1.0, 1.0, None, 1.0, day(2024, 1, 2), None, day(2024, 1, 3)), ("out", 2.0, 1.0, 2.0, 2.0, day(2024, 1, 2), False, day(2024, 1, 2)), ("unknown", 2.0, 1.0, 0.0, 1.0, None, False, day(2024, 1, 2)),
+    ]
+    df = spark.createDataFrame(rows, "k string, actual_kwh double, predicted_kwh double, q10_kwh double, q90_kwh double, origin timestamp_ntz, training_overlap boolean, training_end timestamp_ntz")
+    got = {r.k: r for r in E.pooled_errors(df, ["k"]).collect()}
+    assert {k: r.out_of_sample for k, r in got.items()} == {"in": False, "early": False, "out": True, "unknown": None}
+    assert (got["in"].interval_coverage_pct, got["early"].interval_coverage_pct, got["out"].interval_coverage_pct) == (50.0, None, 100.0)
+    assert (got["in"].training_overlap_count, got["in"].training_known_count, got["in"].training_unknown_count) == (1, 1, 1)
+    assert (got["in"].actual_total_kwh, got["in"].predicted_total_kwh, got["in"].bias_pct) == (4.0, 5.0, 25.0)
+    levels = E.at_levels(df, {"k": ["k"], "all": []})
+    assert E.pooled_errors(levels, ["level", "key"]).where("level = 'all'").first().n_total == 5
+
+
 def test_three_valued(spark):
     df = spark.createDataFrame([("a", True), ("a", None), ("b", False), ("b", None), ("c", True)], "k string, f boolean")
     got = {r.k: (r.a, r.o) for r in df.groupBy("k").agg(S.all_known(F.col("f")).alias("a"), S.any_known(F.col("f")).alias("o")).collect()}
@@ -147,7 +214,7 @@ def test_unknown_totals(spark):
 
 
 def test_future_does_not_matter(spark):
-    series = X.zone_series(spark, SF).where("zone_id LIKE '%-1'")
+    series = X.zone_series(spark, SF).where("zone_id LIKE '%-0'")
     origins = spark.sql("SELECT timestamp_ntz'2024-01-22' AS origin")
     changed = series.withColumn("load_kwh", F.when(F.col("timestamp") >= F.lit("2024-01-22").cast("timestamp_ntz"), 1e6).otherwise(F.col("load_kwh")))
     pick = lambda s: sorted((r.zone_id, r.timestamp, round(r.raw_kwh, 9)) for r in C.ar_forecast(s, origins, 14).collect())
@@ -196,14 +263,24 @@ def test_matrix_and_schema_errors(spark, tmp_path):
 def test_metric_series(spark):
     rows = [("c", i, v) for i, v in ((0, 1.0), (1, 4.0), (2, 2.0), (4, 7.0))] + [("d", i, float(i)) for i in range(5)]
     got = {r.name: r for r in M.series_summary(spark.createDataFrame(rows, "name string, scrape_index long, value double"), ["name"], 0, 4).collect()}
-    assert (got["c"].known_delta, got["c"].resets, got["c"].delta) == (5.0, 1, None) and got["d"].delta == 4.0
+    assert M.series_summary(spark.createDataFrame([("e", 0, 5.0), ("e", 2, 1.0)], "name string, scrape_index long, value double"), ["name"], 0, 2).first().resets == 1  # across a missed scrape
+    assert (got["c"].known_delta, got["c"].resets, got["c"].delta) == (3.0, 1, None) and got["d"].delta == 4.0
 
 
 def test_metric_text_and_json(spark):
-    text = '# TYPE lat histogram\nlat_bucket{le="+Inf",p="a\\"b\\\\n"} 3\nlat_sum 2.5\nup NaN\n# HELP x\n'
+    text = '# TYPE lat histogram\nlat_bucket{le="+Inf",p="a\\"b\\\\n"} 3 # {id="x"} 1\nlat_sum 2.5 1700000000\nlat_created 7\nup NaN\n# HELP x\n# TYPE req counter\nreq_total 4\nother_total 1\n'
     got = {r.name: r for r in metric_lines(spark.createDataFrame([(1, text)], "k int, text string")).collect()}
-    assert got["lat_bucket"].labels == {"le": "+Inf", "p": 'a"b\\n'} and got["lat_sum"].type == "histogram" and got["up"].value is None and got["up"].text_value == "NaN"
-    df = spark.createDataFrame([('x {"a": {"thinking": 1, "b": 2}} y',), ("none {",), (None,)], "t string")
+    assert got["lat_bucket"].labels == {"le": "+Inf", "p": 'a"b\\n'} and got["lat_sum"].type == "histogram" and got["up"].value is None and got["up"].value_text == "NaN"
+    assert (got["lat_created"].type, got["lat_created"].component, got["lat_created"].family) == ("gauge", "created", "lat")
+    assert (got["req_total"].type, got["req_total"].component) == ("counter", "total") and (got["other_total"].type, got["other_total"].component) == ("untyped", "")
+    for bad in ('a{x="1"} 1\na{x="1"} 2', 'a{x="1",x="2"} 1', 'a{x=1} 1', 'a{1x="y"} 1', 'a{x="\\q"} 1', 'a{x="1" 1', "a", "a 1 2 3", "9a 1", "a one"):
+        with pytest.raises(ValueError):
+            metric_samples(bad)
+    loose = metric_lines(spark.createDataFrame([(1, "a 1 2 3"), (2, "a 1")], "k int, text string"), strict=False)
+    assert values(loose, "k") == [2] and metric_samples("b 1\nx 2", "x")[0]["name"] == "x"
+    keys = '{"Thoughts": 1, " analysis ": 2, "chain-of-thought": 3, "CHAIN_OF_THOUGHT": 4, "reasoning": 5, "thinking": 6, "l": [{"reasoning": 1, "b": 2}]}'
+    assert values(spark.createDataFrame([(keys,)], "t string").select(response_object("t").alias("o")), "o") == ['{"l": [{"b": 2}], "thinking": 6}']
+    df = spark.createDataFrame([('x {"a": {"thoughts": 1, "b": 2}} y',), ("none {",), (None,)], "t string")
     assert values(df.select(response_object("t").alias("o")), "o") == ['{"a": {"b": 2}}', None, None]
 
 

@@ -74,10 +74,10 @@ def union_runs(spark, d):
 
 
 @query("set_expected_windows", """SELECT run, zone, "window", status FROM (SELECT coalesce(o.run, e.run) AS run, coalesce(o.zone, e.zone) AS zone, coalesce(o."window", e."window") AS "window", CASE WHEN o.n IS NULL THEN 'missing' WHEN e.run IS NULL THEN 'extra' WHEN o.n > 1 THEN 'duplicate' END AS status
-    FROM (SELECT run, zone, "window", count(*) AS n FROM window_rounds WHERE round = 1 OR (round = 2 AND run = 3) GROUP BY ALL) o FULL JOIN (SELECT * FROM (SELECT DISTINCT run FROM window_rounds), (SELECT unnest(range(3)) AS zone), (SELECT unnest(range(3)) AS "window")) e ON o.run = e.run AND o.zone = e.zone AND o."window" = e."window") WHERE status IS NOT NULL""", X.ROUNDS)
+    FROM (SELECT run, zone, "window", count(*) AS n FROM window_rounds WHERE round = 1 OR (round = 2 AND run = 3) GROUP BY ALL) o FULL JOIN (SELECT * FROM (SELECT DISTINCT run FROM window_rounds), (SELECT unnest(range(5)) AS zone), (SELECT unnest(range(7)) AS "window")) e ON o.run = e.run AND o.zone = e.zone AND o."window" = e."window") WHERE status IS NOT NULL""", X.ROUNDS)
 def set_expected(spark, d):
     rows = X.window_rounds(spark, d)
-    grid = rows.select("run").distinct().withColumn("zone", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long")))).withColumn("window", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
+    grid = rows.select("run").distinct().withColumn("zone", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long")))).withColumn("window", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))))
     grid = grid.select("run", "zone", "window")
     return E.expected_windows(rows.where("round = 1 OR (round = 2 AND run = 3)"), grid, ["run", "zone", "window"])
 
@@ -244,10 +244,14 @@ def provider_usage(spark, d):
     return rows.withColumn("total_tokens", _C("prompt_tokens") + _C("completion_tokens"))
 
 
-@query("prj_response_json")
+_BODY = """'{"n":' || length(text) || ',"reasoning":"secret","inner":{"Thoughts ":"x","turn":' || turn || ',"thinking":"y"},"analysis":[1]}'"""
+
+
+@query("prj_response_json", f"""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'Here:' || chr(10) || '```json' || chr(10) || {_BODY} || chr(10) || '```' || chr(10) ELSE 'so ' || {_BODY} || ' end' END AS response, '{{"inner": {{"thinking": "y", "turn": ' || turn || '}}, "n": ' || length(text) || '}}' AS object FROM conversations""")
 def response_json(spark, d):
     """The JSON object in a response, fenced or bare, without the keys of hidden reasoning."""
-    body = F.to_json(F.struct(F.length("text").alias("n"), F.lit("secret").alias("reasoning"), F.struct(F.lit("x").alias("thinking"), _C("turn").alias("turn")).alias("inner")))
+    inner = F.struct(F.lit("x").alias("Thoughts "), _C("turn").alias("turn"), F.lit("y").alias("thinking"))
+    body = F.to_json(F.struct(F.length("text").alias("n"), F.lit("secret").alias("reasoning"), inner.alias("inner"), F.array(F.lit(1)).alias("analysis")))
     text = F.when(_C("turn") % 2 == 0, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```\n"))).otherwise(F.concat(F.lit("so "), body, F.lit(" end")))
     rows = X.table(spark, d, "conversations").select("conv_id", "turn", text.alias("response"))
     from ..functions.text import response_object
@@ -343,13 +347,15 @@ def window_evaluation(spark, d):
     )
 
 
-@query("fn_content_fingerprint")
+@query("fn_content_fingerprint", """SELECT zone_id, sha256(string_agg(h, chr(10) ORDER BY part)) AS signature, CAST(sum(n) AS BIGINT) AS rows FROM (SELECT zone_id, substr(h, 1, 2) AS part, sha256(string_agg(h, chr(10) ORDER BY h)) AS h, count(*) AS n FROM (
+    SELECT zone_id, sha256('{"timestamp":"' || strftime(timestamp, '%Y-%m-%dT%H:%M:%S.000') || '","load_kwh":' || CAST(load_kwh AS DOUBLE) || ',"energy_price":' || energy_price || ',"history_days":14}') AS h FROM zone_series) GROUP BY zone_id, part) GROUP BY zone_id""", X.SERIES)
 def content_fingerprint(spark, d):
     """A hash of a zone's rows and the parameters: equal content, equal hash, in any order."""
     return E.signatures(X.zone_series(spark, d).withColumn("history_days", F.lit(14)), ["zone_id"], ["timestamp", "load_kwh", "energy_price", "history_days"])
 
 
-@query("fn_decision_signature")
+@query("fn_decision_signature", """SELECT run, zone, round, sha256(decisions) AS signature, coalesce(decisions = lag(decisions) OVER (PARTITION BY run, zone ORDER BY round), false) AS converged FROM (
+    SELECT run, zone, round, '[' || string_agg('{"window":' || "window" || coalesce(',"load":' || round(load_kwh, 6), '') || coalesce(',"stress":"' || stress || '"', '') || '}', ',' ORDER BY "window") || ']' AS decisions FROM grid GROUP BY ALL)""", f"{X.ROUNDS}, {_GRID}")
 def decision_signature(spark, d):
     """A round's decisions without explanations, numbers to six places; equal to the previous round's: converged."""
     from pyspark.sql import Window
@@ -359,7 +365,8 @@ def decision_signature(spark, d):
     return rows.select("run", "zone", "round", F.sha2("decisions", 256).alias("signature"), F.coalesce(_C("decisions") == before, F.lit(False)).alias("converged"))
 
 
-@query("udf_run_analyzer")
+@query("udf_run_analyzer", """SELECT '{"batch":' || batch || ',"mode":' || mode || ',"identity":' || identity || ',"tokens":' || coalesce(CAST(tokens AS VARCHAR), 'null') || '}' AS record,
+    '{"cheap": ' || CASE WHEN coalesce(tokens, 0) < 2000 THEN 'true' ELSE 'false' END || ', "key": "' || batch || '-' || identity || '"}' AS analysis FROM runs""", X.RUNS)
 def run_analyzer(spark, d):
     """A user's function over run records."""
     from ..functions.text import analyzed

@@ -7,6 +7,7 @@ from .. import fixtures as X
 from ..operators import features as A
 from ..operators import prepare as P
 from ..registry import query
+from ..session import checkpoint
 from .prepare import _CENTROIDS, _NEAR, _O, _centroids, origin, proposal_windows
 
 _C = F.col
@@ -64,12 +65,12 @@ _CHANGES = f"""slots AS (SELECT zone_id, {_SLOT} AS slot, avg(energy_price) AS p
 changes AS (SELECT a.zone_id, a.slot, abs((a.price - b.price) / b.price) * 100 AS change_pct FROM slots a JOIN slots b ON a.zone_id = b.zone_id AND a.slot = b.slot + INTERVAL 3 HOUR WHERE b.price > 0)"""
 
 
-@query("agg_price_change_reference", "SELECT quantile_cont(round(change_pct, 8), 0.95) AS p95_pct, count(*) AS observations, count(*) FILTER (round(change_pct, 8) > 0) AS nonzero_observations FROM changes", f"{X.SERIES}, {_CHANGES}", "p95_pct")
+@query("agg_price_change_reference", "SELECT quantile_cont(change_pct, 0.95) AS p95_pct, count(*) AS observations, count(*) FILTER (change_pct > 0) AS nonzero_observations FROM changes", f"{X.SERIES}, {_CHANGES}", "p95_pct")
 def price_change_reference(spark, d):
     return A.price_reference(A.price_changes(X.zone_series(spark, d)))
 
 
-@query("win_percentile_of", "SELECT zone_id, position, shift_pct, round((SELECT count(*) FROM changes WHERE round(change_pct, 8) <= abs(shift_pct)) * 100e0 / (SELECT count(*) FROM changes), 4) AS percentile, abs(shift_pct) > (SELECT quantile_cont(round(change_pct, 8), 0.95) FROM changes) AS exceeds_p95 FROM (SELECT zone_id, position, CAST(position % 80 - 40 AS DOUBLE) AS shift_pct FROM wins)", f"{X.SERIES}, {_CHANGES}, wins AS (SELECT zone_id, row_number() OVER (PARTITION BY zone_id ORDER BY timestamp) AS position FROM zone_series WHERE timestamp >= {_O} AND hour % 3 = 0)")
+@query("win_percentile_of", "SELECT zone_id, position, shift_pct, round((SELECT count(*) FROM changes WHERE round(change_pct, 8) <= abs(shift_pct)) * 100e0 / (SELECT count(*) FROM changes), 4) AS percentile, abs(shift_pct) > (SELECT round(quantile_cont(change_pct, 0.95), 8) FROM changes) AS exceeds_p95 FROM (SELECT zone_id, position, CAST(position % 80 - 40 AS DOUBLE) AS shift_pct FROM wins)", f"{X.SERIES}, {_CHANGES}, wins AS (SELECT zone_id, row_number() OVER (PARTITION BY zone_id ORDER BY timestamp) AS position FROM zone_series WHERE timestamp >= {_O} AND hour % 3 = 0)")
 def percentile_of(spark, d):
     asked = proposal_windows(spark, d).select("zone_id", _C("position").cast("long").alias("position"), (_C("position") % 80 - 40).cast("double").alias("shift_pct"))
     return A.percentile_of(asked, "shift_pct", A.price_changes(X.zone_series(spark, d)))
@@ -142,18 +143,15 @@ def eligibility_report(spark, d):
     return _eligibility(spark, d).groupBy("zone_id").agg(F.bool_and(_C("reasons") == "").alias("eligible"), detail.alias("detail"))
 
 
-_DAYS = "SELECT day FROM (SELECT CAST(timestamp AS DATE) AS day, count(*) AS n FROM zone_hourly GROUP BY ALL) WHERE n >= 0.3 * 24 * (SELECT count(DISTINCT zone_id) FROM zone_hourly)"
+_COMPLETE = """days AS (SELECT day, count(*) FILTER (n = 24) = (SELECT count(DISTINCT zone_id) FROM zone_series) AS whole FROM (SELECT zone_id, CAST(timestamp AS DATE) AS day, count(DISTINCT timestamp) AS n FROM zone_series WHERE load_kwh >= 0 GROUP BY ALL) GROUP BY day),
+spans AS (SELECT o.day FROM days o JOIN days d ON d.day BETWEEN o.day - 7 AND o.day + 1 WHERE d.whole GROUP BY o.day HAVING count(*) = 9)"""
 
 
-@query("agg_even_origins", f"SELECT k AS pick, CAST(day AS VARCHAR) AS day FROM (SELECT day, row_number() OVER (ORDER BY day) - 1 AS pos, count(*) OVER () AS n FROM ({_DAYS})) JOIN (SELECT unnest(range(1, 6)) AS k) ON pos = k * n // 6", X.HOURLY)
+@query("agg_even_origins", "SELECT k AS pick, CAST(day AS VARCHAR) AS day FROM (SELECT day, row_number() OVER (ORDER BY day) - 1 AS pos, count(*) OVER () AS n FROM spans) JOIN (SELECT unnest(range(1, 6)) AS k) ON pos = k * n // 6", f"{X.SERIES}, {_COMPLETE}")
 def even_origins(spark, d):
-    """Five interior origins, evenly spaced over the days with enough hours."""
-    days = X.zone_hourly(spark, d).groupBy(_C("timestamp").cast("date").alias("day")).agg(F.count("*").alias("n"))
-    zones = X.zone_hourly(spark, d).agg(F.count_distinct("zone_id").alias("z"))
-    fine = days.join(F.broadcast(zones), _C("n") >= 0.3 * 24 * _C("z")).select("day")
-    whole = Window.orderBy("day")  # a row per day
-    ranked = fine.withColumns({"at": F.row_number().over(whole) - 1, "n": F.count("*").over(Window.partitionBy())})
-    return ranked.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(5)))).where("at = floor(k * n / 6)").select(_C("k").cast("long").alias("pick"), _C("day").cast("string").alias("day"))
+    """Five interior origins, evenly spaced over those whose week before and two days from then on are complete in every zone."""
+    got = A.even_origins(X.zone_series(spark, d).where("load_kwh >= 0"), 5, history_days=7, horizon_days=2)
+    return got.select(_C("pick"), _C("origin").cast("date").cast("string").alias("day"))
 
 
 @query("agg_feature_manifest", "SELECT count(*) AS rows, count(DISTINCT zone_id) AS zones, min(timestamp) AS first, max(timestamp) AS last, 'humidity,occupancy,rain,service_price,temperature' AS present, 'battery' AS missing FROM zone_series", X.SERIES)
@@ -237,15 +235,23 @@ def profiles(spark, d):
     return base.withColumns({"charge_count": (F.length("zone_id") + number % 7).cast("double"), "poi_business_density": _C("mean_load_kwh") / 10, "poi_food_density": _C("peak_load_kwh") / 7, "poi_lifestyle_density": _C("load_cv") * 3})
 
 
-@query("top_zone_scores", "SELECT zone_id, " + ", ".join("{} AS {}".format(" + ".join(f"{w}e0 * {f}" for f, w in ws.items()), n) for n, ws in zip(("cbd", "residential", "transport", "commercial", "industrial"), A.CATEGORY_WEIGHTS.values())) + " FROM z", _SCORES, "cbd residential transport commercial industrial")
+_SCORE_COLUMNS = ", ".join("{} AS {}".format(" + ".join(f"{w}e0 * {f}" for f, w in ws.items()), n) for n, ws in zip(("cbd", "residential", "transport", "commercial", "industrial"), A.CATEGORY_WEIGHTS.values()))
+
+
+@query("top_zone_scores", f"SELECT zone_id, {_SCORE_COLUMNS} FROM z", _SCORES, "cbd residential transport commercial industrial")
 def zone_scores(spark, d):
     names = dict(zip(A.CATEGORY_WEIGHTS, ("cbd", "residential", "transport", "commercial", "industrial")))
     return A.zone_scores(profiles(spark, d)).withColumnsRenamed(names)
 
 
-@query("top_category_assignment")
+_NAMES = ("cbd", "residential", "transport", "commercial", "industrial")
+_BEST = ", ".join(f"best_{n} AS (SELECT zone_id, {n} AS s FROM scores ORDER BY {n} DESC, zone_id LIMIT 5)" for n in _NAMES)
+_CHOICE = f"choice AS (SELECT {', '.join(f'best_{n}.zone_id AS z_{n}, best_{n}.s AS s_{n}' for n in _NAMES)} FROM {', '.join(f'best_{n}' for n in _NAMES)} WHERE len(list_distinct([{', '.join(f'best_{n}.zone_id' for n in _NAMES)}])) = 5 ORDER BY {' + '.join(f'best_{n}.s' for n in _NAMES)} DESC LIMIT 1)"
+
+
+@query("top_category_assignment", " UNION ALL ".join(f"SELECT '{c}' AS category, z_{n} AS zone_id, s_{n} AS score FROM choice" for n, c in zip(_NAMES, A.CATEGORY_WEIGHTS)), f"{_SCORES}, scores AS (SELECT zone_id, {_SCORE_COLUMNS} FROM z), {_BEST}, {_CHOICE}", "score")
 def category_assignment(spark, d):
-    return spark.createDataFrame(A.assigned_categories(A.zone_scores(profiles(spark, d)).persist()), "category string, zone_id string, score double")
+    return spark.createDataFrame(A.assigned_categories(checkpoint(A.zone_scores(profiles(spark, d)))), "category string, zone_id string, score double")
 
 
 @query("top_representative", f"SELECT zone_id, position FROM (SELECT zone_id, row_number() OVER (ORDER BY mean_load_kwh DESC, load_cv DESC, peak_load_kwh DESC, zone_id) - 1 AS position, count(*) OVER () AS n FROM ({_LOAD_SQL})) WHERE position IN (SELECT k * (n - 1) // 4 FROM (SELECT unnest(range(5)) AS k), (SELECT count(DISTINCT zone_id) AS n FROM zone_hourly))", X.HOURLY)
@@ -257,7 +263,7 @@ def representative(spark, d):
     return ranked.where(F.array_contains(picks, _C("position"))).select("zone_id", "position")
 
 
-@query("top_random_zones")
+@query("top_random_zones", "SELECT DISTINCT zone_id FROM zone_hourly ORDER BY md5('20240101-' || zone_id), zone_id LIMIT 6", X.HOURLY)
 def random_zones(spark, d):
     """A seeded sample: the same zones for the same seed, whatever the partitions."""
-    return X.zone_hourly(spark, d).select("zone_id").distinct().orderBy(F.xxhash64(F.lit(20240101), "zone_id"), "zone_id").limit(6)
+    return X.zone_hourly(spark, d).select("zone_id").distinct().orderBy(F.md5(F.concat(F.lit("20240101-"), "zone_id")), "zone_id").limit(6)

@@ -6,6 +6,7 @@ from .. import fixtures as X
 from ..operators import features as A
 from ..plans import forecast as C
 from ..registry import query
+from ..session import checkpoint
 from .features import _POLICY, policy
 from .prepare import _O, origin
 
@@ -93,7 +94,7 @@ width AS (SELECT zone_id, final, quantile_cont(abs(blended_kwh - actual_kwh - bi
 
 
 def _calibrated(spark, d):
-    return C.calibrated_forecast(X.zone_series(spark, d), origins(spark), DAYS, 3, 0.3)
+    return C.calibrated_forecast(checkpoint(X.zone_series(spark, d)), origins(spark), DAYS, 3, 0.3)
 
 
 @query("job_calibrated_forecast", "SELECT zone_id, final AS origin, timestamp, raw_kwh, blended_kwh, bias, greatest(0, blended_kwh - bias) AS predicted_kwh, half_width FROM cal JOIN bias USING (zone_id, final, hour) JOIN width USING (zone_id, final) WHERE b = 0", _CAL, "raw_kwh blended_kwh bias predicted_kwh half_width")
@@ -164,7 +165,7 @@ def ridge_recursive(spark, d):
     return C.ridge_recursive(series, future, b, levels, ["energy_price", "temperature"])
 
 
-@query("job_custom_predictor")
+@query("job_custom_predictor", "SELECT a.zone_id, a.origin, a.timestamp, h.load_kwh AS predicted_kwh FROM ahead a JOIN hist h ON h.zone_id = a.zone_id AND h.origin = a.origin AND h.timestamp = a.timestamp - INTERVAL 1 DAY", f"{X.SERIES}, {HIST}")
 def custom_predictor(spark, d):
     def last_day(context, ahead):
         return ahead[["timestamp"]].assign(predicted_kwh=context["load_kwh"].tail(24).to_numpy()[: len(ahead)])

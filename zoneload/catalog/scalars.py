@@ -30,12 +30,12 @@ def _cols(*names):
 
 
 @query("fn_datetime_24h", """SELECT k, text, CASE WHEN k % 5 = 0 THEN date_trunc('day', t) + INTERVAL 1 DAY WHEN k % 5 = 1 THEN NULL ELSE t END AS time FROM (
-    SELECT k, t, CASE WHEN k % 5 = 0 THEN strftime(t, '%Y/%m/%d') || ' 24:00' WHEN k % 5 = 1 THEN strftime(t, '%Y-%m-%d') || ' 24:01' WHEN k % 5 = 2 THEN strftime(t, '%Y/%m/%d %H:%M:%S') ELSE strftime(t, '%Y-%m-%dT%H:%M:%S') END AS text
+    SELECT k, t, CASE WHEN k % 5 = 0 THEN strftime(t, '%Y/%m/%d') || ' 24:00' || CASE WHEN k % 2 = 0 THEN ':00+08:00' ELSE '' END WHEN k % 5 = 1 THEN strftime(t, '%Y-%m-%d') || ' 24:01' WHEN k % 5 = 2 THEN strftime(t, '%Y/%m/%d %H:%M:%S') ELSE strftime(t, '%Y-%m-%dT%H:%M:%S') END AS text
     FROM (SELECT o_orderkey AS k, o_orderdate AS t FROM orders))""")
 def datetime_24h(spark, d):
     k, t = F.col("o_orderkey"), F.col("o_orderdate")
     day = lambda f: F.date_format("o_orderdate", f)
-    text = F.when(k % 5 == 0, F.concat(day("yyyy/MM/dd"), F.lit(" 24:00"))).when(k % 5 == 1, F.concat(day("yyyy-MM-dd"), F.lit(" 24:01"))).when(k % 5 == 2, day("yyyy/MM/dd HH:mm:ss")).otherwise(day("yyyy-MM-dd'T'HH:mm:ss"))
+    text = F.when(k % 5 == 0, F.concat(day("yyyy/MM/dd"), F.lit(" 24:00"), F.when(k % 2 == 0, ":00+08:00").otherwise(""))).when(k % 5 == 1, F.concat(day("yyyy-MM-dd"), F.lit(" 24:01"))).when(k % 5 == 2, day("yyyy/MM/dd HH:mm:ss")).otherwise(day("yyyy-MM-dd'T'HH:mm:ss"))
     return X.table(spark, d, "orders").select(k.alias("k"), text.alias("text"), S.datetime_24h(text).alias("time"))
 
 
@@ -113,16 +113,19 @@ def finalize_price(spark, d):
     return rows.select("k", "line", *[c.alias(n) for n, c in {**found, **unrounded}.items()])
 
 
-_ELASTIC = """least(0.7, greatest(0.05, CASE WHEN contains(c, 'residential') THEN 0.45e0 WHEN contains(c, 'commercial') OR contains(c, 'mall') THEN 0.32e0 WHEN contains(c, 'cbd') OR contains(c, 'office') THEN 0.24e0
-    WHEN contains(c, 'transport') OR contains(c, 'hub') THEN 0.2e0 WHEN contains(c, 'industrial') THEN 0.18e0 ELSE 0.28e0 END * (1 - 0.25e0 * least(1, greatest(0, coalesce(CASE WHEN load > 1 THEN load / 100 ELSE load END, 0)))) * CASE WHEN tax > 0.04 THEN 0.85e0 ELSE 1e0 END))"""
+_ELASTIC = """least(0.7, greatest(0.05, coalesce(CASE WHEN line = 3 THEN abs(discount * 8 - 0.4e0) END, CASE WHEN line = 5 AND tax > 0.03 THEN tax * 9 END, CASE WHEN contains(c, 'residential') THEN 0.45e0 WHEN contains(c, 'commercial') OR contains(c, 'mall') THEN 0.32e0 WHEN contains(c, 'cbd') OR contains(c, 'office') THEN 0.24e0
+    WHEN contains(c, 'transport') OR contains(c, 'hub') THEN 0.2e0 WHEN contains(c, 'industrial') THEN 0.18e0 ELSE 0.28e0 END * (1 - 0.25e0 * least(1, greatest(0, coalesce(CASE WHEN load > 1 THEN load / 100 ELSE load END, 0)))) * CASE WHEN CASE WHEN line = 6 THEN k % 3 WHEN tax > 0.04 THEN 1 ELSE 0 END > 0 THEN 0.85e0 ELSE 1e0 END)))"""
 _KINDS = ["Residential", "Commercial / Mall", "CBD / Office", "Transport Hub", "Industrial", "Park"]
 _ELASTIC_ROWS = f"(SELECT *, {_ELASTIC} AS elasticity FROM (SELECT *, lower(({_KINDS})[k % 6 + 1]) AS c FROM loads))"
 
 
 def _with_elasticity(spark, d):
     kinds = F.array(*[F.lit(x) for x in _KINDS])
-    rain = F.when(F.col("tax") > 0.04, 1.0).otherwise(0.0)
-    return loads(spark, d).withColumn("elasticity", pricing.elasticity(kinds[(F.col("k") % 6).cast("int")], F.col("load"), rain))
+    line, tax = _cols("line", "tax")
+    rain = F.when(line == 6, F.lit(None)).when(tax > 0.04, 1.0).otherwise(0.0)
+    of_window, of_behaviour = F.when(line == 3, F.col("discount") * 8 - 0.4), F.when((line == 5) & (tax > 0.03), -tax * 9)
+    factor = pricing.elasticity(kinds[(F.col("k") % 6).cast("int")], F.col("load"), rain, (F.col("k") % 3).cast("double"), of_window, of_behaviour)
+    return loads(spark, d).withColumn("elasticity", factor)
 
 
 @query("fn_elasticity", f"SELECT k, line, elasticity FROM {_ELASTIC_ROWS}", _LOADS, "elasticity")

@@ -9,7 +9,7 @@ from ..registry import query
 from ..session import shared_folder
 from ..sources import readers as R
 from ..sources import sinks as W
-from .evaluate import _WK
+from .evaluate import _ERRORS, _WK, _errors_sql
 from .forecast import _WINDOWS, windows
 
 _C = F.col
@@ -69,7 +69,7 @@ def station_tou(spark, d):
     return series.select("zone_id", "timestamp", "load_kwh", "energy_price").unionByName(excluded, allowMissingColumns=True)
 
 
-@query("src_forecast_details")
+@query("src_forecast_details", _errors_sql("(SELECT CAST(run % 8 AS VARCHAR) AS run, actual_kwh, predicted_kwh FROM base_samples)", ["run"], extra=False), X.SAMPLES, _ERRORS.replace(" interval_coverage_pct", ""))
 def forecast_details(spark, d):
     """Saved forecasts of two generations, read back under one set of names."""
     folder = shared_folder(spark)
@@ -146,7 +146,8 @@ def sink_review(spark, d):
     return spark.read.parquet(folder)
 
 
-@query("sink_eval_tables")
+@query("sink_eval_tables", """SELECT *, '{"rows":' || rows || ',"signature":"' || signature || '"}' AS detail FROM (SELECT run, zone, "window", sha256(string_agg(h, chr(10) ORDER BY part)) AS signature, CAST(sum(n) AS BIGINT) AS rows FROM (
+    SELECT run, zone, "window", substr(h, 1, 2) AS part, sha256(string_agg(h, chr(10) ORDER BY h)) AS h, count(*) AS n FROM (SELECT run, zone, "window", sha256('{"round":' || round || ',"load_kwh":' || load_kwh || '}') AS h FROM window_rounds) GROUP BY ALL) GROUP BY run, zone, "window")""", X.ROUNDS)
 def eval_tables(spark, d):
     """Nested cells become JSON text; a table without rows isn't written."""
     folder = shared_folder(spark)

@@ -102,9 +102,9 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def window_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """run (eight orders each), zone, window, round (0: baseline), the load of all their items, the first order as key;
+    """run (64 orders each), zone, window, round (0: baseline), the load of all their items, the first order as key;
     some stress labels are missing, and so are rounds without an item."""
-    cell = [F.floor(F.col("l_orderkey") / 8).cast("long").alias("run"), (F.col("l_suppkey") % 3).alias("zone"), (F.col("l_partkey") % 4).alias("window"), (F.col("l_linenumber") % 4).cast("long").alias("round")]
+    cell = [F.floor(F.col("l_orderkey") / 64).cast("long").alias("run"), (F.col("l_suppkey") % 5).alias("zone"), (F.col("l_partkey") % 8).alias("window"), (F.col("l_linenumber") % 4).cast("long").alias("round")]
     position = F.col("load_kwh") * 2
     return table(spark, sf_dir, "lineitem").groupBy(*cell).agg(F.sum("l_quantity").alias("load_kwh"), F.min("l_orderkey").alias("key")).withColumn(
         "stress", F.when(F.col("key") % 10 == 3, F.lit(None)).when(position < 35, "Low").when(position < 80, "Medium").when(position < 90, "High").otherwise("Extremely High")
@@ -175,7 +175,7 @@ RUNS = """runs AS (
     FROM (SELECT o_orderkey AS k, o_custkey * 4 + o_orderkey // 6 % 4 AS identity FROM orders))"""
 ROUNDS = """window_rounds AS (
     SELECT *, CASE WHEN key % 10 = 3 THEN NULL WHEN load_kwh * 2 < 35 THEN 'Low' WHEN load_kwh * 2 < 80 THEN 'Medium' WHEN load_kwh * 2 < 90 THEN 'High' ELSE 'Extremely High' END AS stress
-    FROM (SELECT l_orderkey // 8 AS run, l_suppkey % 3 AS zone, l_partkey % 4 AS "window", CAST(l_linenumber % 4 AS BIGINT) AS round, sum(l_quantity) AS load_kwh, min(l_orderkey) AS key FROM lineitem GROUP BY ALL)),
+    FROM (SELECT l_orderkey // 64 AS run, l_suppkey % 5 AS zone, l_partkey % 8 AS "window", CAST(l_linenumber % 4 AS BIGINT) AS round, sum(l_quantity) AS load_kwh, min(l_orderkey) AS key FROM lineitem GROUP BY ALL)),
 run_finals AS (
     SELECT run, zone, "window", CASE WHEN run % 5 < 3 THEN 'success' ELSE 'fail' END AS status, run % 4 AS attempts_used, 3 AS attempt_limit, l.load_kwh AS load_kwh, l.stress AS stress
     FROM (SELECT run, zone, "window", arg_max({'load_kwh': load_kwh, 'stress': stress}, round) AS l FROM window_rounds GROUP BY ALL))"""

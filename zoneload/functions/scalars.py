@@ -12,9 +12,9 @@ def datetime_24h(text: Column, strict: bool = False) -> Column:
     Other text is null, or fails if ``strict``."""
     plain = F.replace(F.trim(text), F.lit("/"), F.lit("-"))
     parts = F.split(F.translate(plain, "T", " "), " ")
-    clock = F.regexp_replace(parts[1], "(Z|[+-][0-9:]+)$", "")
+    clock = F.regexp_replace(F.get(parts, F.lit(1)), "(Z|[+-][0-9:]+)$", "")
     fraction = F.split(clock, r"\.")
-    whole = fraction[0].isin("24:00", "24:00:00") & ((F.size(fraction) == 1) | (fraction[0] == "24:00:00") & fraction[1].rlike("^0+$"))
+    whole = fraction[0].isin("24:00", "24:00:00") & ((F.size(fraction) == 1) | (fraction[0] == "24:00:00") & F.get(fraction, F.lit(1)).rlike("^0+$"))
     midnight = (F.size(parts) == 2) & F.coalesce(whole, F.lit(False))
     parsed = plain.cast("timestamp_ntz") if strict else plain.try_cast("timestamp_ntz")
     day = parts[0].cast("date") if strict else parts[0].try_cast("date")

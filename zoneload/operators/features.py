@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bands
 from ..functions.scalars import safe_divide
-
+from ..session import checkpoint
 
 
 def day_parts(hour: Column) -> dict[str, Column]:
@@ -69,27 +69,55 @@ def price_changes(series: DataFrame) -> DataFrame:
 
 
 def price_reference(changes: DataFrame) -> DataFrame:
-    """One row: p95, observations, how many aren't 0. Equal values are counted first, so little is shuffled."""
-    counts = changes.groupBy(F.round("change_pct", 8).alias("v")).count()
-    return counts.agg(F.percentile("v", 0.95, F.col("count")).alias("p95_pct"), F.sum("count").alias("observations"), F.coalesce(F.sum(F.when(F.col("v") > 0, F.col("count"))), F.lit(0)).alias("nonzero_observations"))
+    """One row: p95 (to 8 places), observations, how many aren't 0. Equal values are counted first, so little is shuffled."""
+    counts = changes.groupBy(F.col("change_pct").alias("v")).count()
+    return counts.agg(F.round(F.percentile("v", 0.95, F.col("count")), 8).alias("p95_pct"), F.sum("count").alias("observations"), F.coalesce(F.sum(F.when(F.col("v") > 0, F.col("count"))), F.lit(0)).alias("nonzero_observations"))
 
 
 def percentile_of(values: DataFrame, value: str, reference: DataFrame) -> DataFrame:
     """``values`` with the share of reference changes that aren't larger (percent), and whether it is above p95.
 
-    Distinct reference values and the asked ones are merged in one order; a running count of the reference
-    gives each its share. Changes rounded to 8 places are few, whatever the number of rows.
+    Distinct reference values (to 8 places) and the asked ones are merged in one order; a running count of the reference
+    gives each its share.
     """
     steps = reference.groupBy(F.round("change_pct", 8).alias("v")).count()
     total = steps.agg(F.sum("count")).first()[0] or 0
     p95 = price_reference(reference).first()["p95_pct"]
     asked = values.select(F.abs(value).alias("v")).distinct().where("v IS NOT NULL")
     grid = steps.select("v", "count", F.lit(0).alias("asked")).unionByName(asked.select("v", F.lit(0).cast("long").alias("count"), F.lit(1).alias("asked")))
-    running = F.sum("count").over(Window.orderBy("v").rangeBetween(Window.unboundedPreceding, 0))
-    shares = grid.withColumn("upto", running).where("asked = 1").select("v", F.round(F.try_divide(F.col("upto") * 100.0, F.lit(total)), 4).alias("percentile"))
+    shares = running_total(grid, "v", "count", "upto").where("asked = 1").select("v", F.round(F.try_divide(F.col("upto") * 100.0, F.lit(total)), 4).alias("percentile"))
     return values.join(shares, F.abs(value) == F.col("v"), "left").drop("v").withColumn("exceeds_p95", F.abs(value) > p95)
 
 
+def running_total(rows: DataFrame, order: str, amount: str, name: str) -> DataFrame:
+    """``rows`` with the sum of ``amount`` over all rows up to their own ``order``, equal ones included.
+
+    Rows are partitioned by ranges of ``order``; sums of whole partitions (a row each) come before those within, so no
+    task sees all rows.
+    """
+    dealt = checkpoint(rows.repartitionByRange(order).withColumn("__part", F.spark_partition_id()))
+    sums = dealt.groupBy("__part").agg(F.sum(amount).alias("__sum"))
+    before = F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # a row per partition
+    offsets = sums.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    local = F.sum(amount).over(Window.partitionBy("__part").orderBy(order).rangeBetween(Window.unboundedPreceding, 0))
+    return dealt.withColumn("__local", local).join(offsets, "__part").withColumn(name, F.col("__before") + F.col("__local")).drop("__part", "__local", "__before")
+
+
+def even_origins(series: DataFrame, count: int, history_days: int, horizon_days: int) -> DataFrame:
+    """pick (from 1), origin: ``count`` midnights, evenly spaced within those for which every zone has every hour of the
+    days before and of the horizon. No rows if there are fewer such midnights than asked for."""
+    hours = series.groupBy("zone_id", F.col("timestamp").cast("date").alias("day")).agg(F.count_distinct("timestamp").alias("n"))
+    zones = series.select("zone_id").distinct().count()
+    days = hours.groupBy("day").agg((F.count_if(F.col("n") == 24) == zones).alias("whole"))
+    first, last = F.date_sub("day", horizon_days - 1), F.date_add("day", history_days)
+    reached = days.where("whole").select(F.explode(F.sequence(first, last)).alias("day")).groupBy("day").agg(F.count("*").alias("n"))
+    fine = reached.where(F.col("n") == history_days + horizon_days).select(F.col("day").cast("timestamp_ntz").alias("origin"))
+    order = Window.orderBy("origin")  # a row per day
+    ranked = fine.withColumns({"at": F.row_number().over(order) - 1, "n": F.count("*").over(Window.partitionBy())}).where(F.col("n") >= count)
+    picks = F.filter(F.sequence(F.lit(1), F.lit(count)), lambda k: F.col("at") == F.floor(k * F.col("n") / (count + 1)))
+    return ranked.select(F.explode(picks).alias("pick"), "origin").withColumn("pick", F.col("pick").cast("long"))
+
+
 def lags(series: DataFrame, column: str, steps: Sequence[int]) -> DataFrame:
     w = Window.partitionBy("zone_id").orderBy("timestamp")
     return series.withColumns({f"lag_{n}": F.lag(column, n).over(w) for n in steps})
@@ -210,9 +238,10 @@ CATEGORY_WEIGHTS = {
 
 
 def zone_scores(profiles: DataFrame) -> DataFrame:
-    """zone_id and a score per category, from z-scores of features cut at their 5 and 95 percent points."""
+    """zone_id and a score per category, from z-scores of features cut at their 5 and 95 percent points. Profiles are
+    kept once, as three statistics are taken of them in turn."""
     names = sorted({f for w in CATEGORY_WEIGHTS.values() for f in w})
-    frame = profiles.withColumn("weekend_evenness", 1 - F.abs(F.col("weekend_ratio") - 1)).select("zone_id", *[F.col(n).cast("double").alias(n) for n in names])
+    frame = checkpoint(profiles.withColumn("weekend_evenness", 1 - F.abs(F.col("weekend_ratio") - 1)).select("zone_id", *[F.col(n).cast("double").alias(n) for n in names]))
     middle = frame.agg(*[F.median(n).alias(n) for n in names]).first()
     frame = frame.fillna({n: middle[n] for n in names if middle[n] is not None})
     ends = frame.agg(*[F.percentile(n, [0.05, 0.95]).alias(n) for n in names]).first()

@@ -128,22 +128,26 @@ def nearest_centroid(points: DataFrame, centroids: DataFrame, scale_longitude: b
     if scale_longitude:
         shrink = F.lit(float(np.cos(np.radians(centroids.agg(F.avg("latitude")).first()[0] or 0.0))))
     if n <= JOIN_CENTROIDS:
-        near = centroids.select("zone_id", F.col("longitude").alias("zx"), F.col("latitude").alias("zy"), "ordinal")
-        dx, dy = (F.col("longitude") - F.col("zx")) * shrink, F.col("latitude") - F.col("zy")
-        pairs = points.crossJoin(F.broadcast(near)).withColumn("distance2", dx * dx + dy * dy)
-        best = F.min(F.struct("distance2", "ordinal", "zone_id"))
-        return pairs.groupBy("point_id").agg(best.alias("b")).select("point_id", "b.zone_id", "b.distance2")
+        # All centroids as one array beside each point: no shuffle, and no row per pair.
+        every = centroids.agg(F.collect_list(F.struct(F.col("longitude").alias("x"), F.col("latitude").alias("y"), "ordinal", "zone_id")).alias("__zones"))
+
+        def away(z: Column) -> Column:
+            dx, dy = (F.col("longitude") - z["x"]) * shrink, F.col("latitude") - z["y"]
+            return F.struct((dx * dx + dy * dy).alias("distance2"), z["ordinal"].alias("ordinal"), z["zone_id"].alias("zone_id"))
+
+        near = points.crossJoin(F.broadcast(every)).withColumn("b", F.array_min(F.transform("__zones", away)))
+        return near.where("b IS NOT NULL").select("point_id", "b.zone_id", "b.distance2")
     return _nearest_in_blocks(points, centroids, shrink, n)
 
 
 def _nearest_in_blocks(points: DataFrame, centroids: DataFrame, shrink: Column, n: int) -> DataFrame:
     """Every block of centroids meets the points in vectorised batches; the best of each point's blocks stays."""
-    blocks = max(1, -(-n // 20_000))
+    blocks, parts = max(1, -(-n // 20_000)), max(1, -(-points.count() // 50_000))
     x = (F.col("longitude") * shrink).alias("x")
-    left = points.select("point_id", x, F.col("latitude").alias("y")).withColumn("part", F.pmod(F.xxhash64("point_id"), F.lit(256)))
+    left = points.select("point_id", x, F.col("latitude").alias("y")).withColumn("part", F.pmod(F.xxhash64("point_id"), F.lit(parts)))
     left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = centroids.select("zone_id", "ordinal", x, F.col("latitude").alias("y"), F.pmod(F.xxhash64("zone_id"), F.lit(blocks)).cast("int").alias("block"))
-    right = right.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(255).cast("long"))))
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
 
     def best(p: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         c = c.sort_values("ordinal").reset_index(drop=True)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import bands, pricing
 from ..operators import features as A
 from ..operators import prepare as P
+from ..session import checkpoint
 
 KEY = ["zone_id", "origin", "window"]
 ROUNDS = 3
@@ -89,11 +90,10 @@ def attempt_changes(trace: DataFrame) -> DataFrame:
 def control_loop(windows: DataFrame, hourly: DataFrame, response: DataFrame, reference: DataFrame, category: Column, rounds: int = ROUNDS) -> DataFrame:
     """The trace of at most ``rounds`` attempts: propose, re-forecast, check, revise what failed.
 
-    A revision takes the re-forecast load of a failed window as its load. Every attempt is checkpointed, so plans
-    don't grow; the loop ends early once nothing fails.
+    A revision takes the re-forecast load of a failed window as its load. The inputs are kept once, as every attempt
+    reads them, and every attempt's result, so plans don't grow; the loop ends early once nothing fails.
     """
-    from ..session import checkpoint
-
+    windows, hourly, response, reference = (checkpoint(t) for t in (windows, hourly, response, reference))
     current = proposals(windows, category).withColumn("proposal_status", F.lit("initial"))
     trace = None
     for attempt in range(1, rounds + 1):

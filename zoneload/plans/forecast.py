@@ -1,7 +1,7 @@
 """Load forecasts of all zones and origins at once.
 
-Origins are midnights. Histories are joined to origins by a broadcast table of origins (bounded: one row each);
-what belongs to several origins is summed up by hour before or right after that join.
+Origins are midnights. Histories meet origins by day, in an equi-join with each origin's days; what belongs to several
+origins is summed up by hour right after that join.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import blend
 from ..operators.features import segments
+from ..session import checkpoint
 
 KEY = ["zone_id", "origin"]
 #: Weights of the weekly lag and the hour's mean, bounds of the trend, and of price effects.
@@ -25,8 +26,9 @@ ELASTICITY, MAX_RATIO, LEAST_ROWS, FLOOR = 0.1, 0.3, 12, 0.05
 
 def at_origins(series: DataFrame, origins: DataFrame, first_day: int, end_day: int) -> DataFrame:
     """Rows from ``first_day`` to before ``end_day`` days relative to each origin."""
-    start, end = F.expr(f"origin + interval {first_day} days"), F.expr(f"origin + interval {end_day} days")
-    return series.join(F.broadcast(origins), (F.col("timestamp") >= start) & (F.col("timestamp") < end))
+    first = F.col("origin").cast("date")
+    days = origins.select("origin", F.explode(F.sequence(F.date_add(first, first_day), F.date_add(first, end_day - 1))).alias("__day"))
+    return series.withColumn("__day", F.col("timestamp").cast("date")).join(days, "__day").drop("__day")
 
 
 def hourly_means(history: DataFrame) -> DataFrame:
@@ -38,18 +40,19 @@ def price_response(history: DataFrame) -> DataFrame:
     load, price = F.col("load_kwh"), F.col("energy_price")
     known = history.where(load.isNotNull() & price.isNotNull()).withColumn("hour", F.hour("timestamp"))
     cells = known.groupBy(*KEY, "hour").agg(
-        F.count("*").alias("n"), F.sum(load).alias("l"), F.sum(price).alias("p"), F.sum(load * price).alias("lp"), F.sum(price * price).alias("pp"),
+        F.count("*").alias("n"), F.avg(price).alias("p"), F.covar_pop(load, price).alias("cov"), F.var_pop(price).alias("var"),
         F.sum(F.greatest(load, F.lit(0.0))).alias("l0"), F.sum(F.nullif(price, F.lit(0.0))).alias("p0"), F.count(F.nullif(price, F.lit(0.0))).alias("n0"), F.min(price).alias("low"), F.max(price).alias("high"),
     )
     total = cells.groupBy(*KEY).agg(
         F.sum("n").alias("rows"), (F.sum("l0") / F.sum("n")).alias("load"), F.try_divide(F.sum("p0"), F.sum("n0")).alias("price"),
-        F.sum(F.col("lp") - F.col("l") * F.col("p") / F.col("n")).alias("cov"), F.sum(F.col("pp") - F.col("p") * F.col("p") / F.col("n")).alias("var"),
-        F.sum("p").alias("p"), F.sum("pp").alias("pp"), (F.min("low") < F.max("high")).alias("varies"),
+        F.sum(F.col("n") * F.col("cov")).alias("cov"), F.sum(F.col("n") * F.col("var")).alias("var"),
+        F.collect_list(F.struct("n", "p", "var")).alias("hours"), (F.min("low") < F.max("high")).alias("varies"),  # 24 hours at most
     )
     base = F.try_divide("load", "price")
-    flat = F.col("var") <= 1e-9 * F.col("rows")
+    flat = F.col("var") <= 1e-12 * F.col("rows")
     # Where price never varies within an hour, its distance to the overall mean takes the residual's place.
-    var = F.when(flat, F.col("pp") - 2 * F.col("price") * F.col("p") + F.col("rows") * F.col("price") * F.col("price")).otherwise(F.col("var"))
+    apart = F.aggregate("hours", F.lit(0.0), lambda done, h: done + h["n"] * (h["var"] + (h["p"] - F.col("price")) * (h["p"] - F.col("price"))))
+    var = F.when(flat, apart).otherwise(F.col("var"))
     empirical = F.when((F.col("rows") >= LEAST_ROWS) & F.col("varies") & (var > 1e-12), F.try_divide("cov", var))
     slope = F.when(empirical < 0, empirical).otherwise(-ELASTICITY * base)
     usable = total.where((F.col("load") > 0) & (F.col("price") > 0))
@@ -124,7 +127,7 @@ def calibrated_forecast(series: DataFrame, origins: DataFrame, history_days: int
     history = at_origins(series, every, -history_days, 0)
     means = hourly_means(history)
     raw = ar_forecast(series, every, history_days, response=history.select(*KEY).distinct().select(*KEY, F.lit(0.0).alias("slope"), F.lit(0.0).alias("mean_load"), F.lit(0.0).alias("mean_price")), reference=means)
-    base = raw.select(*KEY, "timestamp", "hour", "energy_price", "base_kwh").join(F.broadcast(shifted), "origin")
+    base = raw.select(*KEY, "timestamp", "hour", "energy_price", "base_kwh").join(shifted, "origin")
     of_final = lambda t: t.withColumnRenamed("origin", "final")
     rows = base.join(of_final(response), ["zone_id", "final"], "left").join(of_final(cells), ["zone_id", "final", "hour"], "left")
     limit = F.greatest(F.col("base_kwh") * MAX_RATIO, F.greatest(F.col("mean_load") * FLOOR, F.lit(1e-9)))
@@ -177,7 +180,8 @@ def ridge_fit(features: DataFrame, penalty: float = 1.0) -> tuple[np.ndarray, di
 
     parts = features.select("zone_id", "load_kwh", "x").mapInPandas(sums, "zone_id string, n long, sx array<double>, sy double, xx array<double>, xy array<double>")
     added = lambda c, n: F.array(*[F.sum(F.col(c)[i]) for i in range(n)]).alias(c)
-    zones = parts.groupBy("zone_id").agg(F.sum("n").alias("n"), F.sum("sy").alias("sy"), added("sx", width), added("xx", width * width), added("xy", width)).persist()
+    zones = parts.groupBy("zone_id").agg(F.sum("n").alias("n"), F.sum("sy").alias("sy"), added("sx", width), added("xx", width * width), added("xy", width))
+    zones = checkpoint(zones)  # a row per zone, read twice
     # Level of a zone: (sy - sx.b) / (n + penalty); put in, what is left are sums over zones.
     d = F.col("n") + F.lit(penalty)
     cell = lambda i, j: F.sum(F.col("xx")[i * width + j] - F.col("sx")[i] * F.col("sx")[j] / d)

@@ -29,15 +29,25 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_base(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, one of this machine
+    serves a local session; on a cluster it would be the driver's alone, so that is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-checkpoint-")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut a plan's lineage in the folder that ``spark.checkpoint.dir`` names; one of our own only where it is unset."""
+    """Cut a plan's lineage by writing it to the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(shared_base(df.sparkSession))
     return df.checkpoint()
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder's path that the driver and all executors see."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{base}/zoneload-{uuid.uuid4().hex}"
+    return f"{shared_base(spark)}/zoneload-{uuid.uuid4().hex}"
