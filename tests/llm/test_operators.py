@@ -326,9 +326,47 @@ def test_sharding(docs, texts, empty):
         if text[r.doc_id] is not None:
             groups.setdefault(text[r.doc_id], set()).add(r.shard)
     assert all(len(g) == 1 for g in groups.values())
+    size = Counter(t for t in text.values() if t is not None)
+    assert all(r.linked == r.linked_here == (size[text[r.doc_id]] - 1 if text[r.doc_id] is not None else 0) for r in got)
     assert sharding.shard(empty).collect() == []
 
 
+def test_propagation_equals_plain_rounds(spark):
+    """Rounds of requests and admissions in plain Python; no shard ever takes more than its capacity."""
+    r = random.Random(11)
+    state = {}
+    for g in range(60):
+        for label in r.sample(range(5), r.randint(1, 5)):
+            state[bytes([g]), label] = r.randint(1, 9) if g else 60
+    capacity = sum(state.values()) // 5
+    rows = spark.createDataFrame([(g, s, n) for (g, s), n in state.items()], "g binary, label int, n long").repartition(3)
+    got = {(bytes(x.g), x.label): x.n for x in sharding.propagate(rows, capacity, 4, 5).collect()}
+    for _ in range(4):
+        load = {s: sum(n for (_, x), n in state.items() if x == s) for s in range(5)}
+        room = {s: capacity - load[s] for s in range(5) if capacity > load[s]}
+        asked = []
+        for (g, label), n in state.items():
+            best = max(((m, -s) for (h, s), m in state.items() if h == g and s in room), default=None)
+            if best and (best[0] > n or best[0] == n and -best[1] < label):
+                asked.append((n - best[0], g, label, -best[1], n))
+        for _, g, label, to, n in sorted(asked):
+            moved = min(n, room[to])
+            room[to] -= moved
+            state[g, label] -= moved
+            state[g, to] = state.get((g, to), 0) + moved
+        state = {k: n for k, n in state.items() if n}
+        after = {s: sum(n for (_, x), n in state.items() if x == s) for s in range(5)}
+        assert all(after[s] <= max(capacity, load[s]) for s in range(5))
+    assert got == state
+
+
+def test_sharding_takes_odd_rows(spark):
+    rows = [(1, "a", 5), (1, "a", 5), (None, "a", 5), (None, None, 5), (2, "", 5), (3, "", 5)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, shard int"), shards=4).collect()
+    assert sorted(str(g.doc_id) for g in got) == ["1", "1", "2", "3", "None", "None"] and sorted(Counter(g.shard for g in got).values()) == [1, 1, 2, 2]
+    assert sorted(g.linked for g in got) == [0, 1, 1, 2, 2, 2]
+
+
 def test_sharding_cuts_only_groups_that_do_not_fit(spark):
     rows = spark.createDataFrame([(i, "same" if i < 60 else f"t{i // 2}" if i < 100 else f"s{i}") for i in range(200)], "doc_id long, text string")
     got = sharding.shard(rows, shards=4).collect()
@@ -337,6 +375,10 @@ def test_sharding_cuts_only_groups_that_do_not_fit(spark):
     for r in (r for r in got if r.doc_id < 100):
         by_text.setdefault("same" if r.doc_id < 60 else r.doc_id // 2, set()).add(r.shard)
     assert sum(len(s) > 1 for k, s in by_text.items() if k != "same") <= 2
+    text = {r.doc_id: "same" if r.doc_id < 60 else f"t{r.doc_id // 2}" if r.doc_id < 100 else f"s{r.doc_id}" for r in got}
+    here = Counter((text[r.doc_id], r.shard) for r in got)
+    assert all(r.linked_here == here[text[r.doc_id], r.shard] - 1 for r in got)
+    assert 2 * 50 * 10 <= sum(r.linked - r.linked_here for r in got if text[r.doc_id] == "same") <= 2 * 40 * 20
 
 
 def test_packing_round_trip(docs, texts, empty):

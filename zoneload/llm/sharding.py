@@ -1,17 +1,17 @@
 """Sharding by balanced label propagation: linked documents move to the shard where most of their neighbours are.
 
-Documents with equal texts are linked. Each starts in the shard that a hash of its id gives. In each round, the
-documents of a group that are in other shards ask for the one with most of the group's documents that has room;
-quotas of free room admit as many as fit, so no shard overflows. Documents of one group in one shard are alike,
-so the state is their count by group and shard: at most as many rows per group as there are shards, however large
-the group. Documents without links are then dealt so that the shards' row counts differ by one at most (law
-``rows``); a group is only cut where it doesn't fit.
+Documents with equal texts (by SHA-256) are linked. Each starts in the shard that a hash of its id gives. In each
+round the links are joined with the labels: a group's documents ask for the shard with room that most of the group's
+documents have. Requests are ranked by gain, and as many documents are admitted as a shard has room, so no shard ever
+takes more than its capacity. Documents of one group in one shard are alike, so the state is their count by group and
+shard: at most as many rows per group as there are shards, however large the group. Documents without links are then
+dealt so that the shards' row counts differ by one at most (law ``rows``); a group is only cut where it doesn't fit.
+``linked`` and ``linked_here`` tell the links of each document and those that aren't cut.
 
-Ranks within shards come from a range partitioning and the partitions' row counts, so no shard is gathered in
-one task.
+Ranks and running sums come from a range partitioning and the partitions' sums, so no shard is gathered in one task.
 
 Cases: a null text has no bytes, crc32 0 and no links, an empty text is linked to the other empty ones; repeated
-rows are placed each by itself; an empty table gives no row; other columns are left out.
+rows, and rows without id, are placed each by itself; an empty table gives no row; other columns are left out.
 """
 
 from __future__ import annotations
@@ -22,51 +22,43 @@ from pyspark.sql import functions as F
 from ._util import checkpoint
 
 SHARDS, ROUNDS, ROW_BYTES = 40, 8, 16
+#: Rows of a group are spread over so many tasks where they meet what the group has once.
+SALTS = 16
 
 
-def ranked(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
-    """``rows`` with their number from 0 within ``keys``, by ``order``: checkpointed, with columns pid and ``name``."""
+def ranked(rows: DataFrame, keys: list[str], order: list[str], name: str, amount: str | None = None) -> DataFrame:
+    """``rows`` with what comes before each within ``keys``, by ``order``: the number of rows, or their sum of ``amount``.
+    Checkpointed, with the columns pid and ``name``."""
     dealt = checkpoint(rows.repartitionByRange(*keys, *order).withColumn("pid", F.spark_partition_id()))
-    counts = dealt.groupBy("pid", *keys).agg(F.count("*").alias("__n"))
+    size = F.lit(1).cast("long") if amount is None else F.col(amount)
+    sums = dealt.groupBy("pid", *keys).agg(F.sum(size).alias("__n"))
     before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("pid").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("pid", *keys, F.coalesce(before, F.lit(0)).alias("__before"))
-    local = F.row_number().over(Window.partitionBy("pid", *keys).orderBy(*order)) - 1
+    offsets = sums.select("pid", *keys, F.coalesce(before, F.lit(0)).alias("__before"))
+    own = Window.partitionBy("pid", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = F.coalesce(F.sum(size).over(own), F.lit(0))
     return dealt.withColumn("__at", local).join(offsets, ["pid", *keys]).withColumn(name, F.col("__before") + F.col("__at")).drop("__before", "__at")
 
 
-def propagate(state: DataFrame, capacity: int, rounds: int) -> DataFrame:
+def propagate(state: DataFrame, capacity: int, rounds: int, shards: int) -> DataFrame:
     """state: g, label, n. Rounds of requests and admissions, until nothing moves."""
     state = checkpoint(state)
-    for turn in range(rounds):
+    for _ in range(rounds):
         load = {r["label"]: r["n"] for r in state.groupBy("label").agg(F.sum("n").alias("n")).collect()}
-        free = F.create_map(*[F.lit(x) for label, n in load.items() for x in (label, max(0, capacity - n))]) if load else None
-        if free is None:
+        room = {s: capacity - load.get(s, 0) for s in range(shards) if capacity > load.get(s, 0)}
+        if not room:
             return state
-        open_to = F.coalesce(free[F.col("label")] > 0, F.lit(False))
-        group = Window.partitionBy("g")
-        # The best shard with room; documents never leave a shard for one with fewer of their group.
-        goal = F.max(F.when(open_to, F.struct("n", (-F.col("label")).alias("minus")))).over(group)
-        asked = state.withColumn("goal", goal).withColumn(
-            "to", F.when((F.col("goal.n") > F.col("n")) | (F.col("goal.n") == F.col("n")) & (-F.col("goal.minus") < F.col("label")), -F.col("goal.minus"))
-        ).drop("goal")
-        asked = checkpoint(asked)
-        demand = {r["to"]: r["n"] for r in asked.where("to IS NOT NULL").groupBy("to").agg(F.sum("n").alias("n")).collect()}
-        if not demand:
+        # Each group's best shard with room; documents never leave a shard for one with fewer of their group.
+        goals = state.where(F.col("label").isin(list(room))).groupBy("g").agg(F.max(F.struct("n", (-F.col("label")).alias("minus"))).alias("goal"))
+        asked = state.join(goals, "g").select("g", "label", "n", (-F.col("goal.minus")).alias("to"), (F.col("n") - F.col("goal.n")).alias("loss"))
+        asked = asked.where((F.col("loss") < 0) | (F.col("loss") == 0) & (F.col("to") < F.col("label")))
+        queue = ranked(asked, ["to"], ["loss", "g", "label"], "before", "n")
+        left = F.create_map(*[F.lit(x) for s, n in room.items() for x in (s, n)])[F.col("to")] - F.col("before")
+        moves = checkpoint(queue.withColumn("moved", F.least("n", left)).where("moved > 0").select("g", "label", "to", "moved"))
+        if moves.isEmpty():
             return state
-        quota = {to: min(1.0, max(0, capacity - load.get(to, 0)) / n) for to, n in demand.items()}
-        share = F.create_map(*[F.lit(x) for to, q in quota.items() for x in (to, q)])[F.col("to")]
-        room = F.create_map(*[F.lit(x) for to in demand for x in (to, max(0, capacity - load.get(to, 0)))])[F.col("to")]
-        drawn = F.pmod(F.xxhash64("g", "label", F.lit(turn)), F.lit(1 << 20)) / float(1 << 20)
-        admitted = (
-            F.when(F.col("to").isNull(), 0)
-            .when(share >= 1, F.col("n"))
-            .when(F.col("n") <= room, F.when(drawn < share * 0.9, F.col("n")).otherwise(0))
-            .otherwise(F.floor(F.col("n") * share * 0.9))
-        ).cast("long")
-        moved = asked.withColumn("moved", admitted)
-        stay = moved.select("g", "label", (F.col("n") - F.col("moved")).alias("n"))
-        go = moved.where("moved > 0").select("g", F.col("to").alias("label"), F.col("moved").alias("n"))
-        state = checkpoint(stay.where("n > 0").unionByName(go).groupBy("g", "label").agg(F.sum("n").alias("n")))
+        gone = moves.select("g", "label", (-F.col("moved")).alias("n"))
+        come = moves.select("g", F.col("to").alias("label"), F.col("moved").alias("n"))
+        state = checkpoint(state.unionByName(gone).unionByName(come).groupBy("g", "label").agg(F.sum("n").alias("n")).where("n > 0"))
     return state
 
 
@@ -77,14 +69,15 @@ def _interval(at: Column, table: list[tuple[int, int, int, int]]) -> Column:
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law)."""
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law); linked: other documents of the same
+    text, linked_here: those in the same shard (the other links are cut)."""
     text = F.col("text").cast("string")
     base = checkpoint(
         docs.select(F.col("doc_id").cast("long"), text.alias("text")).select(
             "doc_id",
             (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).cast("long").alias("size"),
             F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-            F.when(F.col("text").isNotNull(), F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))).alias("g"),
+            F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("g"),
             F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("label"),
         )
     )
@@ -92,9 +85,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     target = [total // shards + (s < total % shards) for s in range(shards)]
     state = base.where("g IS NOT NULL").groupBy("g", "label").agg(F.count("*").alias("n"))
     sizes = state.groupBy("g").agg(F.sum("n").alias("m")).where("m > 1").select("g")
-    settled = propagate(state.join(sizes, "g", "left_semi"), total // shards, rounds)
+    settled = propagate(state.join(sizes, "g", "left_semi"), total // shards, rounds, shards)
     shares = settled.groupBy("g").agg(F.sort_array(F.collect_list(F.struct(F.col("n").alias("n"), "label")), asc=False).alias("parts"))
-    placed = base.join(shares, "g", "left")
+    placed = _per_group(base, shares)
     several = F.coalesce(F.size("parts") > 1, F.lit(False))
     one = placed.where(~several).withColumn("shard", F.coalesce(F.col("parts")[0]["label"], F.col("label"))).withColumn("single", F.col("parts").isNull())
     split = ranked(placed.where(several), ["g"], ["doc_id"], "at")
@@ -124,6 +117,16 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     to_shard = F.when(beyond, new["shard"]).otherwise(F.col("own")) if lacking else F.col("own")
     to_slot = F.when(beyond, new["slot"] + at - new["first"]).otherwise(F.col("rank")) if lacking else F.col("rank")
     # Another name: a new column called shard would be taken for the old one within the filter.
-    return numbered.withColumnRenamed("shard", "own").select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), to_shard.cast("int").alias("shard"), to_slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+    done = numbered.withColumnRenamed("shard", "own").withColumns({"__to": to_shard.cast("int"), "__slot": to_slot.cast("long")})
+    together = done.where("NOT single").groupBy("g", "__to").agg(F.count("*").alias("n")).groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("__to", "n"))).alias("here"), F.sum("n").alias("all"))
+    return _per_group(done, together).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("__to").alias("shard"), F.col("__slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        F.coalesce(F.col("all") - 1, F.lit(0)).alias("linked"), F.coalesce(F.col("here")[F.col("__to")] - 1, F.lit(0)).alias("linked_here"),
     )
+
+
+def _per_group(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` with what ``groups`` has for their g, if anything: a join that spreads a group's rows over SALTS tasks."""
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    spread = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(spread, ["g", "__salt"], "left").drop("__salt")
