@@ -82,9 +82,9 @@ def dense_model(weights, texts):
             before, value = int(leaf[i]) >> (low + bits), (int(leaf[i]) >> low) & ((1 << bits) - 1)
             z = weights.bias[level][before].astype(float).copy()
             salt = int(_text.mix(np.array([before + ((level + 1) << 40)], np.uint64))[0])
-            for f in range(scoring.FEATURES):
+            for table, f in zip(weights.tables[level], scoring.USED[level], strict=True):
                 row = ((int(context[f][i]) ^ salt) * 0x9E3779B97F4A7C15 % (1 << 64)) >> (64 - weights.rows.bit_length() + 1)
-                z += weights.tables[level][f][row]
+                z += table[row]
             total += z[value] - np.log(np.exp(z).sum())
         out.append(total / np.log(10))
     return hashes, leaf, counts, context, out

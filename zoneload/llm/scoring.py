@@ -1,11 +1,12 @@
 """Language-model scores from a hashed maximum-entropy model with a class-factored softmax.
 
 A token's probability is that of its class in the context, times that of its group within the class, times that of
-its subgroup within the group, times that of the word within the subgroup. The class (32, by a hash of a word's last
+its subgroup within the group, times that of the word within the subgroup. The class (16, by a hash of a word's last
 bytes; the end has its own) and the two further factors (16 values each, by a hash of the word) are softmaxes over a
 trained bias and weights of hashed features: the word before, the word before last (a skip), and the classes of the
-four words before. In the further factors features are hashed together with the class and
-group so far, so contexts weigh words within their class. The 8192 subgroups hold a few words each; there, a word has
+four words before. The class takes all three, the group the first and last, the subgroup the first two. In the further
+factors features are hashed together with the class and group so far, so contexts weigh words within their class. The
+4096 subgroups hold a few words each; there, a word has
 its count, plus one, over all training documents.
 
 Counts: documents are dealt to groups of bounded size; each sends its distinct tokens once to the tokens'
@@ -14,7 +15,7 @@ Weights: in each round the training documents of one part of the corpus are read
 steps on its own documents from the shared weights. The changes are averaged in two levels, each row of a table by
 how much of its gradient a task has seen, so that what few tasks have met isn't averaged away. All training documents
 are read once. Rows per table grow with the bytes of text, from 2^13 to 2^15, so the weights that are broadcast are
-bounded by 26 MB. Documents are scored in blocks of arrays, whole texts each.
+bounded by 15 MB. Documents are scored in blocks of arrays, whole texts each.
 
 Cases: a null text is empty and has the end alone; a row without id is learned from and not held out; repeated
 rows are learned from and scored each by itself; with no training document every count is 0 and the values of
@@ -35,9 +36,11 @@ from ._text import NON_SPACE, U, Block, blocks, column, mix, output, word_hashes
 from ._util import checkpoint, crc_mod, dealt_by, groups_for, text_bytes
 
 #: Bits of the factors: class, group, subgroup.
-BITS = (5, 4, 4)
-CLASSES, LEAVES, FEATURES, ROUNDS = 1 << BITS[0], 1 << sum(BITS), 3, 2
-STEP_TOKENS, RATE, SCALE, PRIOR = 8192, 0.25, 0.3, 0.1
+BITS = (4, 4, 4)
+#: Features by factor: 0 the word before, 1 the word before last, 2 the classes before.
+USED = ((0, 1, 2), (0, 2), (0, 1))
+CLASSES, LEAVES, ROUNDS = 1 << BITS[0], 1 << sum(BITS), 2
+STEP_TOKENS, RATE, SCALE, PRIOR = 16_384, 0.4, 0.3, 0.1
 #: Rows of a table: one for so many bytes of text, within bounds.
 ROW_BYTES, LEAST_ROWS, MOST_ROWS = 1 << 16, 1 << 13, 1 << 15
 GROUP_BYTES, TASK_BYTES = 8 << 20, 32 << 20
@@ -93,7 +96,7 @@ class Weights:
         for level, bits in enumerate(BITS):
             m = mass.reshape(1 << sum(BITS[: level + 1]), -1).sum(1).reshape(-1, 1 << bits)
             self.bias.append(np.log(m / m.sum(1, keepdims=True)).astype(np.float32))
-            self.tables.append([np.zeros((rows, 1 << bits), np.float32) for _ in range(FEATURES)])
+            self.tables.append([np.zeros((rows, 1 << bits), np.float32) for _ in USED[level]])
 
     def copy(self) -> Weights:
         out = object.__new__(Weights)
@@ -107,7 +110,7 @@ class Weights:
         """The row of each feature in its table, hashed with what was decided before."""
         shift = U(64 - (self.rows.bit_length() - 1))
         salt = mix(np.arange(1 << sum(BITS[:level]), dtype=U) + U((level + 1) << 40))[before]
-        return [((c ^ salt) * _ODD >> shift).astype(np.uint16) for c in context]
+        return [((context[f] ^ salt) * _ODD >> shift).astype(np.uint16) for f in USED[level]]
 
     def log_odds(self, level: int, before: np.ndarray, places: list[np.ndarray]) -> np.ndarray:
         z = self.bias[level][before]
@@ -133,7 +136,7 @@ class Weights:
         for level in range(len(BITS)):
             before, value = factor(leaf, level)
             places = self.places(context, before, level)
-            first = len(BITS) + level * FEATURES
+            first = len(BITS) + sum(map(len, USED[:level]))
             for i in range(0, len(leaf), STEP_TOKENS):
                 part = slice(i, i + STEP_TOKENS)
                 at = [p[part] for p in places]
@@ -142,7 +145,7 @@ class Weights:
                 p *= 1 / p.sum(1, keepdims=True)
                 p[np.arange(len(p)), value[part]] -= 1
                 _step(self.bias[level], seen[level], before[part], p)
-                for table, sums, rows in zip(self.tables[level], seen[first : first + FEATURES], at, strict=True):
+                for table, sums, rows in zip(self.tables[level], seen[first : first + len(USED[level])], at, strict=True):
                     _step(table, sums, rows, p)
 
 
