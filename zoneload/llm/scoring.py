@@ -40,7 +40,7 @@ BITS = (4, 4, 4)
 #: Features by factor: 0 the word before, 1 the word before last, 2 the classes before.
 USED = ((0, 1, 2), (0, 2), (0, 1))
 CLASSES, LEAVES, ROUNDS = 1 << BITS[0], 1 << sum(BITS), 2
-STEP_TOKENS, RATE, SCALE, PRIOR = 16_384, 0.4, 0.3, 0.1
+STEP_TOKENS, LEAST_STEP, RATE, SCALE, PRIOR = 16_384, 1024, 0.4, 0.3, 0.1
 #: Rows of a table: one for so many bytes of text, within bounds.
 ROW_BYTES, LEAST_ROWS, MOST_ROWS = 1 << 16, 1 << 13, 1 << 15
 GROUP_BYTES, TASK_BYTES = 8 << 20, 32 << 20
@@ -132,13 +132,15 @@ class Weights:
         return out / np.log(10)
 
     def learn(self, context: list[np.ndarray], leaf: np.ndarray, seen: list[np.ndarray]) -> None:
-        """Gradient steps over the tokens in turn; ``seen`` sums each row's squared gradients, which scale its steps."""
+        """Gradient steps over the tokens in turn, a dozen at least where there are enough; ``seen`` sums each row's
+        squared gradients, which scale its steps."""
+        step = min(STEP_TOKENS, max(LEAST_STEP, len(leaf) // 12))
         for level in range(len(BITS)):
             before, value = factor(leaf, level)
             places = self.places(context, before, level)
             first = len(BITS) + sum(map(len, USED[:level]))
-            for i in range(0, len(leaf), STEP_TOKENS):
-                part = slice(i, i + STEP_TOKENS)
+            for i in range(0, len(leaf), step):
+                part = slice(i, i + step)
                 at = [p[part] for p in places]
                 p = self.log_odds(level, before[part], at)
                 np.exp(p, out=p)
