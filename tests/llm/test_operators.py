@@ -131,13 +131,35 @@ def brute_components(texts, size):
     return {d: (len(sets[d]), label[d], label[d] == d) for d in sets}
 
 
-@pytest.mark.parametrize(("size", "long"), [(2, 32), (2, 3), (5, 3)])
-def test_near_duplicates(docs, texts, size, long, monkeypatch):
+@pytest.mark.parametrize(("size", "long", "block"), [(2, 32, 4 << 20), (2, 3, 4 << 20), (5, 3, 4 << 20), (2, 3, 3000), (5, 3, 3000)])
+def test_near_duplicates(docs, texts, size, long, block, monkeypatch):
     monkeypatch.setattr(minhash, "LONG", long)  # 3: nearly all lists of the family are long ones
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", block)  # 3000: a few sets each
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs, size).collect()}
     assert got == brute_components(texts, size)
 
 
+def test_families_of_unlinked_members(spark, monkeypatch):
+    """Members that share a base but mostly aren't linked with each other, of several sizes; some pairs are."""
+    monkeypatch.setattr(minhash, "LONG", 3)
+    monkeypatch.setattr(minhash, "HUBS", 1)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 20_000)
+    r = random.Random(12)
+    base = [f"b{i}" for i in range(90)]
+    rows = []
+    for i in range(70):
+        w = base[: r.choice((60, 75, 90))]
+        for _ in range(9):
+            w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
+        rows.append((2 * i, " ".join(w)))
+        if i % 5 == 0:
+            w[3] = f"y{i}"
+            rows.append((2 * i + 1, " ".join(w)))
+    got = {g.doc_id: (g.n_shingles, g.component_id, g.kept) for g in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    want = brute_components(rows, 2)
+    assert got == want and 20 < sum(k for _, _, k in want.values()) < len(rows)
+
+
 def test_near_duplicates_odd_tables(spark, empty):
     assert minhash.near_duplicates(empty).collect() == []
     rows = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (3, "a b c"), (4, "A  b c"), (4, "A  b c")], "doc_id long, text string")
@@ -255,6 +277,21 @@ def test_licences_across_lines_and_within_prose(spark):
     assert got == want
 
 
+def test_licences_by_identifier_heading_and_conditions(spark):
+    names = sorted({n.split("/")[0] for n in licenses.TEMPLATES})
+    rows = [(i, f"#!/bin/sh\n# SPDX-License-Identifier: {n}\necho some other words") for i, n in enumerate(names)]
+    three, two = licenses.TEMPLATES["BSD-3-Clause/2"], licenses.TEMPLATES["BSD-2-Clause/1"]
+    rows += [(50, three.replace(" 2. ", "\n\n 2. ").replace(" 3. ", "\n\n 3. ")), (51, two.replace(" 2. ", "\n\n 2. ")), (52, "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n"), (53, "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007")]
+    got = {r.doc_id: r.license_id for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**dict(enumerate(names)), 50: "BSD-3-Clause", 51: "BSD-2-Clause", 52: "GPL-3.0", 53: "LGPL-3.0"}
+
+
+def test_licences_take_odd_rows(spark):
+    rows = [(1, "Released under the MIT License.", "x"), (1, "Released under the MIT License.", "x"), (None, "Released under the MIT License.", "y"), (None, None, "z")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, license_id string")).collect()
+    assert sorted((str(g.doc_id), g.license_id or "") for g in got) == [("1", "MIT"), ("1", "MIT"), ("None", ""), ("None", "MIT")]
+
+
 def test_neighbours_recall_and_cases(spark, monkeypatch):
     r = np.random.default_rng(2)
     monkeypatch.setattr(neighbours, "LIST_ROWS", 100)  # several leading bits, and long lists in parts
@@ -407,6 +444,26 @@ def test_packing_round_trip(docs, texts, empty):
     assert packing.pack(empty).collect() == []
 
 
+def test_texts_beyond_a_block(spark):
+    """Texts of more than a block's bytes, uniform ones too, beside short ones: each operator takes them whole."""
+    r = random.Random(1)
+    long = prose(r, 200_000)
+    assert len(long) > 1 << 20
+    rows = [(1, long, "en"), (2, "short words " * 3, "de"), (3, "z" * 3_000_000, "fr"), (4, long + " end of it", "en"), (5, "q" + "z" * 3_000_000, "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {g.doc_id: g for g in suffix.repeats(docs).collect()}
+    assert [got[i].n_removed for i in (1, 2, 3, 4, 5)] == [0, 0, 0, len(long), 3_000_000] and got[4].kept_sha256 == hashlib.sha256(b" end of it").hexdigest()
+    assert {g.doc_id: g.component_id for g in minhash.near_duplicates(docs, 2).collect()} == {1: 1, 2: 2, 3: 3, 4: 1, 5: 5}
+    item = " ".join(long.split()[150_000:150_011])
+    found = decontaminate.decontaminate(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert {g.doc_id: (g.n_words, g.n_hit) for g in found} == {1: (200_000, 11), 2: (6, 0), 3: (1, 0), 4: (200_003, 11), 5: (1, 0)}
+    assert {g.doc_id: g.n_tokens for g in scoring.score(docs).collect()} == {1: 200_001, 2: 7, 3: 2, 4: 200_004, 5: 2}
+    assert {g.doc_id: g.n_units for g in licenses.scan(docs).collect()} == {i: 1 for i in range(1, 6)}
+    assert sum(g.length for g in packing.pack(docs.where("doc_id < 3")).collect()) > 200_000
+    assert quality.classify(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")).count() == 5
+    assert language.identify(docs).count() == 5
+
+
 def test_packing_keeps_large_ids_beside_null_ones(spark):
     ids = [9007199254740993, 9007199254740995, None, None, -5]
     docs = spark.createDataFrame([(i, "some words here") for i in ids], "doc_id long, text string").coalesce(1)

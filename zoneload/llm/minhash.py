@@ -11,7 +11,9 @@ values of short lists, a pair always meets in one of those (if nearly all its va
 ``FIRST`` of them, with as little loss), and its values of long lists (beyond ``LONG``) are left out. Pairs of
 classes that are mostly made of common values meet in the long lists of their ``HOT_FIRST`` smallest values. There,
 all are first verified against a few members, and then only those outside the list's largest component are
-compared with the others, in blocks of bounded size that return a spanning forest and no pairs.
+compared with the others of a like size, in blocks of bounded size that return a spanning forest and no pairs. That
+last step is what costs most for a large family whose members are alike but not linked: its work grows with the square
+of those outside (by a product of small matrices for each pair of blocks), its output doesn't.
 
 Links between classes are joined to components by iterated joins. Nothing is capped: lists of any length are
 handled one way or the other.
@@ -24,6 +26,7 @@ row; other columns are left out of the comparison.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +43,8 @@ SIZE, THRESHOLD = 5, 80
 SKETCH, OVERLAP, FIRST, LONG, HOT_FIRST, HUBS = 64, 34, 16, 32, 8, 3
 #: Values of the sketch used for estimation, and how many of them a pair must share to be verified.
 ESTIMATE, ESTIMATE_SHARED = 32, 13
-BLOCK = 512
+#: Bytes of full sets that a block of a long list holds about.
+BLOCK_BYTES = 4 << 20
 #: Rows of a long list are spread over so many tasks where they meet something that the list has once.
 SALTS = 16
 #: Candidates' ids are broadcast up to this many, joined in a shuffle beyond.
@@ -204,15 +208,29 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _forest(group: pd.DataFrame) -> pd.DataFrame:
-    """Within a block of a long list, links of outsiders with others: as many as join what they join."""
-    group = group.drop_duplicates("rep")
+    """Between two blocks of a long list (or within one), links of outsiders with others: as many as join what they join."""
+    group = group.drop_duplicates("rep").sort_values("rep").reset_index(drop=True)
     reps, comps = group["rep"].to_numpy(), group["component"].to_numpy()
+    side, outside = group["side"].to_numpy(), group["outside"].to_numpy()
     sets = [np.frombuffer(w, np.uint64) for w in group["words"]]
     sizes = np.array([len(s) for s in sets])
-    values, code, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    _, code, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(sets)), sizes)
     shared = counts[code] > 1
     number = np.cumsum(counts > 1) - 1
+    if (side == 0).all():  # one block: its outsiders with all of it
+        meets = [(np.flatnonzero(outside), np.arange(len(sets)))]
+    else:
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        meets = [(left[outside[left]], right), (left[~outside[left]], right[outside[right]])]
+    meets = [(x, y, np.zeros((len(x), len(y)), np.float32)) for x, y in meets if len(x) and len(y)]
+    width = 4096
+    for start in range(0, int((counts > 1).sum()) if meets else 0, width):
+        part = shared & (number[code] >= start) & (number[code] < start + width)
+        matrix = np.zeros((len(sets), width), np.float32)
+        matrix[row[part], number[code[part]] - start] = 1
+        for x, y, common in meets:
+            common += matrix[x] @ matrix[y].T
     parent = {c: c for c in comps.tolist()}
 
     def root(c: int) -> int:
@@ -221,45 +239,47 @@ def _forest(group: pd.DataFrame) -> pd.DataFrame:
         return c
 
     out = []
-    outside = np.flatnonzero(group["outside"].to_numpy())
-    width = 4096
-    common = np.zeros((len(outside), len(sets)), np.float32)
-    for start in range(0, int((counts > 1).sum()), width):
-        part = shared & (number[code] >= start) & (number[code] < start + width)
-        matrix = np.zeros((len(sets), width), np.float32)
-        matrix[row[part], number[code[part]] - start] = 1
-        common += matrix[outside] @ matrix.T
-    union = sizes[outside][:, None] + sizes[None, :] - common
-    for i, j in zip(*np.nonzero(100 * common >= THRESHOLD * union), strict=True):
-        x, y = root(comps[outside[i]].item()), root(comps[j].item())
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            out.append((reps[outside[i]], reps[j]))
+    for x, y, common in meets:
+        union = sizes[x][:, None] + sizes[y][None, :] - common
+        for i, j in zip(*np.nonzero((100 * common >= THRESHOLD * union) & (comps[x][:, None] != comps[y][None, :])), strict=True):
+            a, b = root(comps[x[i]].item()), root(comps[y[j]].item())
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((reps[x[i]], reps[y[j]]))
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def _per_list(rows: DataFrame, lists: DataFrame) -> DataFrame:
+def _per_list(rows: DataFrame, lists: DataFrame, *more: str) -> DataFrame:
     """``rows`` (v, rep) with what ``lists`` has for their v: a join that spreads each list's rows over SALTS tasks."""
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
     spread = lists.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(spread, ["v", "__salt"]).drop("__salt")
+    return salted.join(spread, ["v", *more, "__salt"]).drop("__salt")
 
 
 def _outsiders(hot: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links across components within the long lists that verified hubs left apart."""
-    lists = checkpoint(hot.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("v", "rep", F.coalesce("component", "rep").alias("component")))
+    """Links across components within the long lists that verified hubs left apart.
+
+    Sets of a pair at the threshold differ in size by a fifth at most, so a list is cut into bands of size in which only
+    neighbouring ones meet, and bands into blocks of a bounded number of bytes. Each unordered pair of blocks with an
+    outsider on either side is one group.
+    """
+    lists = checkpoint(hot.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("v", "rep", "n", F.coalesce("component", "rep").alias("component")))
     parts = lists.groupBy("v", "component").agg(F.count("*").alias("m"))
-    most = parts.groupBy("v").agg(F.max(F.struct("m", "component"))["component"].alias("largest"), F.sum("m").alias("m"), F.count("*").alias("parts")).where("parts > 1")
+    most = parts.groupBy("v").agg(F.max(F.struct("m", "component"))["component"].alias("largest"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
     marked = _per_list(lists, most).withColumn("outside", F.col("component") != F.col("largest"))
-    # Outsiders are dealt to blocks; everyone else in blocks of their own meets each of the outsiders' blocks.
-    n = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), n).cast("int")
-    meet = marked.withColumn("own", own).withColumn("n", n)
-    outside = meet.where("outside").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("v", F.col("own").alias("i"), F.col("other").alias("j"), "rep", "component", F.lit(True).alias("outside"))
-    needed = outside.select("v", "i").distinct()
-    others = _per_list(meet, needed).select("v", "i", F.col("own").alias("j"), "rep", "component", F.lit(False).alias("outside"))
-    rows = outside.unionByName(others).groupBy("v", "i", "j", "rep", "component").agg(F.max("outside").alias("outside"))
-    return rows.join(sets, "rep").groupBy("v", "i", "j").applyInPandas(_forest, "a long, b long")
+    banded = checkpoint(marked.select("v", "rep", "n", "component", "outside", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / THRESHOLD)).cast("int").alias("band")))
+    weight = banded.groupBy("v", "band").agg(F.ceil(F.sum("n") * 8 / BLOCK_BYTES).cast("int").alias("blocks"))
+    members = checkpoint(_per_list(banded, weight, "band").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int")).drop("blocks"))
+    blocks = members.groupBy("v", "band", "block").agg(F.bool_or("outside").alias("some"))
+    other = blocks.select("v", F.col("band").alias("band2"), F.col("block").alias("block2"), F.col("some").alias("some2"))
+    near = blocks.withColumn("band2", F.explode(F.array(F.col("band"), F.col("band") + 1))).join(other, ["v", "band2"])
+    meet = checkpoint(near.where((F.col("some") | F.col("some2")) & ((F.col("band") < F.col("band2")) | (F.col("block") <= F.col("block2")))).select("v", "band", "block", "band2", "block2"))
+    key = ["v", "band", "block", "band2", "block2"]
+    first = members.join(meet, ["v", "band", "block"]).select(*key, "rep", "component", "outside", F.lit(0).alias("side"))
+    later = meet.where("band <> band2 OR block <> block2")
+    renamed = members.withColumnsRenamed({"band": "band2", "block": "block2"})
+    second = renamed.join(later, ["v", "band2", "block2"]).select(*key, "rep", "component", "outside", F.lit(1).alias("side"))
+    return first.unionByName(second).join(sets, "rep").groupBy(*key).applyInPandas(_forest, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -273,9 +293,9 @@ def near_duplicates(docs: DataFrame, size: int = SIZE) -> DataFrame:
     listed = checkpoint(classes.join(by_class, "rep").select("rep", "n", "sketch", "shared").mapInArrow(_listed, _LISTED))
     ordered = listed.where("NOT hot").repartition("v").sortWithinPartitions("v")
     pairs = ordered.mapInArrow(_overlaps, "a long, b long")
-    hot = listed.where("hot").select("v", "rep")
+    hot = listed.where("hot").select("v", "rep", "n")
     hubs = hot.groupBy("v").agg(*[F.min(F.struct(F.xxhash64("rep", F.lit(i)), "rep"))["rep"].alias(f"h{i}") for i in range(HUBS)], F.count("*").alias("m")).where("m > 1")
-    spokes = _per_list(hot, hubs).select("rep", F.explode(F.array(*[F.col(f"h{i}") for i in range(HUBS)])).alias("hub")).where("rep <> hub")
+    spokes = _per_list(hot.select("v", "rep"), hubs).select("rep", F.explode(F.array(*[F.col(f"h{i}") for i in range(HUBS)])).alias("hub")).where("rep <> hub")
     candidates = checkpoint(pairs.unionByName(spokes.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))).distinct())
     ids = checkpoint(candidates.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(hot.select("rep")).distinct())
     sets = _sets(docs, ids, size)
