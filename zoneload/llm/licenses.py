@@ -34,20 +34,26 @@ TEMPLATES: dict[str, str] = {
     "Apache-2.0/2": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     "BSD-2-Clause/1": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "BSD-3-Clause/1": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "BSD-3-Clause/2": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "CC-BY-4.0/1": "Licensed under CC BY 4.0.",
     "CC-BY-NC-4.0/1": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0/1": "Licensed under CC BY-SA 4.0.",
     "CC0-1.0/1": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "GPL-2.0/1": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-2.0/2": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
     "GPL-3.0/1": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0/2": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-3.0/3": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
     "ISC/1": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.',
     "LGPL-3.0/1": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "LGPL-3.0/2": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
     "MIT/1": "Released under the MIT License.",
     "MIT/2": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
     "MPL-2.0/1": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "Unlicense/1": "This is free and unencumbered software released into the public domain.",
 }
+#: The line that names a licence by its identifier, for each of those above.
+TEMPLATES |= {f"{name}/spdx": f"SPDX-License-Identifier: {name}" for name in sorted({t.split("/")[0] for t in TEMPLATES})}
 
 
 def full_texts() -> dict[str, str]:
