@@ -66,3 +66,26 @@ def test_packing_has_every_token_once(results):
 
 def test_run_equals_the_stages(spark, results):
     assert corpus_pipeline.run(spark, SF).exceptAll(results[-1][1]).count() == 0
+
+
+@pytest.mark.parametrize("bare", [True, False])
+def test_run_on_odd_tables(spark, tmp_path, bare):
+    """Rows without id or text, repeated ids, clashing columns; without labels and benchmark, and with some."""
+    long = "some plain words that stand here for a text of more than fifty bytes in all"
+    rows = [(1, long, "en"), (1, "another text", "en"), (None, long, None), (None, None, "de"), (2, None, "en"), (3, "", "en"), (4, long, "en"), (5, f"A benchmark item of ten words stands here in full, yes {long}", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"source": F.lit("s"), "n_chars": F.length("text").cast("long"), "__score": F.lit("x"), "contaminated": F.lit(1), "__gone": F.lit(2)})
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [] if bare else [(1, 1, 0), (2, 1, 0), (3, 1, 0), (4, 1, 0), (5, 1, 0)]
+    items = [] if bare else [(1, "a benchmark item of ten words stands here in full"), (None, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = [str(r.doc_id) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    # 4 is a copy of 1; 5 repeats no more than 1 has, and is dropped with the benchmark.
+    assert sorted(got) == ["1", "1", "2", "3"] + (["5"] if bare else []) + ["None", "None"]
+
+
+def test_run_on_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
