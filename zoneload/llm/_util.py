@@ -3,38 +3,11 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` by writing it to the shared checkpoint folder.
-
-    The folder is the session's ``spark.checkpoint.dir``.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_base(df.sparkSession))
-    return df.checkpoint()
-
-
-def shared_base(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, one of this machine
-    serves a local session; on a cluster it would be the driver's alone, so that is an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return tempfile.mkdtemp(prefix="spark-checkpoint-")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder's path in the shared one."""
-    return f"{shared_base(spark)}/zoneload-{uuid.uuid4().hex}"
+from ..session import checkpoint, shared_folder  # noqa: F401
 
 
 def fresh(name: str, df: DataFrame) -> str:
