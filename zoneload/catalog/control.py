@@ -27,7 +27,7 @@ _ELASTIC = f"""least(0.7, greatest(0.05, CASE WHEN contains(c, 'residential') TH
 def _proposed(source, load, price="mean_energy_price"):
     """The oracle's proposals for rows with low_kwh, high_kwh, a load and a price."""
     pos = f"CASE WHEN high_kwh <= low_kwh THEN 50 ELSE greatest(0, ({load} - low_kwh) / (high_kwh - low_kwh) * 100) END"
-    return f"""SELECT *, round({price} * (1 + shift / 100), 4) AS proposed, coalesce(round({price} * (1 + shift / 100), 10) >= 0, false) AS valid FROM (SELECT *, round(greatest(-100, CASE WHEN {load} <= 1e-9 OR high_kwh <= low_kwh THEN 0 WHEN {_BAND.format("(" + pos + ")")} = 'Medium' THEN 0 ELSE (1 - {_TARGET.format(load)} / {load}) / elasticity * 100 END) + 1e-9, 2) AS shift
+    return f"""SELECT *, round({price} * (1 + shift / 100) + 1e-9, 4) AS proposed, coalesce(round({price} * (1 + shift / 100), 10) >= 0, false) AS valid FROM (SELECT *, round(greatest(-100, CASE WHEN {load} <= 1e-9 OR high_kwh <= low_kwh THEN 0 WHEN {_BAND.format("(" + pos + ")")} = 'Medium' THEN 0 ELSE (1 - {_TARGET.format(load)} / {load}) / elasticity * 100 END) + 1e-9, 2) AS shift
     FROM (SELECT *, {_ELASTIC} AS elasticity FROM (SELECT *, lower({_CATEGORY_SQL}) AS c FROM {source})))"""
 
 

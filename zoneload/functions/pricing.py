@@ -57,7 +57,7 @@ def finalized(base: Column, shift: Column, proposed: Column) -> dict[str, Column
     change = F.coalesce(shift, F.when(base != 0, (F.try_divide(proposed, base) - 1) * 100), F.lit(0.0))
     return {
         "suggested_price_shift_pct": F.round(change, 4),
-        "proposed_energy_price": F.round(price, 4),
+        "proposed_energy_price": F.round(price + 1e-9, 4),  # halves go up, whatever the last bits
         "price_valid": F.coalesce(F.round(price, 10) >= 0, F.lit(False)),
     }
 
