@@ -124,10 +124,10 @@ stress AS (SELECT *, CASE WHEN p < 35 THEN 'Low' WHEN p < 80 THEN 'Medium' WHEN
 _RANK = "list_position(['Low', 'Medium', 'High', 'Extremely High'], {})"
 
 
-def windows(spark, d, n=3):
+def windows(spark, d, n=3, raw=None):
     """Pricing windows of the forecasts of all zones and origins, with bands of prediction and actual load."""
     series = X.zone_series(spark, d)
-    raw = C.ar_forecast(series, origins(spark, n), DAYS).withColumnRenamed("raw_kwh", "predicted_kwh").join(series.select("zone_id", "timestamp", _C("load_kwh").alias("actual_kwh")), ["zone_id", "timestamp"])
+    raw = (C.ar_forecast(series, origins(spark, n), DAYS) if raw is None else raw).withColumnRenamed("raw_kwh", "predicted_kwh").join(series.select("zone_id", "timestamp", _C("load_kwh").alias("actual_kwh")), ["zone_id", "timestamp"])
     return A.pricing_windows(raw, ["zone_id", "origin"], policy(spark, d))
 
 
