@@ -75,6 +75,18 @@ class Templates:
             starts, ends, _ = words(block, ALNUM)
             self.sets.append(np.unique(window_hashes(word_hashes(block, starts, ends), 2)))
         self.vocabulary = np.unique(np.concatenate([*self.sets, np.zeros(0, np.uint64)]))
+        #: Which template (column) has which bigram of the vocabulary (row).
+        self.member = np.zeros((len(self.vocabulary), len(self.sets)), np.int64)
+        for i, own in enumerate(self.sets):
+            self.member[np.searchsorted(self.vocabulary, own), i] = 1
+
+    def has(self, bigrams: np.ndarray) -> np.ndarray:
+        """Which bigrams are some template's."""
+        if not len(self.vocabulary):
+            return np.zeros(len(bigrams), bool)
+        at = np.searchsorted(self.vocabulary, bigrams)
+        at[at == len(self.vocabulary)] = 0
+        return self.vocabulary[at] == bigrams
 
     def best(self, bigrams: np.ndarray, threshold: float) -> tuple[str, float] | None:
         """The best template for a unit's set of bigrams."""
@@ -93,21 +105,23 @@ def _distinct(previous: np.ndarray, marks: np.ndarray, start: int) -> np.ndarray
     return np.cumsum(marks & (previous < start))
 
 
-def windows(bigrams: np.ndarray, valid: np.ndarray, known: Templates, threshold: float) -> list[tuple[str, float, int, int, int]]:
-    """Template, Dice, first and end bigram and template size of the matching windows of one text."""
-    out = []
-    familiar = np.flatnonzero(valid & np.isin(bigrams, known.vocabulary))
-    if not len(familiar):
-        return out
+def windows(bigrams: np.ndarray, valid: np.ndarray, familiar: np.ndarray, known: Templates, threshold: float) -> list[tuple[str, float, int, int, int]]:
+    """Template, Dice, first and end bigram and template size of the matching windows of one text. ``familiar``: the places
+    of bigrams that some template has."""
+    out: list[tuple[str, float, int, int, int]] = []
     own = np.unique(bigrams[familiar])
+    shared = known.member[np.searchsorted(known.vocabulary, own)].sum(0)
+    needed = [threshold * len(s) / (2 - threshold) - 1e-9 for s in known.sets]
+    if not (shared >= needed).any():
+        return out
     order = np.argsort(bigrams, kind="stable")
     previous = np.full(len(bigrams), -1)
     same = bigrams[order][1:] == bigrams[order][:-1]
     previous[order[1:][same]] = order[:-1][same]
-    for name, template in zip(known.names, known.sets, strict=True):
+    for name, template, common in zip(known.names, known.sets, shared.tolist(), strict=True):
         size = len(template)
         need = threshold * size / (2 - threshold)
-        if not size or len(np.intersect1d(own, template, assume_unique=True)) < need - 1e-9:
+        if not size or common < need - 1e-9:
             continue
         longest = int((2 - threshold) * size / threshold + 1e-9)
         hit = np.zeros(len(bigrams), bool)
@@ -189,7 +203,7 @@ def _scan(block: Block, known: Templates, wide: Templates, threshold: float) ->
     starts, ends, counts = words(block, ALNUM)
     bigrams = window_hashes(word_hashes(block, starts, ends), 2)
     valid = within(counts, 2)[: len(bigrams)]
-    familiar = np.concatenate([[0], np.cumsum(valid & np.isin(bigrams, known.vocabulary))])
+    familiar = np.concatenate([[0], np.cumsum(valid & known.has(bigrams))])
     # The bigrams of a unit: first word at or after its start, second word before its end.
     first = np.searchsorted(starts, unit_starts)
     last = np.maximum(first, np.searchsorted(starts, unit_ends) - 1)
@@ -203,9 +217,11 @@ def _scan(block: Block, known: Templates, wide: Templates, threshold: float) ->
             found[rows[i]].append((*best, int(first[i]), int(last[i]), sizes[best[0]]))
     # The bigrams of a text, first and last word inside it.
     ends_at = np.cumsum(counts)
+    wide_familiar = np.flatnonzero(valid & wide.has(bigrams))
     for i in np.flatnonzero(counts > 1).tolist():
         a, b = int(ends_at[i] - counts[i]), int(ends_at[i]) - 1
-        matching = windows(bigrams[a:b], valid[a:b], wide, threshold)
+        places = wide_familiar[slice(*np.searchsorted(wide_familiar, [a, b]))] - a
+        matching = windows(bigrams[a:b], valid[a:b], places, wide, threshold) if len(places) else []
         if matching:
             found[i] = _chosen([(n, d, s - a, e - a, m) for n, d, s, e, m in found[i]], matching, threshold)
     tops = [max(x, key=lambda m: (m[1], [-ord(c) for c in m[0]])) if x else None for x in found]
