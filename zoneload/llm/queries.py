@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, minhash, neighbours, packing, quality, scoring, sharding, suffix
+from . import collocations, decontaminate, language, licenses, merkle, minhash, neighbours, packing, quality, scoring, sharding, substring, suffix
 from ._util import table
 
 
@@ -52,6 +52,18 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeats(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audited(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_sharding": op2_sharding,
@@ -63,6 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
     "op10_language": op10_language,
+    "op11_collocations": op11_collocations,
+    "op12_substring_dedup": op12_substring_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": corpus_pipeline.run,
 }
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -74,6 +89,18 @@ def _words(column: str, pattern: str) -> str:
     return f"regexp_extract_all(translate(coalesce({column}, ''), '{_UPPER}', '{_LOWER}'), '{pattern}')"
 
 
+def _field(name: str) -> str:
+    text = f"CAST({name} AS VARCHAR)"
+    return f"coalesce(octet_length(encode({text})) || ':' || {text}, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(_field(n_chars if f == 'n_chars' else f) for f in merkle.FIELDS)})"
+
+
+#: The unsigned checksum of a decimal number's text, bit by bit, the lowest first.
+_CRC_OF_ID = """xor(list_reduce(list_concat([4294967295], list_transform(range(8 * len(CAST(doc_id AS VARCHAR))), lambda i: (ascii(substr(CAST(doc_id AS VARCHAR), 1 + i // 8, 1)) >> (i % 8)) & 1)),
+    lambda c, b: xor(c >> 1, (xor(c, b) & 1) * 3988292384)), 4294967295)"""
 _TEMPLATES = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in sorted(licenses.TEMPLATES.items()))
 _PAIRS = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
 
@@ -157,6 +184,62 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
             sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)""",
+    "op11_collocations": f"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+        sizes AS (SELECT unnest(range(1, {collocations.LONGEST + 1})) AS k),
+        grams AS (SELECT lang, k, w[i : i + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, sizes WHERE len(w) >= k)),
+        f AS (SELECT lang, k, g, count(*) AS c FROM grams GROUP BY lang, k, g),
+        n AS (SELECT lang, sum(c)::HUGEINT AS n FROM f WHERE k = 1 GROUP BY lang),
+        candidates AS (SELECT * FROM f WHERE k > 1 AND c >= {collocations.LEAST}),
+        inside AS (
+            SELECT DISTINCT s.lang, s.g FROM candidates s JOIN candidates t ON s.lang = t.lang AND s.k < t.k AND 100 * t.c >= 100 * s.c
+            WHERE len(list_filter(range(1, t.k - s.k + 2), lambda i: t.g[i : i + s.k - 1] = s.g)) > 0),
+        cuts AS (SELECT lang, k, g, c, unnest(range(1, k)) AS j FROM candidates ANTI JOIN inside USING (lang, g)),
+        scored AS (
+            SELECT cuts.lang, cuts.g, cuts.c AS a, x.c AS l, y.c AS r, n, j, (1000 * cuts.c::HUGEINT * n) // (x.c::HUGEINT * y.c) AS score
+            FROM cuts JOIN n USING (lang) JOIN f x ON x.lang = cuts.lang AND x.g = cuts.g[1 : j] JOIN f y ON y.lang = cuts.lang AND y.g = cuts.g[j + 1 : cuts.k]),
+        worst AS (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, j) AS p, array_to_string(g, ' ') AS phrase FROM scored)
+        SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM worst WHERE p = 1) WHERE rank <= {collocations.MOST}""",
+    "op12_substring_dedup": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),
+        windows AS (SELECT r, doc_id, i, array_to_string(w[i : i + {substring.WINDOW - 1}], ' ') AS t FROM (SELECT *, unnest(range(1, len(w) - {substring.WINDOW - 2})) AS i FROM d WHERE len(w) >= {substring.WINDOW} AND doc_id IS NOT NULL)),
+        earliest AS (SELECT t, min(doc_id) AS first FROM windows GROUP BY t),
+        gone AS (SELECT r, list(DISTINCT p) AS p FROM (SELECT r, unnest(range(i, i + {substring.WINDOW})) AS p FROM windows JOIN earliest USING (t) WHERE first < doc_id) GROUP BY r),
+        words AS (SELECT r, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d),
+        kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS body FROM words ANTI JOIN (SELECT r, unnest(p) AS p FROM gone) USING (r, p) GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(p), 0) AS BIGINT) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+        FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)""",
+    "op13_merkle_manifest": f"""
+        WITH RECURSIVE leaves AS (
+            SELECT doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf, presented
+            FROM (SELECT doc_id, lang, {_leaf("n_chars")} AS leaf, CASE WHEN {_CRC_OF_ID} % 7 = 0 THEN {_leaf("(n_chars + 1)")} ELSE {_leaf("n_chars")} END AS presented FROM documents)),
+        nodes(tree, level, i, node, n) AS (
+            SELECT tree, 0, i, leaf, count(*) OVER (PARTITION BY tree) FROM leaves
+            UNION ALL
+            SELECT tree, level + 1, i // 2, sha256(string_agg(node, '' ORDER BY i)), (any_value(n) + 1) // 2 FROM nodes WHERE n > 1 GROUP BY tree, level, i // 2),
+        subroots AS (SELECT tree, level AS height, node AS subroot FROM nodes WHERE n = 1),
+        tops(level, i, node, n) AS (
+            SELECT 0, tree, subroot, count(*) OVER () FROM subroots
+            UNION ALL
+            SELECT level + 1, i // 2, sha256(string_agg(node, '' ORDER BY i)), (any_value(n) + 1) // 2 FROM tops WHERE n > 1 GROUP BY level, i // 2),
+        root AS (SELECT level AS top_height, node AS root FROM tops WHERE n = 1),
+        own AS (SELECT * FROM leaves JOIN subroots USING (tree), root),
+        steps AS (
+            SELECT o.tree, o.i, o.level AS step, node AS beside, (o.i >> o.level) % 2 = 0 AS goes_right
+            FROM (SELECT *, unnest(range(height)) AS level FROM own) o LEFT JOIN nodes s ON s.tree = o.tree AND s.level = o.level AND s.i = xor(o.i >> o.level, 1)
+            UNION ALL
+            SELECT o.tree, o.i, height + o.level, node, (o.tree >> o.level) % 2 = 0
+            FROM (SELECT *, unnest(range(top_height)) AS level FROM own) o LEFT JOIN tops s ON s.level = o.level AND s.i = xor(o.tree >> o.level, 1)),
+        proofs AS (SELECT tree, i, string_agg(beside, '' ORDER BY step) AS proof FROM steps GROUP BY tree, i),
+        folded(tree, i, step, node) AS (
+            SELECT tree, i, 0, presented FROM own
+            UNION ALL
+            SELECT tree, i, step + 1, sha256(CASE WHEN beside IS NULL THEN f.node WHEN goes_right THEN f.node || beside ELSE beside || f.node END) FROM folded f JOIN steps USING (tree, i, step))
+        SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, f.node AS folded_root, f.node = root AS verified
+        FROM own LEFT JOIN proofs USING (tree, i) JOIN folded f ON f.tree = own.tree AND f.i = own.i AND f.step = height + top_height""",
 }
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
