@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import bands
 from ..functions.scalars import safe_divide
 from ..session import checkpoint
+from .quantiles import quantiles, quantiles_of_counts
 
 
 def day_parts(hour: Column) -> dict[str, Column]:
@@ -69,24 +70,26 @@ def price_changes(series: DataFrame) -> DataFrame:
 
 
 def price_reference(changes: DataFrame) -> DataFrame:
-    """One row: p95 (to 8 places), observations, how many aren't 0. Equal values are counted first, so little is shuffled."""
-    counts = changes.groupBy(F.col("change_pct").alias("v")).count()
-    return counts.agg(F.round(F.percentile("v", 0.95, F.col("count")), 8).alias("p95_pct"), F.sum("count").alias("observations"), F.coalesce(F.sum(F.when(F.col("v") > 0, F.col("count"))), F.lit(0)).alias("nonzero_observations"))
+    """One row: p95 (to 8 places), observations, how many aren't 0."""
+    counts = checkpoint(changes.where("change_pct IS NOT NULL").groupBy(F.col("change_pct").alias("value")).agg(F.count("*").alias("n")).withColumn("name", F.lit("change")))
+    totals = counts.agg(F.lit("change").alias("name"), F.sum("n").alias("observations"), F.coalesce(F.sum(F.when(F.col("value") > 0, F.col("n"))), F.lit(0)).alias("nonzero_observations"))
+    return totals.join(quantiles_of_counts(counts, [0.95]), "name", "left").select(F.round("value", 8).alias("p95_pct"), "observations", "nonzero_observations")
 
 
 def percentile_of(values: DataFrame, value: str, reference: DataFrame) -> DataFrame:
     """``values`` with the share of reference changes that aren't larger (percent), and whether it is above p95.
 
     Distinct reference values (to 8 places) and the asked ones are merged in one order; a running count of the reference
-    gives each its share.
+    gives each its share. The reference is kept once, for the shares and for p95.
     """
-    steps = reference.groupBy(F.round("change_pct", 8).alias("v")).count()
-    total = steps.agg(F.sum("count")).first()[0] or 0
-    p95 = price_reference(reference).first()["p95_pct"]
+    kept = checkpoint(reference.select("change_pct"))
+    steps = kept.groupBy(F.round("change_pct", 8).alias("v")).count()
+    summary = price_reference(kept).first()
     asked = values.select(F.abs(value).alias("v")).distinct().where("v IS NOT NULL")
     grid = steps.select("v", "count", F.lit(0).alias("asked")).unionByName(asked.select("v", F.lit(0).cast("long").alias("count"), F.lit(1).alias("asked")))
-    shares = running_total(grid, "v", "count", "upto").where("asked = 1").select("v", F.round(F.try_divide(F.col("upto") * 100.0, F.lit(total)), 4).alias("percentile"))
-    return values.join(shares, F.abs(value) == F.col("v"), "left").drop("v").withColumn("exceeds_p95", F.abs(value) > p95)
+    total = F.lit(summary["observations"] or 0)
+    shares = running_total(grid, "v", "count", "upto").where("asked = 1").select("v", F.round(F.try_divide(F.col("upto") * 100.0, total), 4).alias("percentile"))
+    return values.join(shares, F.abs(value) == F.col("v"), "left").drop("v").withColumn("exceeds_p95", F.abs(value) > summary["p95_pct"])
 
 
 def running_total(rows: DataFrame, order: str, amount: str, name: str) -> DataFrame:
@@ -242,10 +245,11 @@ def zone_scores(profiles: DataFrame) -> DataFrame:
     kept once, as three statistics are taken of them in turn."""
     names = sorted({f for w in CATEGORY_WEIGHTS.values() for f in w})
     frame = checkpoint(profiles.withColumn("weekend_evenness", 1 - F.abs(F.col("weekend_ratio") - 1)).select("zone_id", *[F.col(n).cast("double").alias(n) for n in names]))
-    middle = frame.agg(*[F.median(n).alias(n) for n in names]).first()
-    frame = frame.fillna({n: middle[n] for n in names if middle[n] is not None})
-    ends = frame.agg(*[F.percentile(n, [0.05, 0.95]).alias(n) for n in names]).first()
-    cut = frame.withColumns({n: F.least(F.lit(ends[n][1]), F.greatest(F.lit(ends[n][0]), F.col(n))) for n in names if ends[n]})
+    # A row per feature and fraction reaches the driver.
+    middle = {r["name"]: r["value"] for r in quantiles(frame, names, [0.5]).collect()}
+    frame = frame.fillna(middle)
+    ends = {(r["name"], r["fraction"]): r["value"] for r in quantiles(frame, names, [0.05, 0.95]).collect()}
+    cut = frame.withColumns({n: F.least(F.lit(ends[n, 0.95]), F.greatest(F.lit(ends[n, 0.05]), F.col(n))) for n in names if n in middle})
     stats = cut.agg(*[F.struct(F.avg(n).alias("m"), F.stddev_pop(n).alias("s")).alias(n) for n in names]).first()
     z = {n: (F.col(n) - stats[n]["m"]) / stats[n]["s"] if stats[n]["s"] else F.lit(0.0) for n in names}
     return cut.select("zone_id", *[sum((w * z[n] for n, w in weights.items()), F.lit(0.0)).alias(category) for category, weights in CATEGORY_WEIGHTS.items()])
