@@ -5,6 +5,10 @@ each paragraph between blank lines) and a template are compared by the Dice coef
 bigrams, 2 * common / (own + the template's). Only templates whose set size lets the threshold be reached are
 compared; a unit without any bigram of a template of admissible size has no match. A unit of one word has none.
 
+A notice counts only with the words that make it one licence's: of templates of fewer than ``SHORT`` bigrams (identifier
+lines, headings) all bigrams must be there, of longer ones those of the name and version in ``NAMES``. So a phrase or
+line about another licence, version or identifier is no match, however alike.
+
 Besides, windows of words across lines and blank lines are compared with the templates and with whole licence texts
 (``licence_texts``). The best window from each place of a template's bigrams on counts, up to the admissible size.
 Of windows that overlap the one of the greater Dice counts; one that overlaps a matching unit doesn't, unless its
@@ -16,6 +20,7 @@ scanned each by itself; an empty table gives no row; other columns are left out.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -56,6 +61,40 @@ TEMPLATES: dict[str, str] = {
 TEMPLATES |= {f"{name}/spdx": f"SPDX-License-Identifier: {name}" for name in sorted({t.split("/")[0] for t in TEMPLATES})}
 
 
+#: Bigrams below which a template must be there whole.
+SHORT = 8
+#: What must be there of a licence's name, version and date, if the template has it.
+NAMES: dict[str, list[str]] = {
+    "Apache-2.0": ["apache license", "version 2 0"],
+    "GPL-2.0": ["gnu general public license", "version 2", "june 1991"],
+    "GPL-3.0": ["gnu general public license", "version 3", "29 june 2007"],
+    "LGPL-3.0": ["gnu lesser general public license", "version 3", "29 june 2007"],
+    "MPL-2.0": ["mozilla public license", "v 2 0", "version 2 0"],
+}
+
+
+def needed_bigrams(name: str, text: str) -> list[str]:
+    """The bigrams, as two words with a blank, that a unit or window must have to match a template."""
+    pairs = lambda ws: [f"{a} {b}" for a, b in itertools.pairwise(ws)]
+    own = list(dict.fromkeys(pairs(_word_list(text))))
+    if len(own) < SHORT:
+        return own
+    named = {p for phrase in NAMES.get(name.split("/")[0], []) for p in pairs(phrase.split(" "))}
+    return [p for p in own if p in named]
+
+
+def _word_list(text: str) -> list[str]:
+    block = next(blocks(pa.RecordBatch.from_arrays([pa.array([text])], ["text"])))
+    starts, ends, _ = words(block, ALNUM)
+    return [block.data[a:b].tobytes().decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+
+def _bigrams(text: str) -> np.ndarray:
+    block = next(blocks(pa.RecordBatch.from_arrays([pa.array([text])], ["text"])))
+    starts, ends, _ = words(block, ALNUM)
+    return np.unique(window_hashes(word_hashes(block, starts, ends), 2))
+
+
 def full_texts() -> dict[str, str]:
     """Whole licence texts, by identifier; compared with windows only."""
     return {f"{f.stem}/full": f.read_text() for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
@@ -68,12 +107,8 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("n_units", pa.int64()), ("n_matches
 class Templates:
     def __init__(self, templates: dict[str, str]):
         self.names = sorted(templates)
-        self.sets = []
-        for name in self.names:
-            batch = pa.RecordBatch.from_arrays([pa.array([templates[name]])], ["text"])
-            block = next(blocks(batch))
-            starts, ends, _ = words(block, ALNUM)
-            self.sets.append(np.unique(window_hashes(word_hashes(block, starts, ends), 2)))
+        self.sets = [_bigrams(templates[name]) for name in self.names]
+        self.needed = [np.unique(np.concatenate([np.zeros(0, np.uint64), *map(_bigrams, needed_bigrams(name, templates[name]))])) for name in self.names]
         self.vocabulary = np.unique(np.concatenate([*self.sets, np.zeros(0, np.uint64)]))
         #: Which template (column) has which bigram of the vocabulary (row).
         self.member = np.zeros((len(self.vocabulary), len(self.sets)), np.int64)
@@ -91,8 +126,8 @@ class Templates:
     def best(self, bigrams: np.ndarray, threshold: float) -> tuple[str, float] | None:
         """The best template for a unit's set of bigrams."""
         size, best = len(bigrams), None
-        for name, own in zip(self.names, self.sets, strict=True):
-            if 2 * min(size, len(own)) < threshold * (size + len(own)):
+        for name, own, needed in zip(self.names, self.sets, self.needed, strict=True):
+            if 2 * min(size, len(own)) < threshold * (size + len(own)) or not np.isin(needed, bigrams).all():
                 continue
             dice = 2 * len(np.intersect1d(bigrams, own, assume_unique=True)) / (size + len(own))
             if dice >= threshold and (best is None or dice > best[1]):
@@ -118,11 +153,14 @@ def windows(bigrams: np.ndarray, valid: np.ndarray, familiar: np.ndarray, known:
     previous = np.full(len(bigrams), -1)
     same = bigrams[order][1:] == bigrams[order][:-1]
     previous[order[1:][same]] = order[:-1][same]
-    for name, template, common in zip(known.names, known.sets, shared.tolist(), strict=True):
+    for name, template, must, common in zip(known.names, known.sets, known.needed, shared.tolist(), strict=True):
         size = len(template)
         need = threshold * size / (2 - threshold)
         if not size or common < need - 1e-9:
             continue
+        if not np.isin(must, own).all():
+            continue
+        places = [familiar[bigrams[familiar] == b] for b in must]
         longest = int((2 - threshold) * size / threshold + 1e-9)
         hit = np.zeros(len(bigrams), bool)
         hit[familiar] = np.isin(bigrams[familiar], template, assume_unique=False)
@@ -130,10 +168,15 @@ def windows(bigrams: np.ndarray, valid: np.ndarray, familiar: np.ndarray, known:
         near = np.searchsorted(at, at + longest) - np.arange(len(at))
         for start in at[near >= need - 1e-9].tolist():
             end = min(start + longest, len(bigrams))
+            # The windows from here that hold all needed bigrams are those up to the last one's next place or beyond.
+            following = [np.searchsorted(x, start) for x in places]
+            least = max((int(x[i]) + 1 if i < len(x) else end + 1 for x, i in zip(places, following, strict=True)), default=start + 1)
+            if least > end:
+                continue
             p = previous[start:end]
             common = _distinct(p, hit[start:end], start)
             dice = 2 * common / (_distinct(p, valid[start:end], start) + size)
-            best = int(np.argmax(dice))
+            best = least - start - 1 + int(np.argmax(dice[least - start - 1 :]))
             if dice[best] >= threshold:
                 out.append((name, float(dice[best]), start, start + best + 1, size))
     return out

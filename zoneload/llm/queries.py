@@ -102,6 +102,7 @@ def _leaf(n_chars: str) -> str:
 _CRC_OF_ID = """xor(list_reduce(list_concat([4294967295], list_transform(range(8 * len(CAST(doc_id AS VARCHAR))), lambda i: (ascii(substr(CAST(doc_id AS VARCHAR), 1 + i // 8, 1)) >> (i % 8)) & 1)),
     lambda c, b: xor(c >> 1, (xor(c, b) & 1) * 3988292384)), 4294967295)"""
 _TEMPLATES = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in sorted(licenses.TEMPLATES.items()))
+_NEEDED = ", ".join("('{}', [{}]::VARCHAR[])".format(name, ", ".join(f"'{p}'" for p in licenses.needed_bigrams(name, text))) for name, text in sorted(licenses.TEMPLATES.items()))
 _PAIRS = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
 
 ORACLES: dict[str, str] = {
@@ -148,6 +149,7 @@ ORACLES: dict[str, str] = {
         templates AS (
             SELECT name, {_PAIRS} AS theirs
             FROM (SELECT name, {_words("text", _ALNUM)} AS w FROM (VALUES {_TEMPLATES}) AS t(name, text))),
+        needed AS (SELECT * FROM (VALUES {_NEEDED}) AS t(name, needed)),
         common AS (
             SELECT u, name, count(*) AS n
             FROM (SELECT u, unnest(own) AS b FROM unit_sets) JOIN (SELECT name, unnest(theirs) AS b FROM templates) USING (b)
@@ -156,7 +158,7 @@ ORACLES: dict[str, str] = {
             SELECT u, r, name, dice FROM (
                 SELECT u, r, name, dice, row_number() OVER (PARTITION BY u ORDER BY dice DESC, name) AS k
                 FROM (SELECT u, r, name, CAST(2 * n AS DOUBLE) / (len(own) + len(theirs)) AS dice
-                      FROM common JOIN unit_sets USING (u) JOIN templates USING (name))
+                      FROM common JOIN unit_sets USING (u) JOIN templates USING (name) JOIN needed USING (name) WHERE list_has_all(own, needed))
                 WHERE dice >= {licenses.THRESHOLD}) WHERE k = 1),
         best AS (
             SELECT r, count(*) AS n_matches, arg_max(split_part(name, '/', 1), dice) AS license_id, max(dice) AS dice,
