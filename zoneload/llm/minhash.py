@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._text import NON_SPACE, Block, blocks, column, mix, output, window_hashes, word_hashes, words
-from ._util import checkpoint
+from ._util import checkpoint, fresh
 from .components import components
 
 SIZE, THRESHOLD = 5, 80
@@ -312,5 +312,6 @@ def near_duplicates(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
 def distinct_documents(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """One document of each group of near duplicates, with all columns."""
-    gone = near_duplicates(docs, size).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    name = fresh("gone", docs)
+    gone = near_duplicates(docs, size).where(~F.col("kept")).select(F.col("doc_id").alias(name))
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
