@@ -5,7 +5,7 @@ are judged on the input, as bytes of UTF-8, and never reach over two documents.
 
 Every window has a key, the least hash of the ``GRAM``-byte grams in it, so equal windows have equal keys and
 neighbouring windows mostly share one: a maximal run of windows of one key is a passage of some 60 bytes.
- 1. Documents are dealt to groups of bounded size; each sends its distinct keys to the keys' buckets.
+ 1. Documents are dealt by row to groups of bounded size; each sends its distinct keys to the keys' buckets.
  2. A bucket returns to each group those of its keys that more documents than one have.
     Keys whose distinct passages (summed over groups) exceed ``KEY_BYTES``, such as those of a short line among ever
     other words, are returned as heavy: each window of theirs gets a key of its own, the hash of its bytes, and only
@@ -38,8 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._exchange import dealt
 from ._text import U, Block, blocks, column, mix
-from ._util import dealt_by, groups_for, text_bytes
 
 WINDOW, GRAM = 50, 20
 GROUP_BYTES = 8 << 20
@@ -50,8 +50,6 @@ _PASSAGE_BYTES = 128
 _DEPTH = 56
 #: Suffixes of longer runs of one byte are induced a run at a time.
 _SHORT_RUN = 6
-#: The documents' group, under a name that their own columns won't have.
-_GROUP = "__zoneload_group"
 _UPPER = ~U(0xFFFF)
 
 
@@ -255,7 +253,7 @@ def _weights(key: np.ndarray, uid: np.ndarray, size: np.ndarray) -> np.ndarray:
 _KEYS = pa.schema([("bucket", pa.int64()), ("pid", pa.int64()), ("keys", pa.binary()), ("several", pa.binary()), ("at", pa.binary()), ("weights", pa.binary())])
 
 
-def _key_rows(group: pa.Table, heavy: np.ndarray | None, n_buckets: int) -> pa.Table:
+def _key_rows(group: pa.Table, name: str, heavy: np.ndarray | None, n_buckets: int) -> pa.Table:
     """A group's distinct keys by bucket, with the weights of those that aren't small; or those of its heavy windows."""
     keys, several = [np.zeros(0, U)], [np.zeros(0, bool)]
     passages: list[tuple] = []
@@ -280,7 +278,7 @@ def _key_rows(group: pa.Table, heavy: np.ndarray | None, n_buckets: int) -> pa.T
     many = (np.diff(np.append(new, len(key))) > 1) | (np.add.reduceat(flag.astype(np.int64), new) > 0)
     key = key[new]
     weight = _weights(*(np.concatenate(p) for p in zip(*passages, strict=True))) if heavy is None else np.zeros(len(key), np.int64)
-    pid = column(group, _GROUP)[0].as_py()
+    pid = column(group, name)[0].as_py()
     rows = []
     for b, i, j in _split(key, n_buckets):
         at = np.flatnonzero(weight[i:j] > _PASSAGE_BYTES)
@@ -288,8 +286,8 @@ def _key_rows(group: pa.Table, heavy: np.ndarray | None, n_buckets: int) -> pa.T
     return pa.table([list(c) for c in zip(*rows, strict=True)], schema=_KEYS)
 
 
-def _keys(n_buckets: int):
-    return lambda group: _key_rows(group, None, n_buckets)
+def _keys(name: str, n_buckets: int):
+    return lambda group: _key_rows(group, name, None, n_buckets)
 
 
 def _listed(table: pa.Table, name: str) -> np.ndarray:
@@ -297,10 +295,10 @@ def _listed(table: pa.Table, name: str) -> np.ndarray:
     return np.sort(np.concatenate([np.zeros(0, U), *[_unpacked(k) for k in column(table, name)]]))
 
 
-def _window_keys(n_buckets: int):
+def _window_keys(name: str, n_buckets: int):
     def run(group: pa.Table, listed: pa.Table) -> pa.Table:
         heavy = _listed(listed, "heavy")
-        return _key_rows(group, heavy, n_buckets) if len(heavy) else _KEYS.empty_table()
+        return _key_rows(group, name, heavy, n_buckets) if len(heavy) else _KEYS.empty_table()
 
     return run
 
@@ -341,7 +339,7 @@ def _passage_id(block: Block, first: np.ndarray, count: np.ndarray, key: np.ndar
     return mix(block.span_hash(block.prefix(), first, first + count + WINDOW - 1) ^ key)
 
 
-def _passages(n_buckets: int):
+def _passages(name: str, n_buckets: int):
     schema = pa.schema([(n, pa.int64()) for n in ("bucket", "pid")] + [(n, pa.binary()) for n in ("passages", "sizes", "uids", "ids", "several")])
 
     def run(group: pa.Table, listed: pa.Table) -> pa.Table:
@@ -370,7 +368,7 @@ def _passages(n_buckets: int):
         at = np.flatnonzero(new)
         any_several = (np.add.reduceat(several[order].astype(np.int64), at) > 0) | (np.maximum.reduceat(ids[order], at) != ids[lead])
         key = key[lead]
-        pid = column(group, _GROUP)[0].as_py()
+        pid = column(group, name)[0].as_py()
         rows = []
         for b, i, j in _split(key, n_buckets):
             some = lead[i:j]
@@ -487,26 +485,25 @@ def _cut(fields: list[T.StructField], summary: bool):
 _KEYS_DDL, _SHARED_DDL = "bucket long, pid long, keys binary, several binary, at binary, weights binary", "pid long, keys binary, heavy binary"
 
 
-def _sent(dealt: DataFrame, n_groups: int) -> tuple[DataFrame, DataFrame]:
+def _sent(groups: DataFrame, name: str, n_groups: int) -> tuple[DataFrame, DataFrame]:
     """The passages that groups send to buckets, and the heavy keys by group."""
-    keys = dealt.groupBy(_GROUP).applyInArrow(_keys(n_groups), _KEYS_DDL)
+    keys = groups.groupBy(name).applyInArrow(_keys(name, n_groups), _KEYS_DDL)
     shared = keys.groupBy("bucket").applyInArrow(_shared(KEY_BYTES), _SHARED_DDL)
     heavy = shared.where(F.octet_length("heavy") > 0)
-    windows = dealt.groupBy(_GROUP).cogroup(heavy.groupBy("pid")).applyInArrow(_window_keys(n_groups), _KEYS_DDL)
+    windows = groups.groupBy(name).cogroup(heavy.groupBy("pid")).applyInArrow(_window_keys(name, n_groups), _KEYS_DDL)
     both = shared.unionByName(windows.groupBy("bucket").applyInArrow(_shared(float("inf")), _SHARED_DDL))
-    passages = dealt.groupBy(_GROUP).cogroup(both.groupBy("pid")).applyInArrow(_passages(4 * n_groups), "bucket long, pid long, passages binary, sizes binary, uids binary, ids binary, several binary")
+    passages = groups.groupBy(name).cogroup(both.groupBy("pid")).applyInArrow(_passages(name, 4 * n_groups), "bucket long, pid long, passages binary, sizes binary, uids binary, ids binary, several binary")
     return passages, heavy
 
 
 def _work(docs: DataFrame, fields: list[T.StructField], summary: bool) -> DataFrame:
     """``docs``: doc_id long, text string, maybe more."""
-    n_groups = groups_for(text_bytes(docs), GROUP_BYTES)
     # All passes over the texts read this one exchange.
-    dealt = dealt_by(docs.withColumn(_GROUP, F.pmod(F.xxhash64("doc_id"), F.lit(n_groups))), _GROUP, n_groups)
-    passages, heavy = _sent(dealt, n_groups)
+    groups, name, n_groups = dealt(docs, GROUP_BYTES)
+    passages, heavy = _sent(groups, name, n_groups)
     least = passages.groupBy("bucket").applyInArrow(_least, "pid long, uids binary, parts binary, lengths binary, least binary")
     found = least.withColumn("heavy", F.lit(b"")).unionByName(heavy.select("pid", *[F.lit(b"").alias(n) for n in ("uids", "parts", "lengths", "least")], "heavy"))
-    return dealt.groupBy(_GROUP).cogroup(found.groupBy("pid")).applyInArrow(_cut(fields, summary), T.StructType(fields))
+    return groups.groupBy(name).cogroup(found.groupBy("pid")).applyInArrow(_cut(fields, summary), T.StructType(fields))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
