@@ -5,9 +5,9 @@ described by shares of its bytes and byte pairs, hashed, and by its length; a tr
 attention (a tanh and a sigmoid branch) weighs the passages of the document, and a logistic unit scores the
 weighted sum. All parameters are learned together from document labels, with no labels of passages.
 
-Training takes a bounded sample: the ``SAMPLE`` labelled documents smallest by a hash of their text and id, of any
-length; of a bag of more than ``BAG`` passages as many evenly spread ones are learned from. Both bounds hold the
-driver's share constant. Scoring reads every passage of every whole text.
+Training takes a bounded sample of labelled documents, each with all its passages: the ``SAMPLE`` smallest by a hash of
+their text and id, as many of them as have ``SAMPLE_BYTES`` bytes of text together (one that has more alone is passed
+over). Both bounds hold the driver's share constant. Scoring reads every passage of every whole text.
 
 Cases: a null text is an empty one and gets a score; a document with several labels counts once for each
 distinct one; null labels are left out; with no usable label, or one class only, the score is the share of label 1
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,7 +29,8 @@ from ._text import NON_SPACE, Block, blocks, column, output, words
 from ._util import crc_mod, fresh
 
 PASSAGE_WORDS = 64
-SAMPLE, BAG = 4000, 128
+#: Labelled documents to learn from at most, and the bytes of all their texts.
+SAMPLE, SAMPLE_BYTES = 4000, 32 << 20
 PAIRS, HIDDEN, GATE, EPOCHS, BATCH, RATE = 128, 24, 12, 24, 64, 0.01
 FEATURES = 128 + 1 + PAIRS + 1
 
@@ -133,18 +134,16 @@ class Model:
         return self
 
 
-def spread(x: np.ndarray, bag: int) -> np.ndarray:
-    """At most ``bag`` of a document's passages, evenly spread from the first to the last."""
-    return x if len(x) <= bag else x[np.linspace(0, len(x) - 1, bag).round().astype(np.int64)]
-
-
-def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", sample: int = SAMPLE, bag: int = BAG) -> Model:
+def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Fit a model on the sample. ``usable``: which labels' documents (by doc_id) may be learned from."""
     marked = labels.where(usable & F.col(label).isin(0, 1)).select(F.col("doc_id").alias("__id"), F.col(label).alias("__y")).distinct()
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # Ids and labels first; the texts of the chosen ones follow, so that no text is sorted or shuffled.
-    hashed = texts.select("doc_id", F.xxhash64("doc_id", "text").alias("__h")).where(usable)
-    chosen = hashed.join(marked, F.col("doc_id") == F.col("__id")).orderBy("__h", "doc_id", "__y").limit(sample).select("__h", "__id", "__y")
+    hashed = texts.select("doc_id", F.xxhash64("doc_id", "text").alias("__h"), F.octet_length("text").alias("__n")).where(usable & (F.octet_length("text") <= sample_bytes))
+    first = hashed.join(marked, F.col("doc_id") == F.col("__id")).orderBy("__h", "doc_id", "__y").limit(sample).select("__h", "__id", "__y", "__n")
+    # Of these few rows, without their texts, as many as the bytes allow.
+    upto = F.sum("__n").over(Window.orderBy("__h", "__id", "__y").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = first.withColumn("__n", upto).where(F.col("__n") <= sample_bytes).drop("__n")
     # The hash, too, so that of several texts of one id the chosen ones alone follow.
     same = (F.col("doc_id") == F.col("__id")) & (F.xxhash64("doc_id", "text") == F.col("__h"))
     rows = texts.join(F.broadcast(chosen.distinct()), same).select("doc_id", "__h", "__y", "text").distinct()
@@ -154,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qual
         for batch in batches:
             for block in blocks(batch):
                 x, per_row = passages(block)
-                parts = [spread(p, bag) for p in np.split(x.astype(np.float16), np.cumsum(per_row)[:-1])]
+                parts = np.split(x.astype(np.float16), np.cumsum(per_row)[:-1])
                 yield output(arrow, h=column(block.batch, "__h"), y=column(block.batch, "__y"), n=[len(p) for p in parts], x=[p.tobytes() for p in parts])
 
     got = rows.mapInArrow(encode, "h long, y int, n long, x binary").toPandas().sort_values(["h", "y", "n", "x"], kind="stable")
