@@ -24,7 +24,8 @@ each factor are equally likely; an empty table gives no row; other columns are l
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._exchange import dealt
 from ._text import NON_SPACE, U, Block, blocks, column, mix, output, word_hashes, words
-from ._util import checkpoint, crc_mod, dealt_by, groups_for, text_bytes
+from ._util import checkpoint, crc_mod, groups_for, text_bytes
 
 #: Bits of the factors: class, group, subgroup.
 BITS = (4, 4, 4)
@@ -44,8 +46,8 @@ STEP_TOKENS, LEAST_STEP, RATE, SCALE, PRIOR = 16_384, 1024, 0.4, 0.3, 0.1
 #: Rows of a table: one for so many bytes of text, within bounds.
 ROW_BYTES, LEAST_ROWS, MOST_ROWS = 1 << 16, 1 << 13, 1 << 15
 GROUP_BYTES, TASK_BYTES = 8 << 20, 32 << 20
-#: Rows of a table that are averaged together, and the tasks of the first level.
-SLICE, LEVEL = 1 << 12, 16
+#: Rows of a table that are averaged together, and how many tasks' changes at a time.
+SLICE, FAN_IN = 1 << 12, 16
 END = mix(np.array([0x5EED], U))[0]
 _ODD = U(0x9E3779B97F4A7C15)
 
@@ -221,6 +223,15 @@ def _slices(arrays: list[np.ndarray]) -> list[tuple[int, int, int]]:
     return [(i, a, min(a + SLICE, len(x))) for i, x in enumerate(arrays) for a in range(0, len(x), SLICE)]
 
 
+def averaged(changes: DataFrame, tasks: int, average: Callable[[pa.Table], pa.Table], ddl: str) -> DataFrame:
+    """One row per part from one per part and task (``salt``, from 0): ``FAN_IN`` of them at a time, in as many levels as
+    that takes, so that what one task gathers is bounded whatever the number of tasks."""
+    while tasks > 1:
+        changes = changes.withColumn("salt", F.floor(F.col("salt") / FAN_IN).cast("int")).groupBy("part", "salt").applyInArrow(average, ddl)
+        tasks = math.ceil(tasks / FAN_IN)
+    return changes
+
+
 def _trained(docs: DataFrame, weights: Weights, turn: int, tasks: int) -> Weights:
     """One round over the training documents of part ``turn``."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
@@ -236,7 +247,7 @@ def _trained(docs: DataFrame, weights: Weights, turn: int, tasks: int) -> Weight
                 hashes, leaf, counts = tokens(block)
                 own.learn(contexts(hashes, leaf, counts), leaf, seen)
         if own is not None:
-            salt = TaskContext.get().partitionId() % LEVEL
+            salt = TaskContext.get().partitionId()
             now, old = own.arrays(), shared.value.arrays()
             for number, (i, a, b) in enumerate(_slices(now)):
                 change = (now[i][a:b] - old[i][a:b]).astype(np.float16)
@@ -254,7 +265,7 @@ def _trained(docs: DataFrame, weights: Weights, turn: int, tasks: int) -> Weight
 
     ddl = "part int, salt int, mass binary, change binary"
     mine = docs.where(F.col("train") & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == turn)).select("text").coalesce(tasks)
-    levels = mine.mapInArrow(run, ddl).groupBy("part", "salt").applyInArrow(average, ddl).groupBy("part").applyInArrow(average, ddl)
+    levels = averaged(mine.mapInArrow(run, ddl), tasks, average, ddl)
     out = weights.copy()
     arrays = out.arrays()
     slices = _slices(arrays)
@@ -269,10 +280,10 @@ def score(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
     held = F.coalesce(crc_mod("doc_id", 7) == 2 if held_out is None else held_out, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("train", ~held)
     size = text_bytes(rows)
-    n_groups = groups_for(size, GROUP_BYTES)
+    groups, name, n_groups = dealt(rows, GROUP_BYTES)
+    groups = groups.withColumnRenamed(name, "pid")
     n_buckets = max(1, n_groups // 2)
-    dealt = dealt_by(rows.withColumn("pid", F.pmod(F.xxhash64("doc_id"), F.lit(n_groups))), "pid", n_groups)
-    distinct = dealt.groupBy("pid").applyInArrow(_distinct(n_buckets), "bucket long, pid long, keys binary, counts binary, leaves binary")
+    distinct = groups.groupBy("pid").applyInArrow(_distinct(n_buckets), "bucket long, pid long, keys binary, counts binary, leaves binary")
     totals = checkpoint(distinct.groupBy("bucket").applyInArrow(_totals, "pid long, bucket long, width int, totals binary, leaf array<int>, n array<long>, v array<long>"))
     sums = totals.where("pid IS NULL").select(F.inline(F.arrays_zip("leaf", "n", "v"))).groupBy("leaf").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
     n, v = np.zeros(LEAVES), np.zeros(LEAVES)
@@ -305,4 +316,4 @@ def score(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
             out.append(output(arrow, doc_id=column(block.batch, "doc_id"), held_out=held, n_tokens=counts, n_known=np.add.reduceat((c > 0).astype(np.int64), first), train_tokens=[all_tokens] * len(counts), base_score=np.add.reduceat(log_count - base, first), score=np.add.reduceat(model, first)))
         return pa.Table.from_batches(out, arrow)
 
-    return dealt.groupBy("pid").cogroup(totals.where("pid IS NOT NULL").groupBy("pid")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return groups.groupBy("pid").cogroup(totals.where("pid IS NOT NULL").groupBy("pid")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
