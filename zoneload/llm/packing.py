@@ -158,5 +158,6 @@ def pack(
         return pa.table([column(group, n) for n in names] + [pa.array(v, pa.int64()) for v in placed.values()], schema=arrow)
 
     schema = ", ".join(f"{n} long" for n in [*names, "sequence_id", "offset", "sequence_tokens", "padding"])
-    key = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(blocks)).alias("block")
+    # By row of what is checkpointed: pieces without id, and those of equal texts, are spread like any others.
+    key = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(blocks)).alias("block")
     return cut.select(*names, key).groupBy("block").applyInArrow(place, schema)
