@@ -286,6 +286,55 @@ def test_licences_by_identifier_heading_and_conditions(spark):
     assert got == {**dict(enumerate(names)), 50: "BSD-3-Clause", 51: "BSD-2-Clause", 52: "GPL-3.0", 53: "LGPL-3.0"}
 
 
+def test_no_licence_from_a_phrase_or_another_identifier(spark):
+    others = ["Zlib", "AGPL-3.0-only", "EPL-2.0", "BSL-1.0", "LGPL-2.1-or-later", "Artistic-2.0", "ISCX"]
+    rows = [(i, f"// SPDX-License-Identifier: {n}") for i, n in enumerate(others)]
+    rows += [
+        (20, "See the SPDX license identifier field in the manual"),
+        (21, "Licensed under the Apache License, Version 1.1"),
+        (22, "This work is licensed under the GNU Affero General Public License, version 3."),
+        (23, "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+        (24, licenses.TEMPLATES["MPL-2.0/1"].replace("v. 2.0", "v. 1.1").replace("MPL/2.0", "MPL/1.1")),
+        (25, licenses.full_texts()["GPL-3.0/full"].replace("GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007", "AFFERO GENERAL PUBLIC LICENSE\n Version 3, 19 November 2007").replace("29 June 2007", "19 November 2007")),
+        (26, licenses.TEMPLATES["GPL-3.0/2"].replace("version 3", "version 4")),
+        (30, "SPDX-License-Identifier: MIT OR Zlib"),
+        (31, "see Licensed under the Apache License, Version 2.0, and more"),
+        (32, licenses.TEMPLATES["GPL-3.0/2"].replace("free software", "a free software")),
+    ]
+    got = {r.doc_id: r.license_id for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict.fromkeys([*range(len(others)), *range(20, 27)]) | {30: "MIT", 31: "Apache-2.0", 32: "GPL-3.0"}
+
+
+def test_licence_windows_equal_all_windows():
+    """Made-up texts of licence words: the best window from each place of a template's bigrams, among all of admissible size."""
+    r = random.Random(8)
+    templates = {"A-1.0/1": "a b c d e f g h i j k l", "A-1.0/2": "a b c", "GPL-3.0/1": "x gnu general public license version 3 y z w v u t", "B/spdx": "spdx license identifier b"}
+    known, threshold = licenses.Templates(templates), licenses.THRESHOLD
+    vocabulary = " ".join(templates.values()).split()
+    pairs = lambda ws: [" ".join(p) for p in zip(ws, ws[1:])]
+    found = 0
+    for _ in range(400):
+        ws = []
+        while len(ws) < r.randint(4, 40):
+            source = r.choice(list(templates.values())).split()
+            a = r.randrange(len(source))
+            ws += source[a : a + r.randint(1, 12)] if r.random() < 0.8 else [r.choice(vocabulary)]
+        own = pairs(ws)
+        hashes = np.array([licenses._bigrams(p)[0] for p in own])
+        got = licenses.windows(hashes, np.ones(len(own), bool), np.flatnonzero(known.has(hashes)), known, threshold)
+        want = []
+        for name in sorted(templates):
+            theirs, needed = set(pairs(templates[name].split())), set(licenses.needed_bigrams(name, templates[name]))
+            for a in (i for i, p in enumerate(own) if p in theirs):
+                sizes = range(a + 1, min(len(own), a + int((2 - threshold) * len(theirs) / threshold + 1e-9)) + 1)
+                dice = [(2 * len(theirs & set(own[a:b])) / (len(theirs) + len(set(own[a:b]))), -b) for b in sizes if needed <= set(own[a:b])]
+                if dice and max(dice)[0] >= threshold:
+                    want.append((name, max(dice)[0], a, -max(dice)[1], len(theirs)))
+        assert sorted(got) == sorted(want)
+        found += len(got)
+    assert found > 100
+
+
 def test_licences_take_odd_rows(spark):
     rows = [(1, "Released under the MIT License.", "x"), (1, "Released under the MIT License.", "x"), (None, "Released under the MIT License.", "y"), (None, None, "z")]
     got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, license_id string")).collect()
@@ -515,12 +564,14 @@ def test_quality(spark, empty):
 
 
 def test_long_labelled_texts_are_learned_from(spark):
-    """Where all labelled texts are long ones, of more passages than a bag may have, the classifiers still learn."""
+    """Labelled texts of many passages are learned from whole; beyond the sample's bytes some are left out."""
     r = random.Random(3)
     rows = [(i, " ".join((w.upper() if i % 2 else w) for w in prose(r, 64 * 12).split()), "de" if i % 2 else "fi") for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    got = quality.classify(docs, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int"), bag=4).collect()
+    got = quality.classify(docs, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int"), sample_bytes=150_000).collect()
     assert all(g.predicted == g.doc_id % 2 for g in got)
+    none = quality.train(docs, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int"), F.lit(True), sample_bytes=4000)
+    assert not none.trained
 
 
 def test_attention_model_equals_plain_loops():
@@ -652,3 +703,59 @@ def test_scoring_takes_odd_rows(spark):
     got = sorted((str(g.doc_id), g.n_tokens, g.train_tokens) for g in scoring.score(docs).collect())
     train = sum(n for i, n in (("1", 4), ("1", 4), ("None", 3), ("None", 1), ("2", 1)) if i == "None" or zlib.crc32(i.encode()) % 7 != 2)
     assert got == [("1", 4, train), ("1", 4, train), ("2", 1, train), ("None", 1, train), ("None", 3, train)]
+
+
+def test_columns_of_any_name_go_along(spark):
+    names = ["gone", "_gone", "__gone", "group", "__zoneload_group", "kept", "component", "text2"]
+    text = " ".join(f"w{i}" for i in range(80))
+    docs = spark.createDataFrame([(i, text + f" x{i}", *[f"{n}{i}" for n in names]) for i in range(3)], ["doc_id", "text", *names])
+    kept = minhash.distinct_documents(docs).collect()
+    assert [(r.doc_id, *[r[n] for n in names]) for r in kept] == [(0, *[f"{n}0" for n in names])]
+    cut = sorted(suffix.trimmed(docs).collect())
+    assert [tuple(r[n] for n in names) for r in cut] == [tuple(f"{n}{i}" for n in names) for i in range(3)]
+    assert cut[0].text == text + " x0" and len(cut[1].text) < 10
+
+
+def test_rows_without_id_are_spread_over_groups(spark, monkeypatch):
+    """All ids null: no group holds more than its share, and results are those of each row alone."""
+    from zoneload.llm._exchange import dealt
+
+    rows = [(None, f"some words of row {i % 7}. " * 8) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    groups, name, n = dealt(docs, 4000)
+    sizes = [r["count"] for r in groups.groupBy(name).count().collect()]
+    assert n > 15 and len(sizes) == n and max(sizes) < 4 * len(rows) / n
+    for module in (suffix, scoring):
+        monkeypatch.setattr(module, "GROUP_BYTES", 4000)
+    cut = suffix.repeats(docs).collect()
+    assert len(cut) == 400 and not any(r.n_removed for r in cut)
+    scored = scoring.score(docs).collect()
+    assert len(scored) == 400 and len({(r.n_tokens, r.n_known, round(r.base_score, 6)) for r in scored}) == 7
+    packed = packing.pack(docs, capacity=64, piece=16).collect()
+    by_window = Counter()
+    for r in packed:
+        by_window[r.sequence_id] += r.length
+    assert max(by_window.values()) <= 64 and sum(by_window.values()) == sum(r.length for r in packed)
+
+
+def test_averages_in_levels_equal_one_average(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(scoring, "FAN_IN", 3)
+    ddl = "part int, salt int, mass binary, change binary"
+    r = np.random.default_rng(4)
+    rows = [(part, salt, r.random(4).astype(np.float32), r.random(4).astype(np.float32)) for part in range(2) for salt in range(20) if salt != 7]
+
+    def average(group):
+        mass = np.stack([np.frombuffer(x.as_buffer(), np.float32) for x in group["mass"].combine_chunks()])
+        change = np.stack([np.frombuffer(x.as_buffer(), np.float32) for x in group["change"].combine_chunks()])
+        assert len(mass) <= 3
+        mean = (mass * change).sum(0) / mass.sum(0)
+        return pa.table({"part": group["part"][:1], "salt": group["salt"][:1], "mass": [mass.sum(0).tobytes()], "change": [mean.astype(np.float32).tobytes()]})
+
+    table = spark.createDataFrame([(p, s, bytearray(m.tobytes()), bytearray(c.tobytes())) for p, s, m, c in rows], ddl)
+    got = {x.part: np.frombuffer(bytes(x.change), np.float32) for x in scoring.averaged(table, 20, average, ddl).collect()}
+    for part in range(2):
+        own = [x for x in rows if x[0] == part]
+        want = sum(m * c for _, _, m, c in own) / sum(m for _, _, m, _ in own)
+        assert np.allclose(got[part], want, atol=1e-5)

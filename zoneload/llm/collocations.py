@@ -229,7 +229,7 @@ def _ranked(scored: DataFrame, most: int) -> DataFrame:
     n = scored.count()
     parts = max(1, math.ceil(n / _RANKED))
     some = scored.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(parts))).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= most)
-    while parts * most > 4 * _RANKED:
+    while parts > 1 and parts * most > 4 * _RANKED:
         parts = math.ceil(parts / 16)
         some = some.withColumn("part", F.pmod("part", F.lit(parts))).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= most)
     return some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= most)
