@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 from .. import fixtures as X
 from ..functions.scalars import all_known
 from ..operators import evaluation as E
+from ..operators import outcomes as O
 from ..registry import query
+from ..session import checkpoint, shared_folder
+from ..sources import results as RS
 from .features import summary
 
 _C = F.col
@@ -138,15 +141,73 @@ _ALL = "CASE WHEN bool_or(NOT {0}) THEN false WHEN count(*) > count({0}) THEN NU
 _ANY = "CASE WHEN bool_or({0}) THEN true WHEN count(*) > count({0}) THEN NULL ELSE false END"
 
 
-@query("agg_window_summary", f"""SELECT run, round, count(*) AS windows, count(*) FILTER (medium) AS medium_count, count(medium) AS known_count, count(*) - count(medium) AS unknown_count, count(*) FILTER (medium) * 100e0 / nullif(count(medium), 0) AS medium_rate_pct, count(*) FILTER (NOT baseline_medium AND medium) AS newly_medium, count(*) FILTER (baseline_medium AND NOT medium) AS lost_medium,
-    count(*) FILTER (NOT baseline_medium AND medium) - count(*) FILTER (baseline_medium AND NOT medium) AS net_new, count(*) FILTER (NOT previous_medium AND medium) AS gained, count(*) FILTER (previous_medium AND NOT medium) AS exited, {_ALL.format('medium')} AS all_medium, {_ANY.format('medium')} AS any_medium FROM entries GROUP BY run, round""", f"{X.ROUNDS}, {_GRID}", "medium_rate_pct")
+#: Dimensions of a run, beside its zone: each outcome row has them.
+_DIMS = {"batch": "run % 2", "dataset": "'set-' || run % 3", "backend": "CASE WHEN run % 4 < 2 THEN 'ar' ELSE 'ridge' END", "agent_mode": "CASE WHEN run % 5 < 3 THEN 'multi' ELSE 'single' END", "forecast_origin": "run % 7"}
+#: The tables' sets of dimensions.
+OUTCOME_SETS = {
+    "round_overall": ["batch"], "round_by_dataset": ["batch", "dataset"], "round_by_dataset_model": ["batch", "dataset", "backend"], "round_by_mode": ["batch", "agent_mode"],
+    "round_by_origin_model_mode": ["batch", "dataset", "forecast_origin", "backend", "agent_mode"], "round_by_zone": ["batch", "dataset", "backend", "agent_mode", "forecast_origin", "zone"],
+}
+_SHOWN_ROWS = 'run, zone, "window", phase, round, medium, baseline_medium, previous_medium, first_entry_round, known, ever_medium, ever_newly_medium, stress'
+_OUTCOMES = f"""outcomes AS (SELECT *, {", ".join(f"{v} AS {k}" for k, v in _DIMS.items())}, CASE WHEN phase <> 'baseline' AND run % 6 <> 1 THEN medium END AS control_success FROM (
+    SELECT {_SHOWN_ROWS} FROM (SELECT *, CASE WHEN round = 0 THEN 'baseline' ELSE 'round' END AS phase FROM entries)
+    UNION ALL SELECT {_SHOWN_ROWS} FROM (SELECT *, 'final' AS phase FROM finals)) JOIN (SELECT run, zone, count(*) AS zone_expected FROM run_finals GROUP BY run, zone) USING (run, zone) JOIN (SELECT run, 30 AS run_expected FROM run_finals GROUP BY run) USING (run))"""
+_TESTS = dict(zip(O.COUNTS, (
+    "true", "medium IS NOT NULL", "medium", "baseline_medium", "baseline_medium IS NOT NULL", "baseline_medium IS NOT NULL AND medium IS NOT NULL", "NOT baseline_medium AND medium", "baseline_medium AND NOT medium", "previous_medium IS NOT NULL AND medium IS NOT NULL", "NOT previous_medium AND medium", "previous_medium AND NOT medium",
+    "NOT baseline_medium AND known AND first_entry_round = round", "NOT known", "NOT baseline_medium AND known AND first_entry_round IS NULL", "ever_newly_medium", "ever_newly_medium IS NULL", "phase = 'final' AND ever_medium AND NOT medium", "phase = 'final' AND ever_newly_medium AND NOT medium", "control_success", "control_success IS NOT NULL"), strict=True))
+
+
+def _outcome_sql(level, keys, every):
+    """One set's table in SQL, its zones and runs counted from the rows themselves."""
+    by = ", ".join([*keys, "phase", "round"])
+    shown = ", ".join(f"{k if k in keys else 'NULL'} AS {k}" for k in every)
+    counts = ", ".join(f"count(*) FILTER ({test}) AS {name}" for name, test in _TESTS.items())
+    whole = {z: f"SELECT {by}, count(*) AS {z}_count, count(*) FILTER (whole) AS {z}_complete_count, count(*) FILTER (NOT whole) AS {z}_unknown_count, count(*) FILTER (whole AND good) AS {z}_all_medium_count FROM (SELECT {by}, count(DISTINCT {ids}) >= max({z}_expected) AND count(medium) = count(*) AS whole, bool_and(coalesce(medium, false)) AS good FROM outcomes GROUP BY {', '.join(dict.fromkeys([*keys, 'phase', 'round', 'run', *(['zone'] if z == 'zone' else [])]))}) GROUP BY {by}" for z, ids in (("zone", '"window"'), ("run", "zone || '/' || \"window\""))}
+    return f"""SELECT '{level}' AS level, {shown}, phase, round, t.* EXCLUDE ({by}), z.* EXCLUDE ({by}), r.* EXCLUDE ({by}), window_count - medium_known_count AS medium_unknown_count, medium_known_count * 100e0 / window_count AS medium_coverage_pct, medium_count * 100e0 / nullif(medium_known_count, 0) AS medium_rate_pct,
+        window_count - baseline_medium_known_count AS baseline_medium_unknown_count, window_count - baseline_comparable_count AS baseline_unknown_transition_count, new_medium_count - lost_medium_count AS net_medium_count, window_count - adjacent_comparable_count AS adjacent_unknown_transition_count, gained_medium_count - exited_medium_count AS adjacent_net_medium_count, window_count - control_success_known_count AS control_success_unknown_count
+        FROM (SELECT {by}, {counts}, {_spread("CAST(first_entry_round AS VARCHAR)", "NOT baseline_medium AND known AND first_entry_round IS NOT NULL")} AS first_entry_round_distribution, {_spread("coalesce(stress, 'Unknown')", "true")} AS stress_distribution FROM outcomes GROUP BY {by}) t JOIN ({whole['zone']}) z USING ({by}) JOIN ({whole['run']}) r USING ({by})"""
+
+
+def _spread(label, where):
+    counts = f"histogram({label}) FILTER ({where})"
+    return f"coalesce(array_to_string(list_sort(list_transform(map_entries({counts}), lambda e: e.key || ':' || e.value)), ','), '')"
+
+
+def outcome_rows(spark, d):
+    """Rounds and final windows of all runs with history fields, dimensions and expected windows."""
+    rows, finals = grid(spark, d)
+    phase = F.when(_C("round") == 0, "baseline").otherwise("round")
+    last = E.final_rows(rows, _WK, finals).withColumn("phase", F.lit("final"))
+    first = rows.where("round = 0").select(*_WK, _C("medium").alias("baseline_medium"))
+    shown = [*_WK, "phase", "round", "medium", "previous_medium", "first_entry_round", "first_entry_known", "ever_medium", "ever_newly_medium", "stress"]
+    every = E.history_fields(rows, _WK).withColumn("phase", phase).select(*shown).unionByName(last.select(*shown)).join(first, _WK)
+    expected = finals.groupBy("run", "zone").agg(F.count("*").alias("zone_expected_window_count"))
+    run = _C("run")
+    dims = {"batch": run % 2, "dataset": F.concat(F.lit("set-"), (run % 3).cast("string")), "backend": F.when(run % 4 < 2, "ar").otherwise("ridge"), "agent_mode": F.when(run % 5 < 3, "multi").otherwise("single"), "forecast_origin": run % 7}
+    return every.join(expected, ["run", "zone"]).withColumns({"run_expected_window_count": F.lit(30), **dims, "control_success": F.when((_C("phase") != "baseline") & (run % 6 != 1), _C("medium"))})
+
+
+def outcome_tables(spark, d, sets):
+    """The library's tables, with maps as text."""
+    text = lambda c: F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))), ",")
+    got = O.window_outcomes(outcome_rows(spark, d), sets, 3)
+    return got.withColumns({c: text(c) for c in ("first_entry_round_distribution", "stress_distribution")})
+
+
+_OUTCOME_VIEWS = f"{X.ROUNDS}, {_GRID}, {_OUTCOMES}"
+_RUN_SETS = {"run": ["run"]}
+_EVERY = list(dict.fromkeys(k for s in OUTCOME_SETS.values() for k in s))
+
+
+@query("agg_window_summary", _outcome_sql("run", ["run"], ["run"]), _OUTCOME_VIEWS, "medium_coverage_pct medium_rate_pct")
 def window_summary(spark, d):
-    return E.window_summary(rounds(spark, d), ["run", "round"])
+    return outcome_tables(spark, d, _RUN_SETS)
 
 
-@query("agg_window_tables", "SELECT level, run, zone, round, count(*) AS windows, count(*) FILTER (medium) AS medium_count, count(medium) AS known_count, count(*) FILTER (medium) * 100e0 / nullif(count(medium), 0) AS medium_rate_pct FROM (" + " UNION ALL ".join(f"SELECT '{level}' AS level, {run} AS run, {zone} AS zone, {rnd} AS round, medium FROM grid" for level, run, zone, rnd in (("round", "NULL::BIGINT", "NULL::BIGINT", "round"), ("run+round", "run", "NULL", "round"), ("zone+round", "NULL", "zone", "round"), ("run+zone", "run", "zone", "NULL"))) + ") GROUP BY ALL", f"{X.ROUNDS}, {_GRID}", "medium_rate_pct")
+@query("agg_window_tables", " UNION ALL ".join(_outcome_sql(n, s, _EVERY) for n, s in OUTCOME_SETS.items()), _OUTCOME_VIEWS, "medium_coverage_pct medium_rate_pct")
 def window_tables(spark, d):
-    return E.window_tables(rounds(spark, d), [["round"], ["run", "round"], ["zone", "round"], ["run", "zone"]])
+    """All measures for all six sets, in one plan."""
+    return outcome_tables(spark, d, OUTCOME_SETS)
 
 
 @query("top_sorted_tables", """SELECT run, phase, round, windows, row_number() OVER (PARTITION BY run ORDER BY CASE phase WHEN 'baseline' THEN 0 WHEN 'round' THEN 1 ELSE 2 END, round) AS position FROM (SELECT run, CASE WHEN round = 0 THEN 'baseline' WHEN round = 3 THEN 'final' ELSE 'round' END AS phase, round, count(*) AS windows FROM grid GROUP BY ALL)""", f"{X.ROUNDS}, {_GRID}")
@@ -329,14 +390,32 @@ def price_comparison(spark, d):
     return rows.groupBy(_C("l_returnflag").alias("category"), _C("l_suppkey").alias("zone_id")).agg(F.count("*").alias("windows"), F.count_if(near).alias("within_8_pct"), (F.count_if(near) * 100.0 / F.count("*")).alias("accuracy_pct"), F.avg("l_discount").alias("mean_predicted"), F.avg("l_tax").alias("mean_baseline"))
 
 
+def saved(spark, d):
+    """Window rounds and final windows as nested results of three versions below a new folder, one run per line, told by its ``batch``."""
+    folder = shared_folder(spark)
+    rows = X.window_rounds(spark, d)
+    finals = X.run_finals(rows).join(rows.where("round = 0").select(*_WK, _C("load_kwh").alias("base_load"), _C("stress").alias("base_stress")), _WK, "left")
+    cell = [F.concat(F.lit("w"), _C("window").cast("string")).alias("window_start"), F.concat(F.lit("e"), _C("window").cast("string")).alias("window_end")]
+    later = [_C("load_kwh").alias("reforecast_load_kwh"), _C("stress").alias("reforecast_load_stress_level")]
+    attempts = rows.where("round > 0").groupBy("run", "zone", "round").agg(F.collect_list(F.struct(*cell, *later)).alias("windows"))
+    trace = attempts.groupBy("run", "zone").agg(F.collect_list(F.struct(_C("round").alias("attempt"), "windows")).alias("attempt_trace"))
+    last = finals.groupBy("run", "zone", "status", "attempts_used", "attempt_limit").agg(F.collect_list(F.struct(*cell, _C("base_load").alias("sum_predicted_kwh"), _C("base_stress").alias("load_stress_level"), *later)).alias("final_windows"))
+    zone = F.struct(_C("zone").cast("string").alias("zone_id"), "attempts_used", "attempt_trace", "final_windows")
+    nested = last.join(trace, ["run", "zone"], "left").groupBy("run", "status", "attempts_used", "attempt_limit").agg(F.collect_list(zone).alias("zones"))
+    old = _C("run") % 3 == 0
+    named = [F.when(old, "day").alias("forecast_start"), F.when(~old, "day").alias("forecast_origin")]
+    nested.select(_C("run").cast("string").alias("batch"), (_C("run") % 3 + 2).alias("schema_version"), *named, "status", "attempts_used", "attempt_limit", "zones").write.json(folder)
+    return folder
+
+
 @query("job_window_evaluation", """SELECT run, count(*) AS windows, count(*) FILTER (medium) AS final_medium, count(*) - count(medium) AS final_unknown, count(*) FILTER (NOT baseline_medium AND medium) AS newly_medium, count(*) FILTER (known AND first_entry_round IS NOT NULL) AS entered, count(*) FILTER (ever_medium AND NOT medium) AS ever_medium_final_exit,
     CAST(sum(carried) AS BIGINT) AS carried_rounds FROM finals JOIN (SELECT run, zone, "window", count(*) FILTER (source = 'early_stop_carry') AS carried FROM grid GROUP BY ALL) USING (run, zone, "window") GROUP BY run""", f"{X.ROUNDS}, {_GRID}")
 def window_evaluation(spark, d):
-    """Nested results per run, read back flat, to outcomes: rounds with early stops carried on, then final windows."""
-    rows = X.window_rounds(spark, d)
-    nested = rows.groupBy("run", "zone").agg(F.collect_list(F.struct("window", "round", "load_kwh", "stress")).alias("windows")).groupBy("run").agg(F.collect_list(F.struct("zone", "windows")).alias("zones"))
-    flat = nested.select("run", F.explode_outer("zones").alias("z")).select("run", "z.zone", F.explode_outer("z.windows").alias("w")).select("run", "zone", "w.*")
-    finals = X.run_finals(flat)
+    """Saved nested results of all versions, read back through the library's reader, to outcomes: rounds with early stops
+    carried on, then final windows."""
+    flat, finals = RS.rounds_of(RS.read_results(spark, saved(spark, d))[0], ["batch"])
+    number = lambda df: df.select(_C("batch").cast("long").alias("run"), _C("zone_id").cast("long").alias("zone"), F.substring("window_start", 2, 9).cast("long").alias("window"), *[c for c in df.columns if c in ("round", "status", "attempts_used", "attempt_limit", "load_kwh", "stress")])
+    flat, finals = checkpoint(number(flat)), checkpoint(number(finals))
     every = E.round_grid(flat, _WK, 3, finals)
     last = E.final_rows(every, _WK, finals)
     starts = every.groupBy(*_WK).agg(F.max(F.when(_C("round") == 0, _C("medium"))).alias("baseline_medium"), F.count_if(_C("source") == "early_stop_carry").alias("carried"))

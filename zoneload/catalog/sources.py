@@ -94,13 +94,18 @@ def results(spark, d):
     zone = trace.join(final, ["run", "zone_id"], "left")
     good = F.when(F.forall("final_windows", lambda w: F.coalesce(w["control_success"], F.lit(False))), "success").otherwise("fail")
     nested = zone.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("zone_id", good.alias("status"), F.lit(3).cast("long").alias("attempts_used"), "attempt_trace", "final_windows"))).alias("zones"))
-    nested.select("run", F.lit(4).alias("schema_version"), F.lit("fail").alias("status"), F.lit(3).alias("attempt_limit"), F.lit(3).alias("attempts_used"), "zones").write.partitionBy("run").json(folder)
+    version, start, model = _C("run").cast("long") % 3 + 2, F.concat(F.lit("2024-01-0"), (_C("run").cast("long") % 9 + 1).cast("string")), F.concat(F.lit("model-"), (_C("run").cast("long") % 4).cast("string"))
+    # Version 2 has the older names, version 3 both, version 4 the newer ones.
+    named = [F.when(version < 4, start).alias("forecast_start"), F.when(version > 2, start).alias("forecast_origin"), F.when(version < 4, model).alias("forecast_model"), F.when(version > 2, model).alias("backend")]
+    nested.select("run", version.alias("schema_version"), *named, F.lit("fail").alias("status"), F.lit(3).alias("attempt_limit"), F.lit(3).alias("attempts_used"), "zones").write.partitionBy("run").json(folder)
     return R.read_control_results(spark, folder)
 
 
-@query("src_control_results", "SELECT CAST(run AS VARCHAR) AS run, CAST(zone AS VARCHAR) AS zone_id, round AS attempt, 'w' || \"window\" AS window_start, stress AS load_stress_level, load_kwh AS reforecast_load_kwh, stress = 'Medium' AS control_success FROM window_rounds WHERE round > 0", X.ROUNDS)
+@query("src_control_results", "SELECT run % 3 + 2 AS schema_version, '2024-01-0' || (run % 9 + 1) AS forecast_origin, 'model-' || run % 4 AS backend, CAST(run AS VARCHAR) AS run, CAST(zone AS VARCHAR) AS zone_id, round AS attempt, 'w' || \"window\" AS window_start, stress AS load_stress_level, load_kwh AS reforecast_load_kwh, stress = 'Medium' AS control_success FROM window_rounds WHERE round > 0", X.ROUNDS)
 def control_results(spark, d):
-    return R.flat_windows(results(spark, d), ["run"], "attempts")
+    """Results of three schema versions under one set of names."""
+    flat = R.flat_windows(results(spark, d), ["run", "schema_version", "forecast_origin", "backend"], "attempts")
+    return flat.select("schema_version", "forecast_origin", "backend", "run", "zone_id", "attempt", "window_start", "load_stress_level", "reforecast_load_kwh", "control_success")
 
 
 @query("sink_control_tables", """SELECT 'final_windows' AS name, count(*) AS rows, CAST(NULL AS BIGINT) AS tokens FROM window_rounds WHERE round = 3 UNION ALL SELECT 'attempt_trace', count(*), NULL FROM window_rounds WHERE round > 0 UNION ALL SELECT 'attempt_usage', count(*), CAST(sum(n) AS BIGINT) FROM (SELECT count(*) AS n FROM window_rounds WHERE round > 0 GROUP BY run, zone, round)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import all_known, any_known, cache_usage
+from ..functions.scalars import all_known, cache_usage
 
 
 def pooled_errors(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -131,33 +131,6 @@ def history_fields(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     })
 
 
-def window_summary(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Outcomes by group: band known, rate, gained and lost against the previous round and the baseline."""
-    m, b, p = F.col("medium"), F.col("baseline_medium"), F.col("previous_medium")
-    new, lost = F.count_if(~b & m), F.count_if(b & ~m)
-    return rows.groupBy(*keys).agg(
-        F.count("*").alias("windows"), F.count_if(m).alias("medium_count"), F.count("medium").alias("known_count"), F.count_if(m.isNull()).alias("unknown_count"),
-        F.try_divide(F.count_if(m) * 100.0, F.count("medium")).alias("medium_rate_pct"), new.alias("newly_medium"), lost.alias("lost_medium"), (new - lost).alias("net_new"),
-        F.count_if(~p & m).alias("gained"), F.count_if(p & ~m).alias("exited"), all_known(m).alias("all_medium"), any_known(m).alias("any_medium"),
-    )
-
-
-def window_tables(rows: DataFrame, sets: Sequence[Sequence[str]]) -> DataFrame:
-    """The summary over several sets of dimensions in one pass; ``level`` names the set."""
-    names = sorted({k for s in sets for k in s})
-    level = F.lit(None)
-    for s in sets:
-        there = F.lit(True)
-        for k in names:
-            there = there & (F.grouping(k) == (0 if k in s else 1))
-        level = F.when(there, "+".join(s) or "all").otherwise(level)
-    medium = F.count_if("medium")
-    return rows.groupingSets([[F.col(k) for k in s] for s in sets], *names).agg(
-        level.alias("level"), F.count("*").alias("windows"), medium.alias("medium_count"), F.count("medium").alias("known_count"),
-        F.try_divide(medium * 100.0, F.count("medium")).alias("medium_rate_pct"),
-    )
-
-
 def transitions(rows: DataFrame, keys: Sequence[str], first: str, final: str) -> DataFrame:
     """First against final success, three-valued."""
     a, b = F.col(first), F.col(final)

@@ -10,17 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.scalars import datetime_24h
 from ..operators import features as A
 from ..operators import prepare as P
+from .results import read_results
 
 TIME_NAMES = ("time", "timestamp", "datetime", "_c0")
 
-#: The nested control result of one run.
-CONTROL_SCHEMA = """schema_version int, status string, attempt_limit long, attempts_used long, batch string, mode string,
-    zones array<struct<zone_id: string, status: string, attempts_used: long,
-        attempt_trace: array<struct<attempt: long, windows: array<struct<window_start: string, load_stress_level: string, reforecast_load_kwh: double, control_success: boolean>>,
-            calls: array<struct<agent: string, prompt_tokens: long, completion_tokens: long>>>>,
-        final_windows: array<struct<window_start: string, load_stress_level: string, reforecast_load_kwh: double, mean_energy_price: double, proposed_energy_price: double, control_success: boolean>>>>"""
-
-
 def _wide(spark: SparkSession, path: str) -> tuple[DataFrame, str, list[str]]:
     """All columns as text, so that zone ids keep leading zeros and nothing is guessed."""
     raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
@@ -116,14 +109,13 @@ def read_forecast_details(spark: SparkSession, path: str, schema: str, legacy: d
 
 
 def read_control_results(spark: SparkSession, path: str) -> DataFrame:
-    """Nested control results below ``path``, one run per line, of schema versions 2 to 4; others are an error."""
-    rows = spark.read.option("recursiveFileLookup", True).schema(CONTROL_SCHEMA).json(path).withColumn("run", F.regexp_extract(F.col("_metadata.file_path"), r"run=([^/]+)", 1))
-    message = F.concat(F.lit("unknown schema version "), F.coalesce(F.col("schema_version").cast("string"), F.lit("null")))
-    return rows.withColumn("schema_version", F.when(F.col("schema_version").isin(2, 3, 4), F.col("schema_version")).otherwise(F.raise_error(message)))
+    """Nested control results below ``path``, one run per line, of schema versions 2 to 4 under today's names; lines that
+    can't be read are left out (``results.read_results`` gives them apart)."""
+    return read_results(spark, path)[0]
 
 
 def flat_windows(results: DataFrame, keys: Sequence[str], phase: str) -> DataFrame:
-    """Windows of nested results: ``final`` ones, or those of all attempts (with ``attempt``)."""
+    """Windows of nested results, with all their fields: ``final`` ones, or those of all attempts (with ``attempt``)."""
     zones = results.select(*keys, F.explode_outer("zones").alias("z"))
     if phase == "final":
         return zones.select(*keys, "z.zone_id", F.explode_outer("z.final_windows").alias("w")).select(*keys, "zone_id", "w.*").where("window_start IS NOT NULL")
