@@ -6,7 +6,7 @@ two parts, n all words of its language. Phrases that lie inside a longer one wit
  1. Counting. Documents are dealt by row to groups of bounded size. In three rounds (words; pairs of frequent words;
     phrases of three to five words whose pairs are all frequent) groups send the distinct hashes of their phrases, four
     bytes each, with counts, and buckets answer with a bit: the sum reaches ``least``. The bits only leave out what can't
-    reach it. Groups then send what stands as text, each distinct phrase once, and Spark sums the counts.
+    reach it. Groups then send what stands as text, each distinct phrase once, packed by bucket, and the buckets sum the counts of equal texts.
  2. The phrases with their counts are a stream in prefix order (by language, then word by word): every phrase comes after
     its own beginnings and before its extensions. One pass that remembers the counts of the current phrase's beginnings
     merges them all: left counts of every cut, and whether the phrase is an extension as frequent as its beginning.
@@ -26,11 +26,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._exchange import ANSWERED, ASKED, among, answered, asked_keys, counted, dealt, question
+from ._exchange import ANSWERED, ASKED, among, answered, asked_keys, bucket_of, compressed, counted, dealt, expanded, parts, question
 from ._text import U, Block, blocks, column, mix, window_hashes, within, word_hashes, words
 from ._util import checkpoint
 
@@ -44,6 +45,7 @@ WORD = ~BREAK
 WORD[[9, 32]] = False
 #: Rows of a ranking's first step.
 _RANKED = 1 << 16
+_TOLD = pa.schema([("lang", pa.string()), ("bucket", pa.int64()), ("texts", pa.binary()), ("counts", pa.binary())])
 _COUNTS = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.string())), ("count", pa.int64())])
 
 
@@ -138,19 +140,43 @@ def _ask(name: str, stage: int, n_buckets: int):
     return run if stage > 1 else lambda group: run(group, None)
 
 
+def _texts(w: _Words, first: np.ndarray, size: int) -> pa.Array:
+    """The phrases of ``size`` words from these first words on, joined by blanks, each ended by a line end."""
+    at = (first[:, None] + np.arange(size)).ravel()
+    length = (w.ends - w.starts)[at] + 1
+    place = np.cumsum(length) - length
+    total = int(length.sum())
+    body = np.full(total, 32, np.uint8)
+    last = place + length - 1
+    inner = np.ones(total, bool)
+    inner[last] = False
+    body[last[size - 1 :: size]] = 10
+    body[inner] = w.block.data[np.repeat(w.starts[at] - (place - np.arange(len(at))), length - 1) + np.arange(total - len(at))]
+    offsets = np.append(place[::size], total).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(body)])
+
+
+def _summed(lang: pa.Array, text: pa.Array, bucket: np.ndarray, count: np.ndarray) -> pa.Table:
+    """Counts of equal texts of a language, by language and bucket."""
+    rows = pa.table({"lang": lang, "text": text, "bucket": bucket, "count": count})
+    return rows.group_by(["lang", "bucket", "text"]).aggregate([("count", "sum")]).sort_by([("lang", "ascending"), ("bucket", "ascending")])
+
+
 def _tell(n_buckets: int):
-    """A group's words by language, and its distinct phrases that stand, as text with their counts."""
+    """A group's words by language, and its distinct phrases that stand, as text with their counts, packed by bucket."""
 
     def run(group: pa.Table, answers: pa.Table) -> pa.Table:
         if not group.num_rows:
-            return _COUNTS.empty_table()
+            return _TOLD.empty_table()
         own = _Group(group, answers, n_buckets)
         marks = [[m for stage in block for m in stage] for block in zip(*(own.marked(stage) for stage in (1, 2, 3)), strict=True)]
-        found: dict[tuple, int] = {}
+        found: list[tuple] = []
         for w, by_size in zip(own.parts, marks, strict=True):
+            used = np.unique(w.lang)
+            names = pa.array(w.langs, pa.string())
+            whole = np.bincount(w.lang, minlength=len(w.langs))[used]
+            found.append((names.take(pa.array(used)), pa.array([b"\n"] * len(used), pa.large_binary()), np.array([_folded(w.langs[i]) % n_buckets for i in used.tolist()], np.int64), whole.astype(np.int64)))
             edges = _edges(w.block, w.starts, w.ends) if any(m.any() for m in by_size) else w.hashes
-            for lang, n in enumerate(np.bincount(w.lang, minlength=len(w.langs)).tolist()):
-                found[w.langs[lang],] = found.get((w.langs[lang],), 0) + n
             for size, marked in enumerate(by_size, 1):
                 at = np.flatnonzero(marked)
                 if not len(at):
@@ -159,10 +185,38 @@ def _tell(n_buckets: int):
                 order = np.lexsort((second, first))
                 a, b = first[order], second[order]
                 new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-                for i, n in zip(at[order[new]].tolist(), np.diff(np.append(new, len(at))).tolist(), strict=True):
-                    key = (w.langs[w.lang[i]], *(w.block.data[s:e].tobytes() for s, e in zip(w.starts[i : i + size].tolist(), w.ends[i : i + size].tolist(), strict=True)))
-                    found[key] = found.get(key, 0) + n
-        return pa.table([[k[0] for k in found], [[x.decode("utf-8", "replace") for x in k[1:]] for k in found], list(found.values())], schema=_COUNTS)
+                lead = at[order[new]]
+                found.append((names.take(pa.array(w.lang[lead])), _texts(w, lead, size), bucket_of(a[new], n_buckets), np.diff(np.append(new, len(at))).astype(np.int64)))
+        lang, text, bucket, count = zip(*found, strict=True)
+        all_of = _summed(pa.concat_arrays(lang), pa.concat_arrays(text), np.concatenate(bucket), np.concatenate(count)).combine_chunks()
+        rows, counts_ = [], all_of["count_sum"].to_numpy()
+        langs, buckets, text = column(all_of, "lang").dictionary_encode(), all_of["bucket"].to_numpy(), column(all_of, "text")
+        offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+        body = text.buffers()[2]
+        names, code = langs.dictionary.to_pylist(), langs.indices.to_numpy()
+        for _, i, j in parts(code.astype(np.int64) * n_buckets + buckets):
+            rows.append((names[code[i]], int(buckets[i]), compressed(body[int(offsets[i]) : int(offsets[j])].to_pybytes()), compressed(counts_[i:j].astype("<u4").tobytes())))
+        return pa.table([list(c) for c in zip(*rows, strict=True)], schema=_TOLD) if rows else _TOLD.empty_table()
+
+    return run
+
+
+def _totals(least: int):
+    def run(told: pa.Table) -> pa.Table:
+        """A bucket's phrases of one language that reach ``least``, and the language's words (no phrase at all)."""
+        lang, texts, counts_ = column(told, "lang")[0].as_py(), [], []
+        for text, count in zip(column(told, "texts"), column(told, "counts"), strict=True):
+            body = expanded(text, np.uint8)
+            ends = np.flatnonzero(body == 10) + 1
+            # Without their line ends.
+            offsets = np.concatenate([[0], ends - np.arange(1, len(ends) + 1)]).astype(np.int64)
+            texts.append(pa.LargeStringArray.from_buffers(len(ends), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(body[body != 10]))))
+            counts_.append(expanded(count, "<u4").astype(np.int64))
+        summed = pa.table({"text": pa.concat_arrays(texts), "count": np.concatenate(counts_)}).group_by("text").aggregate([("count", "sum")])
+        kept = summed.filter(pc.or_(pc.greater_equal(summed["count_sum"], least), pc.equal(summed["text"], "")))
+        text = column(kept, "text")
+        words_ = pc.if_else(pc.equal(text, ""), pa.scalar([], pa.list_(pa.large_string())), pc.split_pattern(text, " "))
+        return pa.table([pa.array([lang] * len(text), pa.string()), words_.cast(pa.list_(pa.string())), column(kept, "count_sum")], schema=_COUNTS)
 
     return run
 
@@ -178,8 +232,8 @@ def counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     for stage in (2, 3):
         asked = groups.groupBy(name).cogroup(answers.groupBy("pid")).applyInArrow(_ask(name, stage, n), ASKED)
         answers = asked.groupBy("bucket").applyInArrow(often(stage), ANSWERED)
-    told = groups.groupBy(name).cogroup(answers.groupBy("pid")).applyInArrow(_tell(n), "lang string, words array<string>, count long")
-    return told.groupBy("lang", "words").agg(F.sum("count").alias("count")).where((F.col("count") >= least) | (F.size("words") == 0))
+    told = groups.groupBy(name).cogroup(answers.groupBy("pid")).applyInArrow(_tell(n), "lang string, bucket long, texts binary, counts binary")
+    return told.groupBy("lang", "bucket").applyInArrow(_totals(least), "lang string, words array<string>, count long")
 
 
 def _merged(seeds: dict[int, list[int]]):
