@@ -6,6 +6,7 @@ from .. import fixtures as X
 from ..functions.scalars import all_known
 from ..operators import evaluation as E
 from ..operators import outcomes as O
+from ..operators import pairing as PE
 from ..registry import query
 from ..session import checkpoint, shared_folder
 from ..sources import results as RS
@@ -346,9 +347,27 @@ _PAIRS = """pairs AS (SELECT coalesce(a.lb, b.lb) AS left_batch, coalesce(a.rb,
 _TWO = "two AS (SELECT DISTINCT a.batch AS lb, b.batch AS rb FROM runs a, runs b WHERE a.batch < b.batch), one AS (SELECT batch, identity, mode, count(*) AS n, max(signature) AS s, min(signature) IS NULL AS u FROM runs GROUP BY ALL)"
 
 
+def evidence(spark, d):
+    """Pairing evidence of each saved run (an order): content follows its identity, but for runs whose prices differ
+    (every 29th) or whose last hour is missing (every 31st)."""
+    every = X.runs(spark, d).select(_C("k").alias("run"), "identity").withColumn("zone", F.explode(F.sequence(F.lit(0), F.lit(1))))
+    zones = every.withColumn("zone_id", F.concat(F.lit("z"), _C("zone").cast("string")))
+    slots = zones.withColumn("slot", F.explode(F.sequence(F.lit(0), (_C("identity") % 3).cast("int"))))
+    start = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 3 * slot)")
+    windows = slots.select("run", "zone_id", "identity", start.alias("window_start"), (start + F.expr("interval 2 hours")).alias("window_end"), ((_C("identity") % 97 + _C("slot")) / 100 + F.when(_C("run") % 29 == 0, 0.5).otherwise(0.0)).alias("mean_energy_price"), (_C("identity") * 1.5 + _C("slot")).alias("sum_predicted_kwh"), F.lit("Medium").alias("load_stress_level"))
+    hourly = windows.withColumn("time", F.explode(F.sequence("window_start", "window_end", F.expr("interval 1 hour"))))
+    gap = (_C("run") % 31 == 0) & (_C("zone_id") == "z1") & (_C("time") == F.lit("2024-01-01 02:00:00").cast("timestamp_ntz"))
+    hourly = hourly.where(~gap).select("run", "zone_id", "time", (_C("identity") + F.hour("time")).cast("double").alias("actual_kwh"), (_C("identity") * 0.5).alias("predicted_kwh"), _C("mean_energy_price").alias("e_price"))
+    thresholds = zones.select("run", "zone_id", (_C("identity") % 50 + 1.0).alias("low_medium_kwh"), (_C("identity") % 50 + 9.0).alias("medium_high_kwh"))
+    parameters = X.runs(spark, d).select(_C("k").alias("run"), F.create_map(F.lit("alpha"), F.lit("0.5")).alias("parameters"))
+    return PE.pairing_evidence(windows, windows, thresholds, hourly, parameters, ["e_price"])
+
+
 @query("join_mode_cohort", _COHORTS, X.RUNS)
 def mode_cohort(spark, d):
-    return E.mode_cohorts(X.runs(spark, d))
+    """Runs with a signature from their pairing evidence: none where that isn't ready."""
+    found = evidence(spark, d).select(_C("run").alias("k"), F.when(_C("pairing_ready"), F.concat_ws("-", "baseline_signature", "hourly_signature", "parameters_signature")).alias("signature"))
+    return E.mode_cohorts(X.runs(spark, d).drop("signature").join(found, "k"))
 
 
 @query("join_batch_pairs", "SELECT * FROM pairs", f"{X.RUNS}, {_TWO}, {_PAIRS}")
@@ -363,9 +382,22 @@ def paired_summary(spark, d):
     return E.paired_summary(runs, E.batch_pairs(runs))
 
 
-@query("agg_pairing_signature", """SELECT run, sha256(string_agg(h, chr(10) ORDER BY part)) AS signature, CAST(sum(n) AS BIGINT) AS rows FROM (SELECT run, substr(h, 1, 2) AS part, sha256(string_agg(h, chr(10) ORDER BY h)) AS h, count(*) AS n FROM (SELECT run, sha256('{"zone":' || zone || ',"window":' || "window" || ',"key":' || key || '}') AS h FROM window_rounds) GROUP BY run, part) GROUP BY run""", X.ROUNDS)
+_EVIDENCE_SQL = """WITH w AS (
+    SELECT k AS run, identity, 'z' || zone AS zone_id, TIMESTAMP '2024-01-01' + INTERVAL 3 HOUR * slot AS a, TIMESTAMP '2024-01-01' + INTERVAL 3 HOUR * slot + INTERVAL 2 HOUR AS b, (identity % 97 + slot) / 100e0 + CASE WHEN k % 29 = 0 THEN 0.5e0 ELSE 0e0 END AS price, identity * 1.5e0 + slot AS load
+    FROM (SELECT *, unnest(range(0, identity % 3 + 1)) AS slot FROM (SELECT *, unnest([0, 1]) AS zone FROM runs))),
+hours AS (SELECT *, unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS time FROM w),
+hourly AS (SELECT * FROM hours WHERE NOT (run % 31 = 0 AND zone_id = 'z1' AND time = TIMESTAMP '2024-01-01 02:00:00'))
+SELECT run, 2 AS zones, true AS complete, n = m AS covered, n = m AS pairing_ready, count(*) OVER (PARTITION BY base) AS equal_baselines, CASE WHEN n = m THEN count(*) OVER (PARTITION BY n = m, hash) ELSE 0 END AS equal_hours FROM (
+    SELECT run, identity % 97 || '/' || identity || '/' || (run % 29 = 0) AS base, identity || '/' || (run % 29 = 0) AS hash, (SELECT count(*) FROM hourly h WHERE h.run = r.run) AS n, (SELECT count(*) FROM hours h WHERE h.run = r.run) AS m FROM (SELECT k AS run, identity FROM runs) r)"""
+
+
+@query("agg_pairing_signature", _EVIDENCE_SQL, X.RUNS)
 def pairing_signature(spark, d):
-    return E.signatures(X.window_rounds(spark, d), ["run"], ["zone", "window", "key"])
+    """Evidence per run. Hashes show as the number of runs that share them, which SQL tells from the content itself."""
+    got = checkpoint(evidence(spark, d))
+    for name, c in (("equal_baselines", "baseline_signature"), ("equal_hours", "hourly_signature")):
+        got = got.join(got.where(_C(c).isNotNull()).groupBy(c).agg(F.count("*").alias(name)), c, "left")
+    return got.select("run", "zones", "complete", _C("hourly_signature").isNotNull().alias("covered"), "pairing_ready", F.coalesce("equal_baselines", F.lit(0)).alias("equal_baselines"), F.coalesce("equal_hours", F.lit(0)).alias("equal_hours"))
 
 
 @query("agg_control_summary", f"SELECT run, CASE WHEN {_ALL.format('ok')} THEN 'success' WHEN {_ALL.format('ok')} IS NULL THEN 'unknown' ELSE 'fail' END AS status, count(*) AS zones, count(*) FILTER (ok) AS succeeded, count(*) FILTER (NOT ok) AS failed, max(last) AS max_attempts FROM (SELECT run, zone, {_ALL.format('medium')} AS ok, max(CASE WHEN source <> 'missing' THEN round END) AS last FROM grid WHERE round > 0 GROUP BY run, zone) GROUP BY run", f"{X.ROUNDS}, {_GRID}")
