@@ -5,15 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import spatial
+
 KEY = ["timestamp", "zone_id"]
-#: Beyond this many centroids, points are compared in vectorised batches instead of by a join.
+#: Centroids stand as one array beside each point up to this many; beyond, points go through an index of cells.
 JOIN_CENTROIDS = 2_000
-#: Centroids are broadcast up to this many; beyond, they meet the points in blocks.
-BROADCAST_CENTROIDS = 1_000_000
 
 
 def discover_column(columns: Sequence[str], aliases: Sequence[str], required: bool = True) -> str | None:
@@ -124,9 +123,7 @@ def nearest_centroid(points: DataFrame, centroids: DataFrame, scale_longitude: b
     centroids' mean latitude. ``count``: how many centroids there are, counted if not given.
     """
     n = centroids.count() if count is None else count
-    shrink = F.lit(1.0)
-    if scale_longitude:
-        shrink = F.lit(float(np.cos(np.radians(centroids.agg(F.avg("latitude")).first()[0] or 0.0))))
+    shrink = float(np.cos(np.radians(centroids.agg(F.avg("latitude")).first()[0] or 0.0))) if scale_longitude else 1.0
     if n <= JOIN_CENTROIDS:
         # All centroids as one array beside each point: no shuffle, and no row per pair.
         every = centroids.agg(F.collect_list(F.struct(F.col("longitude").alias("x"), F.col("latitude").alias("y"), "ordinal", "zone_id")).alias("__zones"))
@@ -137,32 +134,7 @@ def nearest_centroid(points: DataFrame, centroids: DataFrame, scale_longitude: b
 
         near = points.crossJoin(F.broadcast(every)).withColumn("b", F.array_min(F.transform("__zones", away)))
         return near.where("b IS NOT NULL").select("point_id", "b.zone_id", "b.distance2")
-    return _nearest_in_blocks(points, centroids, shrink, n)
-
-
-def _nearest_in_blocks(points: DataFrame, centroids: DataFrame, shrink: Column, n: int) -> DataFrame:
-    """Every block of centroids meets the points in vectorised batches; the best of each point's blocks stays."""
-    blocks, parts = max(1, -(-n // 20_000)), max(1, -(-points.count() // 50_000))
-    x = (F.col("longitude") * shrink).alias("x")
-    left = points.select("point_id", x, F.col("latitude").alias("y")).withColumn("part", F.pmod(F.xxhash64("point_id"), F.lit(parts)))
-    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = centroids.select("zone_id", "ordinal", x, F.col("latitude").alias("y"), F.pmod(F.xxhash64("zone_id"), F.lit(blocks)).cast("int").alias("block"))
-    right = right.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-
-    def best(p: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        c = c.sort_values("ordinal").reset_index(drop=True)
-        x, y, cx, cy = (t[n].to_numpy() for t, n in ((p, "x"), (p, "y"), (c, "x"), (c, "y")))
-        at, least = np.zeros(len(p) if len(c) else 0, np.int64), np.zeros(len(p) if len(c) else 0)
-        for i in range(0, len(at), 512):
-            d = (x[i : i + 512, None] - cx) ** 2 + (y[i : i + 512, None] - cy) ** 2
-            at[i : i + 512] = d.argmin(1)
-            least[i : i + 512] = d.min(1)
-        ids = c["zone_id"].tolist()
-        return pd.DataFrame({"point_id": p["point_id"].to_numpy()[: len(at)], "zone_id": pd.Series([ids[k] for k in at], dtype=object), "ordinal": c["ordinal"].to_numpy()[at], "distance2": least})
-
-    kind = dict(centroids.dtypes)["zone_id"]
-    each = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(best, f"point_id long, zone_id {kind}, ordinal long, distance2 double")
-    return each.groupBy("point_id").agg(F.min(F.struct("distance2", "ordinal", "zone_id")).alias("b")).select("point_id", "b.zone_id", "b.distance2")
+    return spatial.nearest(points, centroids, shrink, n)
 
 
 def price_override(hourly: DataFrame, windows: DataFrame) -> DataFrame:
