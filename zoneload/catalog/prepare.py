@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as X
 from ..operators import features as A
+from ..operators import intervals as I
 from ..operators import prepare as P
 from ..registry import query
 
@@ -183,11 +184,19 @@ def price_override(spark, d):
     return P.price_override(X.zone_series(spark, d).select("zone_id", "timestamp", "energy_price"), proposal_windows(spark, d))
 
 
-@query("join_training_overlap", f"SELECT DISTINCT h.zone_id, h.timestamp FROM zone_hourly h JOIN (SELECT zone_id, min(timestamp) AS a, {_O} AS b FROM zone_hourly WHERE zone_id LIKE '%-2' GROUP BY zone_id) i ON h.zone_id = i.zone_id AND h.timestamp >= a AND h.timestamp < b", X.HOURLY)
+_SPANS = "SELECT zone_id, timestamp AS a, timestamp + INTERVAL 1 HOUR * (4 + extract(hour FROM timestamp) % 5) AS b FROM zone_hourly WHERE extract(day FROM timestamp) % 3 = 0 AND extract(hour FROM timestamp) % 4 = 0 UNION ALL SELECT DISTINCT zone_id, TIMESTAMP '2024-01-20', NULL FROM zone_hourly WHERE zone_id LIKE '%-2' UNION ALL SELECT DISTINCT zone_id, NULL, TIMESTAMP '2024-01-02' FROM zone_hourly WHERE zone_id LIKE '%-1'"
+
+
+@query("join_training_overlap", f"SELECT h.zone_id, h.timestamp FROM zone_hourly h SEMI JOIN ({_SPANS}) i ON h.zone_id = i.zone_id AND (a IS NULL OR h.timestamp >= a) AND (b IS NULL OR h.timestamp < b)", X.HOURLY)
 def training_overlap(spark, d):
-    rows = X.zone_hourly(spark, d)
-    spans = rows.where("zone_id LIKE '%-2'").groupBy("zone_id").agg(F.min("timestamp").alias("start"), F.first(origin()).alias("end"))
-    return rows.alias("h").join(spans.alias("i"), (F.col("h.zone_id") == F.col("i.zone_id")) & (_C("timestamp") >= _C("start")) & (_C("timestamp") < _C("end")), "left_semi").select("zone_id", "timestamp")
+    """Hours inside any training interval of their zone: many that overlap, some without an end."""
+    rows = X.zone_hourly(spark, d).select("zone_id", "timestamp")
+    day, hour, none = F.dayofmonth("timestamp"), F.hour("timestamp"), F.lit(None).cast("timestamp_ntz")
+    short = rows.where((day % 3 == 0) & (hour % 4 == 0)).select("zone_id", _C("timestamp").alias("start"), (_C("timestamp") + F.make_dt_interval(hours=4 + hour % 5)).cast("timestamp_ntz").alias("end"))
+    zones = rows.select("zone_id").distinct()
+    late = zones.where("zone_id LIKE '%-2'").select("zone_id", F.lit("2024-01-20").cast("timestamp_ntz").alias("start"), none.alias("end"))
+    early = zones.where("zone_id LIKE '%-1'").select("zone_id", none.alias("start"), F.lit("2024-01-02").cast("timestamp_ntz").alias("end"))
+    return I.covered(rows, short.unionByName(late).unionByName(early), ["zone_id"], "timestamp")
 
 
 @query("set_hour_grid", "SELECT z.zone_id, h.timestamp FROM (SELECT DISTINCT zone_id FROM zone_hourly) z CROSS JOIN hours h ANTI JOIN zone_hourly o ON o.zone_id = z.zone_id AND o.timestamp = h.timestamp", X.SERIES)
