@@ -224,20 +224,6 @@ def test_future_does_not_matter(spark):
     assert one == first
 
 
-def test_ridge_is_the_pooled_solution(spark):
-    series = X.zone_series(spark, SF).where("zone_id LIKE 'view-%'")
-    features = C.ridge_features(series, ["energy_price"])
-    b, levels = C.ridge_fit(features, 2.0)
-    table = features.toPandas()
-    zones = sorted(table.zone_id.unique())
-    x = np.hstack([np.stack(table["x"]), np.array([[z == c for c in zones] for z in table.zone_id], float)])
-    penalty = 2.0 * np.eye(x.shape[1])
-    penalty[0, 0] = 1e-9
-    want = np.linalg.solve(x.T @ x + penalty, x.T @ table["load_kwh"].to_numpy())
-    assert np.allclose(b, want[: len(b)], atol=1e-5)
-    assert np.allclose([r.level for r in levels.orderBy("zone_id").collect()], want[len(b) :], atol=1e-4)
-
-
 def test_custom_predictor_is_checked(spark):
     rows = hourly(spark, "z", [1.0] * 48).withColumn("origin", F.lit("2024-01-02").cast("timestamp_ntz"))
     past, ahead = rows.where("timestamp < origin"), rows.where("timestamp >= origin").drop("load_kwh")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as X
 from ..operators import features as A
 from ..plans import forecast as C
+from ..plans import pooled as M
 from ..registry import query
 from ..session import checkpoint
 from .features import _POLICY, policy
@@ -146,23 +147,58 @@ def supervised(spark, d):
     return C.supervised_windows(X.zone_series(spark, d), 168, 24, ["energy_price", "temperature"], stride=1, train_end=origin())
 
 
-def _ridge(spark, d):
-    series = X.zone_series(spark, d).where(_C("timestamp") < origin())
-    return series, *C.ridge_fit(C.ridge_features(series, ["energy_price", "temperature"]))
+_TERMS = ["energy_price", "temperature"]
+
+
+def _pooled_parts(spark, d):
+    """The series with categories, one of them constant in a zone: before two days to go, those, and the day after."""
+    kind = F.element_at(F.split("zone_id", "-"), 1)
+    series = X.zone_series(spark, d).withColumns({"kind": kind, "tariff": F.when(_C("hour") < 7, "night").when(_C("hour") < 17, "day").otherwise("peak")})
+    day = F.expr("interval 1 day")
+    return series.where(_C("timestamp") < origin() - day), series.where((_C("timestamp") >= origin() - day) & (_C("timestamp") < origin())), series.where((_C("timestamp") >= origin()) & (_C("timestamp") < origin() + day))
 
 
 @query("agg_ridge_fit")
 def ridge_fit(spark, d):
-    _, b, levels = _ridge(spark, d)
-    names = ["intercept", "lag_1", "lag_24", "hour_sin", "hour_cos", "weekday_sin", "weekday_cos", "energy_price", "temperature"]
-    return spark.createDataFrame([(n, float(v)) for n, v in zip(names, b, strict=True)], "term string, coefficient double").unionByName(levels.select(_C("zone_id").alias("term"), _C("level").alias("coefficient")))
+    past, _, _ = _pooled_parts(spark, d)
+    model = M.fit(past, _TERMS, ["kind", "tariff"])
+    terms = spark.createDataFrame(list(model.coefficients.items()), "term string, coefficient double")
+    return terms.unionByName(model.zones.select(_C("zone_id").alias("term"), _C("level").alias("coefficient"))).unionByName(model.levels.select(_C("key").alias("term"), _C("level").alias("coefficient")))
 
 
 @query("job_ridge_recursive")
 def ridge_recursive(spark, d):
-    series, b, levels = _ridge(spark, d)
-    future = X.zone_series(spark, d).where((_C("timestamp") >= origin()) & (_C("timestamp") < origin() + F.expr("interval 1 day")))
-    return C.ridge_recursive(series, future, b, levels, ["energy_price", "temperature"])
+    """Fitted, corrected by the last day's residuals, and predicted for the next day."""
+    past, last, ahead = _pooled_parts(spark, d)
+    model = M.fit(past, _TERMS, ["kind", "tariff"], validation=last)
+    return M.predict(model, past.unionByName(last), ahead.drop("load_kwh")).select("zone_id", "timestamp", "predicted_kwh")
+
+
+_GIVEN = {"intercept": 0.5, "lag_1": 0.6, "lag_24": 0.25, "hour_sin": 1.5, "hour_cos": -0.75, "weekday_sin": 0.2, "weekday_cos": 0.1, "energy_price": -1.25, "temperature": 0.05}
+_ANGLES = "sin(extract(hour FROM t) * 2 * pi() / 24) * {hour_sin} + cos(extract(hour FROM t) * 2 * pi() / 24) * {hour_cos} + sin((isodow(t) - 1) * 2 * pi() / 7) * {weekday_sin} + cos((isodow(t) - 1) * 2 * pi() / 7) * {weekday_cos}".format(**_GIVEN)
+_RECURSIVE = f"""WITH RECURSIVE ahead AS (
+    SELECT zone_id, timestamp AS t, row_number() OVER (PARTITION BY zone_id ORDER BY timestamp) - 1 AS k, {_ANGLES.replace(" t)", " timestamp)").replace("(t)", "(timestamp)")} + {_GIVEN["intercept"]} + {_GIVEN["energy_price"]} * (energy_price * 1.1e0) + {_GIVEN["temperature"]} * temperature
+        + length(zone_id) / 10e0 + CASE WHEN hour < 7 THEN -0.5e0 WHEN hour < 17 THEN 0.25e0 ELSE 0e0 END + CASE WHEN zone_id LIKE '%-1' THEN 0.1e0 * (((row_number() OVER (PARTITION BY zone_id ORDER BY timestamp) - 1) % 5) - 2) ELSE 0e0 END AS fixed
+    FROM zone_series WHERE timestamp >= {_O} AND timestamp < {_O} + INTERVAL 2 DAY),
+past AS (SELECT zone_id, list(load_kwh ORDER BY timestamp) AS known FROM zone_series WHERE timestamp >= {_O} - INTERVAL 1 DAY AND timestamp < {_O} GROUP BY zone_id),
+steps(zone_id, k, known, p) AS (
+    SELECT zone_id, -1, known, 0e0 FROM past
+    UNION ALL
+    SELECT zone_id, k, list_append(known[2:], p), p FROM (
+        SELECT s.zone_id, a.k, s.known, greatest(0, fixed + {_GIVEN["lag_1"]} * s.known[-1] + {_GIVEN["lag_24"]} * s.known[-24]) AS p FROM steps s JOIN ahead a ON a.zone_id = s.zone_id AND a.k = s.k + 1))
+SELECT zone_id, t AS timestamp, k AS "offset", p AS predicted_kwh FROM steps JOIN ahead USING (zone_id, k)"""
+
+
+@query("job_pooled_schedule", _RECURSIVE, X.SERIES, "predicted_kwh")
+def pooled_schedule(spark, d):
+    """A saved model's recursion over two days under a schedule of prices, with biases of some zones."""
+    series = X.zone_series(spark, d).withColumn("tariff", F.when(_C("hour") < 7, "night").when(_C("hour") < 17, "day").otherwise("peak"))
+    zones = series.select("zone_id").distinct()
+    levels = spark.createDataFrame([("tariff=night", -0.5), ("tariff=day", 0.25)], "key string, level double")
+    bias = zones.where("zone_id LIKE '%-1'").withColumn("bias", F.array(*[F.lit(0.1 * (k - 2)) for k in range(5)]))
+    model = M.Pooled(_GIVEN, _TERMS, ["tariff"], zones.withColumn("level", F.length("zone_id") / 10), levels, bias)
+    ahead = series.where((_C("timestamp") >= origin()) & (_C("timestamp") < origin() + F.expr("interval 2 days")))
+    return M.predict(model, series.where(_C("timestamp") < origin()), ahead.drop("load_kwh"), ahead.withColumn("energy_price", _C("energy_price") * 1.1))
 
 
 @query("job_custom_predictor", "SELECT a.zone_id, a.origin, a.timestamp, h.load_kwh AS predicted_kwh FROM ahead a JOIN hist h ON h.zone_id = a.zone_id AND h.origin = a.origin AND h.timestamp = a.timestamp - INTERVAL 1 DAY", f"{X.SERIES}, {HIST}")

@@ -6,7 +6,7 @@ origins is summed up by hour right after that join.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import blend
 from ..operators.features import segments
-from ..session import checkpoint
 
 KEY = ["zone_id", "origin"]
 #: Weights of the weekly lag and the hour's mean, bounds of the trend, and of price effects.
@@ -152,68 +151,6 @@ def daily_backtest(series: DataFrame, origins: DataFrame, history_days: int) ->
     return complete.agg(F.count_distinct("origin").alias("days"), F.count("*").alias("hours"), F.avg(error).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"), (F.sum(error) / F.sum(F.abs("load_kwh")) * 100).alias("wape_pct"))
 
 
-# A pooled linear model: lags, cyclic calendar, covariates and a level per zone.
-
-
-def ridge_features(series: DataFrame, covariates: Sequence[str]) -> DataFrame:
-    """zone_id, timestamp, load_kwh and the features x (without the zone's level)."""
-    w = Window.partitionBy("zone_id").orderBy("timestamp")
-    angle = lambda c, n: c * (2 * float(np.pi) / n)
-    hour, day = angle(F.hour("timestamp"), 24), angle(F.weekday("timestamp"), 7)
-    x = F.array(F.lit(1.0), F.lag("load_kwh", 1).over(w), F.lag("load_kwh", 24).over(w), F.sin(hour), F.cos(hour), F.sin(day), F.cos(day), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in covariates])
-    return series.withColumn("x", x).where("load_kwh IS NOT NULL AND x[1] IS NOT NULL AND x[2] IS NOT NULL").select("zone_id", "timestamp", "load_kwh", "x")
-
-
-def ridge_fit(features: DataFrame, penalty: float = 1.0) -> tuple[np.ndarray, dict[str, float]]:
-    """Coefficients of x, and each zone's level.
-
-    Tasks send sums of products per zone; zones' levels are eliminated on the way (each meets itself only), so
-    the solved system is as wide as x whatever the number of zones.
-    """
-    width = len(features.select("x").first()["x"])
-
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for zone, group in batch.groupby("zone_id"):
-                x, y = np.stack(group["x"].to_numpy()), group["load_kwh"].to_numpy()
-                yield pd.DataFrame({"zone_id": [zone], "n": [len(y)], "sx": [x.sum(0)], "sy": [y.sum()], "xx": [(x.T @ x).ravel()], "xy": [x.T @ y]})
-
-    parts = features.select("zone_id", "load_kwh", "x").mapInPandas(sums, "zone_id string, n long, sx array<double>, sy double, xx array<double>, xy array<double>")
-    added = lambda c, n: F.array(*[F.sum(F.col(c)[i]) for i in range(n)]).alias(c)
-    zones = parts.groupBy("zone_id").agg(F.sum("n").alias("n"), F.sum("sy").alias("sy"), added("sx", width), added("xx", width * width), added("xy", width))
-    zones = checkpoint(zones)  # a row per zone, read twice
-    # Level of a zone: (sy - sx.b) / (n + penalty); put in, what is left are sums over zones.
-    d = F.col("n") + F.lit(penalty)
-    cell = lambda i, j: F.sum(F.col("xx")[i * width + j] - F.col("sx")[i] * F.col("sx")[j] / d)
-    row = zones.agg(F.array(*[cell(i, j) for i in range(width) for j in range(width)]).alias("g"), F.array(*[F.sum(F.col("xy")[i] - F.col("sx")[i] * F.col("sy") / d) for i in range(width)]).alias("r")).first()
-    ridge = penalty * np.eye(width)
-    ridge[0, 0] = 1e-9
-    b = np.linalg.solve(np.array(row["g"]).reshape(width, width) + ridge, np.array(row["r"]))
-    level = (F.col("sy") - sum((F.col("sx")[i] * float(b[i]) for i in range(width)), F.lit(0.0))) / d
-    return b, zones.select("zone_id", level.alias("level"))
-
-
-def ridge_recursive(history: DataFrame, future: DataFrame, coefficients: np.ndarray, levels: DataFrame, covariates: Sequence[str]) -> DataFrame:
-    """zone_id, timestamp, predicted_kwh: hour by hour, lags fed by own predictions; zones run side by side."""
-    b = coefficients.tolist()
-
-    def run(past: pd.DataFrame, ahead: pd.DataFrame) -> pd.DataFrame:
-        known = past.sort_values("timestamp")["load_kwh"].tolist()
-        level = past["level"].iloc[0] if len(past) else 0.0
-        out = []
-        for row in ahead.sort_values("timestamp").itertuples():
-            t = row.timestamp
-            hour, day = 2 * np.pi * t.hour / 24, 2 * np.pi * t.dayofweek / 7
-            x = [1.0, known[-1] if known else 0.0, known[-24] if len(known) > 23 else known[-1] if known else 0.0, np.sin(hour), np.cos(hour), np.sin(day), np.cos(day), *[float(getattr(row, c) or 0) for c in covariates]]
-            known.append(max(0.0, float(np.dot(b, x)) + level))
-            out.append((row.zone_id, t, known[-1]))
-        return pd.DataFrame(out, columns=["zone_id", "timestamp", "predicted_kwh"])
-
-    recent = Window.partitionBy("zone_id").orderBy(F.desc("timestamp"))
-    last = history.withColumn("n", F.row_number().over(recent)).where("n <= 24").join(levels, "zone_id").select("zone_id", "timestamp", "load_kwh", "level")
-    return last.groupBy("zone_id").cogroup(future.select("zone_id", "timestamp", *covariates).groupBy("zone_id")).applyInPandas(run, "zone_id string, timestamp timestamp_ntz, predicted_kwh double")
-
-
 def custom_predictor(history: DataFrame, future: DataFrame, predict: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]) -> DataFrame:
     """A user's ``predict(context, future)`` for each zone and origin; times and finiteness are checked."""
 
