@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from zoneload import fixtures as X
 from zoneload.functions import bands, pricing
 from zoneload.functions import scalars as S
-from zoneload.functions.text import analyzed, metric_lines, metric_samples, response_object
+from zoneload.functions.metric_text import metric_lines
+from zoneload.functions.text import analyzed, response_object
 from zoneload.operators import evaluation as E
 from zoneload.operators import features as A
 from zoneload.operators import prepare as P
@@ -260,10 +261,10 @@ def test_metric_text_and_json(spark):
     assert (got["lat_created"].type, got["lat_created"].component, got["lat_created"].family) == ("gauge", "created", "lat")
     assert (got["req_total"].type, got["req_total"].component) == ("counter", "total") and (got["other_total"].type, got["other_total"].component) == ("untyped", "")
     for bad in ('a{x="1"} 1\na{x="1"} 2', 'a{x="1",x="2"} 1', 'a{x=1} 1', 'a{1x="y"} 1', 'a{x="\\q"} 1', 'a{x="1" 1', "a", "a 1 2 3", "9a 1", "a one"):
-        with pytest.raises(ValueError):
-            metric_samples(bad)
+        with pytest.raises(Exception, match="invalid metric line|repeated"):
+            metric_lines(spark.createDataFrame([(1, bad)], "k int, text string")).collect()
     loose = metric_lines(spark.createDataFrame([(1, "a 1 2 3"), (2, "a 1")], "k int, text string"), strict=False)
-    assert values(loose, "k") == [2] and metric_samples("b 1\nx 2", "x")[0]["name"] == "x"
+    assert values(loose, "k") == [2] and metric_lines(spark.createDataFrame([(1, "b 1\nx 2")], "k int, text string"), prefix="x").first().name == "x"
     keys = '{"Thoughts": 1, " analysis ": 2, "chain-of-thought": 3, "CHAIN_OF_THOUGHT": 4, "reasoning": 5, "thinking": 6, "l": [{"reasoning": 1, "b": 2}]}'
     assert values(spark.createDataFrame([(keys,)], "t string").select(response_object("t").alias("o")), "o") == ['{"l": [{"b": 2}], "thinking": 6}']
     df = spark.createDataFrame([('x {"a": {"thoughts": 1, "b": 2}} y',), ("none {",), (None,)], "t string")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from .. import fixtures as X
-from ..functions.text import metric_lines
+from ..functions.metric_text import metric_lines
 from ..registry import query
 from ..session import shared_folder
 from ..streaming import metrics as M

@@ -1,9 +1,8 @@
-"""Small vectorised helpers for nested JSON text, metric lines and user functions."""
+"""Small vectorised helpers for nested JSON text and user functions."""
 
 from __future__ import annotations
 
 import json
-import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -41,127 +40,6 @@ def response_object(column: str | Column) -> Column:
     return parse(column)
 
 
-#: What a sample's name adds to its family's.
-COMPONENTS = ("bucket", "sum", "count", "created", "total")
-_ESCAPES = {"\\": "\\", '"': '"', "n": "\n"}
-
-
-class _Scanner:
-    """Reads one sample line from left to right."""
-
-    def __init__(self, line: str):
-        self.line, self.at = line, 0
-
-    def take(self, allowed: Callable[[str], bool]) -> str:
-        start = self.at
-        while self.at < len(self.line) and allowed(self.line[self.at]):
-            self.at += 1
-        return self.line[start : self.at]
-
-    def name(self, extra: str) -> str:
-        word = self.take(lambda c: c.isascii() and (c.isalnum() or c in extra))
-        if not word or word[0].isdigit():
-            raise ValueError(f"invalid metric line: {self.line}")
-        return word
-
-    def expect(self, char: str) -> None:
-        if self.line[self.at : self.at + 1] != char:
-            raise ValueError(f"invalid metric line: {self.line}")
-        self.at += 1
-
-    def quoted(self) -> str:
-        self.expect('"')
-        out = []
-        while self.line[self.at : self.at + 1] != '"':
-            char = self.line[self.at : self.at + 1]
-            self.at += 1
-            if char == "\\":
-                char = _ESCAPES.get(self.line[self.at : self.at + 1], "")
-                self.at += 1
-            if not char:
-                raise ValueError(f"invalid metric line: {self.line}")
-            out.append(char)
-        self.at += 1
-        return "".join(out)
-
-    def labels(self) -> dict[str, str]:
-        found: dict[str, str] = {}
-        self.expect("{")
-        self.take(str.isspace)
-        while self.line[self.at : self.at + 1] != "}":
-            key = self.name("_")
-            self.take(str.isspace)
-            self.expect("=")
-            self.take(str.isspace)
-            if key in found:
-                raise ValueError(f"repeated label: {self.line}")
-            found[key] = self.quoted()
-            self.take(str.isspace)
-            if self.line[self.at : self.at + 1] != "}":
-                self.expect(",")
-                self.take(str.isspace)
-        self.at += 1
-        return found
-
-
-def metric_samples(text: str, prefix: str = "") -> list[dict]:
-    """The samples of one scrape: name, labels, type, family, component, value, value_text, line.
-
-    Types come from ``# TYPE`` lines, for the sample's name or for its family, which lacks the component's suffix; a
-    ``created`` sample is a gauge. Values that aren't finite are null and stay as text. A time stamp and what follows
-    # (an exemplar) are passed over. A malformed line, a malformed or repeated label, or a repeated series is an
-    error. Lines without the prefix are passed over.
-    """
-    lines = [line.strip() for line in text.splitlines()]
-    types = {w[2]: w[3] for w in map(str.split, lines) if len(w) == 4 and w[:2] == ["#", "TYPE"]}
-    out, seen = [], set()
-    for number, line in enumerate(lines):
-        if not line or line.startswith("#") or not line.startswith(prefix):
-            continue
-        scan = _Scanner(line)
-        name = scan.name("_:")
-        labels = scan.labels() if line[scan.at : scan.at + 1] == "{" else {}
-        rest = line[scan.at :]
-        fields = rest.split("#", 1)[0].split()
-        if not 1 <= len(fields) <= 2 or not rest[0].isspace():
-            raise ValueError(f"invalid metric line: {line}")
-        key = name, json.dumps(labels, sort_keys=True)
-        if key in seen:
-            raise ValueError(f"repeated series: {line}")
-        seen.add(key)
-        value, family, component = float(fields[0]), name, ""
-        kind = types.get(name, "untyped")
-        base, _, suffix = name.rpartition("_")
-        if kind == "untyped" and suffix in COMPONENTS and base in types:
-            family, component, kind = base, suffix, types[base]
-        if component == "created":
-            kind = "gauge"
-        out.append({"line": number, "name": name, "labels": labels, "type": kind, "family": family, "component": component, "value": value if math.isfinite(value) else None, "value_text": fields[0]})
-    return out
-
-
-_SAMPLE = "line int, name string, labels map<string,string>, type string, family string, component string, value double, value_text string"
-
-
-def metric_lines(texts: DataFrame, column: str = "text", prefix: str = "", strict: bool = True) -> DataFrame:
-    """The other columns and the samples of each metric text. Not ``strict``: a text with an error gives none."""
-    keys = [c for c in texts.columns if c != column]
-
-    @F.pandas_udf(f"array<struct<{_SAMPLE}>>")
-    def parse(found: pd.Series) -> pd.Series:
-        def one(text: str | None) -> list[dict]:
-            try:
-                return metric_samples(text or "", prefix)
-            except ValueError:
-                if strict:
-                    raise
-                return []
-
-        return found.map(one)
-
-    return texts.select(*keys, F.inline(parse(column)))
-
-
 def analyzed(records: DataFrame, function: Callable[[dict], dict] | None = None) -> DataFrame:
     """Run a user's function on each record (as a dict); its dict comes back as JSON. Anything else is an error."""
 
