@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from .. import fixtures as X
+from ..functions import canonical as CF
 from ..functions.scalars import all_known
 from ..operators import evaluation as E
 from ..operators import outcomes as O
@@ -465,15 +466,19 @@ def content_fingerprint(spark, d):
     return E.signatures(X.zone_series(spark, d).withColumn("history_days", F.lit(14)), ["zone_id"], ["timestamp", "load_kwh", "energy_price", "history_days"])
 
 
-@query("fn_decision_signature", """SELECT run, zone, round, sha256(decisions) AS signature, coalesce(decisions = lag(decisions) OVER (PARTITION BY run, zone ORDER BY round), false) AS converged FROM (
-    SELECT run, zone, round, '[' || string_agg('{"window":' || "window" || coalesce(',"load":' || round(load_kwh, 6), '') || coalesce(',"stress":"' || stress || '"', '') || '}', ',' ORDER BY "window") || ']' AS decisions FROM grid GROUP BY ALL)""", f"{X.ROUNDS}, {_GRID}")
-def decision_signature(spark, d):
-    """A round's decisions without explanations, numbers to six places; equal to the previous round's: converged."""
-    from pyspark.sql import Window
+_DECISIONS = """SELECT run, zone, round, sha256(string_agg(path || '=' || value, chr(10) ORDER BY path || '=' || value)) AS signature FROM (
+    SELECT DISTINCT run, zone, round, '' AS path, '{' AS value FROM grid UNION ALL SELECT DISTINCT run, zone, round, '/windows', '[' FROM grid
+    UNION ALL SELECT run, zone, round, '/windows/' || i, '{' FROM numbered UNION ALL SELECT run, zone, round, '/windows/' || i || '/window', 'n:' || printf('%.6f', "window" :: DOUBLE) FROM numbered
+    UNION ALL SELECT run, zone, round, '/windows/' || i || '/load', 'n:' || printf('%.6f', load_kwh :: DOUBLE) FROM numbered WHERE load_kwh IS NOT NULL UNION ALL SELECT run, zone, round, '/windows/' || i || '/stress', 's:' || stress FROM numbered WHERE stress IS NOT NULL) GROUP BY run, zone, round"""
 
-    rows = rounds(spark, d).groupBy("run", "zone", "round").agg(F.to_json(F.sort_array(F.collect_list(F.struct("window", F.round("load_kwh", 6).alias("load"), "stress")))).alias("decisions"))
-    before = F.lag("decisions").over(Window.partitionBy("run", "zone").orderBy("round"))
-    return rows.select("run", "zone", "round", F.sha2("decisions", 256).alias("signature"), F.coalesce(_C("decisions") == before, F.lit(False)).alias("converged"))
+
+@query("fn_decision_signature", f"""SELECT *, coalesce(signature = lag(signature) OVER (PARTITION BY run, zone ORDER BY round), false) AS converged FROM ({_DECISIONS})""", f"""{X.ROUNDS}, {_GRID}, numbered AS (SELECT *, row_number() OVER (PARTITION BY run, zone, round ORDER BY "window") - 1 AS i FROM grid)""")
+def decision_signature(spark, d):
+    """A round's decisions as nested JSON with explanations that change from round to round; equal to the previous
+    round's without them: converged."""
+    window = F.struct("window", _C("load_kwh").alias("load"), "stress", F.concat(F.lit("round "), _C("round").cast("string")).alias("message_to_other_agents"))
+    decisions = F.to_json(F.struct(F.concat(F.lit("because "), _C("round").cast("string")).alias("reasoning_summary"), F.sort_array(F.collect_list(window)).alias("windows")))
+    return CF.decision_signatures(rounds(spark, d).groupBy("run", "zone", "round").agg(decisions.alias("decisions")), ["run", "zone"], "decisions", "round")
 
 
 @query("udf_run_analyzer", """SELECT '{"batch":' || batch || ',"mode":' || mode || ',"identity":' || identity || ',"tokens":' || coalesce(CAST(tokens AS VARCHAR), 'null') || '}' AS record,
