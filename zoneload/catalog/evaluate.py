@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as X
 from ..functions import canonical as CF
-from ..functions.scalars import all_known
+from ..functions import provenance as PV
 from ..operators import evaluation as E
 from ..operators import outcomes as O
 from ..operators import pairing as PE
@@ -60,9 +60,7 @@ def forecast_tables(spark, d):
 
 @query("set_dedup_forecasts", f"SELECT (SELECT count(*) FROM {_DEDUP}) AS kept, (SELECT count(*) FROM forecast_samples) - (SELECT count(*) FROM {_DEDUP}) AS removed", X.SAMPLES)
 def dedup_forecasts(spark, d):
-    rows = X.forecast_samples(spark, d)
-    per = rows.groupBy(*_KEYS).agg(F.count("*").alias("n"))
-    return per.agg(F.count("*").alias("kept"), F.sum(_C("n") - 1).alias("removed"))
+    return E.deduplicated(X.forecast_samples(spark, d).drop("agent_mode"), _KEYS).agg(F.count("*").alias("kept"), F.sum("copies").alias("removed"))
 
 
 @query("set_conflicts", """SELECT * FROM (SELECT zone, model, time, count(DISTINCT actual_kwh) + max(CAST(actual_kwh IS NULL AS BIGINT)) AS n_actual_kwh, count(DISTINCT predicted_kwh) + max(CAST(predicted_kwh IS NULL AS BIGINT)) AS n_predicted_kwh FROM forecast_samples GROUP BY ALL) WHERE n_actual_kwh > 1 OR n_predicted_kwh > 1""", X.SAMPLES)
@@ -212,12 +210,14 @@ def window_tables(spark, d):
     return outcome_tables(spark, d, OUTCOME_SETS)
 
 
-@query("top_sorted_tables", """SELECT run, phase, round, windows, row_number() OVER (PARTITION BY run ORDER BY CASE phase WHEN 'baseline' THEN 0 WHEN 'round' THEN 1 ELSE 2 END, round) AS position FROM (SELECT run, CASE WHEN round = 0 THEN 'baseline' WHEN round = 3 THEN 'final' ELSE 'round' END AS phase, round, count(*) AS windows FROM grid GROUP BY ALL)""", f"{X.ROUNDS}, {_GRID}")
+@query("top_sorted_tables", """SELECT run, phase, round, windows, row_number() OVER (PARTITION BY run ORDER BY CASE phase WHEN 'baseline' THEN 0 WHEN 'round' THEN 1 ELSE 2 END, round) AS position FROM (SELECT run, CASE WHEN round = 0 THEN 'baseline' ELSE 'round' END AS phase, round, count(*) AS windows FROM grid GROUP BY ALL UNION ALL SELECT run, 'final', round, count(*) FROM finals GROUP BY ALL)""", f"{X.ROUNDS}, {_GRID}")
 def sorted_tables(spark, d):
     from pyspark.sql import Window
 
-    phase = F.when(_C("round") == 0, "baseline").when(_C("round") == 3, "final").otherwise("round")
-    rows = rounds(spark, d).groupBy("run", phase.alias("phase"), "round").agg(F.count("*").alias("windows"))
+    every, finals = grid(spark, d)
+    phase = F.when(_C("round") == 0, "baseline").otherwise("round")
+    rows = every.select("run", phase.alias("phase"), "round").unionByName(E.final_rows(every, _WK, finals).select("run", F.lit("final").alias("phase"), "round"))
+    rows = rows.groupBy("run", "phase", "round").agg(F.count("*").alias("windows"))
     order = F.when(_C("phase") == "baseline", 0).when(_C("phase") == "round", 1).otherwise(2)
     return rows.withColumn("position", F.row_number().over(Window.partitionBy("run").orderBy(order, "round")).cast("long")).orderBy("run", "position")
 
@@ -262,10 +262,39 @@ def usage_summary(spark, d):
     return E.usage_summary(X.agent_calls(spark, d), ["run"])
 
 
-@query("agg_usage_tables", " UNION ALL ".join(f"SELECT '{k}' AS level, CAST({k} AS VARCHAR) AS key, {_USE} FROM complete GROUP BY {k}" for k in ("agent", "attempt", "step")), _VIEWS, _USE_DOUBLES)
+#: Dimensions of calls in SQL: those of the run or attempt, and those of the call.
+_CALL_DIMS = {"batch": "run % 2", "dataset": "'set-' || run % 3", "agent_mode": "CASE WHEN run % 5 < 3 THEN 'multi' ELSE 'single' END", "backend": "CASE WHEN run % 4 < 2 THEN 'ar' ELSE 'ridge' END", "forecast_origin": "run % 7", "zone_id": "'z' || step % 4", "stage": "'stage-' || step % 3", "is_repair": "step % 5 = 3", "discussion_round": "step // 4"}
+_CONTEXT = ["batch", "dataset", "backend", "agent_mode"]
+ROUND_SETS = {"usage_by_batch": ["batch"], "usage_by_dataset": ["batch", "dataset"], "usage_by_mode": ["batch", "agent_mode"], "usage_by_dataset_model_mode": _CONTEXT, "usage_by_origin": [*_CONTEXT, "forecast_origin"], "tokens_by_mode_round": [*_CONTEXT, "attempt"]}
+CALL_SETS = {"usage_by_zone": [*_CONTEXT, "zone_id"], "usage_by_stage": [*_CONTEXT, "stage", "is_repair"], "usage_by_agent": [*_CONTEXT, "agent"], "usage_by_discussion_round": [*_CONTEXT, "discussion_round"], "usage_by_repair": [*_CONTEXT, "is_repair"]}
+_DIMMED = f"{_VIEWS}, dimmed AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in _CALL_DIMS.items())} FROM complete)"
+_KEY_SQL = lambda cs: " || '/' || ".join(f"CAST({c} AS VARCHAR)" for c in cs)
+_PER_RUN = ", ".join(f"{t} / run_count AS mean_{t}_per_run" for t in E.TOKENS)
+_PER_RUN_NAMES = " ".join(f"mean_{t}_per_run" for t in E.TOKENS)
+
+
+def dimmed_calls(spark, d):
+    run, step = _C("run"), _C("step")
+    text = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    return X.agent_calls(spark, d).withColumns({
+        "batch": run % 2, "dataset": text("set-", run % 3), "agent_mode": F.when(run % 5 < 3, "multi").otherwise("single"), "backend": F.when(run % 4 < 2, "ar").otherwise("ridge"), "forecast_origin": run % 7,
+        "zone_id": text("z", step % 4), "stage": text("stage-", step % 3), "is_repair": step % 5 == 3, "discussion_round": F.floor(step / 4).cast("long"),
+    })
+
+
+@query("agg_usage_tables", " UNION ALL ".join(f"SELECT *, {_PER_RUN} FROM (SELECT '{n}' AS level, {_KEY_SQL(cs)} AS key, {_USE}, count(DISTINCT run) AS run_count FROM dimmed GROUP BY ALL)" for n, cs in CALL_SETS.items()), _DIMMED, f"{_USE_DOUBLES} {_PER_RUN_NAMES}")
 def usage_tables(spark, d):
-    """All levels in one pass."""
-    return E.usage_summary(E.at_levels(X.agent_calls(spark, d), {k: [k] for k in ("agent", "attempt", "step")}), ["level", "key"])
+    """The five groupings of calls, with distributions, in one pass."""
+    return E.call_tables(dimmed_calls(spark, d), CALL_SETS)
+
+
+_ROUND_SUMS = ", ".join(f"CAST(sum({t}) AS BIGINT) AS known_{t}, CASE WHEN bool_and(ok) THEN CAST(sum({t}) AS BIGINT) END AS {t}" for t in E.TOKENS)
+
+
+@query("agg_usage_round_tables", " UNION ALL ".join(f"SELECT *, {_PER_RUN} FROM (SELECT '{n}' AS level, {_KEY_SQL(cs)} AS key, count(DISTINCT (run, attempt)) AS rounds, count(*) AS agent_call_count, bool_and(ok) AS token_usage_complete, count(DISTINCT (run, attempt)) FILTER (NOT ok) AS incomplete_rounds, {_ROUND_SUMS}, count(DISTINCT run) AS run_count FROM dimmed GROUP BY ALL)" for n, cs in ROUND_SETS.items()), _DIMMED, _PER_RUN_NAMES)
+def usage_round_tables(spark, d):
+    """The six groupings of rounds in one pass."""
+    return E.round_tables(dimmed_calls(spark, d), ROUND_SETS)
 
 
 _CACHE_OK = "bool_and(u IS NOT NULL AND token_usage_complete)"
@@ -301,10 +330,7 @@ def provider_usage(spark, d):
     total = F.to_json(F.struct(F.struct(n.alias("prompt_tokens"), part(2).alias("completion_tokens"), F.struct(part(4).alias("cached_tokens")).alias("prompt_tokens_details")).alias("usage")))
     parts = F.to_json(F.struct(F.struct(n.alias("input_tokens"), part(2).alias("output_tokens"), part(4).alias("cache_read_input_tokens"), part(5).alias("cache_creation_input_tokens")).alias("usage")))
     rows = X.table(spark, d, "conversations").select(_C("conv_id").alias("run"), _C("turn").alias("step"), F.when(_C("turn") % 2 == 1, parts).otherwise(total).alias("payload"))
-    get = lambda p: F.get_json_object("payload", f"$.usage.{p}").cast("long")
-    prompt = F.coalesce(get("prompt_tokens"), get("input_tokens") + F.coalesce(get("cache_read_input_tokens"), F.lit(0)) + F.coalesce(get("cache_creation_input_tokens"), F.lit(0)))
-    rows = rows.select("run", "step", prompt.alias("prompt_tokens"), F.coalesce(get("completion_tokens"), get("output_tokens")).alias("completion_tokens"), F.coalesce(get("prompt_tokens_details.cached_tokens"), get("cache_read_input_tokens")).alias("cached_tokens"))
-    return rows.withColumn("total_tokens", _C("prompt_tokens") + _C("completion_tokens"))
+    return rows.select("run", "step", *[c.alias(n) for n, c in PV.provider_usage(_C("payload")).items()])
 
 
 _BODY = """'{"n":' || length(text) || ',"reasoning":"secret","inner":{"Thoughts ":"x","turn":' || turn || ',"thinking":"y"},"analysis":[1]}'"""
@@ -328,17 +354,14 @@ def forecast_params(spark, d):
     k = _C("o_orderkey")
     raw = F.to_json(F.struct(F.when(k % 2 == 0, (k % 97) / 96).alias("blend_alpha"), F.when(k % 2 == 1, (k % 97) / 96).alias("alpha"), F.when(k % 2 == 0, "ar").otherwise("ridge").alias("backend"), (k % 9).alias("calibration_days"), (k % 3 != 0).alias("validation_bias"), (k % 5).alias("ridge_penalty"), F.lit(7).alias("tree_depth")))
     rows = X.table(spark, d, "orders").select(k.alias("run"), raw.alias("raw"))
-    get = lambda p: F.get_json_object("raw", f"$.{p}")
-    alpha = F.round(F.coalesce(get("alpha"), get("blend_alpha")).cast("double"), 6)
-    days = F.when(get("validation_bias").cast("boolean"), get("calibration_days").cast("long")).otherwise(0)
-    return rows.select("run", alpha.alias("alpha"), get("backend").alias("backend"), days.alias("calibration_days"), F.when(get("backend") == "ridge", get("ridge_penalty").cast("long")).alias("ridge_penalty"))
+    return rows.select("run", *[c.alias(n) for n, c in PV.forecast_parameters(_C("raw")).items()])
 
 
 @query("prj_dataset_identity", "SELECT o_orderkey AS run, CASE WHEN o_orderkey % 3 = 0 THEN 'set-' || o_orderkey % 7 ELSE 'file-' || o_orderkey % 5 END AS dataset, CASE WHEN o_orderkey % 2 = 0 THEN 'RMB/kWh' ELSE 'unknown' END AS price_unit, o_orderkey % 3 = 0 AS from_manifest FROM orders")
 def dataset_identity(spark, d):
     k = _C("o_orderkey")
     rows = X.table(spark, d, "orders").select(k.alias("run"), F.when(k % 3 == 0, F.concat(F.lit("set-"), (k % 7).cast("string"))).alias("name"), F.concat(F.lit("/data/file-"), (k % 5).cast("string"), F.lit(".csv")).alias("path"), F.when(k % 2 == 0, "RMB/kWh").alias("unit"))
-    return rows.select("run", F.coalesce("name", F.regexp_extract("path", r"([^/]+)\.csv$", 1)).alias("dataset"), F.coalesce("unit", F.lit("unknown")).alias("price_unit"), _C("name").isNotNull().alias("from_manifest"))
+    return rows.select("run", *[c.alias(n) for n, c in PV.dataset_identity(_C("name"), _C("path"), _C("unit")).items()])
 
 
 _COHORTS = """SELECT batch, identity, reason IS NULL AS accepted, reason FROM (SELECT batch, identity, CASE WHEN n > have THEN 'duplicate_mode' WHEN have < modes THEN 'missing_mode' WHEN unknown > 0 THEN 'unknown_signature' WHEN signatures > 1 THEN 'inconsistent_signature' END AS reason
@@ -403,9 +426,7 @@ def pairing_signature(spark, d):
 
 @query("agg_control_summary", f"SELECT run, CASE WHEN {_ALL.format('ok')} THEN 'success' WHEN {_ALL.format('ok')} IS NULL THEN 'unknown' ELSE 'fail' END AS status, count(*) AS zones, count(*) FILTER (ok) AS succeeded, count(*) FILTER (NOT ok) AS failed, max(last) AS max_attempts FROM (SELECT run, zone, {_ALL.format('medium')} AS ok, max(CASE WHEN source <> 'missing' THEN round END) AS last FROM grid WHERE round > 0 GROUP BY run, zone) GROUP BY run", f"{X.ROUNDS}, {_GRID}")
 def control_summary(spark, d):
-    zones = rounds(spark, d).where("round > 0").groupBy("run", "zone").agg(all_known(_C("medium")).alias("ok"), F.max(F.when(_C("source") != "missing", _C("round"))).alias("last"))
-    got = zones.groupBy("run").agg(all_known(_C("ok")).alias("s"), F.count("*").alias("zones"), F.count_if("ok").alias("succeeded"), F.count_if(~_C("ok")).alias("failed"), F.max("last").alias("max_attempts"))
-    return got.select("run", F.when(_C("s"), "success").when(_C("s").isNull(), "unknown").otherwise("fail").alias("status"), "zones", "succeeded", "failed", "max_attempts")
+    return E.control_summary(rounds(spark, d))
 
 
 @query("agg_decision_quality", """SELECT source, metric, count(value) AS n, avg(value) AS mean, stddev_samp(value) AS std, stddev_samp(value) / sqrt(count(value)) AS sem, min(value) AS min, max(value) AS max FROM (
@@ -416,11 +437,13 @@ def decision_quality(spark, d):
     return summary(windows, ["source"], ["load_kwh", "medium"]).unionByName(summary(calls, ["source"], ["prompt_tokens", "completion_tokens"]))
 
 
-@query("agg_price_comparison", "SELECT l_returnflag AS category, l_suppkey AS zone_id, count(*) AS windows, count(*) FILTER (abs((l_discount - l_tax) / l_tax * 100) <= 8) AS within_8_pct, count(*) FILTER (abs((l_discount - l_tax) / l_tax * 100) <= 8) * 100e0 / count(*) AS accuracy_pct, avg(l_discount) AS mean_predicted, avg(l_tax) AS mean_baseline FROM lineitem WHERE l_tax > 0 GROUP BY ALL", "", "accuracy_pct mean_predicted mean_baseline")
+_NEAR = "count(*) FILTER (abs(l_discount - l_tax) <= abs(l_tax) * 0.08e0)"
+
+
+@query("agg_price_comparison", f"SELECT l_returnflag AS category, l_suppkey AS zone_id, count(*) AS windows, {_NEAR} AS within_pct, {_NEAR} * 100e0 / count(*) AS accuracy_pct, avg(l_discount) AS mean_predicted, avg(l_tax) AS mean_baseline, avg(l_discount - l_tax) AS mean_difference, avg(CASE WHEN l_tax <> 0 THEN (l_discount - l_tax) / l_tax * 100 END) AS mean_difference_pct FROM lineitem GROUP BY ALL", "", "accuracy_pct mean_predicted mean_baseline mean_difference mean_difference_pct")
 def price_comparison(spark, d):
-    rows = X.table(spark, d, "lineitem").where("l_tax > 0")
-    near = F.abs((_C("l_discount") - _C("l_tax")) / _C("l_tax") * 100) <= 8
-    return rows.groupBy(_C("l_returnflag").alias("category"), _C("l_suppkey").alias("zone_id")).agg(F.count("*").alias("windows"), F.count_if(near).alias("within_8_pct"), (F.count_if(near) * 100.0 / F.count("*")).alias("accuracy_pct"), F.avg("l_discount").alias("mean_predicted"), F.avg("l_tax").alias("mean_baseline"))
+    rows = X.table(spark, d, "lineitem").select(_C("l_returnflag").alias("category"), _C("l_suppkey").alias("zone_id"), _C("l_discount").alias("predicted_price"), _C("l_tax").alias("baseline_price"))
+    return E.price_comparison(rows, ["category", "zone_id"])
 
 
 def saved(spark, d):

@@ -61,9 +61,11 @@ def at_levels(rows: DataFrame, levels: dict[str, Sequence[str]]) -> DataFrame:
 
 
 def deduplicated(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row for each of the keys, and how many ``copies`` of it were removed."""
+    """One row for each of the keys, and how many ``copies`` of it were removed. Of copies that differ elsewhere, one whole
+    row stays: the least, whatever the partitioning."""
     rest = [c for c in samples.columns if c not in keys]
-    return samples.groupBy(*keys).agg(*[F.any_value(c).alias(c) for c in rest], (F.count("*") - 1).alias("copies"))
+    kept = samples.groupBy(*keys).agg(*([F.min(F.struct(*rest)).alias("__row")] if rest else []), (F.count("*") - 1).alias("copies"))
+    return kept.select(*keys, *[F.col("__row")[c].alias(c) for c in rest], "copies")
 
 
 def conflicts(samples: DataFrame, identity: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -181,6 +183,30 @@ def usage_summary(calls: DataFrame, keys: Sequence[str]) -> DataFrame:
     return out.select(*shown)
 
 
+def call_tables(calls: DataFrame, levels: dict[str, Sequence[str]]) -> DataFrame:
+    """``usage_summary`` over several groupings of calls in one pass, with the runs of each group and their mean tokens."""
+    rows = at_levels(calls, levels)
+    runs = rows.select("level", "key", "run").distinct().groupBy("level", "key").agg(F.count("*").alias("run_count"))
+    got = usage_summary(rows, ["level", "key"]).join(runs, ["level", "key"])
+    return got.withColumns({f"mean_{t}_per_run": F.try_divide(t, "run_count") for t in TOKENS})
+
+
+def round_tables(calls: DataFrame, levels: dict[str, Sequence[str]]) -> DataFrame:
+    """Totals of rounds (a run's calls of one attempt) over several groupings in one pass: rounds, runs, calls, tokens
+    (null unless every round is complete), known tokens, mean tokens per run. Levels' columns belong to the run or attempt."""
+    names = list(dict.fromkeys(["run", "attempt", *[c for cs in levels.values() for c in cs]]))
+    sums = [F.sum(t).alias(f"known_{t}") for t in TOKENS]
+    rounds = usage_columns(calls).groupBy(*names).agg(F.count("*").alias("calls"), F.bool_and("complete").alias("complete"), *sums)
+    rows = at_levels(rounds, levels)
+    runs = rows.select("level", "key", "run").distinct().groupBy("level", "key").agg(F.count("*").alias("run_count"))
+    got = rows.groupBy("level", "key").agg(
+        F.count("*").alias("rounds"), F.sum("calls").alias("agent_call_count"), F.bool_and("complete").alias("token_usage_complete"), F.count_if(~F.col("complete")).alias("incomplete_rounds"),
+        *[F.sum(f"known_{t}").alias(f"known_{t}") for t in TOKENS],
+    ).join(runs, ["level", "key"])
+    whole = {t: F.when(F.col("token_usage_complete"), F.col(f"known_{t}")) for t in TOKENS}
+    return got.withColumns(whole).withColumns({f"mean_{t}_per_run": F.try_divide(t, "run_count") for t in TOKENS})
+
+
 def cache_summary(calls: DataFrame, keys: Sequence[str]) -> DataFrame:
     ok = F.bool_and("u_cache_usage_complete")
     return usage_columns(calls).groupBy(*keys).agg(
@@ -271,3 +297,22 @@ def round_matrix(rows: DataFrame, keys: Sequence[str], rounds: int) -> DataFrame
     """One column set per round: windows in the band, and first entries."""
     flat = rows.withColumn("enters", F.col("first_entry_known") & (F.col("first_entry_round") == F.col("round")))
     return flat.groupBy(*keys).pivot("round", list(range(rounds + 1))).agg(F.count_if("medium").alias("medium"), F.count_if("enters").alias("entered"))
+
+
+def price_comparison(rows: DataFrame, keys: Sequence[str], within_pct: float = 8.0) -> DataFrame:
+    """Per group of rows with both prices (baseline_price, predicted_price): windows, those whose difference is within the
+    share of the baseline, accuracy and means. A baseline of 0 is met only by 0, and has no relative difference."""
+    base, guess = F.col("baseline_price"), F.col("predicted_price")
+    near = F.abs(guess - base) <= F.abs(base) * (within_pct / 100)
+    return rows.where(base.isNotNull() & guess.isNotNull()).groupBy(*keys).agg(
+        F.count("*").alias("windows"), F.count_if(near).alias("within_pct"), (F.count_if(near) * 100.0 / F.count("*")).alias("accuracy_pct"), F.avg(guess).alias("mean_predicted"), F.avg(base).alias("mean_baseline"),
+        F.avg(guess - base).alias("mean_difference"), F.avg(F.when(base != 0, (guess - base) / base * 100)).alias("mean_difference_pct"),
+    )
+
+
+def control_summary(windows: DataFrame) -> DataFrame:
+    """Per run of window rows (run, zone, round, medium, source): status (success if every zone succeeds, unknown if none
+    fails but some isn't known), zones, how many succeed and fail, and the last attempt."""
+    zones = windows.where("round > 0").groupBy("run", "zone").agg(all_known(F.col("medium")).alias("ok"), F.max(F.when(F.col("source") != "missing", F.col("round"))).alias("last"))
+    got = zones.groupBy("run").agg(all_known(F.col("ok")).alias("s"), F.count("*").alias("zones"), F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"), F.max("last").alias("max_attempts"))
+    return got.select("run", F.when(F.col("s"), "success").when(F.col("s").isNull(), "unknown").otherwise("fail").alias("status"), "zones", "succeeded", "failed", "max_attempts")

@@ -12,8 +12,9 @@ ROOT = str(Path(__file__).resolve().parent.parent)
 
 
 def session(name: str = "zoneload", master: str | None = None, **conf: str) -> SparkSession:
-    """A session in UTC with adaptive execution; ``conf`` keys use _ for the dots."""
-    builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    """A session in UTC with adaptive execution, which removes checkpoints that nothing refers to any more; ``conf`` keys use
+    _ for the dots."""
+    builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
