@@ -27,9 +27,9 @@ def test_copies_leave_one_whole_row(spark):
 
 
 def test_price_comparison_with_a_free_baseline(spark):
-    rows = [("z", 0.0, 0.0), ("z", 0.0, 0.1), ("z", 1.0, 1.08), ("z", 1.0, 1.09), ("z", None, 1.0)]
+    rows = [("z", 0.0, 0.0), ("z", 0.0, 0.1), ("z", 1.0, 1.07), ("z", 1.0, 1.09), ("z", None, 1.0)]
     r = E.price_comparison(spark.createDataFrame(rows, "zone string, baseline_price double, predicted_price double"), ["zone"]).first()
-    assert (r.windows, r.within_pct, r.accuracy_pct) == (4, 2, 50.0) and abs(r.mean_difference_pct - 8.5) < 1e-9
+    assert (r.windows, r.within_pct, r.accuracy_pct) == (4, 2, 50.0) and abs(r.mean_difference_pct - 8.0) < 1e-9
 
 
 def test_provenance_of_odd_texts(spark):
@@ -41,3 +41,18 @@ def test_provenance_of_odd_texts(spark):
     assert tuple(used[3]) == (6, 2, 1, 8) and tuple(used[2]) == (None, None, None, None)
     one = df.limit(1).select(*[c.alias(n) for n, c in PV.dataset_identity(F.lit(None).cast("string"), F.lit("/a/b.csv"), F.lit(None).cast("string")).items()]).first()
     assert tuple(one) == ("b", "unknown", False)
+
+
+def test_agent_summary_pools_before_means(spark):
+    runs = [(0, 1, True, True, 2, 3, 10, 1, True), (0, 2, None, False, 1, 1, 20, 2, True), (1, 3, False, True, None, 2, 5, None, False)]
+    zones = [(0, 1, "a", True, True, 2), (0, 1, "b", True, True, 2), (0, 2, "a", None, False, 1), (1, 3, "a", False, True, 1)]
+    windows = [(0, 1, True, True), (0, 2, False, True), (0, 2, None, False), (1, 3, False, True)]
+    got = E.agent_summary(
+        spark.createDataFrame(runs, "batch int, run int, first_success boolean, final_success boolean, attempts_used int, agent_call_count long, prompt_tokens long, completion_tokens long, token_usage_complete boolean"),
+        spark.createDataFrame(zones, "batch int, run int, zone string, first_success boolean, final_success boolean, attempts_used int"),
+        spark.createDataFrame(windows, "batch int, run int, first_success boolean, final_success boolean"), ["batch"],
+    )
+    a, b = got.orderBy("batch").collect()
+    assert (a.run_count, a.run_retained_count, a.run_unknown_transition_count, a.zone_count, a.window_count, a.window_gained_count) == (2, 1, 1, 3, 3, 1)
+    assert (a.mean_attempts_per_run, round(a.mean_attempts_per_zone, 6), a.agent_call_count, a.mean_calls_per_run, a.mean_prompt_tokens_per_run, a.mean_prompt_tokens_per_zone, a.mean_prompt_tokens_per_call) == (1.5, round(5 / 3, 6), 4, 2.0, 15.0, 10.0, 7.5)
+    assert (b.mean_attempts_per_run, b.mean_attempts_per_zone, b.prompt_tokens, b.known_prompt_tokens, b.known_completion_tokens, b.incomplete_usage_run_count) == (None, 1.0, None, 5, None, 1)

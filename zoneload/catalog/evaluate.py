@@ -222,9 +222,19 @@ def sorted_tables(spark, d):
     return rows.withColumn("position", F.row_number().over(Window.partitionBy("run").orderBy(order, "round")).cast("long")).orderBy("run", "position")
 
 
-@query("agg_round_matrix", "SELECT run, " + ", ".join(f'count(*) FILTER (round = {n} AND medium) AS "{n}_medium", count(*) FILTER (round = {n} AND known AND first_entry_round = {n}) AS "{n}_entered"' for n in range(4)) + " FROM entries GROUP BY run", f"{X.ROUNDS}, {_GRID}")
+_BM = "run % 2 AS batch, CASE WHEN run % 5 < 3 THEN 'multi' ELSE 'single' END AS agent_mode"
+_MATRIX = ", ".join(f'count(*) FILTER (round = {n} AND medium) AS "{n}_medium", count(*) FILTER (round = {n} AND NOT baseline_medium AND medium) AS "{n}_new", count(*) FILTER (round = {n} AND medium IS NULL) AS "{n}_unknown", count(*) FILTER (round = {n} AND known AND first_entry_round = {n}) AS "{n}_entered"' for n in range(4))
+_SPENT = ", ".join(f'CASE WHEN count(*) FILTER (round = {n} AND tokens IS NULL) = 0 AND count(DISTINCT run) FILTER (round = {n}) = count(DISTINCT run) THEN sum(tokens) FILTER (round = {n}) / count(DISTINCT run) END AS mean_tokens_{n}' for n in range(1, 4))
+
+
+@query("agg_round_matrix", f"""SELECT * FROM (SELECT batch, agent_mode, count(DISTINCT run) AS run_count, {_MATRIX} FROM (SELECT *, {_BM} FROM entries) GROUP BY ALL)
+    JOIN (SELECT batch, agent_mode, {_SPENT} FROM (SELECT *, CASE WHEN NOT (round = 3 AND run % 10 = 4) THEN run * 10 + round END AS tokens, {_BM} FROM (SELECT DISTINCT run FROM grid), (SELECT unnest(range(1, 4)) AS round)) GROUP BY ALL) USING (batch, agent_mode)""", f"{X.ROUNDS}, {_GRID}", "mean_tokens_1 mean_tokens_2 mean_tokens_3")
 def round_matrix(spark, d):
-    return E.round_matrix(rounds(spark, d), ["run"], 3)
+    run = _C("run")
+    dims = {"batch": run % 2, "agent_mode": F.when(run % 5 < 3, "multi").otherwise("single")}
+    rows = rounds(spark, d).withColumns(dims)
+    usage = rows.select("batch", "agent_mode", "run").distinct().withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    return E.round_matrix(rows, usage.withColumn("tokens", F.when(~((_C("round") == 3) & (run % 10 == 4)), run * 10 + _C("round"))), ["batch", "agent_mode"], 3)
 
 
 def _transition_sql(source, keys):
@@ -240,15 +250,30 @@ def transitions(spark, d):
     return E.transitions(X.runs(spark, d), ["batch", "mode"], "first_success", "final_success")
 
 
-_ZONES = f"(SELECT run, zone, {_ALL.format('a')} AS a, {_ALL.format('b')} AS b FROM (SELECT run, zone, \"window\", bool_and(medium) FILTER (round = 1) AS a, bool_and(medium) FILTER (round = 3) AS b FROM grid GROUP BY ALL) GROUP BY run, zone)"
+_ENDS = f"""ends AS (SELECT run, zone, "window", {_BM}, bool_and(medium) FILTER (round = 1) AS a, bool_and(medium) FILTER (round = 3) AS b FROM grid GROUP BY run, zone, "window"),
+of_zones AS (SELECT run, zone, batch, agent_mode, {_ALL.format('a')} AS a, {_ALL.format('b')} AS b, CASE WHEN run % 9 <> 4 THEN run % 4 END AS attempts FROM ends GROUP BY ALL),
+of_runs AS (SELECT run, batch, agent_mode, {_ALL.format('a')} AS a, {_ALL.format('b')} AS b, run % 4 AS attempts, CASE WHEN run % 50 <> 7 THEN run % 6 END AS calls, CASE WHEN run % 40 <> 9 THEN run * 10 END AS prompt_tokens, run * 3 AS completion_tokens, run % 40 <> 9 AS ok FROM of_zones GROUP BY ALL)"""
+_SCOPES = [("run", "of_runs"), ("zone", "of_zones"), ("window", "ends")]
+_SUMMED = {s: _transition_sql(v, "batch, agent_mode").replace(" AS ", f" AS {s}_") for s, v in _SCOPES}
+_RATES3 = " ".join(f"{s}_{r}" for s, _ in _SCOPES for r in _RATES.split())
+_MEANS = ", ".join(f"{t}, known_{t}, " + ", ".join(f"{t} / nullif({c}, 0) AS mean_{t}_per_{s}" for s, c in (("run", "run_count"), ("zone", "zone_count"), ("call", "agent_call_count"))) for t in E.TOKENS)
+_MEAN_NAMES = " ".join(f"mean_{t}_per_{s}" for t in E.TOKENS for s in ("run", "zone", "call"))
 
 
-@query("agg_agent_summary", _transition_sql(_ZONES, "run"), f"{X.ROUNDS}, {_GRID}", _RATES)
+@query("agg_agent_summary", f"""SELECT r.*, z.* EXCLUDE (batch, agent_mode), w.* EXCLUDE (batch, agent_mode), agent_call_count, token_usage_complete, incomplete_usage_run_count, attempts / run_count AS mean_attempts_per_run, zone_attempts / zone_count AS mean_attempts_per_zone, agent_call_count / run_count AS mean_calls_per_run, agent_call_count / zone_count AS mean_calls_per_zone, {_MEANS}
+    FROM ({_SUMMED['run']}) r JOIN ({_SUMMED['zone']}) z USING (batch, agent_mode) JOIN ({_SUMMED['window']}) w USING (batch, agent_mode)
+    JOIN (SELECT batch, agent_mode, CASE WHEN count(attempts) = count(*) THEN sum(attempts) END AS attempts, CAST(CASE WHEN count(calls) = count(*) THEN sum(calls) END AS BIGINT) AS agent_call_count, bool_and(ok) AS token_usage_complete, count(*) FILTER (NOT ok) AS incomplete_usage_run_count, {", ".join(f"CAST(sum({t}) AS BIGINT) AS known_{t}, CAST(CASE WHEN bool_and(ok) THEN sum({t}) END AS BIGINT) AS {t}" for t in E.TOKENS)} FROM of_runs GROUP BY ALL) u USING (batch, agent_mode)
+    JOIN (SELECT batch, agent_mode, CASE WHEN count(attempts) = count(*) THEN sum(attempts) END AS zone_attempts FROM of_zones GROUP BY ALL) v USING (batch, agent_mode)""", f"{X.ROUNDS}, {_GRID}, {_ENDS}", f"{_RATES3} mean_attempts_per_run mean_attempts_per_zone mean_calls_per_run mean_calls_per_zone {_MEAN_NAMES}")
 def agent_summary(spark, d):
-    """Zones succeed if all their windows do; transitions of zones from the first round to the last, by run."""
+    """Windows succeed in a round if they are in the band, zones and runs if all their windows do."""
+    run, keys = _C("run"), ["batch", "agent_mode"]
     at = lambda n: F.bool_and(F.when(_C("round") == n, _C("medium")))
-    windows = rounds(spark, d).groupBy(*_WK).agg(at(1).alias("a"), at(3).alias("b"))
-    return E.transitions(E.all_success(windows, ["run", "zone"], ["a", "b"]), ["run"], "a", "b")
+    dims = {"batch": run % 2, "agent_mode": F.when(run % 5 < 3, "multi").otherwise("single")}
+    windows = checkpoint(rounds(spark, d).groupBy(*_WK).agg(at(1).alias("first_success"), at(3).alias("final_success")).withColumns(dims))
+    flags = ["first_success", "final_success"]
+    zones = E.all_success(windows, [*keys, "run", "zone"], flags).withColumn("attempts_used", F.when(run % 9 != 4, run % 4))
+    usage = {"attempts_used": run % 4, "agent_call_count": F.when(run % 50 != 7, run % 6), "prompt_tokens": F.when(run % 40 != 9, run * 10), "completion_tokens": run * 3, "token_usage_complete": run % 40 != 9}
+    return E.agent_summary(E.all_success(zones, [*keys, "run"], flags).withColumns(usage), zones, windows, keys)
 
 
 _TOK = "complete AS (SELECT *, coalesce(token_usage_complete, true) AND prompt_tokens IS NOT NULL AND completion_tokens IS NOT NULL AS ok, CASE WHEN prompt_tokens IS NOT NULL AND cached_tokens <= prompt_tokens THEN cached_tokens END AS u FROM agent_calls)"

@@ -151,6 +151,34 @@ def all_success(rows: DataFrame, keys: Sequence[str], flags: Sequence[str]) -> D
 TOKENS = ("prompt_tokens", "completion_tokens")
 
 
+def agent_summary(runs: DataFrame, zones: DataFrame, windows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per group: transitions of runs, zones and windows (first_success, final_success), and means of attempts, calls and
+    tokens per run, zone and call. Totals are pooled before means; a mean is unknown unless every row it needs is known.
+
+    ``runs`` have attempts_used, agent_call_count, token counts and token_usage_complete, ``zones`` attempts_used.
+    """
+    parts = {}
+    for scope, rows in (("run", runs), ("zone", zones), ("window", windows)):
+        got = transitions(rows, keys, "first_success", "final_success")
+        parts[scope] = got.withColumnsRenamed({c: f"{scope}_{c}" for c in got.columns if c not in keys})
+    full = lambda c: F.when(F.count(c) == F.count("*"), F.sum(c))
+    complete = F.bool_and(F.coalesce("token_usage_complete", F.lit(False)))
+    of_runs = runs.groupBy(*keys).agg(
+        full("attempts_used").alias("__attempts"), full("agent_call_count").alias("agent_call_count"), complete.alias("token_usage_complete"), F.count_if(~F.coalesce("token_usage_complete", F.lit(False))).alias("incomplete_usage_run_count"),
+        *[F.sum(t).alias(f"known_{t}") for t in TOKENS],
+    )
+    of_zones = zones.groupBy(*keys).agg(full("attempts_used").alias("__zone_attempts"))
+    out = parts["run"]
+    for other in (parts["zone"], parts["window"], of_runs, of_zones):
+        out = out.join(other, list(keys), "left")
+    counts = {"run": "run_count", "zone": "zone_count", "call": "agent_call_count"}
+    means = {"mean_attempts_per_run": F.try_divide("__attempts", "run_count"), "mean_attempts_per_zone": F.try_divide("__zone_attempts", "zone_count"), **{f"mean_calls_per_{s}": F.try_divide("agent_call_count", counts[s]) for s in ("run", "zone")}}
+    for t in TOKENS:
+        whole = F.when(F.col("token_usage_complete"), F.col(f"known_{t}"))
+        means |= {t: whole, **{f"mean_{t}_per_{s}": F.try_divide(whole, c) for s, c in counts.items()}}
+    return out.withColumns(means).drop("__attempts", "__zone_attempts")
+
+
 def usage_columns(calls: DataFrame) -> DataFrame:
     """Calls with ``complete`` and the normalised cache fields."""
     complete = F.coalesce(F.col("token_usage_complete"), F.lit(True))
@@ -293,10 +321,23 @@ def expected_windows(observed: DataFrame, expected: DataFrame, key: Sequence[str
     return both.select(*key, status.alias("status")).where("status IS NOT NULL")
 
 
-def round_matrix(rows: DataFrame, keys: Sequence[str], rounds: int) -> DataFrame:
-    """One column set per round: windows in the band, and first entries."""
+def round_matrix(rows: DataFrame, usage: DataFrame, keys: Sequence[str], rounds: int) -> DataFrame:
+    """Per group one column set per round: windows in the band, newly in it, unknown, first entries, and mean tokens per run.
+
+    ``rows``: windows by round (0: baseline) with history fields and baseline_medium; ``usage``: keys, run, round, tokens
+    (null unless complete). Tokens of a round are known only where every run of the group has that round's.
+    """
+    numbers = list(range(rounds + 1))
     flat = rows.withColumn("enters", F.col("first_entry_known") & (F.col("first_entry_round") == F.col("round")))
-    return flat.groupBy(*keys).pivot("round", list(range(rounds + 1))).agg(F.count_if("medium").alias("medium"), F.count_if("enters").alias("entered"))
+    seen = flat.groupBy(*keys).pivot("round", numbers).agg(
+        F.count_if("medium").alias("medium"), F.count_if(~F.col("baseline_medium") & F.col("medium")).alias("new"), F.count_if(F.col("medium").isNull()).alias("unknown"), F.count_if("enters").alias("entered")
+    )
+    runs = rows.select(*keys, "run").distinct().groupBy(*keys).agg(F.count("*").alias("run_count"))
+    per = usage.groupBy(*keys, "round").agg(F.count("tokens").alias("known"), F.count("*").alias("n"), F.count_distinct("run").alias("runs"), F.sum("tokens").alias("tokens")).join(runs, list(keys))
+    mean = F.when((F.col("known") == F.col("n")) & (F.col("runs") == F.col("run_count")), F.col("tokens") / F.col("run_count"))
+    spent = per.withColumn("mean", mean).groupBy(*keys).pivot("round", numbers[1:]).agg(F.max("mean").alias("mean"))
+    spent = spent.withColumnsRenamed({str(n): f"mean_tokens_{n}" for n in numbers[1:]})
+    return seen.join(runs, list(keys)).join(spent, list(keys), "left")
 
 
 def price_comparison(rows: DataFrame, keys: Sequence[str], within_pct: float = 8.0) -> DataFrame:
