@@ -127,10 +127,10 @@ class Templates:
         """The best template for a unit's set of bigrams."""
         size, best = len(bigrams), None
         for name, own, needed in zip(self.names, self.sets, self.needed, strict=True):
-            if 2 * min(size, len(own)) < threshold * (size + len(own)) or not np.isin(needed, bigrams).all():
+            if 2 * min(size, len(own)) < threshold * (size + len(own)):
                 continue
             dice = 2 * len(np.intersect1d(bigrams, own, assume_unique=True)) / (size + len(own))
-            if dice >= threshold and (best is None or dice > best[1]):
+            if dice >= threshold and (best is None or dice > best[1]) and np.isin(needed, bigrams).all():
                 best = name, dice
         return best
 
