@@ -7,6 +7,7 @@ from ..functions.metric_text import metric_lines
 from ..registry import query
 from ..session import shared_folder
 from ..streaming import metrics as M
+from ..streaming import state as ST
 
 _C = F.col
 _SUMMARY = """SELECT *, CASE WHEN scrapes = 720 AND resets = 0 THEN b - a END AS delta FROM (SELECT name, count(value) AS samples, avg(value) AS mean, min(value) AS minimum, max(value) AS maximum, sum(CASE WHEN adjacent AND step >= 0 THEN step END) AS known_delta, count(*) FILTER (step < 0) AS resets, count(DISTINCT scrape_index) AS scrapes, arg_min(value, scrape_index) AS a, arg_max(value, scrape_index) AS b
@@ -46,10 +47,16 @@ def stream_state(spark, d):
     for part in range(3):  # files arrive in the scrapes' order
         rows.where(F.floor(_C("scrape_index") / 240) == part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    found = M.stream_summary(stream.select("name", "scrape_index", "value"), "name")
+    found = ST.series_stream(stream.select("name", F.lit("").alias("labels"), F.lit("value").alias("kind"), "scrape_index", "value"))
     writer = found.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
-    writer.foreachBatch(lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{folder}/out")).start().awaitTermination()
-    out = spark.read.parquet(f"{folder}/out")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    kept = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        writer.foreachBatch(lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{folder}/out")).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, kept)
+    out = spark.read.parquet(f"{folder}/out").drop("labels", "kind", "closed_at")
     return out.groupBy("name").agg(*[F.max_by(c, "batch").alias(c) for c in out.columns if c not in ("name", "batch")])
 
 
