@@ -97,13 +97,13 @@ def test_suffix_dedup_bounds_the_passages_of_a_hot_key(spark, monkeypatch):
         monkeypatch.setattr(suffix, "KEY_BYTES", 5000)
         got = {row.doc_id: (row.n_bytes, row.n_removed, row.n_spans, row.kept_sha256) for row in suffix.repeats(docs).collect()}
         assert got == want
-    dealt = docs.withColumn(suffix._GROUP, docs.doc_id % 11)
-    passages, heavy = suffix._sent(dealt, 11)
+    dealt = docs.withColumn("g", docs.doc_id % 11)
+    passages, heavy = suffix._sent(dealt, "g", 11)
     assert heavy.select("pid").distinct().count() == 11
     sent = sum(len(row.uids) // 8 for row in passages.collect())
     assert 0 < sent < 0.3 * 600 * 31  # windows that one document alone has aren't sent
     monkeypatch.setattr(suffix, "KEY_BYTES", 1 << 20)
-    assert suffix._sent(dealt, 11)[1].count() == 0
+    assert suffix._sent(dealt, "g", 11)[1].count() == 0
 
 
 def test_suffix_trimmed_keeps_columns_and_rows_without_id(spark):
