@@ -97,9 +97,12 @@ def assess_control(spark, d):
     return K.zone_status(rows, ["zone_id", "origin"]).join(reasons, ["zone_id", "origin"])
 
 
-@query("job_control_loop", f'SELECT zone_id, origin, "window", attempt, shift AS suggested_price_shift_pct, proposed AS proposed_energy_price, rload AS reforecast_load_kwh, rlevel AS reforecast_load_stress_level, ok AS control_success FROM trace', _LOOP, "suggested_price_shift_pct proposed_energy_price reforecast_load_kwh")
+@query("job_control_loop", f'SELECT zone_id, origin, "window", attempt, shift AS suggested_price_shift_pct, proposed AS proposed_energy_price, rload AS reforecast_load_kwh, rlevel AS reforecast_load_stress_level, ok AS control_success, count(*) FILTER (NOT ok) OVER w AS earlier_failures, coalesce(array_to_string(list(rlevel) FILTER (NOT ok) OVER w, \',\'), \'\') AS earlier_levels FROM trace WINDOW w AS (PARTITION BY zone_id, origin, "window" ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)', _LOOP, "suggested_price_shift_pct proposed_energy_price reforecast_load_kwh")
 def control_loop(spark, d):
-    return K.control_loop(*_inputs(spark, d), category()).select("zone_id", "origin", "window", "attempt", "suggested_price_shift_pct", "proposed_energy_price", "reforecast_load_kwh", "reforecast_load_stress_level", "control_success")
+    """The trace, with the failures that each proposal was made from."""
+    context = F.transform("retry_context", lambda c: c["reforecast_load_stress_level"])
+    shown = [F.size("retry_context").alias("earlier_failures"), F.array_join(context, ",").alias("earlier_levels")]
+    return K.control_loop(*_inputs(spark, d), category()).select("zone_id", "origin", "window", "attempt", "suggested_price_shift_pct", "proposed_energy_price", "reforecast_load_kwh", "reforecast_load_stress_level", "control_success", *shown)
 
 
 @query("win_previous_attempt", """SELECT zone_id, origin, "window", attempt, previous AS previous_energy_price, proposed - previous AS price_change_amount, CASE WHEN previous > 0 THEN (proposed - previous) / previous * 100 END AS price_change_pct, shift - previous_shift AS shift_change_pct, abs(proposed - previous) > 1e-9 AS price_changed, trigger AS trigger_reason

@@ -87,23 +87,39 @@ def attempt_changes(trace: DataFrame) -> DataFrame:
     })
 
 
+#: What a failed attempt leaves for the proposals after it.
+_CONTEXT = "array<struct<attempt: int, proposed_energy_price: double, suggested_price_shift_pct: double, reforecast_load_kwh: double, reforecast_load_stress_level: string, control_failure_reason: string>>"
+
+
+def retry_context(failed: DataFrame) -> Column:
+    """A failed window's earlier failures with this one after them."""
+    return F.concat("retry_context", F.array(F.struct("attempt", "proposed_energy_price", "suggested_price_shift_pct", "reforecast_load_kwh", "reforecast_load_stress_level", "control_failure_reason")).cast(_CONTEXT))
+
+
 def control_loop(windows: DataFrame, hourly: DataFrame, response: DataFrame, reference: DataFrame, category: Column, rounds: int = ROUNDS) -> DataFrame:
     """The trace of at most ``rounds`` attempts: propose, re-forecast, check, revise what failed.
 
-    A revision takes the re-forecast load of a failed window as its load. The inputs are kept once, as every attempt
-    reads them, and every attempt's result, so plans don't grow; the loop ends early once nothing fails.
+    ``retry_context`` of a row are the failures that its proposal was made from, in order: the load of the last of them takes
+    the place of the window's load. Windows that succeeded leave the loop: later attempts repeat their rows as frozen,
+    and only failed ones are forecast again. The inputs are kept once, as every attempt reads them, and every attempt's
+    result, so plans don't grow; the loop ends early once nothing fails.
     """
     windows, hourly, response, reference = (checkpoint(t) for t in (windows, hourly, response, reference))
-    current = proposals(windows, category).withColumn("proposal_status", F.lit("initial"))
-    trace = None
+    current = proposals(windows, category).withColumns({"proposal_status": F.lit("initial"), "retry_context": F.array().cast(_CONTEXT)})
+    trace = settled = None
     for attempt in range(1, rounds + 1):
-        result = checkpoint(assessed(reforecast(current, hourly, response, reference)).withColumn("attempt", F.lit(attempt)))
+        result = assessed(reforecast(current, hourly, response, reference)).withColumn("attempt", F.lit(attempt))
+        if settled is not None:
+            result = result.unionByName(settled.withColumns({"attempt": F.lit(attempt), "proposal_status": F.lit("frozen")}))
+        result = checkpoint(result)
         trace = result if trace is None else trace.unionByName(result)
-        if attempt == rounds or result.where("NOT control_success").isEmpty():
+        failed, settled = result.where("NOT control_success"), result.where("control_success")
+        if attempt == rounds or failed.isEmpty():
             break
         made = ["reforecast_load_kwh", "reforecast_load_range_position_pct", "reforecast_load_stress_level", "reforecast_source"]
-        again = result.withColumn("sum_predicted_kwh", F.coalesce("reforecast_load_kwh", "sum_predicted_kwh")).drop("elasticity", "suggested_price_shift_pct", "proposed_energy_price", "price_valid", "action_label")
-        current = merged_revision(result, proposals(again, category)).drop(*made, "control_success", "control_failure_reason", "attempt")
+        known = failed.withColumn("retry_context", retry_context(failed))
+        again = known.withColumn("sum_predicted_kwh", F.coalesce(F.element_at("retry_context", -1)["reforecast_load_kwh"], "sum_predicted_kwh")).drop("elasticity", "suggested_price_shift_pct", "proposed_energy_price", "price_valid", "action_label")
+        current = merged_revision(known, proposals(again, category)).drop(*made, "control_success", "control_failure_reason", "attempt")
     return trace
 
 
