@@ -68,11 +68,11 @@ def set_conflicts(spark, d):
     return E.conflicts(X.forecast_samples(spark, d), ["zone", "model", "time"], ["actual_kwh", "predicted_kwh"])
 
 
-@query("set_union_runs", "SELECT 'multi' AS mode, zone, run, NULL AS only_single, predicted_kwh FROM base_samples WHERE line = 1 UNION ALL SELECT 'single', zone, NULL, line, predicted_kwh FROM base_samples WHERE line = 2", X.SAMPLES)
+@query("set_union_runs", "SELECT 'multi' AS mode, zone, run, NULL AS only_single, predicted_kwh FROM base_samples WHERE line % 2 = 1 UNION ALL SELECT 'single', zone, NULL, line, predicted_kwh FROM base_samples WHERE line % 2 = 0", X.SAMPLES)
 def union_runs(spark, d):
     rows = X.forecast_samples(spark, d).where("agent_mode = 'multi'")
-    a = rows.where("line = 1").select(F.lit("multi").alias("mode"), "zone", "run", "predicted_kwh")
-    b = rows.where("line = 2").select(F.lit("single").alias("mode"), "zone", _C("line").alias("only_single"), "predicted_kwh")
+    a = rows.where("line % 2 = 1").select(F.lit("multi").alias("mode"), "zone", "run", "predicted_kwh")
+    b = rows.where("line % 2 = 0").select(F.lit("single").alias("mode"), "zone", _C("line").alias("only_single"), "predicted_kwh")
     return a.unionByName(b, allowMissingColumns=True)
 
 

@@ -254,13 +254,16 @@ def category_assignment(spark, d):
     return spark.createDataFrame(A.assigned_categories(checkpoint(A.zone_scores(profiles(spark, d)))), "category string, zone_id string, score double")
 
 
-@query("top_representative", f"SELECT zone_id, position FROM (SELECT zone_id, row_number() OVER (ORDER BY mean_load_kwh DESC, load_cv DESC, peak_load_kwh DESC, zone_id) - 1 AS position, count(*) OVER () AS n FROM ({_LOAD_SQL})) WHERE position IN (SELECT k * (n - 1) // 4 FROM (SELECT unnest(range(5)) AS k), (SELECT count(DISTINCT zone_id) AS n FROM zone_hourly))", X.HOURLY)
+_PICKED = f"""ranked AS (SELECT zone_id, row_number() OVER (ORDER BY mean_load_kwh, load_cv, peak_load_kwh, zone_id) - 1 AS place, count(*) OVER () AS n FROM base),
+reasons AS ({" UNION ALL ".join(f"SELECT 0 AS pri, {i} AS i, z_{n} AS zone_id FROM choice" for i, n in enumerate(_NAMES))}
+    UNION ALL SELECT 1, i, zone_id FROM ranked JOIN (SELECT unnest(range(9)) AS i) ON place = round_even(i * (n - 1) / 8e0, 0) UNION ALL SELECT 2, place, zone_id FROM ranked),
+firsts AS (SELECT zone_id, min(pri * 1000000 + i) AS b FROM reasons GROUP BY zone_id)"""
+
+
+@query("top_representative", "SELECT * FROM (SELECT zone_id, row_number() OVER (ORDER BY b) - 1 AS position, (['category', 'rank', 'fill'])[b // 1000000 + 1] AS reason FROM firsts) WHERE position < 9", f"{_SCORES}, scores AS (SELECT zone_id, {_SCORE_COLUMNS} FROM z), {_BEST}, {_CHOICE}, {_PICKED}")
 def representative(spark, d):
-    """Evenly spaced ranks of a sort by four keys."""
-    order = Window.orderBy(F.desc("mean_load_kwh"), F.desc("load_cv"), F.desc("peak_load_kwh"), "zone_id")
-    ranked = A.load_features(X.zone_hourly(spark, d)).select("zone_id", (F.row_number().over(order) - 1).cast("long").alias("position"), F.count("*").over(Window.partitionBy()).alias("n"))
-    picks = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.floor(k * (_C("n") - 1) / 4))
-    return ranked.where(F.array_contains(picks, _C("position"))).select("zone_id", "position")
+    """Nine zones: those of the categories, then evenly spaced ranks of a sort by four keys."""
+    return A.representative_zones(profiles(spark, d), 9)
 
 
 @query("top_random_zones", "SELECT DISTINCT zone_id FROM zone_hourly ORDER BY md5('20240101-' || zone_id), zone_id LIMIT 6", X.HOURLY)

@@ -263,3 +263,31 @@ def assigned_categories(scores: DataFrame) -> list[tuple[str, str, float]]:
     options = [c for c in itertools.product(*best) if len({z for z, _ in c}) == len(kinds)]
     chosen = max(options, key=lambda c: sum(s for _, s in c))
     return [(k, z, s) for k, (z, s) in zip(kinds, chosen, strict=True)]
+
+
+RANK_KEYS = ("mean_load_kwh", "load_cv", "peak_load_kwh")
+
+
+def representative_zones(profiles: DataFrame, count: int, keys: Sequence[str] = RANK_KEYS) -> DataFrame:
+    """zone_id, position (from 0), reason: the zones of the categories first, then evenly spaced ranks of a sort by the keys
+    and zone_id, then the lowest ranks, until there are ``count``. Fewer than five zones are taken by zone_id.
+
+    Ranks come from ranges of the sort and their sums; of a zone's reasons the first counts.
+    """
+    rows = checkpoint(profiles)
+    n = rows.count()
+    target = max(1, min(count, n))
+    if n < len(CATEGORY_WEIGHTS):
+        order = F.row_number().over(Window.orderBy("zone_id"))  # four zones at most
+        return rows.select("zone_id").withColumns({"position": (order - 1).cast("long"), "reason": F.lit("zone")}).where(F.col("position") < target)
+    spark = rows.sparkSession
+    first = [(0, i, zone) for i, (_, zone, _) in enumerate(assigned_categories(checkpoint(zone_scores(rows))))]
+    ranked = running_total(rows.select("zone_id", F.struct(*keys, "zone_id").alias("__order"), F.lit(1).alias("__one")), "__order", "__one", "__rank").select("zone_id", (F.col("__rank") - 1).alias("rank"))
+    picks = [n // 2] if target == 1 else [round(i * (n - 1) / (target - 1)) for i in range(target)]
+    spaced = spark.createDataFrame(list(enumerate(picks)), "i int, rank long").join(ranked, "rank").select(F.lit(1).alias("by"), "i", "zone_id")
+    lowest = ranked.where(F.col("rank") < target + len(first)).select(F.lit(2).alias("by"), F.col("rank").cast("int").alias("i"), "zone_id")
+    every = spark.createDataFrame(first, "by int, i int, zone_id string").unionByName(spaced).unionByName(lowest)
+    chosen = every.groupBy("zone_id").agg(F.min(F.struct("by", "i")).alias("b"))  # some three times the count
+    position = F.row_number().over(Window.orderBy("b.by", "b.i")) - 1
+    reason = F.element_at(F.array(*map(F.lit, ("category", "rank", "fill"))), F.col("b.by") + 1)
+    return chosen.select("zone_id", position.cast("long").alias("position"), reason.alias("reason")).where(F.col("position") < target)
