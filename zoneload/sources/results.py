@@ -72,16 +72,18 @@ def normalised(value: Column, kind: T.DataType, renames: dict[str, str] | None =
 def read_results(spark: SparkSession, path: str, schema: str = CONTROL_SCHEMA, lines: bool = True) -> tuple[DataFrame, DataFrame]:
     """Nested results below ``path`` and, apart, what couldn't be read (path, text).
 
-    One run per line, or per file. ``run`` comes from ``run=...`` in each file's path. Versions other than 2 to 4 are an
+    One run per line, or per file. ``run`` is the line's own field of that name or, where it has none, comes from
+    ``run=...`` in its file's path, so that many runs may share a file. Versions other than 2 to 4 are an
     error, as are conflicting old and new names.
     """
     target = T.StructType.fromDDL(schema)
-    wide = T.StructType([*accepting(target).fields, T.StructField(_MALFORMED, T.StringType())])
+    own = [] if "run" in target.names else [T.StructField("run", T.StringType())]
+    wide = T.StructType([*accepting(target).fields, *own, T.StructField(_MALFORMED, T.StringType())])
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("wholetext", not lines).text(path)
     texts = files.select(F.regexp_replace("value", "^\ufeff", "").alias("text"), F.col("_metadata.file_path").alias("path")).where(F.trim("text") != "")
     parsed = texts.withColumn("r", F.from_json("text", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _MALFORMED}))
     broken = F.col("r").isNull() | F.col(f"r.{_MALFORMED}").isNotNull()
-    got = parsed.where(~broken).select(normalised(F.col("r"), target).alias("r"), F.regexp_extract("path", r"run=([^/]+)", 1).alias("run")).select("r.*", "run")
+    got = parsed.where(~broken).select(normalised(F.col("r"), target).alias("r"), F.coalesce(F.col("r.run").cast("string"), F.regexp_extract("path", r"run=([^/]+)", 1)).alias("__run")).select("r.*", "__run").drop("run").withColumnRenamed("__run", "run")
     version = F.col("schema_version")
     message = F.concat(F.lit("unknown schema version "), F.coalesce(version.cast("string"), F.lit("null")))
     checked = got.withColumn("schema_version", F.when(version.isin(*VERSIONS), version).otherwise(F.raise_error(message)))
