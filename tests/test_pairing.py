@@ -75,3 +75,16 @@ def test_sums_count_repeated_rows(spark):
     rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (2, "a"), (3, "a"), (3, "a"), (3, "b"), (4, "a")], "g int, v string")
     got = {r.g: r.s for r in rows.groupBy("g").agg(*content_sums(F.col("v"))).select("g", content_signature().alias("s")).collect()}
     assert got[1] == got[2] and len(set(got.values())) == 3
+
+
+def test_runs_that_are_dealt_do_not_move_again(spark, tmp_path):
+    """Before, each of some ten groupings and joins of a run's hours and windows shuffled them again."""
+    from zoneload.catalog.evaluate import evidence
+
+    rows = spark.range(30_000).select(F.col("id").alias("o_orderkey"), (F.col("id") % 9).alias("o_custkey"))
+    rows.write.parquet(str(tmp_path / "orders.parquet"))
+    got = evidence(spark, str(tmp_path))
+    assert got.count() == 30_000
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert dealt and all("hashpartitioning(run#" in line and "REPARTITION_BY_NUM" in line for line in dealt)

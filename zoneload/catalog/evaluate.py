@@ -9,7 +9,7 @@ from ..operators import evaluation as E
 from ..operators import outcomes as O
 from ..operators import pairing as PE
 from ..registry import query
-from ..session import checkpoint, shared_folder
+from ..session import checkpoint, dealt, shared_folder
 from ..sources import results as RS
 from .features import summary
 
@@ -398,24 +398,28 @@ _TWO = "two AS (SELECT DISTINCT a.batch AS lb, b.batch AS rb FROM runs a, runs b
 
 def evidence(spark, d):
     """Pairing evidence of each saved run (an order): content follows its identity, but for runs whose prices differ
-    (every 29th) or whose last hour is missing (every 31st)."""
-    every = X.runs(spark, d).select(_C("k").alias("run"), "identity").withColumn("zone", F.explode(F.sequence(F.lit(0), F.lit(1))))
+    (every 29th) or whose last hour is missing (every 31st). Runs are dealt once; all tables are made of them where they are."""
+    orders = X.table(spark, d, "orders").count()
+    runs = dealt(X.runs(spark, d).select(_C("k").alias("run"), "identity"), orders, ["run"], 50_000)
+    every = runs.withColumn("zone", F.explode(F.sequence(F.lit(0), F.lit(1))))
     zones = every.withColumn("zone_id", F.concat(F.lit("z"), _C("zone").cast("string")))
-    slots = zones.withColumn("slot", F.explode(F.sequence(F.lit(0), (_C("identity") % 3).cast("int"))))
-    start = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 3 * slot)")
-    windows = slots.select("run", "zone_id", "identity", start.alias("window_start"), (start + F.expr("interval 2 hours")).alias("window_end"), ((_C("identity") % 97 + _C("slot")) / 100 + F.when(_C("run") % 29 == 0, 0.5).otherwise(0.0)).alias("mean_energy_price"), (_C("identity") * 1.5 + _C("slot")).alias("sum_predicted_kwh"), F.lit("Medium").alias("load_stress_level"))
-    hourly = windows.withColumn("time", F.explode(F.sequence("window_start", "window_end", F.expr("interval 1 hour"))))
+    # Three windows' times and hours as literals: adding intervals to times row by row took most of the work.
+    time = lambda h: F.lit(f"2024-01-01 {h:02}:00:00").cast("timestamp_ntz")
+    every = F.array(*[F.struct(F.lit(i).alias("slot"), time(3 * i).alias("start"), time(3 * i + 2).alias("end"), F.array(*[time(3 * i + j) for j in range(3)]).alias("hours")) for i in range(3)])
+    slots = zones.select("*", F.inline(F.slice(every, F.lit(1), (_C("identity") % 3 + 1).cast("int"))))
+    windows = slots.select("run", "zone_id", "identity", _C("start").alias("window_start"), _C("end").alias("window_end"), "hours", ((_C("identity") % 97 + _C("slot")) / 100 + F.when(_C("run") % 29 == 0, 0.5).otherwise(0.0)).alias("mean_energy_price"), (_C("identity") * 1.5 + _C("slot")).alias("sum_predicted_kwh"), F.lit("Medium").alias("load_stress_level"))
+    hourly = windows.withColumn("time", F.explode("hours"))
     gap = (_C("run") % 31 == 0) & (_C("zone_id") == "z1") & (_C("time") == F.lit("2024-01-01 02:00:00").cast("timestamp_ntz"))
     hourly = hourly.where(~gap).select("run", "zone_id", "time", (_C("identity") + F.hour("time")).cast("double").alias("actual_kwh"), (_C("identity") * 0.5).alias("predicted_kwh"), _C("mean_energy_price").alias("e_price"))
     thresholds = zones.select("run", "zone_id", (_C("identity") % 50 + 1.0).alias("low_medium_kwh"), (_C("identity") % 50 + 9.0).alias("medium_high_kwh"))
-    parameters = X.runs(spark, d).select(_C("k").alias("run"), F.create_map(F.lit("alpha"), F.lit("0.5")).alias("parameters"))
+    parameters = runs.select("run", F.create_map(F.lit("alpha"), F.lit("0.5")).alias("parameters"))
     return PE.pairing_evidence(windows, windows, thresholds, hourly, parameters, ["e_price"])
 
 
 @query("join_mode_cohort", _COHORTS, X.RUNS)
 def mode_cohort(spark, d):
     """Runs with a signature from their pairing evidence: none where that isn't ready."""
-    found = evidence(spark, d).select(_C("run").alias("k"), F.when(_C("pairing_ready"), F.concat_ws("-", "baseline_signature", "hourly_signature", "parameters_signature")).alias("signature"))
+    found = evidence(spark, d).select(_C("run").alias("k"), F.when(_C("pairing_ready"), F.sha2(F.concat_ws("-", "baseline_signature", "hourly_signature", "parameters_signature"), 256)).alias("signature"))
     return E.mode_cohorts(X.runs(spark, d).drop("signature").join(found, "k"))
 
 
@@ -443,7 +447,7 @@ SELECT run, 2 AS zones, true AS complete, n = m AS covered, n = m AS pairing_rea
 @query("agg_pairing_signature", _EVIDENCE_SQL, X.RUNS)
 def pairing_signature(spark, d):
     """Evidence per run. Hashes show as the number of runs that share them, which SQL tells from the content itself."""
-    got = checkpoint(evidence(spark, d))
+    got = checkpoint(evidence(spark, d).drop("parameters_signature"))
     for name, c in (("equal_baselines", "baseline_signature"), ("equal_hours", "hourly_signature")):
         got = got.join(got.where(_C(c).isNotNull()).groupBy(c).agg(F.count("*").alias(name)), c, "left")
     return got.select("run", "zones", "complete", _C("hourly_signature").isNotNull().alias("covered"), "pairing_ready", F.coalesce("equal_baselines", F.lit(0)).alias("equal_baselines"), F.coalesce("equal_hours", F.lit(0)).alias("equal_hours"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import all_known, cache_usage
+from ..session import checkpoint
 
 
 def pooled_errors(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -262,13 +263,16 @@ def usage_audit(calls: DataFrame, recorded: DataFrame) -> DataFrame:
 
 def mode_cohorts(runs: DataFrame, identity: str = "identity") -> DataFrame:
     """batch, identity, status and reason: accepted if every mode of the batch has one run, of one known signature."""
-    modes = runs.groupBy("batch").agg(F.count_distinct("mode").alias("modes"))
-    got = runs.groupBy("batch", identity).agg(F.count_distinct("mode").alias("have"), F.count("*").alias("n"), F.count_distinct("signature").alias("signatures"), F.count_if(F.col("signature").isNull()).alias("unknown"))
+    # Kept once, as the batches' modes come from it too; more than one signature shows in the least and the largest.
+    got = checkpoint(runs.groupBy("batch", identity).agg(F.collect_set("mode").alias("own"), F.count("*").alias("n"), (F.min("signature") != F.max("signature")).alias("differ"), F.count_if(F.col("signature").isNull()).alias("unknown")))
+    modes = got.select("batch", F.explode("own").alias("mode")).distinct().groupBy("batch").agg(F.count("*").alias("modes"))
+    got = got.withColumn("have", F.size("own"))
     reason = (
         F.when(F.col("n") > F.col("have"), "duplicate_mode").when(F.col("have") < F.col("modes"), "missing_mode")
-        .when(F.col("unknown") > 0, "unknown_signature").when(F.col("signatures") > 1, "inconsistent_signature")
+        .when(F.col("unknown") > 0, "unknown_signature").when(F.col("differ"), "inconsistent_signature")
     )
-    return got.join(modes, "batch").select("batch", identity, reason.isNull().alias("accepted"), reason.alias("reason"))
+    # A batch without any known mode has none.
+    return got.where("batch IS NOT NULL").join(modes, "batch", "left").fillna({"modes": 0}).select("batch", identity, reason.isNull().alias("accepted"), reason.alias("reason"))
 
 
 def batch_pairs(runs: DataFrame) -> DataFrame:
