@@ -68,3 +68,25 @@ def test_expected_windows_are_those_of_any_round(spark):
     rows = spark.createDataFrame([(1, "a", 0, 0), (1, "a", 0, 1), (1, "a", 1, 2), (1, "b", 0, 1), (2, "a", 0, 0)], "run int, zone string, window int, round int")
     got = {(r.run, r.zone, r.zone_expected_window_count, r.run_expected_window_count) for r in with_expected(rows, ["window"]).collect()}
     assert got == {(1, "a", 2, 3), (1, "b", 1, 3), (2, "a", 1, 1)}
+
+
+def test_history_in_one_pass(spark):
+    """The rows of grid, history and final rows made one after the other, and no join or shuffle but one. Before, each of the steps
+    joined all rounds anew."""
+    from pyspark.sql import functions as F
+
+    from zoneload.operators import evaluation as E
+
+    keys = ["run", "zone", "window"]
+    base = spark.range(4000).select((F.col("id") % 40).alias("run"), (F.col("id") % 5).alias("zone"), (F.col("id") % 7).alias("window"), (F.hash("id") % 3 + 2).cast("long").alias("round"), F.when(F.col("id") % 6 != 0, F.col("id") % 9).cast("double").alias("load_kwh"), F.when(F.col("id") % 5 != 1, F.when(F.hash("id", "id") % 2 == 0, "Medium").otherwise("Low")).alias("stress"))
+    base = base.where("round < 4").dropDuplicates([*keys, "round"])
+    rows = base.localCheckpoint().repartition(3, "run")
+    finals = rows.groupBy(*keys).agg(F.max(F.struct("round", "load_kwh", "stress")).alias("l")).select(*keys, F.when(F.col("run") % 5 < 3, "success").otherwise("fail").alias("status"), (F.col("run") % 4).alias("attempts_used"), F.lit(3).cast("long").alias("attempt_limit"), "l.load_kwh", "l.stress")
+    got = E.outcome_history(rows, keys, 3, finals)
+    grid = E.round_grid(rows, keys, 3, finals)
+    shown = [*keys, "round", "load_kwh", "stress", "medium", "source", "previous_medium", "first_entry_round", "first_entry_known", "ever_medium", "ever_newly_medium"]
+    want = E.history_fields(grid, keys).select(*shown).unionByName(E.final_rows(grid, keys, finals).select(*shown))
+    assert sorted(map(repr, got.select(*shown).collect())) == sorted(map(repr, want.collect()))
+    assert got.where("phase = 'final'").count() == finals.count()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "ENSURE_REQUIREMENTS" not in plan

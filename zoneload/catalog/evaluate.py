@@ -105,6 +105,12 @@ def grid(spark, d):
     return E.round_grid(rows.select(*_WK, "round", "load_kwh", "stress"), _WK, 3, finals), finals
 
 
+def history(spark, d):
+    """Rounds and final windows with history fields, in one pass."""
+    rows = X.window_rounds(spark, d)
+    return E.outcome_history(rows.select(*_WK, "round", "load_kwh", "stress"), _WK, 3, X.run_finals(rows))
+
+
 def rounds(spark, d):
     """The grid with history fields and the baseline's state."""
     return with_baseline(E.history_fields(grid(spark, d)[0], _WK))
@@ -130,11 +136,7 @@ _ENTRY = "previous_medium, first_entry_round, known AS first_entry_known, ever_m
 
 @query("win_first_entry", f"""SELECT run, zone, "window", CASE WHEN round = 0 THEN 'baseline' ELSE 'round' END AS phase, round, {_ENTRY} FROM entries UNION ALL SELECT run, zone, "window", 'final', round, {_ENTRY} FROM finals""", f"{X.ROUNDS}, {_GRID}")
 def first_entry(spark, d):
-    rows, finals = grid(spark, d)
-    shown = [*_WK, "phase", "round", "previous_medium", "first_entry_round", "first_entry_known", "ever_medium", "ever_newly_medium"]
-    phase = F.when(_C("round") == 0, "baseline").otherwise("round")
-    last = E.final_rows(rows, _WK, finals).withColumn("phase", F.lit("final"))
-    return E.history_fields(rows, _WK).withColumn("phase", phase).select(*shown).unionByName(last.select(*shown))
+    return history(spark, d).select(*_WK, "phase", "round", "previous_medium", "first_entry_round", "first_entry_known", "ever_medium", "ever_newly_medium")
 
 
 _ALL = "CASE WHEN bool_or(NOT {0}) THEN false WHEN count(*) > count({0}) THEN NULL ELSE true END"
@@ -175,16 +177,14 @@ def _spread(label, where):
 
 def outcome_rows(spark, d):
     """Rounds and final windows of all runs with history fields, dimensions and expected windows."""
-    rows, finals = grid(spark, d)
-    phase = F.when(_C("round") == 0, "baseline").otherwise("round")
-    last = E.final_rows(rows, _WK, finals).withColumn("phase", F.lit("final"))
-    first = rows.where("round = 0").select(*_WK, _C("medium").alias("baseline_medium"))
-    shown = [*_WK, "phase", "round", "medium", "previous_medium", "first_entry_round", "first_entry_known", "ever_medium", "ever_newly_medium", "stress"]
-    every = E.history_fields(rows, _WK).withColumn("phase", phase).select(*shown).unionByName(last.select(*shown)).join(first, _WK)
-    expected = finals.groupBy("run", "zone").agg(F.count("*").alias("zone_expected_window_count"))
+    from pyspark.sql import Window
+
+    # The order of the rows as they come, so that they aren't sorted again.
+    zone = Window.partitionBy("run", "zone").orderBy("window").rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    every = history(spark, d).where("run IS NOT NULL AND zone IS NOT NULL").withColumn("zone_expected_window_count", F.count_if(_C("phase") == "final").over(zone))
     run = _C("run")
     dims = {"batch": run % 2, "dataset": F.concat(F.lit("set-"), (run % 3).cast("string")), "backend": F.when(run % 4 < 2, "ar").otherwise("ridge"), "agent_mode": F.when(run % 5 < 3, "multi").otherwise("single"), "forecast_origin": run % 7}
-    return every.join(expected, ["run", "zone"]).withColumns({"run_expected_window_count": F.lit(30), **dims, "control_success": F.when((_C("phase") != "baseline") & (run % 6 != 1), _C("medium"))})
+    return every.withColumns({"run_expected_window_count": F.lit(30), **dims, "control_success": F.when((_C("phase") != "baseline") & (run % 6 != 1), _C("medium"))})
 
 
 def outcome_tables(spark, d, sets):

@@ -86,18 +86,47 @@ def round_grid(rows: DataFrame, keys: Sequence[str], limit: int, finals: DataFra
     carries the final window into later rounds where the run stopped early: status success, fewer rounds used than
     the limit.
     """
-    windows = rows.select(*keys) if finals is None else rows.select(*keys).unionByName(finals.select(*keys))
-    grid = windows.distinct().withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(limit).cast("long"))))
-    medium, source = F.col("stress") == "Medium", F.when(F.col("load_kwh").isNull(), "missing").when(F.col("round") == 0, "baseline").otherwise("attempt_trace")
-    if finals is None:
-        return grid.join(rows, [*keys, "round"], "left").withColumns({"medium": medium, "source": source})
-    early = (F.col("status") == "success") & (F.col("attempts_used") < F.col("attempt_limit")) & (F.col("round") > F.col("attempts_used"))
-    ends = finals.select(*keys, "status", "attempts_used", "attempt_limit", F.col("load_kwh").alias("__load"), F.col("stress").alias("__stress"))
-    recorded = rows.withColumn("__recorded", F.lit(True))
-    out = grid.join(recorded, [*keys, "round"], "left").join(ends, list(keys), "left").withColumn("__carried", F.col("__recorded").isNull() & F.coalesce(early, F.lit(False)))
-    taken = {c: F.when(F.col("__carried"), F.col(f"__{n}")).otherwise(F.col(c)) for c, n in (("load_kwh", "load"), ("stress", "stress"))}
-    shown = F.when(F.col("__carried"), "early_stop_carry").otherwise(source)
-    return out.withColumn("source", shown).withColumns(taken).withColumn("medium", medium).select(*keys, *[c for c in rows.columns if c not in keys and c != "round"], "round", "medium", "source")
+    grid = _grid(rows, keys, limit, finals)
+    return grid.drop("__final")
+
+
+def _grid(rows: DataFrame, keys: Sequence[str], limit: int, finals: DataFrame | None) -> DataFrame:
+    """``round_grid`` with each window's final one as ``__final``. A window's rows, as many as rounds, are gathered in one
+    grouping and laid out again, so nothing is joined; of rows dealt by some of the keys none moves."""
+    values, state = [c for c in rows.columns if c not in keys and c != "round"], ["status", "attempts_used", "attempt_limit", "load_kwh", "stress"]
+    given = rows.select(*keys, F.struct("round", *values).alias("__row"))
+    if finals is not None:
+        given = given.unionByName(finals.select(*keys, F.struct(*state).alias("__final")), allowMissingColumns=True)
+    last = F.first("__final", True) if finals is not None else F.lit(None).cast("struct<status: string, attempts_used: bigint, attempt_limit: bigint, load_kwh: double, stress: string>")
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    per = given.groupBy(*keys).agg(F.collect_list("__row").alias("__rows"), last.alias("__final")).withColumn("__final", F.when(known, F.col("__final")))
+    cells = per.withColumn("__round", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(limit).cast("long")))).withColumn("__known", known)
+    out = cells.withColumn("__row", F.explode_outer(F.filter("__rows", lambda r: F.col("__known") & (r["round"] == F.col("__round")))))
+    end, used = F.col("__final"), F.col("__final.attempts_used")
+    early = (end["status"] == "success") & (used < end["attempt_limit"]) & (F.col("__round") > used)
+    out = out.withColumn("__carried", F.col("__row").isNull() & F.coalesce(early, F.lit(False)))
+    taken = [(F.when(F.col("__carried"), end[c]).otherwise(F.col("__row")[c]) if c in ("load_kwh", "stress") else F.col("__row")[c]).alias(c) for c in values]
+    source = F.when(F.col("__carried"), "early_stop_carry").when(F.col("__row.load_kwh").isNull(), "missing").when(F.col("__round") == 0, "baseline").otherwise("attempt_trace")
+    shown = out.select(*keys, *taken, F.col("__round").alias("round"), source.alias("source"), "__final")
+    return shown.select(*keys, *values, "round", (F.col("stress") == "Medium").alias("medium"), "source", "__final")
+
+
+def outcome_history(rows: DataFrame, keys: Sequence[str], limit: int, finals: DataFrame) -> DataFrame:
+    """Rows of ``round_grid`` (phase baseline or round) and of ``final_rows`` (phase final) with ``history_fields`` and
+    ``baseline_medium``, in one pass: a window's rounds up to its final one are a second track beside all rounds."""
+    used, end = F.col("__final.attempts_used"), F.col("__final")
+    tracks = F.array_compact(F.array(F.lit("rounds"), F.when(F.col("round") <= used, "final")))
+    every = _grid(rows, keys, limit, finals).withColumn("__track", F.explode(tracks))
+    ending = F.col("__track") == "final"
+    last = ending & (F.col("round") == used) & (used > 0)
+    every = every.withColumn("medium", F.when(last, end["stress"] == "Medium").otherwise(F.col("medium")))
+    w = Window.partitionBy(*keys, "__track").orderBy("round").rowsBetween(Window.unboundedPreceding, 0)
+    known = history_fields(every, [*keys, "__track"]).withColumn("baseline_medium", F.first("medium").over(w)).where(~ending | (F.col("round") == used))
+    final = {"load_kwh": end["load_kwh"], "stress": end["stress"], "medium": end["stress"] == "Medium", "source": F.lit("final_windows")}
+    phase = F.when(ending, "final").when(F.col("round") == 0, "baseline").otherwise("round")
+    return known.withColumns({**{n: F.when(ending, c).otherwise(F.col(n)) for n, c in final.items()}, "phase": phase}).drop("__final", "__track")
 
 
 def final_rows(grid: DataFrame, keys: Sequence[str], finals: DataFrame) -> DataFrame:
