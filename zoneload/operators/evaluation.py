@@ -11,9 +11,14 @@ from ..functions.scalars import all_known, cache_usage
 from ..session import checkpoint
 
 
+#: Groups whose means are broadcast: some 10 MB.
+BROADCAST_GROUPS = 100_000
+
+
 def pooled_errors(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Pooled errors by group over finite rows, with their counts, totals and bias; zero actual loads are left out of
-    MAPE only. RAE's denominator needs each group's mean first; it joins by group.
+    MAPE only. RAE's denominator needs each group's mean first: means of up to ``BROADCAST_GROUPS`` groups are broadcast, of
+    more they are repeated for 64 parts of each group, so that no task reads a group whole.
 
     Where the samples have them: ``q10_kwh`` and ``q90_kwh`` give the share of actual loads inside (rows with all three
     known); ``training_overlap`` and ``training_end`` (with ``origin``) the counts of what is known, and whether the
@@ -24,9 +29,15 @@ def pooled_errors(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     rows = samples.withColumn("fine", F.coalesce(finite(a) & finite(p), F.lit(False)))
     named = [F.col(k).alias(f"__{k}") for k in keys]
-    means = rows.where("fine").groupBy(*named).agg(F.avg(a).alias("mean_actual"))
+    means = checkpoint(rows.where("fine").groupBy(*named).agg(F.avg(a).alias("mean_actual")))
     on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    both = rows.join(means, on, "left") if keys else rows.crossJoin(F.broadcast(means))
+    if not keys:
+        both = rows.crossJoin(F.broadcast(means))
+    elif means.count() <= BROADCAST_GROUPS:
+        both = rows.join(F.broadcast(means), on, "left")
+    else:
+        parts = means.withColumn("__of", F.explode(F.sequence(F.lit(0), F.lit(63))))
+        both = rows.withColumn("__part", F.pmod(F.xxhash64(*samples.columns), F.lit(64)).cast("int")).join(parts, [*on, F.col("__part") == F.col("__of")], "left")
     valid = lambda c: F.when(F.col("fine"), c)
     error, size = valid(F.abs(a - p)), valid(F.abs(a))
     nonzero, spread = size > 1e-9, F.sum(valid(F.abs(a - F.col("mean_actual"))))
