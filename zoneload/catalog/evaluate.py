@@ -476,17 +476,21 @@ def price_comparison(spark, d):
 
 
 def saved(spark, d):
-    """Window rounds and final windows as nested results of three versions below a new folder, one run per line, told by its ``batch``."""
+    """Window rounds and final windows as nested results of three versions below a new folder, one run per line, told by its
+    ``batch``. The rounds are read once: each window's are gathered, then laid out again as its zone's attempts."""
     folder = shared_folder(spark)
-    rows = X.window_rounds(spark, d)
-    finals = X.run_finals(rows).join(rows.where("round = 0").select(*_WK, _C("load_kwh").alias("base_load"), _C("stress").alias("base_stress")), _WK, "left")
+    state = F.struct("round", "load_kwh", "stress")
+    finals = X.run_finals(X.window_rounds(spark, d), every=F.collect_list(state), base=F.max(F.when(_C("round") == 0, F.struct("load_kwh", "stress"))))
     cell = [F.concat(F.lit("w"), _C("window").cast("string")).alias("window_start"), F.concat(F.lit("e"), _C("window").cast("string")).alias("window_end")]
-    later = [_C("load_kwh").alias("reforecast_load_kwh"), _C("stress").alias("reforecast_load_stress_level")]
-    attempts = rows.where("round > 0").groupBy("run", "zone", "round").agg(F.collect_list(F.struct(*cell, *later)).alias("windows"))
-    trace = attempts.groupBy("run", "zone").agg(F.collect_list(F.struct(_C("round").alias("attempt"), "windows")).alias("attempt_trace"))
-    last = finals.groupBy("run", "zone", "status", "attempts_used", "attempt_limit").agg(F.collect_list(F.struct(*cell, _C("base_load").alias("sum_predicted_kwh"), _C("base_stress").alias("load_stress_level"), *later)).alias("final_windows"))
+    later = lambda s: [s["load_kwh"].alias("reforecast_load_kwh"), s["stress"].alias("reforecast_load_stress_level")]
+    ending = F.struct(*cell, _C("base.load_kwh").alias("sum_predicted_kwh"), _C("base.stress").alias("load_stress_level"), *later({"load_kwh": _C("load_kwh"), "stress": _C("stress")}))
+    at = lambda n: lambda w: F.transform(F.filter(w["every"], lambda r: r["round"] == n), lambda r: F.struct(*[w[c].alias(c) for c in ("window_start", "window_end")], *later(r)))
+    attempts = F.array(*[F.struct(F.lit(n).cast("long").alias("attempt"), F.flatten(F.transform("__windows", at(n))).alias("windows")) for n in (1, 2, 3)])
+    made = F.filter(attempts, lambda a: F.size(a["windows"]) > 0)
+    last = finals.groupBy("run", "zone", "status", "attempts_used", "attempt_limit").agg(F.collect_list(ending).alias("final_windows"), F.collect_list(F.struct(*cell, "every")).alias("__windows"))
+    last = last.withColumn("attempt_trace", made).withColumn("attempt_trace", F.when(F.size("attempt_trace") > 0, _C("attempt_trace")))
     zone = F.struct(_C("zone").cast("string").alias("zone_id"), "attempts_used", "attempt_trace", "final_windows")
-    nested = last.join(trace, ["run", "zone"], "left").groupBy("run", "status", "attempts_used", "attempt_limit").agg(F.collect_list(zone).alias("zones"))
+    nested = last.groupBy("run", "status", "attempts_used", "attempt_limit").agg(F.collect_list(zone).alias("zones"))
     old = _C("run") % 3 == 0
     named = [F.when(old, "day").alias("forecast_start"), F.when(~old, "day").alias("forecast_origin")]
     nested.select(_C("run").cast("string").alias("batch"), (_C("run") % 3 + 2).alias("schema_version"), *named, "status", "attempts_used", "attempt_limit", "zones").write.json(folder)
@@ -497,18 +501,15 @@ def saved(spark, d):
     CAST(sum(carried) AS BIGINT) AS carried_rounds FROM finals JOIN (SELECT run, zone, "window", count(*) FILTER (source = 'early_stop_carry') AS carried FROM grid GROUP BY ALL) USING (run, zone, "window") GROUP BY run""", f"{X.ROUNDS}, {_GRID}")
 def window_evaluation(spark, d):
     """Saved nested results of all versions, read back through the library's reader, to outcomes: rounds with early stops
-    carried on, then final windows."""
+    carried on and final windows, in one pass."""
     flat, finals = RS.rounds_of(RS.read_results(spark, saved(spark, d))[0], ["batch"])
     number = lambda df: df.select(_C("batch").cast("long").alias("run"), _C("zone_id").cast("long").alias("zone"), F.substring("window_start", 2, 9).cast("long").alias("window"), *[c for c in df.columns if c in ("round", "status", "attempts_used", "attempt_limit", "load_kwh", "stress")])
-    flat, finals = checkpoint(number(flat)), checkpoint(number(finals))
-    every = E.round_grid(flat, _WK, 3, finals)
-    last = E.final_rows(every, _WK, finals)
-    starts = every.groupBy(*_WK).agg(F.max(F.when(_C("round") == 0, _C("medium"))).alias("baseline_medium"), F.count_if(_C("source") == "early_stop_carry").alias("carried"))
-    m, b = _C("medium"), _C("baseline_medium")
-    return last.join(starts, _WK).groupBy("run").agg(
-        F.count("*").alias("windows"), F.count_if(m).alias("final_medium"), F.count_if(m.isNull()).alias("final_unknown"), F.count_if(~b & m).alias("newly_medium"),
-        F.count_if(_C("first_entry_known") & _C("first_entry_round").isNotNull()).alias("entered"), F.count_if(_C("ever_medium") & ~m).alias("ever_medium_final_exit"), F.sum("carried").alias("carried_rounds"),
-    )
+    every = E.outcome_history(number(flat), _WK, 3, number(finals))
+    last, m, b = _C("phase") == "final", _C("medium"), _C("baseline_medium")
+    return every.groupBy("run").agg(
+        F.count_if(last).alias("windows"), F.count_if(last & m).alias("final_medium"), F.count_if(last & m.isNull()).alias("final_unknown"), F.count_if(last & ~b & m).alias("newly_medium"),
+        F.count_if(last & _C("first_entry_known") & _C("first_entry_round").isNotNull()).alias("entered"), F.count_if(last & _C("ever_medium") & ~m).alias("ever_medium_final_exit"), F.count_if(_C("source") == "early_stop_carry").alias("carried_rounds"),
+    ).where("windows > 0")
 
 
 @query("fn_content_fingerprint", """SELECT zone_id, sha256(string_agg(h, chr(10) ORDER BY part)) AS signature, CAST(sum(n) AS BIGINT) AS rows FROM (SELECT zone_id, substr(h, 1, 2) AS part, sha256(string_agg(h, chr(10) ORDER BY h)) AS h, count(*) AS n FROM (

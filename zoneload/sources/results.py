@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import checkpoint
+
 VERSIONS = (2, 3, 4)
 #: Names of older results and those that replace them.
 RENAMED = {"forecast_start": "forecast_origin", "forecast_model": "backend"}
@@ -81,7 +83,9 @@ def read_results(spark: SparkSession, path: str, schema: str = CONTROL_SCHEMA, l
     wide = T.StructType([*accepting(target).fields, *own, T.StructField(_MALFORMED, T.StringType())])
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("wholetext", not lines).text(path)
     texts = files.select(F.regexp_replace("value", "^\ufeff", "").alias("text"), F.col("_metadata.file_path").alias("path")).where(F.trim("text") != "")
-    parsed = texts.withColumn("r", F.from_json("text", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _MALFORMED}))
+    # Exploded from an array of one, so that the filters below stay above and no text is parsed a second time for them.
+    value = F.from_json("text", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _MALFORMED})
+    parsed = texts.select("text", "path", F.explode(F.array(value)).alias("r"))
     broken = F.col("r").isNull() | F.col(f"r.{_MALFORMED}").isNotNull()
     got = parsed.where(~broken).select(normalised(F.col("r"), target).alias("r"), F.coalesce(F.col("r.run").cast("string"), F.regexp_extract("path", r"run=([^/]+)", 1)).alias("__run")).select("r.*", "__run").drop("run").withColumnRenamed("__run", "run")
     version = F.col("schema_version")
@@ -96,7 +100,8 @@ def rounds_of(results: DataFrame, keys: list[str] | None = None) -> tuple[DataFr
     Rounds (keys, zone_id, window_start, window_end, round, load_kwh, stress, price, control_success): 0 is the baseline,
     from the final window or, where that lacks it, the first attempt that has it; others are the attempts. Finals have
     the same columns with the run's status, rounds used and limit in place of the round. The run's rounds used are the
-    largest of any zone or attempt where the run itself doesn't say. A repeated zone or attempt is an error.
+    largest of any zone or attempt where the run itself doesn't say. A repeated zone or attempt is an error. Zones are kept
+    once, as rounds and finals are laid out from them in turn; the texts behind are parsed only then.
     """
     keys = ["run"] if keys is None else keys
     used = F.coalesce("attempts_used", F.array_max(F.transform("zones", lambda z: F.greatest(F.coalesce(z["attempts_used"], F.lit(0)), F.coalesce(F.array_max(z["attempt_trace"]["attempt"]), F.lit(0))))), F.lit(0))
@@ -104,7 +109,10 @@ def rounds_of(results: DataFrame, keys: list[str] | None = None) -> tuple[DataFr
     once = F.when(F.size(F.array_distinct(zone_ids)) < F.size(zone_ids), F.raise_error(F.lit("a zone is repeated in a result")).cast("long")).otherwise(used)
     runs = results.select(*keys, "status", once.alias("run_used"), F.coalesce("attempt_limit", F.lit(0)).alias("limit"), F.explode("zones").alias("z"))
     numbers = F.col("z.attempt_trace.attempt")
-    zones = runs.withColumn("zone_used", F.coalesce("z.attempts_used", F.when(F.size(F.array_distinct(numbers)) < F.size(numbers), F.raise_error(F.lit("an attempt is repeated in a zone")).cast("long")).otherwise(F.col("run_used"))))
+    zone_used = F.coalesce("z.attempts_used", F.when(F.size(F.array_distinct(numbers)) < F.size(numbers), F.raise_error(F.lit("an attempt is repeated in a zone")).cast("long")).otherwise(F.col("run_used")))
+    attempts = F.transform("z.attempt_trace", lambda a: F.struct(a["attempt"].alias("attempt"), a["windows"].alias("windows")))
+    kept = F.struct(F.col("z.zone_id").alias("zone_id"), attempts.alias("attempt_trace"), F.col("z.final_windows").alias("final_windows"))
+    zones = checkpoint(runs.select(*keys, "status", "run_used", "limit", zone_used.alias("zone_used"), kept.alias("z")))
     key = [*keys, "zone_id", "window_start", "window_end"]
     of = lambda w, later: [w["window_start"].alias("window_start"), w["window_end"].alias("window_end"), (w["reforecast_load_kwh"] if later else w["sum_predicted_kwh"]).alias("load_kwh"), (w["reforecast_load_stress_level"] if later else w["load_stress_level"]).alias("stress"), F.when(F.coalesce(w["price_valid" if later else "baseline_price_valid"], F.lit(True)), w["proposed_energy_price" if later else "mean_energy_price"]).alias("price"), (w["control_success"] if later else F.lit(None).cast("boolean")).alias("control_success")]
     told = [*keys, F.col("z.zone_id").alias("zone_id")]
