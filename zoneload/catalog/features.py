@@ -52,8 +52,8 @@ _SLOT = "time_bucket(INTERVAL 3 HOUR, timestamp, TIMESTAMP '2024-01-01')"
 _POLICY = f"policy AS (SELECT zone_id, count(*) AS windows, min(load) AS low_kwh, max(load) AS high_kwh FROM (SELECT zone_id, {_SLOT} AS slot, CAST(sum(CAST(load_kwh AS DECIMAL(18, 2))) AS DOUBLE) AS load FROM zone_series WHERE timestamp < {_O} GROUP BY ALL) GROUP BY zone_id)"
 
 
-def policy(spark, d):
-    return A.load_policy(X.zone_series(spark, d), origin())
+def policy(spark, d, series=None):
+    return A.load_policy(X.zone_series(spark, d) if series is None else series, origin())
 
 
 @query("agg_3h_load_policy", "SELECT zone_id, windows, low_kwh, high_kwh, high_kwh - low_kwh AS range_kwh, low_kwh + (high_kwh - low_kwh) * 0.35e0 AS low_medium_kwh, low_kwh + (high_kwh - low_kwh) * 0.8e0 AS medium_high_kwh, low_kwh + (high_kwh - low_kwh) * 0.9e0 AS high_extreme_kwh FROM policy", f"{X.SERIES}, {_POLICY}", "range_kwh low_medium_kwh medium_high_kwh high_extreme_kwh")

@@ -7,7 +7,7 @@ from ..operators import features as A
 from ..plans import forecast as C
 from ..plans import pooled as M
 from ..registry import query
-from ..session import checkpoint
+from ..session import checkpoint, kept
 from .features import _POLICY, policy
 from .prepare import _O, origin
 
@@ -114,7 +114,8 @@ _BACK = AR.replace(_ORIGINS, f"origins AS (SELECT unnest(generate_series({_O} -
 @query("job_daily_backtest", "SELECT count(DISTINCT origin) AS days, count(*) AS hours, avg(abs(actual_kwh - raw_kwh)) AS mae, sqrt(avg((actual_kwh - raw_kwh) ** 2)) AS rmse, sum(abs(actual_kwh - raw_kwh)) / sum(abs(actual_kwh)) * 100 AS wape_pct FROM ar", _BACK, "mae rmse wape_pct")
 def daily_backtest(spark, d):
     days = spark.range(-6, 7).select((origin() + F.make_dt_interval(days=_C("id").cast("int"))).cast("timestamp_ntz").alias("origin"))
-    return C.daily_backtest(X.zone_series(spark, d), days, DAYS)
+    series = kept(X.zone_series(spark, d).select("zone_id", "timestamp", "load_kwh", "energy_price"))
+    return C.daily_backtest(series, days, DAYS)
 
 
 _WINDOWS = f"""{AR}, {_POLICY}, wins AS (SELECT zone_id, origin, "window", min(timestamp) AS window_start, max(timestamp) AS window_end, count(*) AS hours, avg(raw_kwh) AS mean_predicted_kwh, sum(raw_kwh) AS sum_predicted_kwh, max(raw_kwh) AS peak_predicted_kwh, sum(actual_kwh) AS sum_actual_kwh,
@@ -125,11 +126,11 @@ stress AS (SELECT *, CASE WHEN p < 35 THEN 'Low' WHEN p < 80 THEN 'Medium' WHEN
 _RANK = "list_position(['Low', 'Medium', 'High', 'Extremely High'], {})"
 
 
-def windows(spark, d, n=3, raw=None):
+def windows(spark, d, n=3, raw=None, series=None):
     """Pricing windows of the forecasts of all zones and origins, with bands of prediction and actual load."""
-    series = X.zone_series(spark, d)
+    series = X.zone_series(spark, d) if series is None else series
     raw = (C.ar_forecast(series, origins(spark, n), DAYS) if raw is None else raw).withColumnRenamed("raw_kwh", "predicted_kwh").join(series.select("zone_id", "timestamp", _C("load_kwh").alias("actual_kwh")), ["zone_id", "timestamp"])
-    return A.pricing_windows(raw, ["zone_id", "origin"], policy(spark, d))
+    return A.pricing_windows(raw, ["zone_id", "origin"], policy(spark, d, series))
 
 
 @query("agg_pricing_windows", f'SELECT zone_id, origin, "window", window_start, window_end, hours, mean_predicted_kwh, sum_predicted_kwh, peak_predicted_kwh, sum_actual_kwh, mean_service_price, mean_energy_price, mean_occupancy, mean_temp_c, total_rain, p AS load_range_position_pct, load_stress_level, actual_level AS actual_load_stress_level, load_stress_level = actual_level AS stress_correct, {_RANK.format("actual_level")} > {_RANK.format("load_stress_level")} AS stress_missed FROM stress', _WINDOWS, "mean_predicted_kwh sum_predicted_kwh peak_predicted_kwh sum_actual_kwh mean_service_price mean_energy_price mean_occupancy mean_temp_c load_range_position_pct")

@@ -77,6 +77,7 @@ def ar_forecast(series: DataFrame, origins: DataFrame, history_days: int, horizo
     if prices is not None:
         future = future.drop("energy_price").join(prices, ["zone_id", "timestamp"], "left")
     week = history.select(*KEY, (F.col("timestamp") + F.expr("interval 7 days")).alias("timestamp"), F.col("load_kwh").alias("lag_week"))
+    week = week.where((F.col("timestamp") >= F.col("origin")) & (F.col("timestamp") < F.col("origin") + F.make_dt_interval(days=F.lit(horizon_days))))
     rows = (
         future.join(week, [*KEY, "timestamp"], "left")
         .join(means.select(*KEY, "hour", "hour_load"), [*KEY, "hour"], "left")
