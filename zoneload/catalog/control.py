@@ -6,7 +6,7 @@ from .. import fixtures as X
 from ..plans import control as K
 from ..plans import forecast as C
 from ..registry import query
-from ..session import checkpoint
+from ..session import checkpoint, kept
 from .forecast import _WINDOWS, DAYS, origins, windows
 from .scalars import _BAND, _KINDS
 
@@ -56,16 +56,16 @@ _REASON = "CASE WHEN NOT valid THEN 'invalid_non_negative_energy_price_constrain
 
 
 def _inputs(spark, d):
-    """Windows, hourly forecasts with their window, and the frozen price response and reference; the forecasts, which
-    two of them come from, are kept once."""
+    """Windows, hourly forecasts with their window, and the frozen price response and reference; the series
+    and the forecasts, which several of them come from, are kept once."""
     from pyspark.sql import Window
 
-    series = X.zone_series(spark, d)
+    series = kept(X.zone_series(spark, d))
     history = C.at_origins(series, origins(spark), -DAYS, 0)
     raw = checkpoint(C.ar_forecast(series, origins(spark), DAYS))
     number = F.row_number().over(Window.partitionBy("zone_id", "origin").orderBy("timestamp")) - 1
     hourly = raw.select("zone_id", "origin", F.floor(number / 3).alias("window"), "timestamp", "base_kwh", "energy_price")
-    return windows(spark, d, raw=raw), hourly, C.price_response(history), C.hourly_means(history)
+    return windows(spark, d, raw=raw, series=series), hourly, C.price_response(history), C.hourly_means(history)
 
 
 def _first(spark, d):
