@@ -6,7 +6,7 @@ from .. import fixtures as X
 from ..plans import control as K
 from ..plans import forecast as C
 from ..registry import query
-from ..session import checkpoint, kept
+from ..session import checkpoint, dealt, kept
 from .forecast import _WINDOWS, DAYS, origins, windows
 from .scalars import _BAND, _KINDS
 
@@ -134,8 +134,12 @@ firstp AS (SELECT k, position, CASE WHEN k % 11 = 4 THEN 'other' ELSE window_sta
 
 
 def _keyed(spark, d):
+    """Expected and proposed windows, both dealt to partitions of a bounded number of rows, so that they are grouped and
+    joined where they are."""
     k, p = _C("k"), _C("position")
-    rows = X.table(spark, d, "lineitem").groupBy(_C("l_orderkey").alias("k"), _C("l_linenumber").alias("position")).agg(F.date_format(F.min("l_shipdate"), "yyyy-MM-dd HH:mm:ss").alias("window_start"))
+    items = X.table(spark, d, "lineitem")
+    items = dealt(items.select(_C("l_orderkey").alias("k"), _C("l_linenumber").alias("position"), "l_shipdate"), items.count(), ["k", "position"], 200_000)
+    rows = items.groupBy("k", "position").agg(F.date_format(F.min("l_shipdate"), "yyyy-MM-dd HH:mm:ss").alias("window_start"))
     proposed = rows.where((k + p) % 6 != 0).select("k", "position", F.when(k % 11 == 4, "other").otherwise(_C("window_start")).alias("window_start"), F.when(k % 7 != 3, p.cast("double")).alias("shift"), F.when(k % 5 != 2, k.cast("double")).alias("price"), F.concat(F.lit("label-"), p.cast("string")).alias("label"))
     return rows, proposed
 
