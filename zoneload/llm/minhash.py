@@ -1,19 +1,25 @@
 """Near duplicates by bottom-k sketches from one hash function.
 
 A document's set is its distinct shingles of ``size`` words, as 64-bit hashes; its sketch, the ``SKETCH`` smallest.
-Documents with equal sets form a class and are compared once. Sketch values shared by two classes or more make
-inverted lists; a list generates overlaps, the union's sketch estimates the Jaccard coefficient of a pair and
-drops what is far below the threshold, and the full sets of the rest decide.
-
-Which values a class is listed by. Two sets at the threshold (0.8) share nearly all of their sketches: with
-64 values, fewer than ``OVERLAP`` with a probability below 1e-6. So while a class has more than SKETCH - OVERLAP
-values of short lists, a pair always meets in one of those (if nearly all its values are such, in the first
-``FIRST`` of them, with as little loss), and its values of long lists (beyond ``LONG``) are left out. Pairs of
-classes that are mostly made of common values meet in the long lists of their ``HOT_FIRST`` smallest values. There,
-all are first verified against a few members, and then only those outside the list's largest component are
-compared with the others of a like size, in blocks of bounded size that return a spanning forest and no pairs. That
-last step is what costs most for a large family whose members are alike but not linked: its work grows with the square
-of those outside (by a product of small matrices for each pair of blocks), its output doesn't.
+Documents with equal sets form a class and are compared once. ``RUN`` neighbouring values of a sketch make one key, and
+keys of two classes or more make inverted lists; a list generates overlaps, the union's sketch estimates the Jaccard
+coefficient of a pair and drops what is far below the threshold, and the full sets of the rest decide.
+
+Why runs. Of two sets at the threshold (0.8), the union has four values in five in common: among its first 66, no four in
+sequence are with a probability below 1e-6, and four in sequence are neighbours in both sketches. Where a sketch is the
+whole set, d values that one side lacks leave at least 4 d common ones, so there always is such a run, but in sets of up to
+15 values (three, for certain) and 5 (two), which are listed by shorter runs as well. A word pair that a tenth of all
+documents have makes a list of as many; a run of four, one of those that have all four next to each other. So with a
+vocabulary that doesn't grow, lists grow with what is alike, hardly with the documents.
+
+Classes in lists beyond ``LONG`` are crowded: families of near copies, but also short texts of frequent words. Any pair of
+them that shares a long list meets again by ``BANDS`` keys, each of ``ROWS`` minima of independent hashes of the full
+sets: at the threshold none agrees with a probability below 1e-6, at a similarity of 0.2 one in 46 x 0.2 ^ 6. Of these
+lists the short ones generate overlaps as above. In long ones, all are first verified against one member, and then only
+those outside the list's largest component are compared with the others of a like size, once for all lists of that
+component, in blocks of bounded size that return a spanning forest and no pairs. That last step is what costs most for a
+large family whose members are alike but not linked: its work and what it sends grow with the square of those outside,
+its output doesn't.
 
 Links between classes are joined to components by iterated joins. Nothing is capped: lists of any length are
 handled one way or the other.
@@ -35,16 +41,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import NON_SPACE, Block, blocks, column, mix, output, window_hashes, word_hashes, words
+from ._text import NON_SPACE, Block, blocks, column, mix, output, window_hashes, within, word_hashes, words
 from ._util import checkpoint, fresh
 from .components import components
 
 SIZE, THRESHOLD = 5, 80
-SKETCH, OVERLAP, FIRST, LONG, HOT_FIRST, HUBS = 64, 34, 16, 32, 8, 3
+SKETCH, RUN, LONG, HUBS = 66, 4, 32, 1
+#: Up to how many shingles a set has shorter runs as keys, too.
+SHORT_RUNS = {3: 15, 2: 5}
+BANDS, ROWS = 46, 6
 #: Values of the sketch used for estimation, and how many of them a pair must share to be verified.
 ESTIMATE, ESTIMATE_SHARED = 32, 13
 #: Bytes of full sets that a block of a long list holds about.
 BLOCK_BYTES = 4 << 20
+#: Its rows at most, about: sets of a few shingles are many to a byte.
+BLOCK_ROWS = 2048
 #: Rows of a long list are spread over so many tasks where they meet something that the list has once.
 SALTS = 16
 #: Candidates' ids are broadcast up to this many, joined in a shuffle beyond.
@@ -84,43 +95,54 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sketch array<long>")
 
 
-_LISTED = "hot boolean, v long, rep long, n long, est binary"
-_LISTED_ARROW = pa.schema([("hot", pa.bool_()), ("v", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("est", pa.binary())])
+_KEYS = pa.schema([("v", pa.int64()), ("rep", pa.int64()), ("n", pa.int64())])
+_KEYS_DDL = "v long, rep long, n long"
 
 
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From classes with their shared values (pos, v, df): the lists that each is in."""
+def run_keys(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the sketches that lie in ``values`` one after the other, and the row that each is of."""
+    row, keys, of = np.repeat(np.arange(len(counts)), counts), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for run in (RUN, *SHORT_RUNS):
+        at = np.flatnonzero(within(counts, run) & (counts[row] <= SHORT_RUNS.get(run, SKETCH)))
+        keys.append(window_hashes(values, run)[at])
+        of.append(row[at])
+    return np.concatenate(keys), np.concatenate(of)
+
+
+def band_keys(values: np.ndarray) -> np.ndarray:
+    """A set's keys by minima of independent hashes."""
+    seeds, step = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)), max(1, (1 << 18) // len(values))
+    minima = np.concatenate([mix(values ^ seeds[i : i + step, None]).min(1) for i in range(0, len(seeds), step)])
+    return window_hashes(minima, ROWS)[::ROWS] + np.arange(BANDS, dtype=np.uint64)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sketch, rep, n = (column(batch, c) for c in ("sketch", "rep", "n"))
+        v, of = run_keys(np.asarray(sketch.flatten()).view(np.uint64), np.asarray(sketch.value_lengths()).astype(np.int64))
+        yield output(_KEYS, v=v.view(np.int64), rep=np.asarray(rep)[of], n=np.asarray(n)[of])
+
+
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(w.as_buffer(), np.uint64) for w in column(batch, "words")]
+        v = np.concatenate([np.zeros(0, np.uint64), *[band_keys(s) for s in sets]])
+        yield output(_KEYS, v=v.view(np.int64), rep=np.repeat(np.asarray(column(batch, "rep")), BANDS), n=np.repeat([len(s) for s in sets], BANDS).astype(np.int64))
+
+
+def _estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("rep", pa.int64()), ("est", pa.binary())])
     for batch in batches:
-        shared = column(batch, "shared")
-        counts = np.asarray(shared.value_lengths())
-        row = np.repeat(np.arange(len(counts)), counts)
-        parts = shared.flatten()
-        pos, v, df = (np.asarray(parts.field(i)) for i in range(3))
-        order = np.lexsort((pos, row))
-        row, pos, v, df = row[order], pos[order], v[order], df[order]
         sketch = column(batch, "sketch")
-        length = np.asarray(sketch.value_lengths()).astype(np.int64)
-        long = df > LONG
-        n_long = np.bincount(row[long], minlength=len(counts))
-        before = np.cumsum(long) - long
-        first_of_row = np.cumsum(counts) - counts
-        rank = pos - (before - before[first_of_row[row]])
-        short_values = length - n_long
-        need = length - np.ceil(length * (OVERLAP / SKETCH)).astype(np.int64) + 1
-        common = short_values < need
-        plenty = short_values * 4 >= length * 3
-        keep = ~long & (~plenty[row] | (rank < FIRST))
-        hot = common[row] & (pos < HOT_FIRST)
-        flat = np.asarray(sketch.flatten()).view(np.uint64)
+        flat, length = np.asarray(sketch.flatten()).view(np.uint64), np.asarray(sketch.value_lengths()).astype(np.int64)
         begin = np.cumsum(length) - length
         est = [np.unique((flat[b : b + min(m, ESTIMATE)] >> np.uint64(32)).astype("<u4")).tobytes() for b, m in zip(begin.tolist(), length.tolist(), strict=True)]
-        rep, n = np.asarray(column(batch, "rep")), np.asarray(column(batch, "n"))
-        est_array = pa.array(est, pa.binary())
-        for flag, chosen in ((False, keep), (True, hot)):
-            at = np.flatnonzero(chosen)
-            r = row[at]
-            some = est_array.take(pa.array(r)) if not flag else pa.array([b""] * len(r), pa.binary())
-            yield output(_LISTED_ARROW, hot=np.full(len(at), flag), v=v[at], rep=rep[r], n=n[r], est=some)
+        yield output(schema, rep=column(batch, "rep"), est=est)
+
+
+def _lists(keys: DataFrame) -> DataFrame:
+    """v, rep, n and m: the keys that several classes have, with their number."""
+    return checkpoint(keys.join(keys.groupBy("v").agg(F.count("*").alias("m")).where("m > 1"), "v"))
 
 
 def may_link(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -259,17 +281,21 @@ def _per_list(rows: DataFrame, lists: DataFrame, *more: str) -> DataFrame:
 def _outsiders(hot: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
     """Links across components within the long lists that verified hubs left apart.
 
-    Sets of a pair at the threshold differ in size by a fifth at most, so a list is cut into bands of size in which only
-    neighbouring ones meet, and bands into blocks of a bounded number of bytes. Each unordered pair of blocks with an
-    outsider on either side is one group.
+    Lists of which one component has the most part are put together by it, as a family meets in many lists; others stay
+    alone. Sets of a pair at the threshold differ in size by a fifth at most, so each is cut into bands of size in which
+    only neighbouring ones meet, and bands into blocks of a bounded number of bytes and rows, outsiders apart from the rest:
+    each unordered pair of blocks with outsiders on either side is one group, so a few outsiders get the rest sent once.
     """
     lists = checkpoint(hot.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("v", "rep", "n", F.coalesce("component", "rep").alias("component")))
     parts = lists.groupBy("v", "component").agg(F.count("*").alias("m"))
-    most = parts.groupBy("v").agg(F.max(F.struct("m", "component"))["component"].alias("largest"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    marked = _per_list(lists, most).withColumn("outside", F.col("component") != F.col("largest"))
-    banded = checkpoint(marked.select("v", "rep", "n", "component", "outside", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / THRESHOLD)).cast("int").alias("band")))
-    weight = banded.groupBy("v", "band").agg(F.ceil(F.sum("n") * 8 / BLOCK_BYTES).cast("int").alias("blocks"))
-    members = checkpoint(_per_list(banded, weight, "band").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int")).drop("blocks"))
+    most = parts.groupBy("v").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("all"), F.count("*").alias("parts")).where("parts > 1")
+    family = F.when(F.col("top.m") * 2 > F.col("all"), F.xxhash64("top.component")).otherwise(F.col("v"))
+    marked = _per_list(lists, most.select("v", F.col("top.component").alias("largest"), family.alias("family"))).withColumn("outside", F.col("component") != F.col("largest"))
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / THRESHOLD)).cast("int").alias("band")
+    banded = checkpoint(marked.select(F.col("family").alias("v"), "rep", "n", "component", "outside", band).distinct())
+    weight = banded.groupBy("v", "band", "outside").agg(F.ceil(F.greatest(F.sum("n") * 8 / BLOCK_BYTES, F.count("*") / BLOCK_ROWS)).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int") * 2 + F.col("outside").cast("int")
+    members = checkpoint(_per_list(banded, weight, "band", "outside").withColumn("block", block).drop("blocks"))
     blocks = members.groupBy("v", "band", "block").agg(F.bool_or("outside").alias("some"))
     other = blocks.select("v", F.col("band").alias("band2"), F.col("block").alias("block2"), F.col("some").alias("some2"))
     near = blocks.withColumn("band2", F.explode(F.array(F.col("band"), F.col("band") + 1))).join(other, ["v", "band2"])
@@ -287,18 +313,19 @@ def near_duplicates(docs: DataFrame, size: int = SIZE) -> DataFrame:
     marked = checkpoint(signatures(docs, size))
     known = marked.where("n > 0 AND doc_id IS NOT NULL")
     classes = checkpoint(known.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")))
-    values = classes.select("rep", F.posexplode("sketch").alias("pos", "v"))
-    shared = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    by_class = values.join(shared, "v").groupBy("rep").agg(F.collect_list(F.struct("pos", "v", "df")).alias("shared"))
-    listed = checkpoint(classes.join(by_class, "rep").select("rep", "n", "sketch", "shared").mapInArrow(_listed, _LISTED))
-    ordered = listed.where("NOT hot").repartition("v").sortWithinPartitions("v")
-    pairs = ordered.mapInArrow(_overlaps, "a long, b long")
-    hot = listed.where("hot").select("v", "rep", "n")
-    hubs = hot.groupBy("v").agg(*[F.min(F.struct(F.xxhash64("rep", F.lit(i)), "rep"))["rep"].alias(f"h{i}") for i in range(HUBS)], F.count("*").alias("m")).where("m > 1")
+    listed = _lists(classes.select("rep", "n", "sketch").mapInArrow(_runs, _KEYS_DDL))
+    crowded = checkpoint(listed.where(F.col("m") > LONG).select("rep").distinct())
+    crowd = _sets(docs, crowded, size)
+    again = _lists(crowd.mapInArrow(_bands, _KEYS_DDL))
+    few = listed.unionByName(again).where(F.col("m") <= LONG).drop("m")
+    estimates = classes.select("rep", "sketch").mapInArrow(_estimates, "rep long, est binary")
+    pairs = few.join(estimates, "rep").repartition("v").sortWithinPartitions("v").mapInArrow(_overlaps, "a long, b long")
+    hot = again.where(F.col("m") > LONG).drop("m")
+    hubs = hot.groupBy("v").agg(*[F.min(F.struct(F.xxhash64("rep", F.lit(i)), "rep"))["rep"].alias(f"h{i}") for i in range(HUBS)])
     spokes = _per_list(hot.select("v", "rep"), hubs).select("rep", F.explode(F.array(*[F.col(f"h{i}") for i in range(HUBS)])).alias("hub")).where("rep <> hub")
     candidates = checkpoint(pairs.unionByName(spokes.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))).distinct())
-    ids = checkpoint(candidates.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(hot.select("rep")).distinct())
-    sets = _sets(docs, ids, size)
+    ids = checkpoint(candidates.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(crowded, "rep", "left_anti"))
+    sets = crowd.unionByName(_sets(docs, ids, size))
     links = checkpoint(_verified(candidates, sets))
     found = components(links)
     across = checkpoint(_outsiders(hot, found, sets))
